@@ -13,6 +13,7 @@ inline flags; the operators add the flags they need.
 # Character classes (Unicode aware in Java as well as RE2).
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u202f\u205f\u3000"
 SPACE = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]"
 
 # Structural masks, in order: (pattern, ignore case, placeholder).

@@ -70,11 +70,11 @@ def resolve_overlaps(spans: Column) -> Column:
 def cut_spans(c: Column, spans: Column) -> Column:
     """Delete spans (sorted, without overlaps)."""
     kept = F.aggregate(
-        spans, F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
+        spans, F.struct(F.lit("").alias("done"), F.lit(0).alias("at"), c.alias("t")),
         lambda acc, s: F.struct(
-            F.concat(acc["done"], F.substring(c, acc["at"] + 1, s["start"] - acc["at"])).alias("done"),
-            s["end"].alias("at")),
-        lambda acc: F.concat(acc["done"], F.substring(c, acc["at"] + 1, F.length(c))))
+            F.concat(acc["done"], F.substring(acc["t"], acc["at"] + 1, s["start"] - acc["at"])).alias("done"),
+            s["end"].alias("at"), acc["t"].alias("t")),
+        lambda acc: F.concat(acc["done"], F.substring(acc["t"], acc["at"] + 1, F.length(acc["t"]))))
     return F.when(F.size(spans) > 0, kept).otherwise(c)
 
 
@@ -104,7 +104,11 @@ def _word_count(c: Column) -> Column:
 def removal_flags(text: Column, spans: Column, cleaned: Column) -> Column:
     """Per span, the quality flags of its removal (``array<array<string>>``)."""
     def flags(s: Column, i: Column) -> Column:
-        before = F.substring(text, 1, s["start"])
+        # The longest of these prepositions has four letters, so five characters
+        # decide; the whole prefix is only looked at behind a long run of blanks.
+        close_by = F.rtrim(F.substring(text, F.greatest(s["start"] - 31, F.lit(1)), F.least(s["start"], F.lit(32))), F.lit(K.BLANKS))
+        before = F.right(F.when((F.length(close_by) > 5) | (s["start"] <= 32), close_by).otherwise(
+            F.rtrim(F.substring(text, F.lit(1), s["start"]), F.lit(K.BLANKS))), F.lit(5))
         near = F.concat(F.substring(text, F.greatest(s["start"] - 4, F.lit(1)), F.least(s["start"], F.lit(5))), F.lit(" "),
                         F.substring(text, s["end"] + 1, F.lit(5)))
         left = F.try_element_at(spans, F.greatest(i, F.lit(1)))
@@ -113,12 +117,13 @@ def removal_flags(text: Column, spans: Column, cleaned: Column) -> Column:
             ((i > 0) & (_word_count(F.substring(text, left["end"] + 1, s["start"] - left["end"])) <= 3))
             | (right.isNotNull() & (_word_count(F.substring(text, s["end"] + 1, right["start"] - s["end"])) <= 3)))
         return F.array_compact(F.array(
-            F.when(before.rlike(rf"(?Ui)\b(?:{K.FLAG_PREPOSITIONS})\s*\z"), "trailing_preposition"),
+            F.when(before.rlike(rf"(?Ui)\b(?:{K.FLAG_PREPOSITIONS})\z"), "trailing_preposition"),
             F.when(near.rlike(r"(?U)\d"), "numeric_adjacent"),
-            F.when(F.coalesce(close, F.lit(False)), "adjacent_removal"),
-            F.when(F.length(trim_ws(cleaned)) < 10, "short_result")))
+            F.when(F.coalesce(close, F.lit(False)), "adjacent_removal")))
 
-    return F.transform(spans, flags)
+    # Decided once per row, outside the per-span function.
+    found = F.transform(spans, flags)
+    return F.when(F.length(trim_ws(cleaned)) < 10, F.transform(found, lambda f: F.array_append(f, "short_result"))).otherwise(found)
 
 
 def anonymization_log(df: DataFrame, text: str, spans: str, id_col: str = "task_id") -> DataFrame:
@@ -132,24 +137,24 @@ def anonymization_log(df: DataFrame, text: str, spans: str, id_col: str = "task_
     base = df.filter(F.size(s) > 0).select(
         F.col(id_col), c.alias("original_text"), s.alias("__spans"), cleaned.alias("cleaned_text"))
     c, s = F.col("original_text"), F.col("__spans")
-    base = base.withColumn("__flags", removal_flags(c, s, F.col("cleaned_text")))
+    zipped = F.arrays_zip(s.alias("s"), removal_flags(c, s, F.col("cleaned_text")).alias("f"))
 
     def remainder(e: Column, i: Column) -> Column:
-        # At most ten characters are needed: walk the later spans until they are found.
+        # Ten characters are needed: walk the later spans until they are found.
         rest = F.aggregate(
-            F.slice(s, i + 2, F.size(s)), F.struct(F.lit("").alias("done"), e["end"].alias("at")),
+            F.slice(s, i + 2, F.lit(10)), F.struct(F.lit("").alias("done"), e["end"].alias("at")),
             lambda acc, x: F.when(F.length(acc["done"]) >= 10, acc).otherwise(F.struct(
-                F.concat(acc["done"], F.substring(c, acc["at"] + 1, x["start"] - acc["at"])).alias("done"),
+                F.concat(acc["done"], F.substring(c, acc["at"] + 1, F.least(x["start"] - acc["at"], F.lit(10)))).alias("done"),
                 x["end"].alias("at"))),
             lambda acc: F.concat(acc["done"], F.substring(c, acc["at"] + 1, F.lit(10))))
         return F.substring(rest, 1, 10)
 
-    entries = F.transform(s, lambda e, i: F.struct(
-        e["entity"].alias("entity_removed"), e["category"].alias("category"),
-        e["start"].alias("span_start"), e["end"].alias("span_end"),
-        F.concat(F.substring(c, F.greatest(e["start"] - 9, F.lit(1)), F.least(e["start"], F.lit(10))),
-                 e["entity"], remainder(e, i)).alias("context_window"),
-        F.col("__flags")[i].alias("flags")))
+    entries = F.transform(zipped, lambda z, i: F.struct(
+        z["s"]["entity"].alias("entity_removed"), z["s"]["category"].alias("category"),
+        z["s"]["start"].alias("span_start"), z["s"]["end"].alias("span_end"),
+        F.concat(F.substring(c, F.greatest(z["s"]["start"] - 9, F.lit(1)), F.least(z["s"]["start"], F.lit(10))),
+                 z["s"]["entity"], remainder(z["s"], i)).alias("context_window"),
+        z["f"].alias("flags")))
     return (base.select(id_col, "original_text", "cleaned_text", F.explode(entries).alias("e"))
             .select(id_col, "original_text", "e.entity_removed", "e.category", "e.span_start", "e.span_end",
                     "e.context_window", "e.flags", "cleaned_text"))

@@ -55,20 +55,26 @@ def token_topk(df: DataFrame, c: str, k: int = 20, min_len: int = 4, stop: list[
 
 
 def grams(words: Column, n: tuple[int, int] = (1, 2)) -> Column:
-    """Word n-grams of a token array, joined by a space."""
+    """Word n-grams of a token array, joined by a space: the array zipped with itself, shifted."""
     lists = [words] if n[0] == 1 else []
-    for size in range(max(2, n[0]), n[1] + 1):
+    run = words
+    for size in range(2, n[1] + 1):
         count = F.greatest(F.size(words) - (size - 1), F.lit(0))
-        starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-        lists.append(F.transform(starts, lambda i, s=size: F.array_join(F.slice(words, i, F.lit(s)), " ")))
+        run = F.zip_with(F.slice(run, F.lit(1), count), F.slice(words, F.lit(size), F.greatest(F.size(words), F.lit(1))),
+                         lambda left, right: F.concat(left, F.lit(" "), right))
+        if size >= n[0]:
+            lists.append(run)
     return F.concat(*lists)
 
 
 def long_terms(df: DataFrame, c: str, keys: list[str], ngrams: tuple[int, int] = (1, 1),
                pattern: str = K.TOKEN, stop: list[str] = ()) -> DataFrame:
     """``(*keys, term, tf)``; stop words go before the n-grams are built."""
-    terms = grams(tokens(F.col(c), pattern, stop), ngrams)
-    return df.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    if ngrams == (1, 1):
+        listed = df.select(*keys, tokens(F.col(c), pattern, stop).alias("__terms"))
+    else:  # the token array is used several times, so it is a column of its own
+        listed = df.select(*keys, tokens(F.col(c), pattern, stop).alias("__w")).select(*keys, grams(F.col("__w"), ngrams).alias("__terms"))
+    return listed.select(*keys, F.explode("__terms").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(long: DataFrame, id_col: str = "task_id") -> DataFrame:

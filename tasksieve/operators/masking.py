@@ -87,7 +87,7 @@ def derive_mask_rules(df: DataFrame, household: str = "household", assignee: str
     skip = K.HOUSEHOLD_SKIP if skip is None else skip
     shortest = 1 if wide else 3
     parts = (df.select(household).distinct()
-             .select(trim_ws(F.explode(F.split(household, ","))).alias("name")).distinct()
+             .select(F.explode(F.transform(F.split(household, ","), trim_ws)).alias("name")).distinct()
              .filter((F.length("name") >= shortest) & ~F.lower("name").isin(list(skip))))
     people = _people(df, assignee, wide)
     if wide:
@@ -162,10 +162,15 @@ def dictionary_matches(df: DataFrame, c: str, rules: DataFrame, id_col: str = "t
         F.regexp_count("variant", F.lit(f"{K.WORD}+")).alias("words")).filter(F.col("first") != "")
     widest = terms.agg(F.coalesce(F.max("words"), F.lit(1))).first()[0]
     _, words, pieces = _pieces(F.col(c))
-    ahead = F.transform(words, lambda w, i: F.struct(
-        i.alias("word"), F.lower(w).alias("first"),
-        F.array_join(F.slice(pieces, i + 1, widest), "").alias("ahead")))
-    windows = df.select(id_col, F.explode(ahead).alias("x")).select(id_col, "x.*")
+    base = df.select(id_col, words.alias("__w"), pieces.alias("__p"))
+    # The text ahead of each word, as wide as the widest term: pieces shifted and joined.
+    ahead = F.col("__p")
+    for shift in range(2, widest + 1):
+        ahead = F.zip_with(ahead, F.slice("__p", F.lit(shift), F.greatest(F.size("__p"), F.lit(1))),
+                           lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
+    zipped = F.arrays_zip(F.col("__w").alias("w"), ahead.alias("ahead"))
+    windows = base.select(id_col, F.posexplode(zipped).alias("word", "x")).select(
+        id_col, "word", F.lower("x.w").alias("first"), F.col("x.ahead").alias("ahead"))
     hits = (windows.join(small_side(terms), "first")
             .filter((F.lower(F.expr("substring(ahead, 1, len)")) == F.lower("variant"))
                     & ~F.expr("substring(ahead, len + 1, 1)").rlike(K.WORD)))
@@ -181,6 +186,12 @@ def dictionary_matches(df: DataFrame, c: str, rules: DataFrame, id_col: str = "t
                     "s.best.variant", "s.best.placeholder"))
 
 
+def _behind(pieces: Column, hit: Column) -> Column:
+    """What follows a term up to the next word."""
+    covered = F.array_join(F.slice(pieces, hit["word"] + 1, hit["words"]), "")
+    return F.substring(covered, hit["len"] + 1, F.length(covered))
+
+
 def mask_dictionary(df: DataFrame, c: str, rules: DataFrame, out: str | None = None,
                     strategy: str = "auto", id_col: str = "task_id") -> DataFrame:
     """Mask the dictionary terms of ``rules (variant, placeholder)`` in column ``c``.
@@ -197,15 +208,15 @@ def mask_dictionary(df: DataFrame, c: str, rules: DataFrame, out: str | None = N
     spans = (dictionary_matches(df, c, rules, id_col).groupBy(id_col)
              .agg(F.array_sort(F.collect_list(F.struct("word", "words", "len", "placeholder"))).alias("__spans")))
     lead, words, pieces = _pieces(F.col(c))
+    # The pieces travel in the accumulator, so that they are cut once per row.
     rebuilt = F.aggregate(
-        F.col("__spans"), F.struct(lead.alias("done"), F.lit(0).alias("at")),
+        F.col("__spans"), F.struct(lead.alias("done"), F.lit(0).alias("at"), pieces.alias("p")),
         lambda acc, s: F.struct(
-            F.concat(acc["done"], F.array_join(F.slice(pieces, acc["at"] + 1, s["word"] - acc["at"]), ""),
+            F.concat(acc["done"], F.array_join(F.slice(acc["p"], acc["at"] + 1, s["word"] - acc["at"]), ""),
                      F.lit(" "), s["placeholder"], F.lit(" "),
-                     F.substring(F.array_join(F.slice(pieces, s["word"] + 1, s["words"]), ""), s["len"] + 1,
-                                 F.length(F.col(c)))).alias("done"),
-            (s["word"] + s["words"]).alias("at")),
-        lambda acc: F.concat(acc["done"], F.array_join(F.slice(pieces, acc["at"] + 1, F.size(pieces)), "")))
+                     _behind(acc["p"], s)).alias("done"),
+            (s["word"] + s["words"]).alias("at"), acc["p"].alias("p")),
+        lambda acc: F.concat(acc["done"], F.array_join(F.slice(acc["p"], acc["at"] + 1, F.size(acc["p"])), "")))
     masked = F.when(F.col("__spans").isNull(), F.col(c)).otherwise(rebuilt)
     return (df.join(spans, id_col, "left")
             .withColumn(out, trim_ws(F.regexp_replace(masked, r"[ \t]{2,}", " "))).drop("__spans"))
@@ -218,6 +229,12 @@ def luhn_ok(c: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda acc, d: acc + F.coalesce(d, F.lit(0))) % 10 == 0
 
 
+def _detection(kind: str, score: float, placeholder: str):
+    return lambda s: F.struct(
+        s["start"].alias("start"), (s["start"] - s["end"]).alias("minus_len"), F.lit(kind).alias("entity_type"),
+        s["end"].alias("end"), F.lit(score).alias("score"), s["entity"].alias("text"), F.lit(placeholder).alias("placeholder"))
+
+
 def pii_scan(df: DataFrame, c: str, detectors=None, min_score: float = 0.85, id_col: str = "task_id",
              out: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Masked texts and a detection log from pattern detectors with fixed scores.
@@ -234,18 +251,15 @@ def pii_scan(df: DataFrame, c: str, detectors=None, min_score: float = 0.85, id_
         spans = spans_of(F.col(c), f"(?U){pattern}")
         if kind == "CREDIT_CARD":
             spans = F.filter(spans, lambda s: luhn_ok(s["entity"]))
-        found.append(F.transform(spans, lambda s, k=kind, v=score, p=placeholder: F.struct(
-            s["start"], (s["start"] - s["end"]).alias("minus_len"), F.lit(k).alias("entity_type"), s["end"],
-            F.lit(v).alias("score"), s["entity"].alias("text"), F.lit(p).alias("placeholder"))))
+        found.append(F.transform(spans, _detection(kind, score, placeholder)))
     merged = keep_first_of_overlaps(F.array_sort(F.concat(*found)))
     scanned = df.withColumn("__pii", merged)
-    text = F.col(c)
     masked = F.aggregate(
-        F.col("__pii"), F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
+        F.col("__pii"), F.struct(F.lit("").alias("done"), F.lit(0).alias("at"), F.col(c).alias("t")),
         lambda acc, s: F.struct(
-            F.concat(acc["done"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["placeholder"]).alias("done"),
-            s["end"].alias("at")),
-        lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
+            F.concat(acc["done"], F.substring(acc["t"], acc["at"] + 1, s["start"] - acc["at"]), s["placeholder"]).alias("done"),
+            s["end"].alias("at"), acc["t"].alias("t")),
+        lambda acc: F.concat(acc["done"], F.substring(acc["t"], acc["at"] + 1, F.length(acc["t"]))))
     log = scanned.select(id_col, F.explode("__pii").alias("d")).select(
         id_col, "d.entity_type", "d.start", "d.end", "d.score", "d.text")
     return scanned.withColumn(out or c, masked).drop("__pii"), log
