@@ -81,10 +81,11 @@ def _label_stages(label: str, **logreg) -> list:
     return [indexer, model]
 
 
-def _with_names(model: PipelineModel, first: list) -> PipelineModel:
-    names = next(s.labels for s in model.stages if hasattr(s, "labelsArray"))
-    back = IndexToString(inputCol="prediction", outputCol="predicted", labels=list(names))
-    return PipelineModel(stages=[*first, *model.stages, back])
+def _with_names(fitted: PipelineModel, first: list) -> PipelineModel:
+    """The model without its label indexer, so that it scores rows without labels."""
+    indexer, model = fitted.stages
+    back = IndexToString(inputCol="prediction", outputCol="predicted", labels=list(indexer.labels))
+    return PipelineModel(stages=[*first, model, back])
 
 
 def train_logreg(df: DataFrame, label: str = "label", C: float = 1.0, max_iter: int = 1000) -> PipelineModel:
@@ -188,7 +189,7 @@ def classification_report(df: DataFrame, label: str = "label", predicted: str =
 
 
 def class_names(model: PipelineModel) -> list[str]:
-    return list(next(s.labels for s in model.stages if hasattr(s, "labelsArray")))
+    return list(model.stages[-1].getLabels())
 
 
 def ranked_classes(probability: Column, names: list[str]) -> Column:

@@ -235,34 +235,44 @@ def _detection(kind: str, score: float, placeholder: str):
         s["end"].alias("end"), F.lit(score).alias("score"), s["entity"].alias("text"), F.lit(placeholder).alias("placeholder"))
 
 
-def pii_scan(df: DataFrame, c: str, detectors=None, min_score: float = 0.85, id_col: str = "task_id",
-             out: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Masked texts and a detection log from pattern detectors with fixed scores.
-
-    Returns ``(df with masked column, log(task_id, entity_type, start, end, score, text))``.
-    A card number has to pass its check digit.  Overlaps go to the leftmost,
-    then longest detection.
-    """
+def detect_pii(df: DataFrame, c: str, detectors=None, min_score: float = 0.85, out: str | None = None,
+               found: str = "detections") -> DataFrame:
+    """Adds the masked text and the array of detections it was masked by."""
     from tasksieve.operators.entities import keep_first_of_overlaps, spans_of
 
-    active = [d for d in (detectors or K.DETECTORS) if d[2] >= min_score]
-    found = []
-    for kind, pattern, score, placeholder in active:
+    lists = []
+    for kind, pattern, score, placeholder in detectors or K.DETECTORS:
+        if score < min_score:
+            continue
         spans = spans_of(F.col(c), f"(?U){pattern}")
         if kind == "CREDIT_CARD":
             spans = F.filter(spans, lambda s: luhn_ok(s["entity"]))
-        found.append(F.transform(spans, _detection(kind, score, placeholder)))
-    merged = keep_first_of_overlaps(F.array_sort(F.concat(*found)))
-    scanned = df.withColumn("__pii", merged)
+        lists.append(F.transform(spans, _detection(kind, score, placeholder)))
+    scanned = df.withColumn(found, keep_first_of_overlaps(F.array_sort(F.concat(*lists))))
     masked = F.aggregate(
-        F.col("__pii"), F.struct(F.lit("").alias("done"), F.lit(0).alias("at"), F.col(c).alias("t")),
+        F.col(found), F.struct(F.lit("").alias("done"), F.lit(0).alias("at"), F.col(c).alias("t")),
         lambda acc, s: F.struct(
             F.concat(acc["done"], F.substring(acc["t"], acc["at"] + 1, s["start"] - acc["at"]), s["placeholder"]).alias("done"),
             s["end"].alias("at"), acc["t"].alias("t")),
         lambda acc: F.concat(acc["done"], F.substring(acc["t"], acc["at"] + 1, F.length(acc["t"]))))
-    log = scanned.select(id_col, F.explode("__pii").alias("d")).select(
+    return scanned.withColumn(out or c, masked)
+
+
+def detection_log(df: DataFrame, found: str = "detections", id_col: str = "task_id") -> DataFrame:
+    return df.select(id_col, F.explode(found).alias("d")).select(
         id_col, "d.entity_type", "d.start", "d.end", "d.score", "d.text")
-    return scanned.withColumn(out or c, masked).drop("__pii"), log
+
+
+def pii_scan(df: DataFrame, c: str, detectors=None, min_score: float = 0.85, id_col: str = "task_id",
+             out: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Masked texts and a detection log from pattern detectors with fixed scores.
+
+    Returns ``(df with masked column, log(task_id, entity_type, start, end, score, text))``.
+    A card number has to pass its check digit.  Overlaps go to the leftmost,
+    then longest detection.
+    """
+    scanned = detect_pii(df, c, detectors, min_score, out, "__pii")
+    return scanned.drop("__pii"), detection_log(scanned, "__pii", id_col)
 
 
 def placeholder_counts(df: DataFrame, c: str, placeholders: list[str]) -> DataFrame:

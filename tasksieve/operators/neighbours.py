@@ -88,7 +88,7 @@ class _Cells:
     def __init__(self, pool: DataFrame, id_col: str, vector: str, block_rows: int):
         spark = pool.sparkSession
         n = pool.count()
-        p = int(min(MAX_PIVOTS, max(1, np.sqrt(n))))
+        p = int(min(MAX_PIVOTS, max(1, 4 * n // block_rows)))
         picked = pool.select(id_col, vector).orderBy(F.xxhash64(id_col), id_col).limit(p).toPandas()
         self.pivots = spark.sparkContext.broadcast(matrix(picked[vector]))
         pivots = self.pivots

@@ -13,10 +13,10 @@ from tasksieve.functions.text import clean_notes, extract_field, lowercase, mask
 from tasksieve.operators.audit import traceability_check
 from tasksieve.operators.cluster import soft_membership, split_test
 from tasksieve.operators.dedup import dedup_keep_first
-from tasksieve.operators.entities import anonymization_log, assign_platform, extract_entities, remove_entities
+from tasksieve.operators.entities import SPAN, anonymization_log, assign_platform, extract_entities, remove_entities
 from tasksieve.operators.features import class_tfidf, joined_terms
 from tasksieve.operators.filters import filter_chain, min_length_filter, task_rules
-from tasksieve.operators.masking import derive_mask_rules, mask_dictionary, pii_scan
+from tasksieve.operators.masking import derive_mask_rules, detect_pii, detection_log, mask_dictionary
 from tasksieve.operators.taxonomy import apply_name_map, apply_overrides, apply_topic_merges, knn_redistribute, override_pillars, rename_labels
 from tasksieve.operators.topics import (classify_passport, dominant_platform, final_taxonomy, membership_confidence, merge_partners,
                                         scorecard, suggest_name, taxonomy_draft, topic_centroid, topic_coherence, topic_distribution,
@@ -50,28 +50,36 @@ def with_text(tasks: DataFrame, config: CorpusConfig, name: str = "name", notes:
     return fields.withColumn("original_text", build_text([F.col("form_intent"), F.col(name), F.col("notes_clean")]))
 
 
-def clean_corpus(tasks: DataFrame, config: CorpusConfig, key: Column, id_col: str = "task_id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(corpus, removal log, detection log)`` of a task table.
+def clean_tasks(tasks: DataFrame, config: CorpusConfig, id_col: str = "task_id") -> DataFrame:
+    """Every kept task with its masked and cleaned text, entities and detections.
 
     Rules come from the distinct metadata (one small job); the rest is a narrow
-    projection with a single shuffle, for de-duplication.
+    projection over the texts.  It is written once to the shared folder, as the
+    corpus and both logs are made from it, and as a filter on a cleaned text would
+    otherwise be pushed below the cleaning and repeat it.
     """
     kept = filter_chain(tasks, task_rules(config.bot_marker, config.session_marker))
     texts = with_text(kept, config)
     rules = derive_mask_rules(kept, skip=config.household_skip).persist()
-    structural = texts.withColumn("__m", mask_structural(F.col("original_text"), deep_link_host=config.deep_link_host))
-    masked = mask_dictionary(structural, "__m", rules, id_col=id_col)
-    scanned, detections = pii_scan(masked, "__m", min_score=config.min_score, id_col=id_col)
-    spans = extract_entities(F.col("__m"), config.entities, config.guarded) if config.entities else F.array().cast(
-        "array<struct<entity:string,category:string,start:int,end:int>>")
+    structural = texts.withColumn("masked_text", mask_structural(F.col("original_text"), deep_link_host=config.deep_link_host))
+    masked = mask_dictionary(structural, "masked_text", rules, id_col=id_col)
+    scanned = detect_pii(masked, "masked_text", min_score=config.min_score)
+    spans = (extract_entities(F.col("masked_text"), config.entities, config.guarded) if config.entities
+             else F.array().cast(SPAN))
     marked = scanned.withColumn("entities", spans)
     platforms = assign_platform(F.col("entities"), config.tracked) if config.tracked else F.struct(
         F.lit("General").alias("primary_platform"), F.lit(None).cast("string").alias("secondary_platform"))
-    cleaned = marked.withColumns({"cleaned_text": lowercase(remove_entities(F.col("__m"), F.col("entities"))), "__p": platforms})
-    out = min_length_filter(cleaned.select(*[c for c in cleaned.columns if c not in ("__m", "__p", "notes_clean")], "__p.*"),
-                            "cleaned_text", config.min_length)
-    log = anonymization_log(marked.select(id_col, "__m", "entities"), "__m", "entities", id_col)
-    return dedup_keep_first(out, "cleaned_text", key), log, detections
+    cleaned = marked.withColumns({
+        "cleaned_text": lowercase(remove_entities(F.col("masked_text"), F.col("entities"))), "__p": platforms})
+    return checkpointed(cleaned.select(*[c for c in cleaned.columns if c not in ("__p", "notes_clean")], "__p.*"))
+
+
+def clean_corpus(tasks: DataFrame, config: CorpusConfig, key: Column, id_col: str = "task_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(corpus, removal log, detection log)`` of a task table; one shuffle, for de-duplication."""
+    cleaned = clean_tasks(tasks, config, id_col)
+    corpus = dedup_keep_first(min_length_filter(cleaned.drop("masked_text", "detections"), "cleaned_text", config.min_length),
+                              "cleaned_text", key)
+    return corpus, anonymization_log(cleaned, "masked_text", "entities", id_col), detection_log(cleaned, id_col=id_col)
 
 
 def corpus_check(tasks: DataFrame, corpus: DataFrame, log: DataFrame) -> DataFrame:

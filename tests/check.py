@@ -1,4 +1,4 @@
-"""Run the registered queries against DuckDB: ``python tests/check.py [sf dir] [name part ...]``."""
+"""Run the registered queries against DuckDB: ``python tests/check.py [sf dir] [name part | @module ...]``."""
 
 from __future__ import annotations
 
@@ -23,7 +23,8 @@ def main() -> None:
     con, sqls = connect(folder), entry.oracle_sql()
     bad = 0
     for name, function in entry.queries().items():
-        if parts and not any(p in name for p in parts):
+        module = function.__module__.rsplit(".", 1)[-1]
+        if parts and not any(p in name or p == f"@{module}" for p in parts):
             continue
         started = time.time()
         try:
