@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tasksieve import constants as K
-from tasksieve.sources.tables import table
+from tasksieve.sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -46,6 +46,11 @@ def docs(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc_id").cast("string").alias("task_id"), "text", "lang", "source")
 
 
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents for work that is heavy per text."""
+    return spread(docs(spark, folder), "task_id")
+
+
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(F.col("vec_id").cast("string").alias("task_id"), "embedding")
 
@@ -56,7 +61,7 @@ def assignment(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def topic_docs(spark: SparkSession, folder: str) -> DataFrame:
-    return docs(spark, folder).join(assignment(spark, folder), "task_id")
+    return texts(spark, folder).join(assignment(spark, folder), "task_id")
 
 
 def order_key(c: str = "task_id"):

@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from tasksieve import constants as K
-from tasksieve.catalog.base import DOCS, TASKS, VEC, docs, lit, order_key, query, squeeze, strip, sub, vectors
+from tasksieve.catalog.base import DOCS, TASKS, VEC, docs, lit, order_key, query, squeeze, strip, sub, texts, vectors
 from tasksieve.functions import conditions as C
 from tasksieve.functions import text as X
 from tasksieve.operators import dedup, filters
 from tasksieve.session import shared_folder
 from tasksieve.sources import tables as S
-from tasksieve.sources.tables import table, tasks
+from tasksieve.sources.tables import spread, table, tasks
 
 # ------------------------------------------------------------------ sources
 
@@ -195,7 +195,7 @@ _LOCAL = [(r"[-\x{2014}\x{2015}\x{2500}]{3,}\s*\n?nt he thst.*", "is"), (r"token
 
 @query("strip_boilerplate", f"WITH {DOCS} SELECT task_id, {_boiler('text', _LOCAL)} AS text FROM docs")
 def _(spark, sf):
-    return docs(spark, sf).select("task_id", X.strip_boilerplate(F.col("text"), _LOCAL).alias("text"))
+    return texts(spark, sf).select("task_id", X.strip_boilerplate(F.col("text"), _LOCAL).alias("text"))
 
 
 @query("strip_boilerplate_pages", f"SELECT page_id, {_boiler('html')} AS text FROM pages")
@@ -209,12 +209,12 @@ _NOISE = ["la", "los", "en", "the"]
 
 @query("strip_form_labels", f"WITH {DOCS} SELECT task_id, {sub('text', '^(?:' + '|'.join(_LABELS) + r')\s*$', '', 'im')} AS text FROM docs")
 def _(spark, sf):
-    return docs(spark, sf).select("task_id", X.strip_form_labels(F.col("text"), _LABELS).alias("text"))
+    return texts(spark, sf).select("task_id", X.strip_form_labels(F.col("text"), _LABELS).alias("text"))
 
 
 @query("strip_noise_answers", f"WITH {DOCS} SELECT task_id, {sub('text', '^(?:' + '|'.join(_NOISE) + r')\s*$', '', 'im')} AS text FROM docs")
 def _(spark, sf):
-    return docs(spark, sf).select("task_id", X.strip_noise_answers(F.col("text"), _NOISE).alias("text"))
+    return texts(spark, sf).select("task_id", X.strip_noise_answers(F.col("text"), _NOISE).alias("text"))
 
 
 _RULED = "replace(text, ' | ', '————')"
@@ -222,7 +222,7 @@ _RULED = "replace(text, ' | ', '————')"
 
 @query("strip_unicode_rules", f"WITH {DOCS} SELECT task_id, {sub(_RULED, K.RULE_CHARS)} AS text FROM docs")
 def _(spark, sf):
-    return docs(spark, sf).select("task_id", X.strip_unicode_rules(F.replace("text", F.lit(" | "), F.lit("————"))).alias("text"))
+    return texts(spark, sf).select("task_id", X.strip_unicode_rules(F.replace("text", F.lit(" | "), F.lit("————"))).alias("text"))
 
 
 def _collapsed(expr):
@@ -232,7 +232,7 @@ def _collapsed(expr):
 @query("collapse_ws", f"WITH {DOCS} SELECT task_id, {_collapsed(sub('text', r'[|*.]', ' '))} AS squeezed, {strip(sub('text', K.SPACE + '+', ' '))} AS one_line FROM docs")
 def _(spark, sf):
     loose = F.regexp_replace("text", "[|*.]", " ")
-    return docs(spark, sf).select("task_id", X.collapse_ws(loose).alias("squeezed"), X.collapse_ws(F.col("text"), everything=True).alias("one_line"))
+    return texts(spark, sf).select("task_id", X.collapse_ws(loose).alias("squeezed"), X.collapse_ws(F.col("text"), everything=True).alias("one_line"))
 
 
 def clean_sql(expr, patterns=None, labels=None, noise=None):
@@ -244,7 +244,7 @@ def clean_sql(expr, patterns=None, labels=None, noise=None):
 
 @query("clean_notes", f"WITH {TASKS} SELECT task_id, {clean_sql('notes', _LOCAL, _LABELS, _NOISE)} AS notes FROM tasks")
 def _(spark, sf):
-    return tasks(spark, sf).select("task_id", X.clean_notes(F.col("notes"), _LOCAL, _LABELS, _NOISE).alias("notes"))
+    return spread(tasks(spark, sf), "task_id").select("task_id", X.clean_notes(F.col("notes"), _LOCAL, _LABELS, _NOISE).alias("notes"))
 
 
 # Form notes made from the given texts: label lines around whole texts.
@@ -257,7 +257,7 @@ _FORM_SQL = "'How may we assist you?:' || chr(10) || text || chr(10) || 'Please
   source || ' ' || lang AS detail FROM docs d JOIN stops s USING (task_id)""")
 def _(spark, sf):
     notes = F.concat(F.lit("How may we assist you?:\n"), "text", F.lit("\nPlease specify.:\n"), "source", F.lit(" "), "lang")
-    return docs(spark, sf).withColumn("notes", notes).select(
+    return texts(spark, sf).withColumn("notes", notes).select(
         "task_id", X.extract_field(F.col("notes"), K.INTENT_LABELS[0]).alias("intent"), X.extract_field(F.col("notes"), K.DETAIL_LABEL).alias("detail"))
 
 
@@ -268,7 +268,7 @@ def _(spark, sf):
 
 @query("normalize_unicode")
 def _(spark, sf):
-    return docs(spark, sf).select("task_id", X.normalize_unicode(F.col("text")).alias("text"))
+    return texts(spark, sf).select("task_id", X.normalize_unicode(F.col("text")).alias("text"))
 
 
 _DIGITS = sub("text", "[0-9]{4,}", "[ID] [ID]  [ID]")
@@ -276,7 +276,7 @@ _DIGITS = sub("text", "[0-9]{4,}", "[ID] [ID]  [ID]")
 
 @query("collapse_placeholders", f"WITH {DOCS} SELECT task_id, {sub(_DIGITS, r'\[ID\](?:\s+\[ID\])+', '[ID]')} AS text FROM docs")
 def _(spark, sf):
-    return docs(spark, sf).select("task_id", X.collapse_placeholders(F.regexp_replace("text", "[0-9]{4,}", "[ID] [ID]  [ID]")).alias("text"))
+    return texts(spark, sf).select("task_id", X.collapse_placeholders(F.regexp_replace("text", "[0-9]{4,}", "[ID] [ID]  [ID]")).alias("text"))
 
 
 def mask_sql(expr):
@@ -287,17 +287,17 @@ def mask_sql(expr):
 
 @query("mask_structural", f"WITH {DOCS} SELECT task_id, {mask_sql('text')} AS text FROM docs")
 def _(spark, sf):
-    return docs(spark, sf).select("task_id", X.mask_structural(F.col("text")).alias("text"))
+    return texts(spark, sf).select("task_id", X.mask_structural(F.col("text")).alias("text"))
 
 
 @query("prepare_for_scoring", f"WITH {DOCS} SELECT task_id, {strip(sub('lower(' + mask_sql('text') + ')', K.SPACE + '+', ' '))} AS masked, {strip(sub('lower(text)', K.SPACE + '+', ' '))} AS plain FROM docs")
 def _(spark, sf):
-    return docs(spark, sf).select("task_id", X.prepare_for_scoring(F.col("text")).alias("masked"), X.prepare_for_scoring(F.col("text"), mask=False).alias("plain"))
+    return texts(spark, sf).select("task_id", X.prepare_for_scoring(F.col("text")).alias("masked"), X.prepare_for_scoring(F.col("text"), mask=False).alias("plain"))
 
 
 @query("strip_greetings", f"WITH {DOCS} SELECT task_id, {sub('text', '(?:' + '|'.join(K.GREETINGS) + ')', ' ', 'i')} AS text FROM docs")
 def _(spark, sf):
-    return docs(spark, sf).select("task_id", X.strip_greetings(F.col("text")).alias("text"))
+    return texts(spark, sf).select("task_id", X.strip_greetings(F.col("text")).alias("text"))
 
 
 # ------------------------------------------------------------ de-duplication

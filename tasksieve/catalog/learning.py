@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tasksieve.catalog.base import CENT, DOCS, STOP, TASKS, UNIT, assignment, docs, query, topic_docs, vectors
+from tasksieve.catalog.base import CENT, DOCS, STOP, TASKS, UNIT, assignment, docs, query, texts, topic_docs, vectors
 from tasksieve.catalog.topics import MEMBER, TERMS, _cent, _member, _terms, rounded
 from tasksieve.functions.vectors import unit
 from tasksieve.operators import classify, cluster, features, filters
@@ -22,7 +22,7 @@ from tasksieve.streaming import jobs
 
 @query("embed_texts")
 def _(spark, sf):
-    out = features.embed_texts(docs(spark, sf), "text")
+    out = features.embed_texts(texts(spark, sf), "text")
     return out.select("task_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).cast("string").alias("embedding"))
 
 

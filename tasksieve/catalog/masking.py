@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tasksieve import constants as K
 from tasksieve.catalog.base import (DOCS, ENTITIES, PLACEHOLDER, TASKS, TRACKED, docs, in_list, lit, order_key, query, squeeze, strip,
-                                    sub)
+                                    sub, texts)
 from tasksieve.catalog.cleaning import mask_sql
 from tasksieve.functions.text import mask_structural
 from tasksieve.operators import audit, entities, masking
@@ -123,12 +123,12 @@ def _entity_rules(spark, sf):
 
 @query("mask_dictionary", f"WITH {DOCS} SELECT task_id, {_masked_sql('text')} AS text FROM docs")
 def _(spark, sf):
-    return masking.mask_dictionary(docs(spark, sf).select("task_id", "text"), "text", _entity_rules(spark, sf), strategy="regex")
+    return masking.mask_dictionary(texts(spark, sf).select("task_id", "text"), "text", _entity_rules(spark, sf), strategy="regex")
 
 
 @query("mask_dictionary_join", f"WITH {DOCS} SELECT task_id, {_masked_sql('text')} AS text FROM docs")
 def _(spark, sf):
-    return masking.mask_dictionary(docs(spark, sf).select("task_id", "text"), "text", _entity_rules(spark, sf), strategy="join")
+    return masking.mask_dictionary(texts(spark, sf).select("task_id", "text"), "text", _entity_rules(spark, sf), strategy="join")
 
 
 @query("mask_derived_rules")
@@ -165,7 +165,7 @@ ents AS (SELECT task_id, text, entity, ord, b AS span_start, b + length(entity)
 
 @query("extract_entities", f"WITH {DOCS}, {_SPANS} SELECT task_id, entity, category, span_start, CAST(span_end AS BIGINT) AS span_end FROM ents")
 def _(spark, sf):
-    return docs(spark, sf).select("task_id", F.explode(spans()).alias("e")).select(
+    return texts(spark, sf).select("task_id", F.explode(spans()).alias("e")).select(
         "task_id", "e.entity", "e.category", F.col("e.start").cast("bigint").alias("span_start"), F.col("e.end").cast("bigint").alias("span_end"))
 
 
@@ -173,7 +173,7 @@ def _(spark, sf):
 def _(spark, sf):
     # Two detectors over the same text: the dictionary, and its single words.
     short = entities.extract_entities(F.col("text"), [("rewh", "x"), ("orre", "x"), ("that with", "x")])
-    both = docs(spark, sf).select("task_id", entities.resolve_overlaps(F.concat(short, spans())).alias("s"))
+    both = texts(spark, sf).select("task_id", entities.resolve_overlaps(F.concat(short, spans())).alias("s"))
     return both.select("task_id", F.explode("s").alias("e")).select(
         "task_id", "e.entity", F.col("e.start").cast("bigint").alias("span_start"), F.col("e.end").cast("bigint").alias("span_end"))
 
@@ -203,12 +203,12 @@ cleaned AS (SELECT task_id, text, CASE WHEN n > 1 THEN {_cleanup_sql('rest')} EL
 
 @query("remove_entities", f"WITH {DOCS}, {_removal_sql()} SELECT task_id, cleaned_text FROM cleaned")
 def _(spark, sf):
-    return docs(spark, sf).select("task_id", entities.remove_entities(F.col("text"), spans()).alias("cleaned_text"))
+    return texts(spark, sf).select("task_id", entities.remove_entities(F.col("text"), spans()).alias("cleaned_text"))
 
 
 @query("cleanup_orphans", f"WITH {DOCS} SELECT task_id, {_cleanup_sql('text')} AS text FROM docs")
 def _(spark, sf):
-    return docs(spark, sf).select("task_id", entities.cleanup_orphans(F.col("text")).alias("text"))
+    return texts(spark, sf).select("task_id", entities.cleanup_orphans(F.col("text")).alias("text"))
 
 
 _FLAGGED = f"""{_removal_sql()}, near AS (SELECT *, lag(span_end) OVER w AS prev_end, lead(span_start) OVER w AS next_start,
@@ -225,7 +225,7 @@ flagged AS (SELECT e.task_id, e.entity, e.category, e.ord, e.span_start, e.span_
 
 @query("removal_flags", f"WITH {DOCS}, {_FLAGGED} SELECT task_id, ord, entity, flags FROM flagged")
 def _(spark, sf):
-    base = docs(spark, sf).select("task_id", "text", spans().alias("s"))
+    base = texts(spark, sf).select("task_id", "text", spans().alias("s"))
     flags = entities.removal_flags(F.col("text"), F.col("s"), entities.remove_entities(F.col("text"), F.col("s")))
     return base.select("task_id", F.posexplode(F.arrays_zip(F.col("s"), flags.alias("f"))).alias("i", "x")).select(
         "task_id", (F.col("i") + 1).cast("bigint").alias("ord"), F.col("x.s.entity").alias("entity"), F.array_join("x.f", "|").alias("flags"))
@@ -240,7 +240,7 @@ _CONTEXT = f"""{_FLAGGED}, tails AS (SELECT task_id, i - 1 AS ord, string_agg(su
   substr(d.text, greatest(f.span_start - 9, 1), least(f.span_start, 10)) || f.entity || substr(t.tail, 1, 10) AS context_window, f.flags, f.cleaned_text
   FROM flagged f JOIN docs d USING (task_id) JOIN tails t USING (task_id, ord)""")
 def _(spark, sf):
-    marked = docs(spark, sf).withColumn("s", spans())
+    marked = texts(spark, sf).withColumn("s", spans())
     log = entities.anonymization_log(marked, "text", "s")
     return log.select("task_id", "entity_removed", "category", F.col("span_start").cast("bigint").alias("span_start"),
                       F.col("span_end").cast("bigint").alias("span_end"), "context_window", F.array_join("flags", "|").alias("flags"), "cleaned_text")
@@ -254,7 +254,7 @@ _TRACKED_SQL = "CASE lower(entity) " + " ".join(f"WHEN {lit(t.lower())} THEN {li
   SELECT d.task_id, COALESCE(a.p, 'General') AS primary_platform, b.p AS secondary_platform FROM docs d
   LEFT JOIN r a ON a.task_id = d.task_id AND a.k = 1 LEFT JOIN r b ON b.task_id = d.task_id AND b.k = 2""")
 def _(spark, sf):
-    return docs(spark, sf).select("task_id", entities.assign_platform(spans(), TRACKED).alias("p")).select("task_id", "p.*")
+    return texts(spark, sf).select("task_id", entities.assign_platform(spans(), TRACKED).alias("p")).select("task_id", "p.*")
 
 
 # ------------------------------------------------------------------ detection
@@ -267,14 +267,14 @@ def _(spark, sf):
   SELECT task_id, entity_type, CAST(score AS DOUBLE) AS score, text FROM d WHERE entity_type <> 'CREDIT_CARD' OR
   list_sum(list_transform(g, lambda x, i: CASE WHEN i % 2 = 1 THEN x WHEN x > 4 THEN 2 * x - 9 ELSE 2 * x END)) % 10 = 0""")
 def _(spark, sf):
-    _, log = masking.pii_scan(docs(spark, sf), "text")
+    _, log = masking.pii_scan(texts(spark, sf), "text")
     return log.select("task_id", "entity_type", "score", "text")
 
 
 @query("pii_scan_masked", f"WITH {DOCS} SELECT task_id, {sub(sub('text', K.EMAIL, '[EMAIL]'), K.PHONE, '[PHONE]')} AS text FROM docs")
 def _(spark, sf):
     detectors = [d for d in K.DETECTORS if d[0] in ("EMAIL_ADDRESS", "PHONE_NUMBER")]
-    masked, _ = masking.pii_scan(docs(spark, sf).select("task_id", "text"), "text", detectors)
+    masked, _ = masking.pii_scan(texts(spark, sf).select("task_id", "text"), "text", detectors)
     return masked
 
 
@@ -284,7 +284,7 @@ _PH = ["[EMAIL]", "[PHONE]", "[ID]", "[URL]"]
 @query("placeholder_counts", f"WITH {DOCS}, m AS (SELECT {mask_sql('text')} AS text FROM docs) " + " UNION ALL ".join(
     f"SELECT {lit(p)} AS placeholder, CAST(sum((length(text) - length(replace(text, {lit(p)}, ''))) / {len(p)}) AS BIGINT) AS n FROM m" for p in _PH))
 def _(spark, sf):
-    return masking.placeholder_counts(docs(spark, sf).select(mask_structural(F.col("text")).alias("text")), "text", _PH)
+    return masking.placeholder_counts(texts(spark, sf).select(mask_structural(F.col("text")).alias("text")), "text", _PH)
 
 
 def _top_sql(expr, stop, suffix):
@@ -295,7 +295,7 @@ def _top_sql(expr, stop, suffix):
 
 @query("masking_impact", f"WITH {DOCS} SELECT rank, token_before, n_before, token_after, n_after FROM {_top_sql('text', [], 'before')} FULL JOIN {_top_sql(mask_sql('text'), K.MASKED_STOP_WORDS, 'after')} USING (rank)")
 def _(spark, sf):
-    both = docs(spark, sf).select("task_id", "text", mask_structural(F.col("text")).alias("masked"))
+    both = texts(spark, sf).select("task_id", "text", mask_structural(F.col("text")).alias("masked"))
     return masking.masking_impact(both, "text", "masked")
 
 
@@ -306,7 +306,7 @@ _WATCH = ["ereden", "the of", "token"]
 
 
 def _leaks(spark, sf):
-    return audit.leakage_scan(docs(spark, sf), "text", _TERM_SETS, phrases=_WATCH, allow=["The The"])
+    return audit.leakage_scan(texts(spark, sf), "text", _TERM_SETS, phrases=_WATCH, allow=["The The"])
 
 
 def _found(kind, pattern):
@@ -352,7 +352,7 @@ _BIAS_WORDS, _BIAS_PHRASES = ["rewh", "orre", "nosuchname"], ["please select the
     + [f"SELECT '{p}', CAST(count(*) FILTER (contains(lower(text), '{p}')) AS BIGINT), round(count(*) FILTER (contains(lower(text), '{p}')) * 100.0 / count(*), 6), "
        f"CASE WHEN count(*) FILTER (contains(lower(text), '{p}')) > 0 THEN 'LEAK' ELSE 'CLEAN' END FROM docs" for p in _BIAS_PHRASES]))
 def _(spark, sf):
-    return audit.bias_check(docs(spark, sf), "text", _BIAS_WORDS, _BIAS_PHRASES).withColumn("pct", F.round("pct", 6))
+    return audit.bias_check(texts(spark, sf), "text", _BIAS_WORDS, _BIAS_PHRASES).withColumn("pct", F.round("pct", 6))
 
 
 @query("traceability_check", f"""WITH {TASKS}, f AS (SELECT * FROM tasks WHERE parent_task = ''), facts AS (SELECT

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tasksieve import constants as K
-from tasksieve.catalog.base import DOCS, STOP, TASKS, docs, in_list, lit, query
+from tasksieve.catalog.base import DOCS, STOP, TASKS, in_list, lit, query, texts
 from tasksieve.functions.conditions import contains_ci
 from tasksieve.operators import audit, features, filters, trends
 from tasksieve.sources.tables import table, tasks
@@ -102,7 +102,7 @@ def _(spark, sf):
   SELECT token, CAST(n AS BIGINT) AS n, CAST(COALESCE(docs, 0) AS BIGINT) AS docs, round(COALESCE(docs, 0) * 100.0 / (SELECT count(*) FROM docs), 6) AS pct
   FROM n LEFT JOIN d USING (token) ORDER BY n DESC, token LIMIT 20""")
 def _(spark, sf):
-    return features.token_topk(docs(spark, sf), "text").withColumn("pct", F.round("pct", 6))
+    return features.token_topk(texts(spark, sf), "text").withColumn("pct", F.round("pct", 6))
 
 
 def grams_sql(stop):
@@ -118,12 +118,12 @@ freq AS (SELECT term, count(*) AS df FROM long GROUP BY 1)"""
 @query("count_vectors", f"""WITH {DOCS}, {grams_sql(STOP)} SELECT task_id, term, CAST(tf AS BIGINT) AS tf FROM long JOIN freq USING (term)
   WHERE df >= 2 AND df <= (SELECT count(*) FROM docs) * 0.9""")
 def _(spark, sf):
-    return features.count_vectors(docs(spark, sf), "text", stop=STOP, max_df=0.9)
+    return features.count_vectors(texts(spark, sf), "text", stop=STOP, max_df=0.9)
 
 
 @query("tfidf_features")
 def _(spark, sf):
-    out = features.tfidf_features(docs(spark, sf), "text")
+    out = features.tfidf_features(texts(spark, sf), "text")
     return out.select("task_id", "term", F.round("weight", 6).alias("weight"))
 
 

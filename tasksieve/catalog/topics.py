@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tasksieve import constants as K
-from tasksieve.catalog.base import CENT, DOCS, STOP, TASKS, UNIT, VEC, assignment, docs, in_list, lit, order_key, query, topic_docs, vectors, words
+from tasksieve.catalog.base import CENT, DOCS, STOP, TASKS, UNIT, VEC, assignment, docs, in_list, lit, order_key, query, texts, topic_docs, vectors, words
 from tasksieve.functions import conditions as C
 from tasksieve.operators import cluster, features, topics
 from tasksieve.sources.tables import table, tasks
@@ -403,7 +403,7 @@ _ACTIONS = {"Articles": ["the ", "une ", "das "], "Digits": ["1", "2", "3"], "Ma
 @query("action_mix", "WITH " + DOCS + " " + " UNION ALL ".join(
     f"SELECT lang, '{a}' AS action, round(count(*) FILTER ({' OR '.join(f'contains(lower(text), {lit(w)})' for w in ws)}) * 100.0 / count(*), 6) AS pct FROM docs GROUP BY 1" for a, ws in _ACTIONS.items()))
 def _(spark, sf):
-    return rounded(topics.action_mix(docs(spark, sf), "lang", _ACTIONS, "text"), "pct")
+    return rounded(topics.action_mix(texts(spark, sf), "lang", _ACTIONS, "text"), "pct")
 
 
 @query("text_metrics", f"""WITH {DOCS}, w AS (SELECT source, {words('text')} AS w, length(text) AS c FROM docs),
@@ -411,7 +411,7 @@ def _(spark, sf):
   SELECT source, CAST(count(*) AS BIGINT) AS n, round(avg(w), 6) AS avg_words, CAST(max(CASE WHEN r = n // 2 + 1 THEN w END) AS BIGINT) AS median_words,
   CAST(max(c) AS BIGINT) AS max_chars, CAST(min(c) AS BIGINT) AS min_chars, round(avg(c), 6) AS avg_chars FROM r GROUP BY 1""")
 def _(spark, sf):
-    return rounded(topics.text_metrics(docs(spark, sf), "text", "source"), "avg_words", "avg_chars")
+    return rounded(topics.text_metrics(texts(spark, sf), "text", "source"), "avg_words", "avg_chars")
 
 
 @query("xy_centroids", f"WITH {VEC} SELECT topic_id, round(avg(x[1]), 6) AS x, round(avg(x[2]), 6) AS y, CAST(count(*) AS BIGINT) AS n FROM vec GROUP BY 1")

@@ -13,7 +13,8 @@ inline flags; the operators add the flags they need.
 # Character classes (Unicode aware in Java as well as RE2).
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
-BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u202f\u205f\u3000"
+BLANKS = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+          "\u2028\u2029\u202f\u205f\u3000")
 SPACE = r"[\s\p{Z}\x{0B}\x{1C}-\x{1F}\x{85}]"
 
 # Structural masks, in order: (pattern, ignore case, placeholder).
@@ -32,6 +33,24 @@ STRUCTURAL_MASKS = [
     (LONG_NUMBER, False, "[ID]"),
     (PHONE, False, "[PHONE]"),
 ]
+# What a text must hold for a pattern above or below to match: literals, or a
+# cheaper pattern.  Texts without it are not searched.
+NEEDS = {
+    EMAIL: ["@"],
+    URL: ["http", "www."],
+    LABELLED_ID: r"\p{Nd}{4}",
+    LONG_NUMBER: r"\p{Nd}{8}",
+    PHONE: r"\p{Nd}{4}",
+    r"https?://\S+": ["http"],
+    r"\*{2,}": ["**"],
+    r"<[^>]+>": ["<"],
+    r"[-\x{2014}\x{2015}\x{2500}]{3,}\s*\n?This task was submitted.*": r"(?iu)task was submitted",
+    r"This task was submitted through[^\n]*": r"(?iu)task was submitted",
+    r"(?:best regards|kind regards|regards,|thank you in advance)[,.\s\n].*": r"(?iu)regards|thank you in",
+    r"\[insert [^\]]+\]": ["["],
+    r"^\s*-{4,}\s*$": ["----"],
+    r"[\x{2014}\x{2015}\x{2500}\x{2501}\x{2550}]{3,}": ["\u2014", "\u2015", "\u2500", "\u2501", "\u2550"],
+}
 # The early variant masks shorter numbers and uses looser patterns.
 LOOSE_STRUCTURAL_MASKS = [
     (r"\S+@\S+\.\S+", False, "[EMAIL]"),

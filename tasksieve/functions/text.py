@@ -15,9 +15,29 @@ from pyspark.sql.types import StringType
 from tasksieve import constants as K
 
 
+def let(c: Column, body) -> Column:
+    """``body(value of c)``, with ``c`` computed once however often the body uses it."""
+    return F.transform(F.array(c), body)[0]
+
+
+def holds(c: Column, needed: list[str] | str) -> Column:
+    if isinstance(needed, str):
+        return c.rlike(needed)
+    return reduce(Column.__or__, [c.contains(part) for part in needed])
+
+
 def _sub(c: Column, pattern: str, replacement: str, flags: str = "") -> Column:
-    """Regex replace; ``d`` keeps ``\\n`` the only line end, ``U`` makes classes Unicode."""
-    return F.regexp_replace(c, f"(?Ud{flags}){pattern}", replacement.replace("\\", "\\\\").replace("$", "\\$"))
+    """Regex replace; ``d`` keeps ``\\n`` the only line end, ``U`` makes classes Unicode.
+
+    A text that lacks what the pattern needs is passed through unsearched.
+    """
+    escaped = replacement.replace("\\", "\\\\").replace("$", "\\$")
+
+    def replaced(t: Column) -> Column:
+        return F.regexp_replace(t, f"(?Ud{flags}){pattern}", escaped)
+
+    needed = K.NEEDS.get(pattern)
+    return replaced(c) if needed is None else let(c, lambda t: F.when(holds(t, needed), replaced(t)).otherwise(t))
 
 
 def quote(literal: str) -> str:
@@ -31,7 +51,7 @@ def whole_word(term_pattern: str) -> str:
 
 def trim_ws(c: Column) -> Column:
     """Strip every kind of Unicode white space at both ends."""
-    return F.regexp_replace(c, rf"^{K.SPACE}+|{K.SPACE}+\z", "")
+    return F.btrim(c, F.lit(K.BLANKS))
 
 
 @F.pandas_udf(StringType())
@@ -82,7 +102,7 @@ def strip_noise_answers(c: Column, words=None) -> Column:
 
 
 def strip_unicode_rules(c: Column) -> Column:
-    return F.regexp_replace(c, K.RULE_CHARS, "")
+    return _sub(c, K.RULE_CHARS, "")
 
 
 def collapse_ws(c: Column, everything: bool = False) -> Column:

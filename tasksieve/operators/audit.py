@@ -7,14 +7,27 @@ from pyspark.sql import functions as F
 
 from tasksieve import constants as K
 from tasksieve.functions.conditions import contains_ci, length_bucket
-from tasksieve.functions.text import quote, trim_ws
-from tasksieve.session import top_per_group
+from tasksieve.functions.text import let, quote, trim_ws
+from tasksieve.session import top_per_group, unfold
 
 
 def _pct(n: Column, total: Column) -> Column:
     return F.when(total > 0, n / total * 100).otherwise(0.0)
 
 
+def _present(words: list[str], guarded: tuple[str, ...]):
+    """The words a lower-cased text holds; most texts are ruled out by a plain search."""
+    def test(t: Column) -> Column:
+        tests = []
+        for word in words:
+            tail = "(?![a-zA-Z])" if word in guarded else f"(?!{K.WORD})"
+            whole = t.contains(word.lower()) & t.rlike(f"(?<!{K.WORD}){quote(word.lower())}{tail}")
+            tests.append(F.when(whole, word.lower()))
+        return F.array_compact(F.array(*tests))
+
+    return test
+
+
 def leakage_scan(df: DataFrame, c: str, terms: dict[str, list[str]] | None = None, patterns=None, phrases=None,
                  allow=None, guarded: tuple[str, ...] = (), id_col: str = "task_id") -> DataFrame:
     """``(id, type, value, context)``: one row per finding.
@@ -32,20 +45,16 @@ def leakage_scan(df: DataFrame, c: str, terms: dict[str, list[str]] | None = Non
     for kind, pattern in K.LEAKAGE_PATTERNS if patterns is None else patterns:
         found.append(hits(kind, F.regexp_extract_all(text, F.lit(f"(?U){pattern}"), F.lit(0))))
     for kind, words in (terms or {}).items():
-        tests = []
-        for word in words:
-            tail = "(?![a-zA-Z])" if word in guarded else f"(?!{K.WORD})"
-            tests.append(F.when(lowered.rlike(f"(?<!{K.WORD}){quote(word.lower())}{tail}"), word.lower()))
-        found.append(hits(kind, F.array_compact(F.array(*tests))))
+        found.append(hits(kind, let(lowered, _present(words, guarded))))
     allow = K.PERSON_ALLOW_LIST if allow is None else allow
     names = F.regexp_extract_all(text, F.lit(K.PERSON_NAME), F.lit(0))
     masked = text.contains("[EMPLOYEE]") | text.contains("[CLIENT]")
     found.append(F.when(~masked, hits("PERSON_NAME", F.filter(names, lambda n: ~n.isin(list(allow)))))
                  .otherwise(F.array().cast("array<struct<type:string,value:string>>")))
-    seen = [F.when(F.contains(lowered, F.lit(p.lower())), p.lower()) for p in (K.LEAKAGE_PHRASES if phrases is None else phrases)]
-    found.append(hits("BOILERPLATE", F.array_compact(F.array(*seen))))
-    return df.select(id_col, F.substring(c, 1, 100).alias("context"), F.explode(F.concat(*found)).alias("f")).select(
-        id_col, "f.type", "f.value", "context")
+    wanted = [p.lower() for p in (K.LEAKAGE_PHRASES if phrases is None else phrases)]
+    found.append(hits("BOILERPLATE", let(lowered, lambda t: F.array_compact(F.array(*[F.when(t.contains(p), p) for p in wanted])))))
+    with_context = df.withColumn("context", F.substring(c, 1, 100))
+    return unfold(with_context, F.concat(*found), "f", id_col, "context").select(id_col, "f.type", "f.value", "context")
 
 
 def leakage_summary(issues: DataFrame, total: Column, id_col: str = "task_id") -> DataFrame:
@@ -173,7 +182,7 @@ def discover_form_labels(df: DataFrame, c: str, k: int = 20) -> DataFrame:
     both = F.concat(
         F.transform(found, lambda x: F.struct(x.alias("label"), F.lit(1).alias("n"), F.lit(0).alias("docs"))),
         F.transform(F.array_distinct(found), lambda x: F.struct(x.alias("label"), F.lit(0).alias("n"), F.lit(1).alias("docs"))))
-    counts = df.select(F.inline(both)).groupBy("label").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counts = unfold(df, both, "hit").select("hit.*").groupBy("label").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     return counts.orderBy(F.desc("n"), "label").limit(k)
 
 

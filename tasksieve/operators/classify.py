@@ -267,7 +267,8 @@ def explain_prediction(features: DataFrame, coefficients: DataFrame, predicted:
     ``features (id, term, weight)``, ``coefficients (label, term, coefficient)``,
     ``predicted (id, label)``; only positive contributions are reported.
     """
-    joined = features.join(predicted.select(id_col, label), id_col).join(coefficients, [label, "term"])
+    joined = features.join(predicted.select(id_col, label), id_col).join(
+        small_side(coefficients, 1_000_000), [label, "term"])
     worth = joined.withColumn("contribution", F.col("weight") * F.col("coefficient")).filter("contribution > 0")
     return top_per_group(worth, [id_col], [F.desc(F.round("contribution", 9)), F.asc("term")], k).select(
         id_col, "rank", "term", "contribution")

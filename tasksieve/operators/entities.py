@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tasksieve import constants as K
 from tasksieve.functions.text import trim_ws
 from tasksieve.operators.masking import alternation
+from tasksieve.session import unfold
 
 SPAN = "array<struct<entity:string,category:string,start:int,end:int>>"
 
@@ -155,7 +156,7 @@ def anonymization_log(df: DataFrame, text: str, spans: str, id_col: str = "task_
         F.concat(F.substring(c, F.greatest(z["s"]["start"] - 9, F.lit(1)), F.least(z["s"]["start"], F.lit(10))),
                  z["s"]["entity"], remainder(z["s"], i)).alias("context_window"),
         z["f"].alias("flags")))
-    return (base.select(id_col, "original_text", "cleaned_text", F.explode(entries).alias("e"))
+    return (unfold(base, entries, "e", id_col, "original_text", "cleaned_text")
             .select(id_col, "original_text", "e.entity_removed", "e.category", "e.span_start", "e.span_end",
                     "e.context_window", "e.flags", "cleaned_text"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tasksieve import constants as K
 from tasksieve.functions.vectors import matrix
-from tasksieve.session import small_side, top_per_group
+from tasksieve.session import join_unique, small_side, top_per_group, unfold
 
 
 def tokens(c: Column, pattern: str = K.TOKEN, stop: list[str] = ()) -> Column:
@@ -38,7 +38,7 @@ def token_counts(df: DataFrame, c: str, min_len: int = 4, stop: list[str] = (),
         words = F.transform(F.array_distinct(whole), lambda t: F.struct(
             t.alias("token"), F.lit(0).alias("n"), F.lit(1).alias("docs")))
         hits = F.concat(hits, words)
-    rows = df.select(F.inline(hits))
+    rows = unfold(df, hits, "hit").select("hit.*")
     if stop:
         rows = rows.filter(~F.col("token").isin(list(stop)))
     out = rows.groupBy("token").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -74,7 +74,7 @@ def long_terms(df: DataFrame, c: str, keys: list[str], ngrams: tuple[int, int] =
         listed = df.select(*keys, tokens(F.col(c), pattern, stop).alias("__terms"))
     else:  # the token array is used several times, so it is a column of its own
         listed = df.select(*keys, tokens(F.col(c), pattern, stop).alias("__w")).select(*keys, grams(F.col("__w"), ngrams).alias("__terms"))
-    return listed.select(*keys, F.explode("__terms").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    return unfold(listed, F.col("__terms"), "term", *keys).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(long: DataFrame, id_col: str = "task_id") -> DataFrame:
@@ -89,8 +89,8 @@ def count_vectors(df: DataFrame, c: str, id_col: str = "task_id", ngrams: tuple[
     if max_df < 1.0:
         frequency = frequency.filter(F.col("df") <= df.agg(F.count("*").alias("n")).scalar() * max_df)
     kept = frequency.filter(F.col("df") >= min_df)
-    # A common term has many rows: AQE splits such partitions of the left side.
-    return long.join(kept.select("term"), "term", "left_semi").select(id_col, "term", "tf")
+    # A common term has a row per text that holds it: its rows are not moved for this join.
+    return join_unique(long, kept, "term", "df").filter(F.col("df").isNotNull()).select(id_col, "term", "tf")
 
 
 def count_vector_model(c: str, out: str = "features", min_df: int = 2, max_df: float = 1.0,

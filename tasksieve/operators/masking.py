@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tasksieve import constants as K
 from tasksieve.functions.text import quote, trim_ws
 from tasksieve.operators.features import token_counts
-from tasksieve.session import small_side
+from tasksieve.session import small_side, unfold
 
 REGEX_RULES = 2_000
 
@@ -169,9 +169,9 @@ def dictionary_matches(df: DataFrame, c: str, rules: DataFrame, id_col: str = "t
         ahead = F.zip_with(ahead, F.slice("__p", F.lit(shift), F.greatest(F.size("__p"), F.lit(1))),
                            lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
     zipped = F.arrays_zip(F.col("__w").alias("w"), ahead.alias("ahead"))
-    windows = base.select(id_col, F.posexplode(zipped).alias("word", "x")).select(
+    windows = base.select(id_col, F.posexplode_outer(zipped).alias("word", "x")).filter("x is not null").select(
         id_col, "word", F.lower("x.w").alias("first"), F.col("x.ahead").alias("ahead"))
-    hits = (windows.join(small_side(terms), "first")
+    hits = (windows.join(small_side(terms, 1_000_000), "first")
             .filter((F.lower(F.expr("substring(ahead, 1, len)")) == F.lower("variant"))
                     & ~F.expr("substring(ahead, len + 1, 1)").rlike(K.WORD)))
     best = F.max(F.struct("len", "words", "variant", "placeholder")).alias("best")
@@ -259,7 +259,7 @@ def detect_pii(df: DataFrame, c: str, detectors=None, min_score: float = 0.85, o
 
 
 def detection_log(df: DataFrame, found: str = "detections", id_col: str = "task_id") -> DataFrame:
-    return df.select(id_col, F.explode(found).alias("d")).select(
+    return unfold(df, F.col(found), "d", id_col).select(
         id_col, "d.entity_type", "d.start", "d.end", "d.score", "d.text")
 
 

@@ -39,11 +39,12 @@ def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
     return by_id[order]
 
 
-def _held(df: DataFrame, id_col: str, vector: str, limit: int) -> tuple[np.ndarray, np.ndarray] | None:
-    rows = df.select(id_col, vector).limit(limit + 1).toPandas()
+def _held(df: DataFrame, id_col: str, vector: str, limit: int, carry: str | None = None):
+    """Ids, vectors and a carried column of a table of at most ``limit`` rows, else None."""
+    rows = df.select(id_col, vector, *([carry] if carry else [])).limit(limit + 1).toPandas()
     if len(rows) > limit:
         return None
-    return rows[id_col].to_numpy(), matrix(rows[vector])
+    return rows[id_col].to_numpy(), matrix(rows[vector]), rows[carry].to_numpy() if carry else None
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -51,34 +52,43 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
+def _answers(left: pd.DataFrame, ids, x, carried, k: int, id_col: str, vector: str, carry: str | None) -> pd.DataFrame:
+    """The ``k`` best pool rows of each query row, against one part of the pool."""
+    sims = matrix(left[vector]) @ x.T
+    best = _best(ids, sims, k)
+    rows = np.repeat(np.arange(len(left)), best.shape[1])
+    out = pd.DataFrame({id_col: left[id_col].to_numpy()[rows], "neighbour": ids[best.ravel()], "sim": sims[rows, best.ravel()]})
+    if carry:
+        out[carry] = carried[best.ravel()]
+    return out
+
+
 def nearest(queries: DataFrame, pool: DataFrame, k: int, id_col: str = "task_id", vector: str = "embedding",
-            small_rows: int = SMALL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(id, neighbour, sim, rank)``: the ``k`` most similar pool rows of each query.
+            carry: str | None = None, small_rows: int = SMALL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(id, neighbour, sim, [carry], rank)``: the ``k`` most similar pool rows of each query.
 
     Vectors must have unit length.  Ties in similarity (to nine places) go to
-    the smaller neighbour id.
+    the smaller neighbour id.  ``carry`` is a pool column to report along, which
+    saves a join on the neighbour.
     """
-    kind = queries.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, neighbour {pool.schema[id_col].dataType.simpleString()}, sim double"
-    held = _held(pool, id_col, vector, small_rows)
+    def kind(df: DataFrame, c: str) -> str:
+        return df.schema[c].dataType.simpleString()
+
+    schema = f"`{id_col}` {kind(queries, id_col)}, neighbour {kind(pool, id_col)}, sim double"
+    if carry:
+        schema += f", `{carry}` {kind(pool, carry)}"
+    held = _held(pool, id_col, vector, small_rows, carry)
     if held is not None:
-        ids, x = held
-        context = queries.sparkSession.sparkContext
-        shared = context.broadcast((ids, x))
+        shared = queries.sparkSession.sparkContext.broadcast(held)
 
         def run(batches):
-            ids, x = shared.value
             for pdf in batches:
-                if len(pdf) and len(ids):
-                    sims = matrix(pdf[vector]) @ x.T
-                    best = _best(ids, sims, k)
-                    rows = np.repeat(np.arange(len(pdf)), best.shape[1])
-                    yield pd.DataFrame({id_col: pdf[id_col].to_numpy()[rows], "neighbour": ids[best.ravel()],
-                                        "sim": sims[rows, best.ravel()]})
+                if len(pdf) and len(shared.value[0]):
+                    yield _answers(pdf, *shared.value, k, id_col, vector, carry)
 
         found = queries.select(id_col, vector).mapInPandas(run, schema)
     else:
-        found = _nearest_blocked(queries, pool, k, id_col, vector, schema, block_rows)
+        found = _nearest_blocked(queries, pool, k, id_col, vector, carry, schema, block_rows)
     return top_per_group(found, [id_col], [F.desc(F.round("sim", 9)), F.asc("neighbour")], k)
 
 
@@ -161,17 +171,14 @@ class _Cells:
         return queries.select(id_col, vector, *extra).mapInPandas(run, fields + ", cell int")
 
 
-def _nearest_blocked(queries, pool, k, id_col, vector, schema, block_rows) -> DataFrame:
-    cells = _Cells(pool.select(id_col, vector), id_col, vector, block_rows)
+def _nearest_blocked(queries, pool, k, id_col, vector, carry, schema, block_rows) -> DataFrame:
+    columns = [id_col, vector] + ([carry] if carry else [])
+    cells = _Cells(pool.select(*columns), id_col, vector, block_rows)
     size, radius = cells.size, cells.radius
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ids = right[id_col].to_numpy()
-        sims = matrix(left[vector]) @ matrix(right[vector]).T
-        order = _best(ids, sims, k)
-        rows = np.repeat(np.arange(len(left)), order.shape[1])
-        return pd.DataFrame({id_col: left[id_col].to_numpy()[rows], "neighbour": ids[order.ravel()],
-                             "sim": sims[rows, order.ravel()]})
+        carried = right[carry].to_numpy() if carry else None
+        return _answers(left, right[id_col].to_numpy(), matrix(right[vector]), carried, k, id_col, vector, carry)
 
     def home(distances: np.ndarray, _rows) -> np.ndarray:
         """The closest cells that together hold ``k`` rows."""
@@ -185,12 +192,12 @@ def _nearest_blocked(queries, pool, k, id_col, vector, schema, block_rows) -> Da
         reach = rows["reach"].to_numpy()[:, None]
         return (distances - radius[None, :] <= reach + 1e-6) & ~home(distances, rows) & (size > 0)[None, :]
 
-    first = checkpointed(cells.join(cells.routes(queries, home), best, schema, [id_col, vector]))
+    first = checkpointed(cells.join(cells.routes(queries, home), best, schema, columns))
     kth = (top_per_group(first, [id_col], [F.desc("sim")], k)
            .groupBy(id_col).agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-1.0).alias("kth")))
     reach = F.sqrt(F.greatest(2 - 2 * F.coalesce("kth", F.lit(-1.0)), F.lit(0.0)))
     again = queries.select(id_col, vector).join(kth, id_col, "left").withColumn("reach", reach)
-    second = cells.join(cells.routes(again, rest, ["reach"]), best, schema, [id_col, vector])
+    second = cells.join(cells.routes(again, rest, ["reach"]), best, schema, columns)
     return first.unionByName(second)
 
 
@@ -214,7 +221,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, min_sim: float | None, id_c
         shared = left.sparkSession.sparkContext.broadcast(held)
 
         def run(batches):
-            ids, y = shared.value
+            ids, y, _ = shared.value
             for pdf in batches:
                 if len(pdf) and len(ids):
                     yield above(pdf[id_col].to_numpy(), matrix(pdf[vector]), ids, y)

@@ -70,10 +70,8 @@ def knn_redistribute(vec: DataFrame, labels: DataFrame, dissolve: str, k: int =
     """
     units = vec.select(id_col, unit("embedding").alias("embedding"))
     queries = units.join(labels.filter(F.col(label) == dissolve).select(id_col), id_col, "left_semi")
-    pool = units.join(labels.filter(F.col(label) != dissolve).select(id_col), id_col, "left_semi")
-    found = nearest(queries, pool, k, id_col, **search)
-    voted = found.join(labels.select(F.col(id_col).alias("neighbour"), label), "neighbour")
-    votes = voted.groupBy(id_col, label).agg(F.count("*").alias("votes"), F.min("rank").alias("first"), F.avg("sim").alias("sim"))
+    pool = units.join(labels.filter(F.col(label) != dissolve).select(id_col, label), id_col)
+    votes = nearest(queries, pool, k, id_col, carry=label, **search).groupBy(id_col, label).agg(F.count("*").alias("votes"), F.min("rank").alias("first"), F.avg("sim").alias("sim"))
     best = F.min(F.struct((-F.col("votes")).alias("m"), "first", F.col(label).alias("label"), "sim")).alias("b")
     share = -F.col("b.m") / k
     out = votes.groupBy(id_col).agg(best).select(

@@ -56,6 +56,15 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
 
 
+def unfold(df: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:
+    """One row per element of ``array``.
+
+    The outer explode is followed by a null check because Spark puts a filter
+    ``size(array) > 0`` below an inner explode, which computes the array twice.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def rows_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of literal rows given by the caller (rules, maps, seeds)."""
     return spark.createDataFrame(rows, schema)
@@ -77,8 +86,10 @@ def join_unique(df: DataFrame, right: DataFrame, key: str, weight: str, hot_keys
     ``weight`` is the column of ``right`` that says how many rows of ``df`` a key
     has.  The ``hot_keys`` heaviest keys (a fixed number) are joined by broadcast,
     so their rows stay where they are; in the shuffle join for all the others the
-    rows already served are spread by their content.
+    rows already served are spread by their content.  ``right`` is kept once
+    computed, as it is read for both joins.
     """
+    right = right.persist(StorageLevel.MEMORY_AND_DISK)
     added = [c for c in right.columns if c != key]
     heaviest = right.orderBy(F.desc(weight), key).limit(hot_keys)
     hot = heaviest.select(key, F.struct(*added).alias("__hot"))

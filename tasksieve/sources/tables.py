@@ -150,6 +150,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Text work is heavy, so an input with fewer splits than cores is spread by key.
+
+    Inputs with enough splits (any big table) are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _by_remainder(c: Column, modulus: int, values: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (c % modulus + 1).cast("int"))
 
