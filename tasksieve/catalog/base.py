@@ -48,7 +48,8 @@ def docs(spark: SparkSession, folder: str) -> DataFrame:
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """The documents for work that is heavy per text."""
-    return spread(docs(spark, folder), "task_id")
+    scan = spread(table(spark, folder, "documents"), "doc_id")
+    return scan.select(F.col("doc_id").cast("string").alias("task_id"), "text", "lang", "source")
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,7 +13,7 @@ from tasksieve.functions import text as X
 from tasksieve.operators import dedup, filters
 from tasksieve.session import shared_folder
 from tasksieve.sources import tables as S
-from tasksieve.sources.tables import spread, table, tasks
+from tasksieve.sources.tables import table, tasks
 
 # ------------------------------------------------------------------ sources
 
@@ -244,7 +244,7 @@ def clean_sql(expr, patterns=None, labels=None, noise=None):
 
 @query("clean_notes", f"WITH {TASKS} SELECT task_id, {clean_sql('notes', _LOCAL, _LABELS, _NOISE)} AS notes FROM tasks")
 def _(spark, sf):
-    return spread(tasks(spark, sf), "task_id").select("task_id", X.clean_notes(F.col("notes"), _LOCAL, _LABELS, _NOISE).alias("notes"))
+    return tasks(spark, sf, heavy=True).select("task_id", X.clean_notes(F.col("notes"), _LOCAL, _LABELS, _NOISE).alias("notes"))
 
 
 # Form notes made from the given texts: label lines around whole texts.

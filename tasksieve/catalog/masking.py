@@ -133,7 +133,7 @@ def _(spark, sf):
 
 @query("mask_derived_rules")
 def _(spark, sf):
-    source = tasks(spark, sf)
+    source = tasks(spark, sf, heavy=True)
     return masking.mask_dictionary(source.select("task_id", "notes"), "notes", masking.derive_mask_rules(source))
 
 
@@ -372,11 +372,11 @@ def _(spark, sf):
 @query("flagship")
 def _(spark, sf):
     """Raw tasks to clean corpus, then texts per platform."""
-    corpus, _, _ = clean_corpus(tasks(spark, sf), CONFIG, order_key())
+    corpus, _, _ = clean_corpus(tasks(spark, sf, heavy=True), CONFIG, order_key())
     return platform_distribution(corpus, "primary_platform").orderBy(F.desc("n"), "primary_platform")
 
 
 @query("clean_corpus")
 def _(spark, sf):
-    corpus, _, _ = clean_corpus(tasks(spark, sf), CONFIG, order_key())
+    corpus, _, _ = clean_corpus(tasks(spark, sf, heavy=True), CONFIG, order_key())
     return corpus.withColumn("entities", F.to_json("entities"))

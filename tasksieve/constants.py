@@ -33,24 +33,6 @@ STRUCTURAL_MASKS = [
     (LONG_NUMBER, False, "[ID]"),
     (PHONE, False, "[PHONE]"),
 ]
-# What a text must hold for a pattern above or below to match: literals, or a
-# cheaper pattern.  Texts without it are not searched.
-NEEDS = {
-    EMAIL: ["@"],
-    URL: ["http", "www."],
-    LABELLED_ID: r"\p{Nd}{4}",
-    LONG_NUMBER: r"\p{Nd}{8}",
-    PHONE: r"\p{Nd}{4}",
-    r"https?://\S+": ["http"],
-    r"\*{2,}": ["**"],
-    r"<[^>]+>": ["<"],
-    r"[-\x{2014}\x{2015}\x{2500}]{3,}\s*\n?This task was submitted.*": r"(?iu)task was submitted",
-    r"This task was submitted through[^\n]*": r"(?iu)task was submitted",
-    r"(?:best regards|kind regards|regards,|thank you in advance)[,.\s\n].*": r"(?iu)regards|thank you in",
-    r"\[insert [^\]]+\]": ["["],
-    r"^\s*-{4,}\s*$": ["----"],
-    r"[\x{2014}\x{2015}\x{2500}\x{2501}\x{2550}]{3,}": ["\u2014", "\u2015", "\u2500", "\u2501", "\u2550"],
-}
 # The early variant masks shorter numbers and uses looser patterns.
 LOOSE_STRUCTURAL_MASKS = [
     (r"\S+@\S+\.\S+", False, "[EMAIL]"),
@@ -250,4 +232,24 @@ DISTINCTIVENESS_BANDS = [(0.10, "Very high"), (0.05, "High"), (0.02, "Moderate")
 SIZE_BANDS = [(15.0, "largest"), (7.0, "major"), (3.0, "regular"), (None, "specialist")]
 # Confidence buckets: (lower bound inclusive, label).
 CONFIDENCE_BUCKETS = [(0.9, "0.90-1.00"), (0.7, "0.70-0.90"), (0.5, "0.50-0.70"), (None, "0.00-0.50")]
+# What a text must hold for a pattern above or below to match: literals, or a
+# cheaper pattern.  Texts without it are not searched.
+NEEDS = {
+    EMAIL: ["@"],
+    URL: ["http", "www."],
+    LABELLED_ID: r"\p{Nd}{4}",
+    LONG_NUMBER: r"\p{Nd}{8}",
+    PHONE: r"\p{Nd}{4}",
+    r"https?://\S+": ["http"],
+    r"\*{2,}": ["**"],
+    r"<[^>]+>": ["<"],
+    r"[-\x{2014}\x{2015}\x{2500}]{3,}\s*\n?This task was submitted.*": r"(?iu)task was submitted",
+    r"This task was submitted through[^\n]*": r"(?iu)task was submitted",
+    r"(?:best regards|kind regards|regards,|thank you in advance)[,.\s\n].*": r"(?iu)regards|thank you in",
+    r"\[insert [^\]]+\]": ["["],
+    r"^\s*-{4,}\s*$": ["----"],
+    r"[\x{2014}\x{2015}\x{2500}\x{2501}\x{2550}]{3,}": ["\u2014", "\u2015", "\u2500", "\u2501", "\u2550"],
+    r"\b\d{3}-\d{2}-\d{4}\b": r"\p{Nd}-\p{Nd}{2}-\p{Nd}",
+    r"\b\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{4}\b": r"\p{Nd}{4}",
+}
 # ------------------------------------------------------------ end fixed values

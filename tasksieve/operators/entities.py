@@ -6,32 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tasksieve import constants as K
-from tasksieve.functions.text import trim_ws
+from tasksieve.functions.text import holds, let, trim_ws
 from tasksieve.operators.masking import alternation
 from tasksieve.session import unfold
 
 SPAN = "array<struct<entity:string,category:string,start:int,end:int>>"
 
 
-def spans_of(c: Column, pattern: str) -> Column:
+def pieces(c: Column, pattern: str, body) -> Column:
+    """``body(gaps, hits)``: the text between the matches of a pattern, and the matches."""
+    return let(c, lambda t: let(
+        F.struct(F.split(t, pattern, -1).alias("gaps"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("hits")),
+        lambda x: body(x["gaps"], x["hits"])))
+
+
+def spans_of(c: Column, pattern: str, needed=None) -> Column:
     """All matches of a pattern as ``(entity, start, end)``, half-open character offsets.
 
     The text between the matches gives their places: a match starts after all
     gaps and matches before it.
     """
-    gaps, hits = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    sizes = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(hits), F.lit(1))), hits,
-                       lambda g, h: F.struct(F.length(g).alias("g"), h.alias("h")))
     empty = F.array().cast("array<struct<entity:string,start:int,end:int>>")
-    walked = F.aggregate(
-        sizes, F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + F.length(x["h"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                x["h"].alias("entity"), (acc["at"] + x["g"]).alias("start"),
-                (acc["at"] + x["g"] + F.length(x["h"])).alias("end")))).alias("out")),
-        lambda acc: acc["out"])
-    return F.when(F.size(hits) > 0, walked).otherwise(empty)
+
+    def walk(gaps: Column, hits: Column) -> Column:
+        sizes = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(hits), F.lit(1))), hits,
+                           lambda g, h: F.struct(F.length(g).alias("g"), h.alias("h")))
+        walked = F.aggregate(
+            sizes, F.struct(F.lit(0).alias("at"), empty.alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + x["g"] + F.length(x["h"])).alias("at"),
+                F.concat(acc["out"], F.array(F.struct(
+                    x["h"].alias("entity"), (acc["at"] + x["g"]).alias("start"),
+                    (acc["at"] + x["g"] + F.length(x["h"])).alias("end")))).alias("out")),
+            lambda acc: acc["out"])
+        return F.when(F.size(hits) > 0, walked).otherwise(empty)
+
+    if needed is None:
+        return pieces(c, pattern, walk)
+    return let(c, lambda t: F.when(holds(t, needed), pieces(t, pattern, walk)).otherwise(empty))
 
 
 def extract_entities(c: Column, entries: list[tuple[str, str]], guarded: tuple[str, ...] = ()) -> Column:

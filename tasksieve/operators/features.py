@@ -183,6 +183,7 @@ def class_tfidf(df: DataFrame, c: str, topic: str = "topic_id", k: int | None =
         counts = (per_doc.join(kept, "term", "left_semi").groupBy(topic, "term").agg(F.sum("tf").alias("tf")))
     else:
         counts = class_term_counts(df, c, topic, ngrams, stop, pattern)
+    counts = counts.persist()  # topics times vocabulary at most; read for sizes, frequencies and scores
     sizes = counts.groupBy(topic).agg(F.sum("tf").alias("words"))
     mean = sizes.agg(F.avg("words").alias("mean")).scalar()
     frequency = counts.groupBy("term").agg(F.sum("tf").alias("f"))

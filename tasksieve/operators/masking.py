@@ -27,11 +27,11 @@ def _core(name: Column, suffix: str) -> Column:
     return trim_ws(F.regexp_replace(cut, r"^,+|,+\z", ""))
 
 
-def name_variants(names: DataFrame, name: str = "name", skip: list[str] | None = None) -> DataFrame:
-    """``(name, variant)``: the name, without business suffix, first word, last
-    word, first two words, initials; nothing shorter than three characters."""
+def variants_of(name: Column, skip: list[str] | None = None) -> Column:
+    """The forms of a name, as an array: itself, without business suffix, first
+    word, last word, first two words, initials; nothing below three characters."""
     skip = K.NAME_SKIP if skip is None else skip
-    full = trim_ws(F.col(name))
+    full = trim_ws(name)
     words = _words(full)
     many = F.size(words) >= 2
     core = _core(full, K.BUSINESS_SUFFIX)
@@ -46,14 +46,13 @@ def name_variants(names: DataFrame, name: str = "name", skip: list[str] | None =
         F.when(many & (F.length(two) >= 5), two),
         F.when(many & (F.length(initials) >= 3), initials),
     )
-    kept = F.filter(candidates, lambda v: v.isNotNull() & (F.length(v) >= 3) & ~F.lower(v).isin(skip))
-    return names.select(F.col(name).alias("name"), F.explode(F.array_distinct(kept)).alias("variant"))
+    return F.array_distinct(F.filter(candidates, lambda v: v.isNotNull() & (F.length(v) >= 3) & ~F.lower(v).isin(skip)))
 
 
-def name_variants_v2(names: DataFrame, name: str = "name", skip: list[str] | None = None) -> DataFrame:
-    """Wider variant: suffix-free core, initials of name and core, no punctuation."""
+def wide_variants_of(name: Column, skip: list[str] | None = None) -> Column:
+    """The wider form: suffix-free core, initials of name and core, no punctuation."""
     skip = K.NAME_SKIP_WIDE if skip is None else skip
-    full = trim_ws(F.col(name))
+    full = trim_ws(name)
     core = _core(full, K.BUSINESS_SUFFIX_WIDE)
     plain = trim_ws(F.regexp_replace(full, rf"[^\p{{L}}\p{{N}}_\s]", ""))
 
@@ -62,17 +61,31 @@ def name_variants_v2(names: DataFrame, name: str = "name", skip: list[str] | Non
         return F.when(F.length(out) >= 3, out)
 
     candidates = F.array(full, F.when(core != full, core), initials(full), initials(core), plain)
-    kept = F.filter(candidates, lambda v: v.isNotNull() & (F.length(v) >= 3)
-                    & ~F.lower(v).isin(skip) & ~v.rlike(r"^\p{Nd}+$"))
-    return names.select(F.col(name).alias("name"), F.explode(F.array_distinct(kept)).alias("variant"))
+    return F.array_distinct(F.filter(candidates, lambda v: v.isNotNull() & (F.length(v) >= 3)
+                                     & ~F.lower(v).isin(skip) & ~v.rlike(r"^\p{Nd}+$")))
 
 
-def _people(df: DataFrame, column: str, from_mail: bool) -> DataFrame:
-    """Distinct person names of a column; mail addresses are left out or read as names."""
-    cell = trim_ws(F.col(column))
+def name_variants(names: DataFrame, name: str = "name", skip: list[str] | None = None) -> DataFrame:
+    """``(name, variant)``."""
+    return names.select(F.col(name).alias("name"), F.explode(variants_of(F.col(name), skip)).alias("variant"))
+
+
+def name_variants_v2(names: DataFrame, name: str = "name", skip: list[str] | None = None) -> DataFrame:
+    """``(name, variant)`` with the wider forms."""
+    return names.select(F.col(name).alias("name"), F.explode(wide_variants_of(F.col(name), skip)).alias("variant"))
+
+
+def _person(cell: Column, wide: bool) -> Column:
+    """A person's name; mail addresses are left out or, when wide, read as names."""
     local = F.initcap(F.regexp_replace(F.split_part(cell, F.lit("@"), F.lit(1)), "[._]", " "))
-    value = F.when(~cell.contains("@"), cell).otherwise(local if from_mail else F.lit(None))
-    return df.select(value.alias("name")).filter("name is not null and name <> ''").distinct()
+    return F.when(~cell.contains("@"), cell).otherwise(local if wide else F.lit(None))
+
+
+def _staff_forms(name: Column) -> Column:
+    """Full name, and the first name when it has four letters or more."""
+    words = F.split(name, rf"{K.SPACE}+")
+    first = F.when((F.size(words) >= 2) & (F.length(words[0]) >= 4), words[0])
+    return F.when(F.length(name) >= 3, F.array_compact(F.array(name, first)))
 
 
 def derive_mask_rules(df: DataFrame, household: str = "household", assignee: str = "assignee",
@@ -82,28 +95,26 @@ def derive_mask_rules(df: DataFrame, household: str = "household", assignee: str
     Cells are split at commas and expanded into variants.  A variant that occurs
     more than once, regardless of case, is kept once: the longest wins, then the
     client over the employee.  ``wide`` uses the wider variants and reads mail
-    addresses as names; ``generic`` lists variants too common to mask.
+    addresses as names; ``generic`` lists variants too common to mask.  Both
+    columns are read in one scan and made distinct before anything else.
     """
-    skip = K.HOUSEHOLD_SKIP if skip is None else skip
+    skip = list(K.HOUSEHOLD_SKIP if skip is None else skip)
     shortest = 1 if wide else 3
-    parts = (df.select(household).distinct()
-             .select(F.explode(F.transform(F.split(household, ","), trim_ws)).alias("name")).distinct()
-             .filter((F.length("name") >= shortest) & ~F.lower("name").isin(list(skip))))
-    people = _people(df, assignee, wide)
+    parts = F.filter(F.transform(F.split(household, ","), trim_ws), lambda p: (F.length(p) >= shortest) & ~F.lower(p).isin(skip))
+    people = F.filter(F.array(_person(trim_ws(F.col(assignee)), wide)), lambda p: p.isNotNull() & (p != ""))
+    cells = F.concat(F.transform(parts, lambda p: F.struct(F.lit(0).alias("source"), p.alias("name"))),
+                     F.transform(people, lambda p: F.struct(F.lit(1).alias("source"), p.alias("name"))))
+    names = unfold(df.select(household, assignee).distinct(), cells, "x").select("x.*").distinct()
+    name, client = F.col("name"), F.col("source") == 0
     if wide:
-        clients = name_variants_v2(parts).filter(~F.lower("variant").isin(list(generic)) if generic else F.lit(True))
-        staff = name_variants_v2(people).select("variant")
+        forms = wide_variants_of(name)
+        forms = F.when(client, F.filter(forms, lambda v: ~F.lower(v).isin(list(generic)))).otherwise(forms) if generic else forms
     else:
-        clients = name_variants(parts)
-        first = F.split(trim_ws(F.col("name")), rf"{K.SPACE}+")
-        staff = people.filter(F.length("name") >= 3).select(F.explode(F.array_compact(F.array(
-            F.col("name"),
-            F.when((F.size(first) >= 2) & (F.length(first[0]) >= 4), first[0])))).alias("variant"))
-    both = (clients.select("variant", F.lit("[CLIENT]").alias("placeholder"), F.lit(0).alias("source"))
-            .unionByName(staff.select("variant", F.lit("[EMPLOYEE]").alias("placeholder"), F.lit(1).alias("source"))))
-    best = F.struct(-F.length("variant"), "source", "variant", "placeholder")
-    return (both.groupBy(F.lower("variant").alias("key")).agg(F.min(best).alias("best"))
-            .select("best.variant", "best.placeholder"))
+        forms = F.when(client, variants_of(name)).otherwise(_staff_forms(name))
+    variants = unfold(names, forms, "variant", "source")
+    best = F.min(F.struct((-F.length("variant")).alias("m"), "source", "variant")).alias("b")
+    return (variants.groupBy(F.lower("variant").alias("key")).agg(best)
+            .select("b.variant", F.when(F.col("b.source") == 0, "[CLIENT]").otherwise("[EMPLOYEE]").alias("placeholder")))
 
 
 def alternation(terms: list[str], guarded: tuple[str, ...] = ()) -> str:
@@ -128,14 +139,17 @@ def mask_with_terms(c: Column, rules: list[tuple[str, str]], pad: bool = True) -
     """Replace terms by their placeholder in one pass, leftmost and longest first."""
     if not rules:
         return c
-    pattern = alternation([t for t, _ in rules])
-    gaps, hits = F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    from tasksieve.operators.entities import pieces
+
     placeholder = _placeholder_of(rules)
     fill = (lambda p: F.concat(F.lit(" "), p, F.lit(" "))) if pad else (lambda p: p)
-    tail = F.zip_with(F.transform(hits, lambda h: fill(placeholder(h))), F.slice(gaps, 2, F.greatest(F.size(gaps), F.lit(1))),
-                      lambda h, g: F.concat(h, g))
-    out = F.concat(gaps[0], F.array_join(tail, ""))
-    masked = F.when(F.size(hits) > 0, out).otherwise(c)
+
+    def rebuild(gaps: Column, hits: Column) -> Column:
+        behind = F.slice(gaps, 2, F.greatest(F.size(gaps), F.lit(1)))
+        tail = F.zip_with(hits, behind, lambda h, g: F.concat(fill(placeholder(h)), g))
+        return F.concat(gaps[0], F.array_join(tail, ""))
+
+    masked = pieces(c, alternation([t for t, _ in rules]), rebuild)
     return trim_ws(F.regexp_replace(masked, r"[ \t]{2,}", " ")) if pad else masked
 
 
@@ -200,10 +214,13 @@ def mask_dictionary(df: DataFrame, c: str, rules: DataFrame, out: str | None = N
     more rules are joined.  Both give the same result.
     """
     out = out or c
-    if strategy == "auto":
-        strategy = "regex" if rules.limit(REGEX_RULES + 1).count() <= REGEX_RULES else "join"
+    if strategy != "join":
+        few = rules.select("variant", "placeholder").limit(REGEX_RULES + 1).collect()
+        if len(few) > REGEX_RULES and strategy == "regex":
+            raise ValueError(f"more than {REGEX_RULES} rules: use the join")
+        strategy = "regex" if len(few) <= REGEX_RULES else "join"
     if strategy == "regex":
-        pairs = [(r.variant, r.placeholder) for r in rules.select("variant", "placeholder").collect()]
+        pairs = [(r["variant"], r["placeholder"]) for r in few]
         return df.withColumn(out, mask_with_terms(F.col(c), pairs))
     spans = (dictionary_matches(df, c, rules, id_col).groupBy(id_col)
              .agg(F.array_sort(F.collect_list(F.struct("word", "words", "len", "placeholder"))).alias("__spans")))
@@ -244,7 +261,7 @@ def detect_pii(df: DataFrame, c: str, detectors=None, min_score: float = 0.85, o
     for kind, pattern, score, placeholder in detectors or K.DETECTORS:
         if score < min_score:
             continue
-        spans = spans_of(F.col(c), f"(?U){pattern}")
+        spans = spans_of(F.col(c), f"(?U){pattern}", K.NEEDS.get(pattern))
         if kind == "CREDIT_CARD":
             spans = F.filter(spans, lambda s: luhn_ok(s["entity"]))
         lists.append(F.transform(spans, _detection(kind, score, placeholder)))

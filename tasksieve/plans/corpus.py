@@ -22,7 +22,6 @@ from tasksieve.operators.topics import (classify_passport, dominant_platform, fi
                                         scorecard, suggest_name, taxonomy_draft, topic_centroid, topic_coherence, topic_distribution,
                                         topic_similarity_pairs, total_rows)
 from tasksieve.session import checkpointed
-from tasksieve.sources.tables import spread
 
 
 @dataclass
@@ -60,8 +59,8 @@ def clean_tasks(tasks: DataFrame, config: CorpusConfig, id_col: str = "task_id")
     otherwise be pushed below the cleaning and repeat it.
     """
     kept = filter_chain(tasks, task_rules(config.bot_marker, config.session_marker))
-    texts = with_text(spread(kept, id_col), config)
-    rules = derive_mask_rules(kept, skip=config.household_skip).persist()
+    texts = with_text(kept, config)
+    rules = derive_mask_rules(kept, skip=config.household_skip)
     structural = texts.withColumn("masked_text", mask_structural(F.col("original_text"), deep_link_host=config.deep_link_host))
     masked = mask_dictionary(structural, "masked_text", rules, id_col=id_col)
     scanned = detect_pii(masked, "masked_text", min_score=config.min_score)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,9 +43,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cut lineage: write a table to the shared folder and read it back.
+
+    Like a reliable checkpoint it survives the loss of executors.  As a Parquet
+    table it is also computed only once, read column by column, and has a known
+    size, which lets the planner broadcast what turns out small.
+    """
+    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

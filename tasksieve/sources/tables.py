@@ -150,22 +150,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Text work is heavy, so an input with fewer splits than cores is spread by key.
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Text work is heavy, so a table with fewer splits than cores is spread by key.
 
-    Inputs with enough splits (any big table) are left as they are.
+    Takes a plain scan, whose splits are known without running anything.  Tables
+    with enough splits (any big one) are left as they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def _by_remainder(c: Column, modulus: int, values: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (c % modulus + 1).cast("int"))
 
 
-def tasks(spark: SparkSession, folder: str) -> DataFrame:
-    """The given tables in the shape of a task export (see FIXTURES.md)."""
+def tasks(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
+    """The given tables in the shape of a task export (see FIXTURES.md).
+
+    ``heavy`` announces work on the texts, see ``spread``.
+    """
     documents = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    documents = spread(documents, "doc_id") if heavy else documents
     labels = table(spark, folder, "labels").select("doc_id", "quality")
     topics = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
     first = F.split_part("text", F.lit("\n"), F.lit(1))
