@@ -104,7 +104,8 @@ def count_vector_model(c: str, out: str = "features", min_df: int = 2, max_df: f
         remover,
         MF.NGram(inputCol="words_", outputCol="pairs_", n=2),
         MF.SQLTransformer(statement="SELECT *, concat(words_, pairs_) AS grams_ FROM __THIS__"),
-        MF.CountVectorizer(inputCol="grams_", outputCol=out, minDF=min_df, maxDF=max_df, vocabSize=vocab),
+        # MLlib reads a maxDF of 1.0 as one text, so "all texts" is its default.
+        MF.CountVectorizer(inputCol="grams_", outputCol=out, minDF=min_df, vocabSize=vocab, **({"maxDF": max_df} if max_df < 1 else {})),
     ])
 
 
