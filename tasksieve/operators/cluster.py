@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans
@@ -15,7 +13,7 @@ from tasksieve.functions.vectors import matrix, unit, vector_sum
 from tasksieve.operators.features import long_terms
 from tasksieve.operators.neighbours import density_cluster, nearest
 from tasksieve.operators.topics import topic_coherence, with_centroid_similarity
-from tasksieve.session import checkpointed, top_per_group
+from tasksieve.session import checkpointed, small_side, top_per_group
 
 RESOLUTIONS = {"fine": (12, 1), "medium": (30, 3), "coarse": (60, 5)}
 
@@ -332,13 +330,18 @@ def sweep_params(vec: DataFrame, eps: float, min_cluster_sizes=(5, 10, 15, 20),
 
     Clusters are found on ``reduced`` (shared by all trials) and scored on ``vec``.
     """
-    space = (reduced if reduced is not None else vec).persist()
+    space = checkpointed(reduced if reduced is not None else vec)
     parts = []
-    for mcs, ms in itertools.product(min_cluster_sizes, min_samples):
-        assign = density_cluster(space, eps, min_samples=ms, min_cluster_size=mcs, id_col=id_col)
-        parts.append(sweep_objective(assign, vec, max_outlier, id_col=id_col)
-                     .select(F.lit(mcs).alias("min_cluster_size"), F.lit(ms).alias("min_samples"),
-                             "topics", "coherence", "outlier_rate", "objective"))
+    for ms in min_samples:
+        # One clustering per min_samples; the size limit only turns small clusters into noise.
+        found = checkpointed(density_cluster(space, eps, min_samples=ms, min_cluster_size=1, id_col=id_col))
+        sizes = found.groupBy("topic_id").agg(F.count("*").alias("size"))
+        sized = checkpointed(found.join(small_side(sizes), "topic_id"))
+        for mcs in min_cluster_sizes:
+            assign = sized.select(id_col, F.when(F.col("size") >= mcs, F.col("topic_id")).otherwise(-1).cast("bigint").alias("topic_id"))
+            parts.append(sweep_objective(assign, vec, max_outlier, id_col=id_col)
+                         .select(F.lit(mcs).alias("min_cluster_size"), F.lit(ms).alias("min_samples"),
+                                 "topics", "coherence", "outlier_rate", "objective"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -5,7 +5,7 @@ into cells around pivots and each query visits only the cells the triangle
 inequality cannot rule out (Lu et al., VLDB 2012).  Cells are split into blocks of
 bounded size and so are the queries that visit them, so a cell that holds a
 third of all rows is worked on by many tasks.  Inside a block numpy compares
-vectors; only the best rows, counts or a spanning forest leave it.
+vectors; only the best rows, counts or one link per row leave it.
 
 Vectors are compared by Euclidean distance; for cosine pass unit vectors, where
 ``cosine = 1 - distance**2 / 2``.
@@ -270,23 +270,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
             .select("id", F.coalesce("component", "id").alias("component")))
 
 
-def _forest(n: int, row: np.ndarray, col: np.ndarray) -> list[int]:
-    """Indices of the edges that join something new."""
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = []
-    for i, (r, c) in enumerate(zip(row.tolist(), col.tolist())):
-        x, y = find(r), find(c)
-        if x != y:
-            parent[x] = y
-            kept.append(i)
-    return kept
+def _stars(names: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every linked node with the smallest node it is linked to, directly or not."""
+    root = np.arange(len(names))
+    while True:  # names are sorted, so the smallest index is the smallest name
+        low = root.copy()
+        np.minimum.at(low, u, root[v])
+        np.minimum.at(low, v, root[u])
+        low = low[low]
+        if np.array_equal(low, root):
+            break
+        root = low
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    return names[moved], names[root[moved]]
 
 
 def density_cluster(vectors: DataFrame, eps: float, min_samples: int = 3, min_cluster_size: int = 30,
@@ -298,7 +294,7 @@ def density_cluster(vectors: DataFrame, eps: float, min_samples: int = 3, min_cl
     their nearest core within ``eps``.  Clusters below ``min_cluster_size`` are noise.
 
     Equal vectors are worked on once, weighted by their number.  Blocks report
-    neighbour counts and spanning forests, never their pairs.
+    neighbour counts and one link per row, never their pairs.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
     points = vectors.select(id_col, F.col(vector).alias("x"))
@@ -326,8 +322,8 @@ def density_cluster(vectors: DataFrame, eps: float, min_samples: int = 3, min_cl
         row, col = np.nonzero(_distances(matrix(left["x"]), matrix(right["x"])) <= eps + SLACK)
         names, codes = np.unique(np.r_[left["pid"].to_numpy(), right["pid"].to_numpy()], return_inverse=True)
         u, v = codes[: len(left)][row], codes[len(left):][col]
-        kept = _forest(len(names), u, v)
-        return pd.DataFrame({"a": names[u[kept]], "b": names[v[kept]]})
+        node, root = _stars(names, u, v)
+        return pd.DataFrame({"a": node, "b": root})
 
     forest = core_cells.join(
         core_cells.routes(cores, lambda d, _: d - core_radius[None, :] <= eps + 1e-6), link, f"a {kind}, b {kind}", ["pid", "x"])
