@@ -84,7 +84,8 @@ def top_per_group(df: DataFrame, group: list[str], order: list, k: int, rank: st
     task ships at most ``k`` rows per group, however large the group is.
     """
     window = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
+    first = df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
+    return first.withColumn(rank, F.col(rank).cast("bigint"))
 
 
 def join_unique(df: DataFrame, right: DataFrame, key: str, weight: str, hot_keys: int = 1000) -> DataFrame:
