@@ -26,7 +26,7 @@ def _cell(value):
         number = float(value)
         if math.isnan(number):
             return "nan"
-        return repr(round(number, 6) + 0.0)
+        return repr(number + 0.0)
     return str(value)
 
 
