@@ -79,3 +79,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     rooted = checkpointed(rooted)
     smallest = rooted.groupBy("head").agg(F.min("node").alias("component"))
     return rooted.join(smallest, "head").select("node", "component")
+
+
+def row_tag(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """``key``, ``tag``, ``raw`` (bytes) of every row; key and tag name a text.
+
+    The tag is zero if no id repeats, else a hash of the text.
+    """
+    key = F.col(f"`{id}`")
+    repeats = not docs.groupBy(key.alias("key")).count().filter("count > 1").isEmpty()
+    tag = F.xxhash64(raw_bytes(f"`{text}`")) if repeats else F.lit(0).cast("bigint")
+    return docs.select(key.alias("key"), tag.alias("tag"), raw_bytes(f"`{text}`").alias("raw"))

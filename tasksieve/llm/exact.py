@@ -82,6 +82,7 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", block:
     """
     named = checkpointed(document_names(docs, text, id, block, digest))
     groups = named.groupBy("level", "name").agg(F.max(F.struct("key", "row")).alias("best"), F.count("*").alias("group_size"))
+    groups = checkpointed(groups)  # a written table, so that the join below is one whose hot names Spark can split
     repeats = named.groupBy("level", "name", "key").agg(F.count("*").alias("copies")).filter("copies > 1")
     joined = named.join(groups, ["level", "name"])
     joined = joined.join(repeats.select(F.col("level").alias("l"), F.col("name").alias("m"), F.col("key").alias("k"), "copies"),

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tasksieve.llm.common import read
+from tasksieve.llm.chunks import chunk_dedup
 from tasksieve.llm.exact import exact_dedup
 from tasksieve.llm.language import identify
 from tasksieve.llm.mixing import Mix
 from tasksieve.llm.pieces import encode_documents
 from tasksieve.llm.simhash import simhash_groups
+from tasksieve.llm.suffixes import substring_dedup
+from tasksieve.llm.vectors import embedding_groups
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +27,15 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("key").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup(read(spark, sf_dir, "documents", "doc_id")).withColumnRenamed("key", "doc_id")
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = embedding_groups(read(spark, sf_dir, "embeddings", "vec_id"))
+    return groups.select(F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents", "doc_id")).withColumnRenamed("key", "doc_id")
 
@@ -32,6 +44,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(read(spark, sf_dir, "documents", "doc_id")).taken().withColumnRenamed("key", "doc_id")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read(spark, sf_dir, "documents", "doc_id")).withColumnRenamed("key", "doc_id").drop("spans")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,7 +55,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_exact_dedup, op6_language_id, op8_mix_sources, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_exact_dedup, op4_chunk_dedup, op5_embedding_dedup, op6_language_id, op8_mix_sources, op9_suffix_dedup, op10_sentencepiece)}
 
 ORACLE = {
     "op3_exact_dedup": """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
