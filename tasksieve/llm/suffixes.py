@@ -18,8 +18,8 @@ from tasksieve.session import checkpointed
 MATCH_BYTES = 100
 GRAM_BYTES = 24
 BATCHES = 4
-#: Bytes of text handled at once in a worker.
-PIECE = 1 << 22
+#: Bytes of text handled at once in a worker, few enough for a core's cache.
+PIECE = 1 << 16
 #: Contexts of one gram compared in one task; more are compared through digests of their strings.
 TOGETHER = 20_000
 LOW24 = np.uint64((1 << 24) - 1)
@@ -29,20 +29,25 @@ STEP = 0xD1342543DE82EF95
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """A 64-bit hash of the ``gram`` bytes from every place on, built from powers of two."""
-    parts, size, part = [], 1, BYTE_HASH[data]
-    while size <= gram:
+    n, size, part = len(data) - gram + 1, 1, BYTE_HASH[data]
+    out, at = None, 0
+    while True:
         if gram & size:
-            parts.append((size, part))
-        if 2 * size <= gram:
-            part = part[:-size] * np.uint64(pow(STEP, size, 1 << 64)) + part[size:]
-        size *= 2
-    n, out, at = len(data) - gram + 1, np.zeros(len(data) - gram + 1, np.uint64), 0
-    for size, part in parts:
-        out = out * np.uint64(pow(STEP, size, 1 << 64)) + part[at:at + n]
-        at += size
+            if out is None:
+                out = part[:n].copy()
+            else:
+                out *= np.uint64(pow(STEP, size, 1 << 64))
+                out += part[at:at + n]
+            at += size
+        if 2 * size > gram:
+            break
+        double = part[:-size] * np.uint64(pow(STEP, size, 1 << 64))
+        double += part[size:]
+        part, size = double, 2 * size
     out ^= out >> np.uint64(32)
     out *= np.uint64(0x9E3779B97F4A7C15)
-    return out ^ (out >> np.uint64(29))
+    out ^= out >> np.uint64(29)
+    return out
 
 
 def sampled(texts: list[bytes], length: int = MATCH_BYTES, gram: int = GRAM_BYTES, piece: int = PIECE) -> Iterator[tuple[np.ndarray, ...]]:
@@ -71,25 +76,30 @@ def sampled(texts: list[bytes], length: int = MATCH_BYTES, gram: int = GRAM_BYTE
 def _runs(group: list[tuple[int, int, bytes]], length: int, gram: int) -> tuple[np.ndarray, ...]:
     data = np.frombuffer(b"".join([part for _, _, part in group]), np.uint8)
     hashes = gram_hashes(data, gram)
-    least = (hashes & ~LOW24) | np.arange(len(hashes), dtype=np.uint64)
+    least = hashes & ~LOW24
+    least |= np.arange(len(hashes), dtype=np.uint64)
     span, size = length - gram + 1, 1
     while 2 * size <= span:
         least = np.minimum(least[:-size], least[size:])
         size *= 2
     if size < span:
         least = np.minimum(least[:len(least) - (span - size)], least[span - size:])
-    anchor = (least & LOW24).astype(np.int64)
-    sizes = np.array([len(part) for _, _, part in group])
-    begins = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(group)), sizes)[:len(anchor)]
-    inside = np.arange(len(anchor)) + length <= (begins + sizes)[owner]
-    at = np.flatnonzero(inside)
-    anchor, owner = anchor[at], owner[at]
-    first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])])
-    last = np.r_[first[1:], len(at)] - 1
-    owner, anchor = owner[first], anchor[first]
+    least &= LOW24
+    # strings don't cross texts; as an anchor lies in its string, texts have no anchor in common
+    ends = np.cumsum([len(part) for _, _, part in group])
+    changed = np.ones(len(least), bool)
+    np.not_equal(least[1:], least[:-1], out=changed[1:])
+    lasts = ends - length
+    changed[lasts[:-1] + length] = True
+    first = np.flatnonzero(changed)
+    begins = np.r_[0, ends[:-1]]
+    owner = np.searchsorted(ends, first, side="right")
+    past = np.minimum(np.r_[first[1:], len(least)], lasts[owner] + 1)
+    own = first < past
+    first, past, owner = first[own], past[own], owner[own]
+    anchor = least[first].astype(np.int64)
     shift = np.array([start for _, start, _ in group])[owner] - begins[owner]
-    return np.array([k for k, _, _ in group])[owner], at[first] + shift, at[last] + 1 + shift, anchor + shift, hashes[anchor].view(np.int64)
+    return np.array([k for k, _, _ in group])[owner], first + shift, past + shift, anchor + shift, hashes[anchor].view(np.int64)
 
 
 def _numbers_of(texts: list[bytes], length: int, gram: int):
@@ -143,8 +153,9 @@ def suffix_entries(listed: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             text, start, past, anchor, hashed, number = _numbers_of(texts, length, gram)
-            wanted = [set(x.as_py()) for x in batch.column(3)]
-            use = np.array([n in wanted[k] for k, n in zip(text.tolist(), number.tolist())], bool)
+            lists = batch.column(3)
+            wanted = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()) << 32 | lists.flatten().to_numpy()
+            use = np.isin(text << 32 | number, wanted)
             text, start, past, anchor, hashed = text[use], start[use], past[use], anchor[use], hashed[use]
             raw = b"".join([hashlib.blake2b(texts[k][s:p + length - 1], digest_size=16).digest() for k, s, p in zip(text.tolist(), start.tolist(), past.tolist())])
             digest = np.frombuffer(raw, np.int64).reshape(-1, 2).copy()
