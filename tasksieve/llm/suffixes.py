@@ -118,7 +118,7 @@ def _kind(rows: DataFrame) -> str:
 
 
 def repeated_suffixes(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """``key``, ``tag``, ``numbers``: which runs of each text start with a gram that is sampled again elsewhere.
+    """``key``, ``tag``, ``runs``: a bitmap of the runs of each text whose gram is sampled again elsewhere.
 
     A gram that is sampled once in the whole corpus can't match, so its suffix need not enter any array.
     """
@@ -130,13 +130,27 @@ def repeated_suffixes(rows: DataFrame, length: int, gram: int) -> DataFrame:
                                              names=["key", "tag", "gram", "number"])
 
     found = rows.mapInArrow(grams, f"key {_kind(rows)}, tag bigint, gram bigint, number int")
-    twice = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    return checkpointed(found.join(twice, "gram").groupBy("key", "tag").agg(F.collect_list("number").alias("numbers")))
+    # written, so that the join has plain shuffles on both sides and Spark can split common grams
+    twice = checkpointed(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
+    listed = found.join(twice, "gram").groupBy("key", "tag").agg(F.collect_list("number").alias("numbers"))
+
+    def bitmaps(batches):
+        for batch in batches:
+            maps = []
+            for numbers in batch.column(2):
+                at = np.asarray(numbers.values)
+                bits = np.zeros(at.max() + 1, bool)
+                bits[at] = True
+                maps.append(np.packbits(bits, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.binary())], names=["key", "tag", "runs"])
+
+    return checkpointed(listed.mapInArrow(bitmaps, f"key {_kind(rows)}, tag bigint, runs binary"))
 
 
 def with_lists(rows: DataFrame, lists: DataFrame, column: str, item_bytes: int, how: str) -> DataFrame:
-    """Rows with their list of ``lists`` (key, tag, ``column``): by broadcast up to a fixed number of bytes, else by shuffle."""
-    small = (lists.agg(F.sum(F.size(column) * item_bytes + 64)).first()[0] or 0) <= BROADCAST_BYTES
+    """Rows with their entry of ``lists`` (key, tag, ``column``): by broadcast up to a fixed number of bytes, else by shuffle."""
+    items = F.octet_length(column) if lists.schema[column].dataType.simpleString() == "binary" else F.size(column)
+    small = (lists.agg(F.sum(items * item_bytes + 64)).first()[0] or 0) <= BROADCAST_BYTES
     named = lists.select(F.col("key").alias("lk"), F.col("tag").alias("lt"), column)
     named = F.broadcast(named) if small else named
     return rows.join(named, F.col("key").eqNullSafe(F.col("lk")) & (F.col("tag") == F.col("lt")), how).select(*rows.columns, column)
@@ -153,9 +167,11 @@ def suffix_entries(listed: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             text, start, past, anchor, hashed, number = _numbers_of(texts, length, gram)
-            lists = batch.column(3)
-            wanted = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()) << 32 | lists.flatten().to_numpy()
-            use = np.isin(text << 32 | number, wanted)
+            maps = batch.column(3).to_pylist()
+            bits = np.unpackbits(np.frombuffer(b"".join(maps), np.uint8), bitorder="little").astype(bool)
+            sizes = np.array([8 * len(m) for m in maps])
+            begins = np.cumsum(sizes) - sizes
+            use = (number < sizes[text]) & bits[np.minimum(begins[text] + number, max(0, len(bits) - 1))] if len(text) else np.zeros(0, bool)
             text, start, past, anchor, hashed = text[use], start[use], past[use], anchor[use], hashed[use]
             raw = b"".join([hashlib.blake2b(texts[k][s:p + length - 1], digest_size=16).digest() for k, s, p in zip(text.tolist(), start.tolist(), past.tolist())])
             digest = np.frombuffer(raw, np.int64).reshape(-1, 2).copy()
@@ -350,7 +366,7 @@ def substring_spans(rows: DataFrame, length: int = MATCH_BYTES, gram: int = GRAM
     for low, high in zip([None, *edges], [*edges, None]):
         within = F.lit(True) if low is None else F.col("key") > low
         within = F.coalesce(within & (F.lit(True) if high is None else F.col("key") <= high), F.lit(high is None))
-        part = with_lists(rows.filter(within), shared.filter(within), "numbers", 4, "inner")
+        part = with_lists(rows.filter(within), shared.filter(within), "runs", 1, "inner")
         found.append(family.add(suffix_entries(part, length, gram)))
     whole = found[0]
     for frame in found[1:]:
