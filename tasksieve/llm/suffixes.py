@@ -237,23 +237,32 @@ class SuffixFamily:
         return out
 
 
-def context_rows(rows: DataFrame, suffixes: DataFrame, length: int) -> DataFrame:
-    """Suffixes with the bytes of their contexts, read from the texts of ``rows``."""
-    wanted = checkpointed(suffixes.groupBy("key", "tag").agg(F.collect_set(F.struct("gram", "start", "past", "anchor", "hot")).alias("places")))
-    listed = with_lists(rows, wanted, "places", 40, "inner")
+def context_rows(rows: DataFrame, suffixes: DataFrame, length: int, gram: int) -> DataFrame:
+    """Suffixes with the bytes of their contexts, read from the texts of ``rows``.
+
+    Places are packed in one integer: start, number of strings, bytes before the anchor, ``hot``.
+    """
+    packed = (F.shiftleft("start", 31) + F.shiftleft(F.col("past") - F.col("start"), 16)
+              + F.shiftleft(F.col("anchor") - F.col("start"), 1) + F.col("hot").cast("bigint"))
+    wanted = checkpointed(suffixes.groupBy("key", "tag").agg(F.collect_set(packed).alias("places")))
+    listed = with_lists(rows, wanted, "places", 8, "inner")
 
     def read(batches):
         for batch in batches:
-            at, out = [], []
-            for k, (raw, places) in enumerate(zip(batch.column(2), batch.column(3))):
+            at, contexts, places = [], [], []
+            for k, (raw, packed_places) in enumerate(zip(batch.column(2), batch.column(3))):
                 raw = raw.as_py()
-                for p in places.as_py():
+                for p in packed_places.as_py():
                     at.append(k)
-                    out.append((p["gram"], p["start"], p["past"], p["anchor"], p["hot"], raw[p["start"]:p["past"] + length - 1]))
-            at = pa.array(at, pa.int64())
-            types = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array([o[i] for o in out], t) for i, t in enumerate(types))],
-                                             names=["key", "tag", "gram", "start", "past", "anchor", "hot", "context"])
+                    places.append(p)
+                    contexts.append(raw[p >> 31:(p >> 31) + (p >> 16 & 0x7FFF) + length - 1])
+            at, places = pa.array(at, pa.int64()), np.array(places, np.int64)
+            start, before = places >> 31, places >> 1 & 0x7FFF
+            grams = np.frombuffer(b"".join([c[b:b + gram] for c, b in zip(contexts, before.tolist())]), np.uint8)
+            hashes = gram_hashes(grams, gram)[::gram].view(np.int64) if len(places) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(hashes), pa.array(start), pa.array(start + (places >> 16 & 0x7FFF)), pa.array(start + before),
+                 pa.array((places & 1).astype(bool)), pa.array(contexts, pa.binary())], names=["key", "tag", "gram", "start", "past", "anchor", "hot", "context"])
 
     return listed.mapInArrow(read, f"key {_kind(rows)}, tag bigint, gram bigint, start bigint, past bigint, anchor bigint, hot boolean, context binary")
 
@@ -374,7 +383,7 @@ def substring_spans(rows: DataFrame, length: int = MATCH_BYTES, gram: int = GRAM
     classes = family.suffixes()
     sizes = classes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
     several = classes.join(sizes, "gram").withColumn("hot", F.col("n") > together)
-    partial = partial_matches(checkpointed(context_rows(rows, several, length)), length, gram)
+    partial = partial_matches(checkpointed(context_rows(rows, several, length, gram)), length, gram)
     every = whole.select("key", "tag", F.array(F.struct(F.col("start").alias("from"), (F.col("past") + (length - 1)).alias("to"))).alias("spans")).unionByName(partial)
     lists = every.groupBy("key", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
