@@ -9,11 +9,14 @@ from tasksieve.llm.common import read
 from tasksieve.llm.chunks import chunk_dedup
 from tasksieve.llm.exact import exact_dedup
 from tasksieve.llm.language import identify
+from tasksieve.llm.likelihood import pseudo_likelihood
 from tasksieve.llm.mixing import Mix
 from tasksieve.llm.pieces import encode_documents
+from tasksieve.llm.quality import quality_scores
 from tasksieve.llm.simhash import simhash_groups
 from tasksieve.llm.suffixes import substring_dedup
 from tasksieve.llm.vectors import embedding_groups
+from tasksieve.sources.tables import table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +25,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("component").alias("component_id"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are the sources; documents have no path, so the language stands for it."""
+    return quality_scores(read(spark, sf_dir, "documents", "doc_id"), table(spark, sf_dir, "labels")).withColumnRenamed("key", "doc_id")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents", "doc_id")).select(
         F.col("key").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -40,6 +48,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents", "doc_id")).withColumnRenamed("key", "doc_id")
 
 
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(read(spark, sf_dir, "documents", "doc_id")).withColumnRenamed("key", "doc_id")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(read(spark, sf_dir, "documents", "doc_id")).taken().withColumnRenamed("key", "doc_id")
 
@@ -55,7 +67,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_exact_dedup, op4_chunk_dedup, op5_embedding_dedup, op6_language_id, op8_mix_sources, op9_suffix_dedup, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_exact_dedup, op4_chunk_dedup, op5_embedding_dedup, op6_language_id, op7_pseudo_likelihood, op8_mix_sources, op9_suffix_dedup, op10_sentencepiece)}
 
 ORACLE = {
     "op3_exact_dedup": """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

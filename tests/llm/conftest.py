@@ -1,5 +1,9 @@
+import os
+
 import pytest
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 FOLDER = "/root/testdata/sf0.001"
 
