@@ -216,16 +216,20 @@ def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", sou
     """
     mix = Mix(docs, id, text, source, **options)
     runs = mix.spans().groupBy("row", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "past"))).alias("spans"))
-    runs = runs.join(mix.rows.select("row", "key", "digest", F.row_number().over(
-        Window.partitionBy("key", "digest").orderBy("row")).alias("copy")), "row")
+    runs = runs.join(mix.rows.select("row", "key", "digest"), "row")
     texts = docs.select(F.col(f"`{id}`").alias("k"), text_digest(f"`{text}`").alias("d"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    # rows that repeat id and text are numbered like their twins in ``rows``; for all others the number is 1
-    repeated = mix.rows.groupBy(F.col("key").alias("rk"), F.col("digest").alias("rd")).agg(F.count("*").alias("n")).filter("n > 1")
-    match = (F.col("d") == F.col("rd")) & F.col("k").eqNullSafe(F.col("rk"))
-    again = texts.join(repeated, match, "left_semi")
-    again = again.withColumn("c", F.row_number().over(Window.partitionBy("k", "d").orderBy(F.to_json("doc"))))
-    numbered = texts.join(repeated, match, "left_anti").withColumn("c", F.lit(1)).unionByName(again)
-    joined = numbered.join(runs, (F.col("d") == F.col("digest")) & F.col("k").eqNullSafe(F.col("key")) & (F.col("c") == F.col("copy")))
+    same = (F.col("d") == F.col("digest")) & F.col("k").eqNullSafe(F.col("key"))
+    repeated = checkpointed(mix.rows.groupBy(F.col("key").alias("rk"), F.col("digest").alias("rd")).agg(F.count("*").alias("n")).filter("n > 1"))
+    if not repeated.isEmpty():
+        # rows that repeat id and text are numbered like their twins in ``rows``; for all others the number is 1
+        match = (F.col("d") == F.col("rd")) & F.col("k").eqNullSafe(F.col("rk"))
+        copies = mix.rows.select(F.col("row").alias("r"), F.row_number().over(Window.partitionBy("key", "digest").orderBy("row")).alias("copy"))
+        runs = runs.join(copies, F.col("row") == F.col("r"))
+        again = texts.join(repeated, match, "left_semi")
+        again = again.withColumn("c", F.row_number().over(Window.partitionBy("k", "d").orderBy(F.to_json("doc"))))
+        texts = texts.join(repeated, match, "left_anti").withColumn("c", F.lit(1)).unionByName(again)
+        same = same & (F.col("c") == F.col("copy"))
+    joined = texts.join(runs, same)
 
     @F.pandas_udf("string")
     def cut(raw: pd.Series, spans: pd.Series) -> pd.Series:

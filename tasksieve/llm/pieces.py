@@ -16,7 +16,9 @@ SPACE = "▁"
 #: Words with more symbols go through a heap, as a round handles every symbol of a word again.
 LONG_WORD = 512
 #: Encoded words kept by a task; beyond it the store is emptied.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
+#: Texts whose results are held at once.
+ROWS = 500
 NONE = np.int32(2**31 - 1)
 
 
@@ -285,7 +287,7 @@ def encode_documents(docs: DataFrame, model: str, id: str = "doc_id", text: str
     shared = _shared(docs, model)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part.slice(at, ROWS) for part in batches for at in range(0, part.num_rows, ROWS)):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             lists = [[] for _ in texts] if ids else None
             got = shared.value.digests(texts, ids_of=lists)
