@@ -75,8 +75,7 @@ def _(spark, sf):
     return _terms(spark, sf, k=None).select("topic_id", "term", C.distinctiveness_band(F.col("score") * 100).alias("band"))
 
 
-_TOP_WORDS = f"""{_TOPIC_DOCS}, first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY task_id) AS r FROM td) WHERE r <= 100),
-fw AS (SELECT topic_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]{{4,}}'))) AS term FROM first),
+_TOP_WORDS = f"""{_TOPIC_DOCS}, fw AS (SELECT topic_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]{{4,}}'))) AS term FROM td),
 fc AS (SELECT topic_id, term, count(*) AS tf FROM fw WHERE term NOT IN {in_list(STOP)} GROUP BY 1, 2),
 top_words AS (SELECT topic_id, term, tf, row_number() OVER (PARTITION BY topic_id ORDER BY tf DESC, term) AS rank FROM fc)"""
 
@@ -539,7 +538,7 @@ def _(spark, sf):
   SELECT 'Total Tasks' AS metric, CAST(total AS VARCHAR) AS value, 'PASS' AS status FROM f UNION ALL SELECT 'Business Pillars', CAST(p AS VARCHAR), 'PASS' FROM f
   UNION ALL SELECT 'Topic Clusters', CAST(t AS VARCHAR), 'PASS' FROM f
   UNION ALL SELECT 'Outlier Rate', CAST(round((total - covered) * 100.0 / total, 1) AS VARCHAR) || '%', CASE WHEN (total - covered) / total < 0.2 THEN 'PASS' ELSE 'REVIEW' END FROM f
-  UNION ALL SELECT 'Avg Coherence', CAST(c AS VARCHAR), CASE WHEN cr > 0.3 THEN 'GOOD' ELSE 'MODERATE' END FROM f
+  UNION ALL SELECT 'Avg Coherence', CAST(c + 0.0 AS VARCHAR), CASE WHEN cr > 0.3 THEN 'GOOD' ELSE 'MODERATE' END FROM f
   UNION ALL SELECT 'High Confidence Topics', h || '/' || t, 'GOOD' FROM f UNION ALL SELECT 'Merge Candidates', CAST(m AS VARCHAR), 'PENDING' FROM f
   UNION ALL SELECT 'Split Candidates', CAST(s AS VARCHAR), 'PENDING' FROM f""")
 def _(spark, sf):

@@ -12,7 +12,7 @@ from tasksieve.session import top_per_group, unfold
 
 
 def _pct(n: Column, total: Column) -> Column:
-    return F.when(total > 0, n / total * 100).otherwise(0.0)
+    return F.when(total > 0, n * 100 / total).otherwise(0.0)
 
 
 def _present(words: list[str], guarded: tuple[str, ...]):
@@ -163,10 +163,10 @@ def distinct_non_empty(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def coverage_before_after(df: DataFrame, tag: str, topic: str = "topic_id") -> DataFrame:
     """Share tagged before, classified after, the gain in points, and outliers (one place)."""
-    before = F.count_if(trim_ws(F.col(tag)) != "") / F.count("*") * 100
-    after = F.count_if(F.col(topic) != -1) / F.count("*") * 100
+    before = F.count_if(trim_ws(F.col(tag)) != "") * 100 / F.count("*")
+    after = F.count_if(F.col(topic) != -1) * 100 / F.count("*")
     out = df.agg(F.count("*").alias("docs"), F.round(before, 1).alias("pct_before"), F.round(after, 1).alias("pct_after"),
-                 F.round(F.count_if(F.col(topic) == -1) / F.count("*") * 100, 1).alias("pct_outlier"))
+                 F.round(F.count_if(F.col(topic) == -1) * 100 / F.count("*"), 1).alias("pct_outlier"))
     return out.withColumn("gain_points", F.round(F.col("pct_after") - F.col("pct_before"), 1))
 
 

@@ -92,9 +92,9 @@ def reassign_outliers(assign: DataFrame, member: DataFrame, id_col: str = "task_
 
 
 def outlier_rate(assign: DataFrame, topic: str = "topic_id", target: float = 0.20) -> DataFrame:
-    rate = F.count_if(F.col(topic) == -1) / F.count("*")
+    outliers = F.count_if(F.col(topic) == -1)
     return assign.agg(F.count("*").alias("docs"), F.count_if(F.col(topic) == -1).alias("outliers"),
-                      (rate * 100).alias("outlier_pct"), (rate < target).alias("target_met"))
+                      (outliers * 100 / F.count("*")).alias("outlier_pct"), (outliers / F.count("*") < target).alias("target_met"))
 
 
 def zero_shot_assign(vec: DataFrame, seeds: DataFrame, min_sim: float = 0.30, id_col: str = "task_id",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tasksieve import constants as K
 from tasksieve.functions.text import holds, let, trim_ws
-from tasksieve.operators.masking import alternation
+from tasksieve.operators.masking import alternation, fold, folded_map
 from tasksieve.session import unfold
 
 SPAN = "array<struct<entity:string,category:string,start:int,end:int>>"
@@ -48,11 +48,11 @@ def spans_of(c: Column, pattern: str, needed=None) -> Column:
 
 def extract_entities(c: Column, entries: list[tuple[str, str]], guarded: tuple[str, ...] = ()) -> Column:
     """Spans with category; one pass, longest term first, whole words, any case."""
-    lookup = F.create_map(*[F.lit(x) for t, k in {t.lower(): k for t, k in entries}.items() for x in (t, k)])
+    lookup = folded_map(entries)
     spans = spans_of(c, alternation([t for t, _ in entries], guarded))
     return F.transform(spans, lambda s: F.struct(
         s["entity"].alias("entity"),
-        F.coalesce(F.try_element_at(lookup, F.lower(s["entity"])), F.lit("unknown")).alias("category"),
+        F.coalesce(F.try_element_at(lookup, fold(s["entity"])), F.lit("unknown")).alias("category"),
         s["start"].alias("start"), s["end"].alias("end")))
 
 
@@ -152,21 +152,23 @@ def anonymization_log(df: DataFrame, text: str, spans: str, id_col: str = "task_
     c, s = F.col("original_text"), F.col("__spans")
     zipped = F.arrays_zip(s.alias("s"), removal_flags(c, s, F.col("cleaned_text")).alias("f"))
 
-    def remainder(e: Column, i: Column) -> Column:
-        # Ten characters are needed: walk the later spans until they are found.
-        rest = F.aggregate(
-            F.slice(s, i + 2, F.lit(10)), F.struct(F.lit("").alias("done"), e["end"].alias("at")),
-            lambda acc, x: F.when(F.length(acc["done"]) >= 10, acc).otherwise(F.struct(
-                F.concat(acc["done"], F.substring(c, acc["at"] + 1, F.least(x["start"] - acc["at"], F.lit(10)))).alias("done"),
-                x["end"].alias("at"))),
-            lambda acc: F.concat(acc["done"], F.substring(c, acc["at"] + 1, F.lit(10))))
-        return F.substring(rest, 1, 10)
+    # What follows each removal, found in one pass from the last one back.
+    behind = F.aggregate(
+        F.reverse(s), F.struct(F.lit(None).cast("int").alias("next"), F.lit("").alias("rest"), F.array().cast("array<string>").alias("out")),
+        lambda acc, x: F.struct(
+            x["start"].alias("next"),
+            F.when(acc["next"].isNull(), F.substring(c, x["end"] + 1, F.lit(10))).otherwise(F.substring(F.concat(
+                F.substring(c, x["end"] + 1, F.least(acc["next"] - x["end"], F.lit(10))), acc["rest"]), 1, 10)).alias("rest"),
+            F.concat(F.array(F.when(acc["next"].isNull(), F.substring(c, x["end"] + 1, F.lit(10))).otherwise(F.substring(F.concat(
+                F.substring(c, x["end"] + 1, F.least(acc["next"] - x["end"], F.lit(10))), acc["rest"]), 1, 10))), acc["out"]).alias("out")),
+        lambda acc: acc["out"])
+    base = base.withColumn("__behind", behind)
 
     entries = F.transform(zipped, lambda z, i: F.struct(
         z["s"]["entity"].alias("entity_removed"), z["s"]["category"].alias("category"),
         z["s"]["start"].alias("span_start"), z["s"]["end"].alias("span_end"),
         F.concat(F.substring(c, F.greatest(z["s"]["start"] - 9, F.lit(1)), F.least(z["s"]["start"], F.lit(10))),
-                 z["s"]["entity"], remainder(z["s"], i)).alias("context_window"),
+                 z["s"]["entity"], F.get(F.col("__behind"), i)).alias("context_window"),
         z["f"].alias("flags")))
     return (unfold(base, entries, "e", id_col, "original_text", "cleaned_text")
             .select(id_col, "original_text", "e.entity_removed", "e.category", "e.span_start", "e.span_end",

@@ -51,7 +51,7 @@ def token_topk(df: DataFrame, c: str, k: int = 20, min_len: int = 4, stop: list[
     counts = token_counts(df, c, min_len, K.TOKEN_STOP_WORDS if stop is None else stop)
     top = counts.orderBy(F.desc("n"), "token").limit(k)
     total = df.agg(F.count("*").alias("total")).scalar()
-    return top.select("token", "n", "docs", (F.col("docs") / total * 100).alias("pct"))
+    return top.select("token", "n", "docs", (F.col("docs") * 100 / total).alias("pct"))
 
 
 def grams(words: Column, n: tuple[int, int] = (1, 2)) -> Column:
@@ -217,10 +217,10 @@ def topic_label(terms: DataFrame, topic: str = "topic_id", k: int = 4, sep: str
     return out.withColumn("topic_label", F.when(F.col(topic) == -1, "outlier").otherwise(F.col("topic_label")))
 
 
-def label_top_words(df: DataFrame, c: str, label: str, k: int = 10, max_docs: int | None = 100,
+def label_top_words(df: DataFrame, c: str, label: str, k: int = 10, max_docs: int | None = None,
                     key: str = "task_id", stop=()) -> DataFrame:
-    """``(label, rank, term, tf)``: most frequent words of each label, over its first texts."""
-    if max_docs is not None:  # the report reads the first texts of a label only
+    """``(label, rank, term, tf)``: most frequent words of each label, over all its texts or its first ``max_docs``."""
+    if max_docs is not None:
         df = top_per_group(df, [label], [F.col(key)], max_docs, "__doc")
     counts = class_term_counts(df, c, label, (1, 1), stop)
     return top_per_group(counts, [label], [F.desc("tf"), F.asc("term")], k).select(label, "rank", "term", "tf")

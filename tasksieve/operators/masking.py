@@ -130,9 +130,37 @@ def alternation(terms: list[str], guarded: tuple[str, ...] = ()) -> str:
     return f"(?iu)(?<!{K.WORD})(?:{'|'.join(parts)})"
 
 
-def _placeholder_of(rules: list[tuple[str, str]]):
-    lookup = F.create_map(*[F.lit(x) for t, p in {t.lower(): p for t, p in rules}.items() for x in (t, p)])
-    return lambda matched: F.try_element_at(lookup, F.lower(matched))
+def _alike() -> dict[str, str]:
+    """Letters that lower case alone does not bring together with those they equal without case (long s and s)."""
+    found = {"\u0130": "i", "\u1e9e": "\u00df"}
+    for c in map(chr, range(0x10000)):
+        once = c.upper()
+        if len(once) == 1 and len(once.lower()) == 1 and once.lower() != c.lower():
+            found[c] = once.lower()
+    return found
+
+
+ALIKE = _alike()
+
+
+def fold(c: Column) -> Column:
+    """Texts that the case-insensitive pattern takes as equal become equal.
+
+    The pattern compares letter by letter through upper and then lower case.
+    """
+    return F.translate(F.lower(F.translate(c, "".join(ALIKE), "".join(ALIKE.values()))), "\u03c2", "\u03c3")
+
+
+def folded_map(pairs: list[tuple[str, str]]) -> Column:
+    """A literal map from folded terms to values; of terms that fold alike the last counts."""
+    folded = {t.translate(str.maketrans(ALIKE)).lower().replace("\u03c2", "\u03c3"): v for t, v in pairs}
+    return F.create_map(*[F.lit(x) for pair in folded.items() for x in pair])
+
+
+def _placeholder_of(rules: list[tuple[str, str]], unknown: str = "[MASKED]"):
+    """What stands for a match; never null, so that nothing around a match can get lost."""
+    lookup = folded_map(rules)
+    return lambda matched: F.coalesce(F.try_element_at(lookup, fold(matched)), F.lit(unknown))
 
 
 def mask_with_terms(c: Column, rules: list[tuple[str, str]], pad: bool = True) -> Column:
@@ -171,7 +199,7 @@ def dictionary_matches(df: DataFrame, c: str, rules: DataFrame, id_col: str = "t
     start with a word character.
     """
     terms = rules.select(
-        F.lower(F.regexp_extract("variant", f"^{K.WORD}+", 0)).alias("first"), "variant", "placeholder",
+        fold(F.regexp_extract("variant", f"^{K.WORD}+", 0)).alias("first"), "variant", "placeholder",
         F.length("variant").alias("len"),
         F.regexp_count("variant", F.lit(f"{K.WORD}+")).alias("words")).filter(F.col("first") != "")
     widest = terms.agg(F.coalesce(F.max("words"), F.lit(1))).first()[0]
@@ -184,9 +212,9 @@ def dictionary_matches(df: DataFrame, c: str, rules: DataFrame, id_col: str = "t
                            lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
     zipped = F.arrays_zip(F.col("__w").alias("w"), ahead.alias("ahead"))
     windows = base.select(id_col, F.posexplode_outer(zipped).alias("word", "x")).filter("x is not null").select(
-        id_col, "word", F.lower("x.w").alias("first"), F.col("x.ahead").alias("ahead"))
+        id_col, "word", fold(F.col("x.w")).alias("first"), F.col("x.ahead").alias("ahead"))
     hits = (windows.join(small_side(terms, 1_000_000), "first")
-            .filter((F.lower(F.expr("substring(ahead, 1, len)")) == F.lower("variant"))
+            .filter((fold(F.expr("substring(ahead, 1, len)")) == fold(F.col("variant")))
                     & ~F.expr("substring(ahead, len + 1, 1)").rlike(K.WORD)))
     best = F.max(F.struct("len", "words", "variant", "placeholder")).alias("best")
     longest = hits.groupBy(id_col, "word").agg(best)
@@ -211,7 +239,8 @@ def mask_dictionary(df: DataFrame, c: str, rules: DataFrame, out: str | None = N
     """Mask the dictionary terms of ``rules (variant, placeholder)`` in column ``c``.
 
     Up to ``REGEX_RULES`` rules become one pattern and the texts are only read;
-    more rules are joined.  Both give the same result.
+    more rules are joined.  Both mask every term; terms that don't begin with a word
+    character (up to ``REGEX_RULES`` of them) are masked by a pattern before the join.
     """
     out = out or c
     if strategy != "join":
@@ -222,6 +251,13 @@ def mask_dictionary(df: DataFrame, c: str, rules: DataFrame, out: str | None = N
     if strategy == "regex":
         pairs = [(r["variant"], r["placeholder"]) for r in few]
         return df.withColumn(out, mask_with_terms(F.col(c), pairs))
+    begins = F.col("variant").rlike(f"^{K.WORD}")
+    odd = rules.filter(~begins).select("variant", "placeholder").limit(REGEX_RULES + 1).collect()
+    if len(odd) > REGEX_RULES:
+        raise ValueError(f"more than {REGEX_RULES} terms that begin with no word character")
+    if odd:
+        df = df.withColumn(out, mask_with_terms(F.col(c), [(r["variant"], r["placeholder"]) for r in odd]))
+        c, rules = out, rules.filter(begins)
     spans = (dictionary_matches(df, c, rules, id_col).groupBy(id_col)
              .agg(F.array_sort(F.collect_list(F.struct("word", "words", "len", "placeholder"))).alias("__spans")))
     lead, words, pieces = _pieces(F.col(c))

