@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tasksieve.session import checkpointed
+
 #: Text is seen as a string over 64 symbols: 0 for all that is no letter, 1-26 for a-z, 27-63 for other letters by code point.
 SYMBOLS = 64
 GRAMS = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
@@ -124,16 +126,19 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
           landmarks: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> LanguageModel | None:
     """Learn from text and non-null language of rows that aren't held out; None if there is no such row with a letter.
 
-    Of each language the ``rows`` rows with the least hash of id and text are used, whole texts; only
-    their n-gram numbers reach the driver.  The sample is chosen without looking at texts twice: the
-    least hashes are found first, then these rows are read.
+    Of each language the ``rows`` rows with the least hash of the id are used, whole texts; only their
+    n-gram numbers reach the driver.  Ids are ranked without texts, then the chosen rows are read.
     """
     table = symbol_table()
-    hashed = F.xxhash64(F.col(f"`{id}`"), F.octet_length(F.col(f"`{text}`")))
     good = docs.filter(~held_out(F.col(f"`{id}`")) & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
-    ranked = good.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"), hashed.alias("hash"))
-    window = Window.partitionBy("lang").orderBy("hash")
-    sample = ranked.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= rows)
+    window = Window.partitionBy("lang").orderBy("hash", "key")
+    named = good.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{id}`").alias("key"), F.xxhash64(F.col(f"`{id}`")).alias("hash"))
+    chosen = checkpointed(named.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= rows)
+                          .select(F.col("lang").alias("cl"), F.col("key").alias("ck"), "hash").distinct())  # ``rows`` of each language at most
+    texts = good.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{id}`").alias("key"))
+    drawn = texts.join(F.broadcast(chosen), (F.col("lang") == F.col("cl")) & F.col("key").eqNullSafe(F.col("ck")))
+    again = Window.partitionBy("lang").orderBy("hash", "key", "text")  # more rows than chosen only where ids repeat
+    sample = drawn.withColumn("rank", F.row_number().over(again)).filter(F.col("rank") <= rows)
 
     def run(batches):
         for batch in batches:
