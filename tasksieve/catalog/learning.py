@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tasksieve.catalog.base import CENT, DOCS, STOP, TASKS, UNIT, assignment, docs, query, texts, topic_docs, vectors
+from tasksieve.catalog.cleaning import clean_sql, mask_sql
 from tasksieve.catalog.topics import MEMBER, TERMS, _cent, _member, _terms, rounded
 from tasksieve.functions.vectors import unit
 from tasksieve.operators import classify, cluster, features, filters
@@ -39,31 +40,42 @@ def _(spark, sf):
 
 
 _EPS, _MINS, _SIZE = 1.16, 4, 5
-_DENSE = f"""{UNIT}, pair AS (SELECT a.task_id AS a, b.task_id AS b, sqrt(greatest(2 - 2 * list_dot_product(a.u, b.u), 0)) AS d FROM unit a, unit b),
-close AS (SELECT * FROM pair WHERE d <= {_EPS} + 1e-9 OR a = b),
-core AS (SELECT a AS id FROM close GROUP BY 1 HAVING count(*) >= {_MINS}),
-link AS (SELECT a, b FROM close WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
-reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
-comp AS (SELECT a AS id, min(b) AS c FROM reach GROUP BY 1),
-bord AS (SELECT p.a AS id, arg_min(p.b, (round(p.d, 9), p.b)) AS k FROM close p JOIN core ON core.id = p.b WHERE p.a NOT IN (SELECT id FROM core) GROUP BY 1),
-mem AS (SELECT id, c FROM comp UNION ALL SELECT bord.id, c FROM bord JOIN comp ON comp.id = k),
-num AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, c) - 1 AS t FROM mem GROUP BY c HAVING count(*) >= {_SIZE})"""
 
 
-@query("density_cluster", f"WITH RECURSIVE {_DENSE} SELECT v.task_id, CAST(COALESCE(t, -1) AS BIGINT) AS topic_id FROM vec v LEFT JOIN mem ON mem.id = v.task_id LEFT JOIN num USING (c)")
+def dense_sql(eps: float, mins: int, size: int, rows: str = "unit", tag: str = "") -> str:
+    """Density clusters of a table of unit vectors as ``found{tag}(task_id, topic_id)``."""
+    return f"""pair{tag} AS (SELECT a.task_id AS a, b.task_id AS b, sqrt(greatest(2 - 2 * list_dot_product(a.u, b.u), 0)) AS d FROM {rows} a, {rows} b),
+close{tag} AS (SELECT * FROM pair{tag} WHERE d <= {eps} + 1e-9 OR a = b),
+core{tag} AS (SELECT a AS id FROM close{tag} GROUP BY 1 HAVING count(*) >= {mins}),
+link{tag} AS (SELECT a, b FROM close{tag} WHERE a IN (SELECT id FROM core{tag}) AND b IN (SELECT id FROM core{tag})),
+reach{tag}(a, b) AS (SELECT a, b FROM link{tag} UNION SELECT r.a, l.b FROM reach{tag} r JOIN link{tag} l ON l.a = r.b),
+comp{tag} AS (SELECT a AS id, min(b) AS c FROM reach{tag} GROUP BY 1),
+bord{tag} AS (SELECT p.a AS id, arg_min(p.b, (round(p.d, 9), p.b)) AS k FROM close{tag} p JOIN core{tag} k ON k.id = p.b WHERE p.a NOT IN (SELECT id FROM core{tag}) GROUP BY 1),
+mem{tag} AS (SELECT id, c FROM comp{tag} UNION ALL SELECT b.id, c FROM bord{tag} b JOIN comp{tag} m ON m.id = k),
+num{tag} AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, c) - 1 AS t FROM mem{tag} GROUP BY c HAVING count(*) >= {size}),
+found{tag} AS (SELECT v.task_id, CAST(COALESCE(t, -1) AS BIGINT) AS topic_id FROM {rows} v LEFT JOIN mem{tag} m ON m.id = v.task_id LEFT JOIN num{tag} USING (c))"""
+
+
+@query("density_cluster", f"WITH RECURSIVE {UNIT}, {dense_sql(_EPS, _MINS, _SIZE)} SELECT * FROM found")
 def _(spark, sf):
     units = vectors(spark, sf).select("task_id", unit("embedding").alias("embedding"))
     return density_cluster(units, _EPS, min_samples=_MINS, min_cluster_size=_SIZE, block_rows=128)
 
 
-@query("density_multi_resolution")
+@query("density_multi_resolution", f"""WITH RECURSIVE {UNIT}, {dense_sql(1.2, 2, 5, tag="_f")}, {dense_sql(1.2, 3, 10, tag="_m")}
+  SELECT 'fine' AS resolution, topic_id, count(*) AS n FROM found_f GROUP BY 2 UNION ALL SELECT 'medium', topic_id, count(*) FROM found_m GROUP BY 2""")
 def _(spark, sf):
     units = vectors(spark, sf).select("task_id", unit("embedding").alias("embedding"))
     found = cluster.density_multi_resolution(units, 1.2, {"fine": (5, 2), "medium": (10, 3)})
     return found.groupBy("resolution", "topic_id").agg(F.count("*").alias("n"))
 
 
-@query("zero_shot_then_cluster")
+@query("zero_shot_then_cluster", f"""WITH RECURSIVE {CENT}, s AS (SELECT u.task_id, c.topic_id AS seed, list_dot_product(u.u, c.c) AS sim FROM unit u, cent c),
+  near AS (SELECT task_id, arg_max(seed, (round(sim, 9), -seed)) AS seed, max(sim) AS sim FROM s GROUP BY 1),
+  rest AS (SELECT unit.* FROM unit JOIN near USING (task_id) WHERE sim < 0.30), {dense_sql(1.2, 2, 5, "rest")},
+  every AS (SELECT seed AS topic_id FROM near WHERE sim >= 0.30
+    UNION ALL SELECT CASE WHEN topic_id >= 0 THEN topic_id + (SELECT max(topic_id) + 1 FROM cent) ELSE -1 END FROM found)
+  SELECT CAST(topic_id AS BIGINT) AS topic_id, count(*) AS n FROM every GROUP BY 1""")
 def _(spark, sf):
     seeds = _cent(spark, sf).select(F.col("topic_id").alias("seed_id"), F.col("centroid").alias("embedding"))
     found = cluster.zero_shot_then_cluster(vectors(spark, sf), seeds, eps=1.2, min_samples=2, min_cluster_size=5)
@@ -88,7 +100,7 @@ def _(spark, sf):
 @query("sweep_params")
 def _(spark, sf):
     units = vectors(spark, sf).select("task_id", unit("embedding").alias("embedding"))
-    return cluster.sweep_params(units, 1.2, (5, 10), (2, 3))
+    return cluster.sweep_params(units, 1.2)
 
 
 @query("split_test")
@@ -214,12 +226,12 @@ def _labelled_vectors(spark, sf):
 @query("train_logreg")
 def _(spark, sf):
     data = _labelled_vectors(spark, sf)
-    return classify.accuracy(classify.train_logreg(data, max_iter=100).transform(data))
+    return classify.accuracy(classify.train_logreg(data).transform(data))
 
 
 @query("cross_val_predict")
 def _(spark, sf):
-    return classify.cross_val_predict(_labelled_vectors(spark, sf), lambda part: classify.train_logreg(part, max_iter=50))
+    return classify.cross_val_predict(_labelled_vectors(spark, sf), classify.train_logreg)
 
 
 def _texts(spark, sf):
@@ -229,7 +241,7 @@ def _texts(spark, sf):
 def _text_model(spark, sf):
     split = classify.stratified_split(_texts(spark, sf), "label")
     train = classify.tfidf_input(split.filter("not is_test").withColumnRenamed("text", "cleaned_text"))
-    return classify.train_tfidf_logreg(train, vocab=2_000, max_iter=30), split.filter("is_test")
+    return classify.train_tfidf_logreg(train), split.filter("is_test")
 
 
 def _pillars(spark, sf):
@@ -287,7 +299,7 @@ def _drained(spark, stream, key="out"):
     return spark.read.schema(stream.schema).parquet(f"{folder}/{key}")
 
 
-@query("stream_clean_mask")
+@query("stream_clean_mask", f"WITH {DOCS} SELECT task_id, lower({mask_sql(clean_sql('text', markup=False))}) AS cleaned_text FROM docs")
 def _(spark, sf):
     stream = _stream(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("task_id"), "text")
     return _drained(spark, jobs.stream_clean_mask(stream, "text", markup=False)).select("task_id", "cleaned_text")
@@ -300,13 +312,12 @@ def _(spark, sf):
     return _drained(spark, jobs.stream_score(stream, model, _pillars(spark, sf))).withColumn("alternatives", F.to_json("alternatives"))
 
 
-@query("stream_dedup", "SELECT event_type, props, CAST(min(event_id) AS BIGINT) AS first_id FROM events GROUP BY 1, 2")
+@query("stream_dedup", "SELECT event_type, props, sha256(concat_ws('|', event_type, props)) AS text_hash, CAST(1 AS BIGINT) AS n FROM events GROUP BY ALL")
 def _(spark, sf):
     stream = _stream(spark, sf, "events").withColumn("text", F.concat_ws("|", "event_type", "props"))
     kept = _drained(spark, jobs.stream_dedup(stream, "text", "ts", "60 days"))
-    first = table(spark, sf, "events").groupBy("event_type", "props").agg(F.min("event_id").alias("first_id"))
-    # Which copy of a text comes first is up to the stream: report the group it stands for.
-    return kept.select("event_type", "props").join(first, ["event_type", "props"]).select("event_type", "props", F.col("first_id").cast("bigint").alias("first_id"))
+    # Which copy of a text comes first is up to the stream: report what it kept of each.
+    return kept.groupBy("event_type", "props", "text_hash").agg(F.count("*").alias("n"))
 
 
 @query("stream_volume", """SELECT date_trunc('day', ts) AS window_start, event_type, CAST(count(*) AS BIGINT) AS n FROM events

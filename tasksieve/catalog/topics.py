@@ -26,6 +26,10 @@ def _member(spark, sf):
     return cluster.soft_membership(vectors(spark, sf), _cent(spark, sf))
 
 
+def _best(spark, sf):
+    return cluster.best_topic(vectors(spark, sf), _cent(spark, sf))
+
+
 def _dist(spark, sf):
     return topics.topic_distribution(tasks(spark, sf).select("task_id", F.col("topic_id").cast("bigint").alias("topic_id")))
 
@@ -157,7 +161,7 @@ def _(spark, sf):
 
 
 def _confidence(spark, sf):
-    return topics.membership_confidence(assignment(spark, sf), _member(spark, sf), _LOW, _HIGH)
+    return topics.membership_confidence(assignment(spark, sf), _best(spark, sf), _LOW, _HIGH)
 
 
 @query("confidence_distribution", f"""WITH {_CONF}, b AS (SELECT CASE WHEN p < {_LOW} THEN 'LOW' WHEN p > {_HIGH} THEN 'HIGH' ELSE 'OK' END AS confidence FROM conf)
@@ -181,7 +185,7 @@ top AS (SELECT task_id, arg_max(topic_id, (round(prob, 12), -topic_id)) AS best
 @query("reassign_outliers", f"""WITH {_OUT} SELECT task_id, CAST(CASE WHEN a.topic_id = -1 THEN best ELSE a.topic_id END AS BIGINT) AS topic_id, a.topic_id = -1 AS reassigned
   FROM assigned a JOIN top USING (task_id)""")
 def _(spark, sf):
-    return cluster.reassign_outliers(_with_outliers(spark, sf), _member(spark, sf))
+    return cluster.reassign_outliers(_with_outliers(spark, sf), _best(spark, sf))
 
 
 @query("outlier_rate", f"WITH {_OUT}, r AS (SELECT count(*) FILTER (topic_id = -1) AS o, count(*) AS n FROM assigned) SELECT CAST(n AS BIGINT) AS docs, CAST(o AS BIGINT) AS outliers, round(o * 100.0 / n, 6) AS outlier_pct, o / n < 0.2 AS target_met FROM r")
@@ -192,7 +196,7 @@ def _(spark, sf):
 @query("binary_confidence", f"""WITH {_OUT}, best AS (SELECT task_id, max(prob) AS p FROM member GROUP BY 1)
   SELECT task_id, CASE WHEN CAST(task_id AS BIGINT) % 3 = 0 THEN round(p, 4) WHEN topic_id = -1 THEN 0.0 ELSE 1.0 END AS confidence FROM assigned JOIN best USING (task_id)""")
 def _(spark, sf):
-    joined = _with_outliers(spark, sf).join(cluster.best_membership(_member(spark, sf)), "task_id")
+    joined = _with_outliers(spark, sf).join(_best(spark, sf), "task_id")
     strength = F.when(order_key() % 3 == 0, F.col("best_prob"))
     return joined.select("task_id", cluster.binary_confidence(strength, F.col("topic_id")).alias("confidence"))
 

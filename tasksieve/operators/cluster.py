@@ -13,7 +13,7 @@ from tasksieve.functions.vectors import matrix, unit, vector_sum
 from tasksieve.operators.features import long_terms
 from tasksieve.operators.neighbours import density_cluster, nearest
 from tasksieve.operators.topics import topic_coherence, with_centroid_similarity
-from tasksieve.session import checkpointed, small_side, top_per_group
+from tasksieve.session import checkpointed, top_per_group
 
 RESOLUTIONS = {"fine": (12, 1), "medium": (30, 3), "coarse": (60, 5)}
 
@@ -45,28 +45,61 @@ def density_multi_resolution(vec: DataFrame, eps: float, resolutions: dict[str,
     return out
 
 
-def soft_membership(vec: DataFrame, centroids: DataFrame, id_col: str = "task_id", topic: str = "topic_id",
-                    vector: str = "embedding", max_topics: int = 20_000) -> DataFrame:
-    """``(id, topic, prob)``: softmax of the cosine to every topic's centroid."""
-    rows = centroids.select(topic, F.col("centroid")).limit(max_topics + 1).toPandas()
+def _shared_centres(vec: DataFrame, centroids: DataFrame, topic: str, max_topics: int):
+    """Ids in order and unit centroids, one copy per worker."""
+    rows = centroids.select(topic, F.col("centroid")).limit(max_topics + 1).toPandas().sort_values(topic)
     if len(rows) > max_topics:
         raise ValueError("a probability for every topic is meant for topic tables of report size")
     y = matrix(rows["centroid"])
     norms = np.linalg.norm(y, axis=1, keepdims=True)
-    shared = vec.sparkSession.sparkContext.broadcast((rows[topic].to_numpy(), y / np.where(norms > 0, norms, 1)))
+    return vec.sparkSession.sparkContext.broadcast((rows[topic].to_numpy(), y / np.where(norms > 0, norms, 1)))
+
+
+def _probabilities(pdf: pd.DataFrame, vector: str, y: np.ndarray, cells: int = 1 << 22):
+    """Slices of a batch with their probabilities; a slice times all topics stays within ``cells`` doubles."""
+    step = max(1, cells // max(1, len(y)))
+    for start in range(0, len(pdf), step):
+        part = pdf.iloc[start:start + step]
+        x = matrix(part[vector])
+        norms = np.linalg.norm(x, axis=1, keepdims=True)
+        e = np.exp((x / np.where(norms > 0, norms, 1)) @ y.T)
+        yield part, e / e.sum(axis=1, keepdims=True)
+
+
+def soft_membership(vec: DataFrame, centroids: DataFrame, id_col: str = "task_id", topic: str = "topic_id",
+                    vector: str = "embedding", max_topics: int = 20_000) -> DataFrame:
+    """``(id, topic, prob)``: softmax of the cosine to every topic's centroid."""
+    shared = _shared_centres(vec, centroids, topic, max_topics)
     schema = (f"`{id_col}` {vec.schema[id_col].dataType.simpleString()}, "
               f"`{topic}` {centroids.schema[topic].dataType.simpleString()}, prob double")
 
     def run(batches):
         ids, y = shared.value
         for pdf in batches:
-            if len(pdf):
-                x = matrix(pdf[vector])
-                norms = np.linalg.norm(x, axis=1, keepdims=True)
-                e = np.exp((x / np.where(norms > 0, norms, 1)) @ y.T)
-                p = e / e.sum(axis=1, keepdims=True)
-                yield pd.DataFrame({id_col: np.repeat(pdf[id_col].to_numpy(), len(ids)),
-                                    topic: np.tile(ids, len(pdf)), "prob": p.ravel()})
+            for part, p in _probabilities(pdf, vector, y):
+                yield pd.DataFrame({id_col: np.repeat(part[id_col].to_numpy(), len(ids)),
+                                    topic: np.tile(ids, len(part)), "prob": p.ravel()})
+
+    return vec.select(id_col, vector).mapInPandas(run, schema)
+
+
+def best_topic(vec: DataFrame, centroids: DataFrame, id_col: str = "task_id", topic: str = "topic_id",
+               vector: str = "embedding", max_topics: int = 20_000) -> DataFrame:
+    """``(id, best_topic, best_prob)``: the top of ``soft_membership`` without its table, so nothing is shuffled.
+
+    Probabilities equal to twelve places are ties and go to the smaller topic.
+    Without any topic there are no rows.
+    """
+    shared = _shared_centres(vec, centroids, topic, max_topics)
+    schema = (f"`{id_col}` {vec.schema[id_col].dataType.simpleString()}, "
+              f"best_topic {centroids.schema[topic].dataType.simpleString()}, best_prob double")
+
+    def run(batches):
+        ids, y = shared.value
+        for pdf in batches:
+            for part, p in _probabilities(pdf, vector, y) if len(ids) else ():
+                at = np.argmax(np.round(p, 12), axis=1)
+                yield pd.DataFrame({id_col: part[id_col].to_numpy(), "best_topic": ids[at], "best_prob": p[np.arange(len(part)), at]})
 
     return vec.select(id_col, vector).mapInPandas(run, schema)
 
@@ -76,14 +109,19 @@ def binary_confidence(strength: Column, topic: Column) -> Column:
 
 
 def best_membership(member: DataFrame, id_col: str = "task_id", topic: str = "topic_id") -> DataFrame:
-    """``(id, best_topic, best_prob)``; ties go to the smaller topic."""
+    """``(id, best_topic, best_prob)``; ties go to the smaller topic.  A table that has these columns already stays as it is."""
+    if "best_prob" in member.columns:
+        return member
     return member.groupBy(id_col).agg(
         F.max(F.struct(F.col("prob"), (-F.col(topic)).alias("minus"))).alias("b")).select(
         id_col, (-F.col("b.minus")).alias("best_topic"), F.col("b.prob").alias("best_prob"))
 
 
 def reassign_outliers(assign: DataFrame, member: DataFrame, id_col: str = "task_id", topic: str = "topic_id") -> DataFrame:
-    """Outliers take the topic they most probably belong to, when that probability is above 0."""
+    """Outliers take the topic they most probably belong to, when that probability is above 0.
+
+    ``member`` is the table of ``soft_membership`` or, without its shuffle, that of ``best_topic``.
+    """
     joined = assign.join(best_membership(member, id_col, topic), id_col, "left")
     take = (F.col(topic) == -1) & (F.col("best_prob") > 0)
     return joined.select(
@@ -214,12 +252,13 @@ def silhouette(assign: DataFrame, vec: DataFrame, id_col: str = "task_id", topic
 
 
 def halve_topics(assign: DataFrame, vec: DataFrame, id_col: str = "task_id", topic: str = "topic_id",
-                 vector: str = "embedding", rounds: int = 20) -> DataFrame:
+                 vector: str = "embedding", rounds: int | None = None) -> DataFrame:
     """``(id, topic, half)``: 2-means inside every topic, all topics in one job per round.
 
     A round assigns each row to the nearer of its topic's two centres and sums the
     halves with map-side combine, so a topic of any size is spread over all tasks.
-    Starts from the row least like the topic's centre and the row least like that.
+    Starts from the row least like the topic's centre and the row least like that,
+    and goes on until no centre moves (or ``rounds``, if given, are over).
     """
     rows = checkpointed(assign.filter(F.col(topic) != -1).select(id_col, topic)
                         .join(vec.select(id_col, F.col(vector).cast("array<double>").alias("x")), id_col))
@@ -256,14 +295,19 @@ def halve_topics(assign: DataFrame, vec: DataFrame, id_col: str = "task_id", top
 
         return rows.mapInPandas(run, f"`{id_col}` {id_kind}, `{topic}` {kind}, x array<double>, half int")
 
-    for _ in range(rounds):
+    seen, done = set(), 0
+    while rounds is None or done < rounds:
+        done += 1
         sums = _held_sums(vector_sum(halves(centres), [topic, "half"], "x"), [topic, "half"])
         moved = {t: np.stack([sums[t, h][1] / sums[t, h][0] if (t, h) in sums else c[h] for h in (0, 1)])
                  for t, c in centres.items()}
         still = all(np.allclose(moved[t], centres[t], atol=1e-9) for t in centres)
         centres = moved
-        if still:
+        # Centres that come back (ties decided by rounding) would go round for ever.
+        state = hash(tuple(np.round(centres[t], 9).tobytes() for t in sorted(centres)))
+        if still or state in seen:
             break
+        seen.add(state)
     return halves(centres).select(id_col, topic, "half")
 
 
@@ -306,6 +350,15 @@ def split_test(assign: DataFrame, vec: DataFrame, docs: DataFrame, text: str = "
         .alias("reason")))
 
 
+def objective(max_outlier: float = 0.10, min_topics: int = 5) -> Column:
+    """The score of a clustering from its columns ``topics``, ``coherence`` and ``outlier_rate``."""
+    topics = F.col("topics")
+    penalty = F.when(topics > 80, (topics - 80) * 0.005).when(topics < 20, (20 - topics) * 0.01).otherwise(0.0)
+    return (F.when(F.col("outlier_rate") > max_outlier, -1.0 + (max_outlier - F.col("outlier_rate")))
+            .when((topics < min_topics) | F.col("coherence").isNull(), -2.0)
+            .otherwise(F.col("coherence") - penalty))
+
+
 def sweep_objective(assign: DataFrame, vec: DataFrame, max_outlier: float = 0.10, min_topics: int = 5,
                     id_col: str = "task_id", topic: str = "topic_id") -> DataFrame:
     """One row: mean coherence minus a penalty on the number of topics.
@@ -316,32 +369,32 @@ def sweep_objective(assign: DataFrame, vec: DataFrame, max_outlier: float = 0.10
     rate = shares.select(F.col("outliers") / F.col("docs")).scalar()
     coherence = topic_coherence(assign, vec, id_col, topic)
     stats = coherence.agg(F.count("*").alias("topics"), F.avg(F.when(F.col("n") > 1, F.col("coherence"))).alias("coherence"))
-    topics = F.col("topics")
-    penalty = F.when(topics > 80, (topics - 80) * 0.005).when(topics < 20, (20 - topics) * 0.01).otherwise(0.0)
-    scored = stats.withColumn("outlier_rate", rate)
-    return scored.withColumn("objective", F.when(F.col("outlier_rate") > max_outlier, -1.0 + (max_outlier - F.col("outlier_rate")))
-                             .when((topics < min_topics) | F.col("coherence").isNull(), -2.0)
-                             .otherwise(F.col("coherence") - penalty))
+    return stats.withColumn("outlier_rate", rate).withColumn("objective", objective(max_outlier, min_topics))
 
 
-def sweep_params(vec: DataFrame, eps: float, min_cluster_sizes=(5, 10, 15, 20), min_samples=(1, 3, 5),
+def sweep_params(vec: DataFrame, eps: float, min_cluster_sizes=range(5, 21), min_samples=range(1, 6),
                  max_outlier: float = 0.10, reduced: DataFrame | None = None, id_col: str = "task_id") -> DataFrame:
     """``(min_cluster_size, min_samples, topics, coherence, outlier_rate, objective)`` for a grid.
 
-    Clusters are found on ``reduced`` (shared by all trials) and scored on ``vec``.
+    Clusters are found on ``reduced`` (shared by all trials) and scored on ``vec``.  The size limit
+    only turns small clusters into noise, so each ``min_samples`` is clustered and scored once, and
+    its trials are sums over the table of clusters.
     """
+    sizes = F.array(*[F.lit(int(s)) for s in min_cluster_sizes])
     space = checkpointed(reduced if reduced is not None else vec)
     parts = []
     for ms in min_samples:
-        # One clustering per min_samples; the size limit only turns small clusters into noise.
         found = checkpointed(density_cluster(space, eps, min_samples=ms, min_cluster_size=1, id_col=id_col))
-        sizes = found.groupBy("topic_id").agg(F.count("*").alias("size"))
-        sized = checkpointed(found.join(small_side(sizes), "topic_id"))
-        for mcs in min_cluster_sizes:
-            assign = sized.select(id_col, F.when(F.col("size") >= mcs, F.col("topic_id")).otherwise(-1).cast("bigint").alias("topic_id"))
-            parts.append(sweep_objective(assign, vec, max_outlier, id_col=id_col)
-                         .select(F.lit(mcs).alias("min_cluster_size"), F.lit(ms).alias("min_samples"),
-                                 "topics", "coherence", "outlier_rate", "objective"))
+        scored = checkpointed(topic_coherence(found, vec, id_col))
+        rows = found.agg(F.count("*").alias("docs")).withColumn("min_cluster_size", F.explode(sizes))
+        trials = rows.join(F.broadcast(scored.select("n", "coherence", F.explode(sizes).alias("min_cluster_size")).filter("n >= min_cluster_size")
+                                       .groupBy("min_cluster_size").agg(F.count("*").alias("topics"), F.sum("n").alias("inside"),
+                                                                        F.avg(F.when(F.col("n") > 1, F.col("coherence"))).alias("coherence"))),
+                           "min_cluster_size", "left")
+        rate = (F.col("docs") - F.coalesce("inside", F.lit(0))) / F.col("docs")
+        parts.append(trials.select("min_cluster_size", F.lit(int(ms)).alias("min_samples"), F.coalesce("topics", F.lit(0)).cast("bigint").alias("topics"),
+                                   "coherence", rate.alias("outlier_rate"))
+                     .withColumn("objective", objective(max_outlier)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -82,8 +82,12 @@ def sub_type_listing(df: DataFrame, pillar: str, label: str) -> DataFrame:
 
 def membership_confidence(assign: DataFrame, member: DataFrame, low: float = 0.3, high: float = 0.5,
                           id_col: str = "task_id", topic: str = "topic_id") -> DataFrame:
-    """Mean of each row's best probability per assigned topic, with two flags."""
-    best = member.groupBy(id_col).agg(F.max("prob").alias("best"))
+    """Mean of each row's best probability per assigned topic, with two flags.
+
+    ``member`` is the table of ``soft_membership`` or, without its shuffle, that of ``best_topic``.
+    """
+    best = (member.select(id_col, F.col("best_prob").alias("best")) if "best_prob" in member.columns
+            else member.groupBy(id_col).agg(F.max("prob").alias("best")))
     mean = (assign.filter(F.col(topic) != -1).join(best, id_col).groupBy(topic)
             .agg(F.avg("best").alias("avg_probability")))
     value = F.col("avg_probability")

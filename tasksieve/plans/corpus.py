@@ -11,7 +11,7 @@ from tasksieve import constants as K
 from tasksieve.functions.conditions import build_text, coalesce_empty
 from tasksieve.functions.text import clean_notes, extract_field, lowercase, mask_structural
 from tasksieve.operators.audit import traceability_check
-from tasksieve.operators.cluster import soft_membership, split_test
+from tasksieve.operators.cluster import best_topic, split_test
 from tasksieve.operators.dedup import dedup_keep_first
 from tasksieve.operators.entities import SPAN, anonymization_log, assign_platform, extract_entities, remove_entities
 from tasksieve.operators.features import class_tfidf, joined_terms
@@ -96,7 +96,7 @@ def discover(corpus: DataFrame, vec: DataFrame, assign: DataFrame, platform: str
     docs = corpus.join(assign, "task_id")
     named = docs.filter(F.col("topic_id") != -1)
     cent = topic_centroid(assign.filter(F.col("topic_id") != -1), vec).persist()
-    member = soft_membership(vec, cent)
+    member = best_topic(vec, cent)
     terms = class_tfidf(named, text, stop=stop).persist()
     words = terms.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t")).select(
         "topic_id", F.transform("t", lambda x: x["term"]).alias("words"))
