@@ -20,6 +20,57 @@ def pieces(c: Column, pattern: str, body) -> Column:
         lambda x: body(x["gaps"], x["hits"])))
 
 
+#: Long arrays are walked in blocks of this many items.
+BLOCK = 256
+
+
+def scan(items: Column, state: Column, kind: str, step) -> Column:
+    """One output an item, each from a running state: ``step(state, item) -> (state, output)``.
+
+    Appending to an array copies it, so outputs are gathered per block and the blocks joined at the end.
+    """
+    blocks = let(items, lambda held: F.transform(
+        F.sequence(F.lit(0), F.floor(F.greatest(F.size(held) - 1, F.lit(0)) / BLOCK).cast("int")),
+        lambda i: F.slice(held, i * BLOCK + 1, F.lit(BLOCK))))
+
+    def walk(acc: Column, block: Column) -> Column:
+        def one(inner: Column, item: Column) -> Column:
+            after, output = step(inner["state"], item)
+            return F.struct(after.alias("state"), F.concat(inner["out"], F.array(output)).alias("out"))
+
+        return F.aggregate(block, F.struct(acc["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("out")), one,
+                           lambda x: F.struct(x["state"].alias("state"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    return F.aggregate(blocks, F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out")), walk,
+                       lambda acc: F.flatten(acc["out"]))
+
+
+def with_cuts(c: Column, n: Column, body) -> Column:
+    """``body(cut)``, where ``cut(start, length)`` reads a part of the text, ``start`` from 0.
+
+    A substring is found by walking from the beginning; a text cut in more than ``BLOCK`` places
+    is taken apart into its characters once instead.
+    """
+    few = body(lambda start, length: F.substring(c, start + 1, length))
+    many = let(F.split(c, ""), lambda chars: body(
+        lambda start, length: F.array_join(F.slice(chars, F.greatest(start, F.lit(0)) + 1, F.greatest(length, F.lit(0))), "")))
+    return F.when(F.coalesce(n, F.lit(0)) <= BLOCK, few).otherwise(many)
+
+
+def replace_spans(c: Column, spans: Column, filler) -> Column:
+    """The text with each span (sorted, without overlaps) replaced by ``filler(span)``."""
+    def rebuilt(x: Column) -> Column:
+        text, size, held = x["text"], x["size"], x["spans"]
+
+        def rebuild(cut):
+            tail = F.transform(held, lambda s, i: F.concat(filler(s), cut(s["end"], F.coalesce(F.get(held, i + 1)["start"], size) - s["end"])))
+            return F.concat(cut(F.lit(0), F.coalesce(F.get(held, F.lit(0))["start"], size)), F.array_join(tail, ""))
+
+        return with_cuts(text, F.size(held), rebuild)
+
+    return let(F.struct(c.alias("text"), F.length(c).alias("size"), spans.alias("spans")), rebuilt)
+
+
 def spans_of(c: Column, pattern: str, needed=None) -> Column:
     """All matches of a pattern as ``(entity, start, end)``, half-open character offsets.
 
@@ -31,14 +82,11 @@ def spans_of(c: Column, pattern: str, needed=None) -> Column:
     def walk(gaps: Column, hits: Column) -> Column:
         sizes = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(hits), F.lit(1))), hits,
                            lambda g, h: F.struct(F.length(g).alias("g"), h.alias("h")))
-        walked = F.aggregate(
-            sizes, F.struct(F.lit(0).alias("at"), empty.alias("out")),
-            lambda acc, x: F.struct(
-                (acc["at"] + x["g"] + F.length(x["h"])).alias("at"),
-                F.concat(acc["out"], F.array(F.struct(
-                    x["h"].alias("entity"), (acc["at"] + x["g"]).alias("start"),
-                    (acc["at"] + x["g"] + F.length(x["h"])).alias("end")))).alias("out")),
-            lambda acc: acc["out"])
+        def place(at: Column, x: Column) -> tuple[Column, Column]:
+            end = at + x["g"] + F.length(x["h"])
+            return end, F.struct(x["h"].alias("entity"), (at + x["g"]).alias("start"), end.alias("end"))
+
+        walked = scan(sizes, F.lit(0), "struct<entity:string,start:int,end:int>", place)
         return F.when(F.size(hits) > 0, walked).otherwise(empty)
 
     if needed is None:
@@ -66,11 +114,15 @@ def dictionary_entries(dictionary: DataFrame, max_rows: int = 2_000) -> list[tup
 
 def keep_first_of_overlaps(spans: Column) -> Column:
     """Of sorted spans keep each that starts at or after the end of the last one kept."""
-    return F.aggregate(
-        spans, F.filter(spans, lambda s: F.lit(False)),
-        lambda acc, s: F.when(
-            (F.size(acc) == 0) | (s["start"] >= F.try_element_at(acc, F.lit(-1))["end"]),
-            F.concat(acc, F.array(s))).otherwise(acc))
+    def judge(last: Column, s: Column) -> tuple[Column, Column]:
+        keeps = s["start"] >= last
+        return F.when(keeps, s["end"]).otherwise(last), keeps
+
+    def kept(held: Column) -> Column:
+        zipped = F.zip_with(held, scan(held, F.lit(-1), "boolean", judge), lambda s, mark: F.struct(s.alias("span"), mark.alias("mark")))
+        return F.transform(F.filter(zipped, lambda x: x["mark"]), lambda x: x["span"])
+
+    return let(spans, kept)
 
 
 def resolve_overlaps(spans: Column) -> Column:
@@ -82,13 +134,7 @@ def resolve_overlaps(spans: Column) -> Column:
 
 def cut_spans(c: Column, spans: Column) -> Column:
     """Delete spans (sorted, without overlaps)."""
-    kept = F.aggregate(
-        spans, F.struct(F.lit("").alias("done"), F.lit(0).alias("at"), c.alias("t")),
-        lambda acc, s: F.struct(
-            F.concat(acc["done"], F.substring(acc["t"], acc["at"] + 1, s["start"] - acc["at"])).alias("done"),
-            s["end"].alias("at"), acc["t"].alias("t")),
-        lambda acc: F.concat(acc["done"], F.substring(acc["t"], acc["at"] + 1, F.length(acc["t"]))))
-    return F.when(F.size(spans) > 0, kept).otherwise(c)
+    return F.when(F.size(spans) > 0, replace_spans(c, spans, lambda s: F.lit(""))).otherwise(c)
 
 
 def cleanup_orphans(c: Column) -> Column:
@@ -116,26 +162,29 @@ def _word_count(c: Column) -> Column:
 
 def removal_flags(text: Column, spans: Column, cleaned: Column) -> Column:
     """Per span, the quality flags of its removal (``array<array<string>>``)."""
-    def flags(s: Column, i: Column) -> Column:
+    def all_flags(cut, spans: Column) -> Column:
+        return F.transform(spans, lambda s, i: flags(cut, spans, s, i))
+
+    def flags(cut, spans: Column, s: Column, i: Column) -> Column:
         # The longest of these prepositions has four letters, so five characters
         # decide; the whole prefix is only looked at behind a long run of blanks.
-        close_by = F.rtrim(F.substring(text, F.greatest(s["start"] - 31, F.lit(1)), F.least(s["start"], F.lit(32))), F.lit(K.BLANKS))
+        close_by = F.rtrim(cut(F.greatest(s["start"] - 32, F.lit(0)), F.least(s["start"], F.lit(32))), F.lit(K.BLANKS))
         before = F.right(F.when((F.length(close_by) > 5) | (s["start"] <= 32), close_by).otherwise(
-            F.rtrim(F.substring(text, F.lit(1), s["start"]), F.lit(K.BLANKS))), F.lit(5))
-        near = F.concat(F.substring(text, F.greatest(s["start"] - 4, F.lit(1)), F.least(s["start"], F.lit(5))), F.lit(" "),
-                        F.substring(text, s["end"] + 1, F.lit(5)))
+            F.rtrim(cut(F.lit(0), s["start"]), F.lit(K.BLANKS))), F.lit(5))
+        near = F.concat(cut(F.greatest(s["start"] - 5, F.lit(0)), F.least(s["start"], F.lit(5))), F.lit(" "), cut(s["end"], F.lit(5)))
         left = F.try_element_at(spans, F.greatest(i, F.lit(1)))
         right = F.try_element_at(spans, i + 2)
         close = (
-            ((i > 0) & (_word_count(F.substring(text, left["end"] + 1, s["start"] - left["end"])) <= 3))
-            | (right.isNotNull() & (_word_count(F.substring(text, s["end"] + 1, right["start"] - s["end"])) <= 3)))
+            ((i > 0) & (_word_count(cut(left["end"], s["start"] - left["end"])) <= 3))
+            | (right.isNotNull() & (_word_count(cut(s["end"], right["start"] - s["end"])) <= 3)))
         return F.array_compact(F.array(
             F.when(before.rlike(rf"(?Ui)\b(?:{K.FLAG_PREPOSITIONS})\z"), "trailing_preposition"),
             F.when(near.rlike(r"(?U)\d"), "numeric_adjacent"),
             F.when(F.coalesce(close, F.lit(False)), "adjacent_removal")))
 
     # Decided once per row, outside the per-span function.
-    found = F.transform(spans, flags)
+    found = let(F.struct(text.alias("text"), spans.alias("spans")), lambda x: with_cuts(
+        x["text"], F.size(x["spans"]), lambda cut: all_flags(cut, x["spans"])))
     return F.when(F.length(trim_ws(cleaned)) < 10, F.transform(found, lambda f: F.array_append(f, "short_result"))).otherwise(found)
 
 
@@ -150,25 +199,29 @@ def anonymization_log(df: DataFrame, text: str, spans: str, id_col: str = "task_
     base = df.filter(F.size(s) > 0).select(
         F.col(id_col), c.alias("original_text"), s.alias("__spans"), cleaned.alias("cleaned_text"))
     c, s = F.col("original_text"), F.col("__spans")
-    zipped = F.arrays_zip(s.alias("s"), removal_flags(c, s, F.col("cleaned_text")).alias("f"))
+    flagged = F.zip_with(s, removal_flags(c, s, F.col("cleaned_text")), lambda x, f: F.struct(x.alias("s"), f.alias("f")))
 
     # What follows each removal, found in one pass from the last one back.
-    behind = F.aggregate(
-        F.reverse(s), F.struct(F.lit(None).cast("int").alias("next"), F.lit("").alias("rest"), F.array().cast("array<string>").alias("out")),
-        lambda acc, x: F.struct(
-            x["start"].alias("next"),
-            F.when(acc["next"].isNull(), F.substring(c, x["end"] + 1, F.lit(10))).otherwise(F.substring(F.concat(
-                F.substring(c, x["end"] + 1, F.least(acc["next"] - x["end"], F.lit(10))), acc["rest"]), 1, 10)).alias("rest"),
-            F.concat(F.array(F.when(acc["next"].isNull(), F.substring(c, x["end"] + 1, F.lit(10))).otherwise(F.substring(F.concat(
-                F.substring(c, x["end"] + 1, F.least(acc["next"] - x["end"], F.lit(10))), acc["rest"]), 1, 10))), acc["out"]).alias("out")),
-        lambda acc: acc["out"])
-    base = base.withColumn("__behind", behind)
-
-    entries = F.transform(zipped, lambda z, i: F.struct(
+    def sides(cut, held: Column) -> Column:
+        """Ten characters ahead of each span, and the gap behind it up to ten."""
+        return F.transform(held, lambda x, i: F.struct(
+            cut(F.greatest(x["start"] - 10, F.lit(0)), F.least(x["start"], F.lit(10))).alias("ahead"),
+            cut(x["end"], F.least(F.coalesce(F.get(held, i + 1)["start"] - x["end"], F.lit(10)), F.lit(10))).alias("gap")))
+
+    def follow(rest: Column, x: Column) -> tuple[Column, Column]:
+        rest = F.substring(F.concat(x["gap"], rest), 1, 10)
+        return rest, rest
+
+    around = let(F.struct(c.alias("text"), s.alias("spans")), lambda x: with_cuts(
+        x["text"], F.size(x["spans"]), lambda cut: sides(cut, x["spans"])))
+    base = base.withColumn("__around", around).withColumn(
+        "__behind", F.reverse(scan(F.reverse("__around"), F.lit(""), "string", follow)))
+
+    context = F.zip_with("__around", "__behind", lambda a, b: F.struct(a["ahead"].alias("ahead"), b.alias("behind")))
+    entries = F.zip_with(flagged, context, lambda z, x: F.struct(
         z["s"]["entity"].alias("entity_removed"), z["s"]["category"].alias("category"),
         z["s"]["start"].alias("span_start"), z["s"]["end"].alias("span_end"),
-        F.concat(F.substring(c, F.greatest(z["s"]["start"] - 9, F.lit(1)), F.least(z["s"]["start"], F.lit(10))),
-                 z["s"]["entity"], F.get(F.col("__behind"), i)).alias("context_window"),
+        F.concat(x["ahead"], z["s"]["entity"], x["behind"]).alias("context_window"),
         z["f"].alias("flags")))
     return (unfold(base, entries, "e", id_col, "original_text", "cleaned_text")
             .select(id_col, "original_text", "e.entity_removed", "e.category", "e.span_start", "e.span_end",

@@ -291,7 +291,7 @@ def _detection(kind: str, score: float, placeholder: str):
 def detect_pii(df: DataFrame, c: str, detectors=None, min_score: float = 0.85, out: str | None = None,
                found: str = "detections") -> DataFrame:
     """Adds the masked text and the array of detections it was masked by."""
-    from tasksieve.operators.entities import keep_first_of_overlaps, spans_of
+    from tasksieve.operators.entities import keep_first_of_overlaps, replace_spans, spans_of
 
     lists = []
     for kind, pattern, score, placeholder in detectors or K.DETECTORS:
@@ -302,13 +302,7 @@ def detect_pii(df: DataFrame, c: str, detectors=None, min_score: float = 0.85, o
             spans = F.filter(spans, lambda s: luhn_ok(s["entity"]))
         lists.append(F.transform(spans, _detection(kind, score, placeholder)))
     scanned = df.withColumn(found, keep_first_of_overlaps(F.array_sort(F.concat(*lists))))
-    masked = F.aggregate(
-        F.col(found), F.struct(F.lit("").alias("done"), F.lit(0).alias("at"), F.col(c).alias("t")),
-        lambda acc, s: F.struct(
-            F.concat(acc["done"], F.substring(acc["t"], acc["at"] + 1, s["start"] - acc["at"]), s["placeholder"]).alias("done"),
-            s["end"].alias("at"), acc["t"].alias("t")),
-        lambda acc: F.concat(acc["done"], F.substring(acc["t"], acc["at"] + 1, F.length(acc["t"]))))
-    return scanned.withColumn(out or c, masked)
+    return scanned.withColumn(out or c, replace_spans(F.col(c), F.col(found), lambda s: s["placeholder"]))
 
 
 def detection_log(df: DataFrame, found: str = "detections", id_col: str = "task_id") -> DataFrame:

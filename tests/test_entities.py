@@ -1,5 +1,7 @@
 """Entity extraction, removal, flags and platforms on invented names."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +151,24 @@ def test_scan_masks_by_type(spark):
     assert masked.first().text == "Mail [EMAIL] or [PHONE], id [ID], card [CREDIT_CARD]."
     assert {r.entity_type for r in log.collect()} == {"EMAIL_ADDRESS", "PHONE_NUMBER", "US_SSN", "CREDIT_CARD"}
     assert M.pii_scan(df, "text", min_score=0.95)[1].count() == 2
+
+
+def test_many_spans_give_what_few_do(spark):
+    """Beyond a block of spans texts are taken apart into characters; results stay the same."""
+    unit = "né Acme,Foo to 7 Acmé 💡 "
+    entries = [("Acme", "org"), ("Foo", "org"), ("7", "number")]
+    terms = re.compile(r"(?<!\w)(?:Acme|Foo|7)(?!\w)")
+    for n in (1, 300):
+        text = unit * n
+        df = spark.createDataFrame([("1", text)], "task_id string, t string")
+        df = df.withColumn("s", E.extract_entities(F.col("t"), entries))
+        row = df.select("s", E.cut_spans(F.col("t"), F.col("s")).alias("cut")).first()
+        spans = [m.span() for m in terms.finditer(text)]
+        assert [(x.start, x.end) for x in row.s] == spans
+        assert row.cut == terms.sub("", text)
+        log = {r.span_start: r for r in E.anonymization_log(df, "t", "s").collect()}
+        assert len(log) == len(spans)
+        for start, end in spans:
+            assert log[start].context_window == text[max(0, start - 10):end] + terms.sub("", text[end:])[:10]
+            near = text[max(0, start - 5):start] + " " + text[end:end + 5]
+            assert ("numeric_adjacent" in log[start].flags) == any(ch.isdigit() for ch in near)

@@ -165,3 +165,14 @@ def test_zero_shot_rest_is_numbered_after_the_seeds(spark):
 def test_same_clusters_from_all_copies(spark):
     got = N.density_cluster(frame(spark, np.ones((50, 3))), 0.1, 3, 30)
     assert [r.topic_id for r in got.collect()] == [0] * 50
+
+
+def test_best_topic_is_the_top_of_the_membership_table(spark):
+    rng = np.random.default_rng(5)
+    vec = frame(spark, np.vstack([rng.standard_normal((50, 4)), np.zeros((1, 4))]))
+    same = [1.0, 0.0, 0.0, 0.0]
+    cent = spark.createDataFrame([(3, same), (1, same), (2, [0.0, 1.0, 0.0, 0.0])], "topic_id bigint, centroid array<double>")
+    want = {r.task_id: (r.best_topic, round(r.best_prob, 9)) for r in CL.best_membership(CL.soft_membership(vec, cent)).collect()}
+    got = {r.task_id: (r.best_topic, round(r.best_prob, 9)) for r in CL.best_topic(vec, cent).collect()}
+    assert got == want and all(t in (1, 2) for t, _ in got.values())
+    assert CL.best_topic(vec, cent.limit(0)).count() == 0
