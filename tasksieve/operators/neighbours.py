@@ -24,6 +24,9 @@ from tasksieve.session import checkpointed, join_unique, numbered, top_per_group
 SMALL_ROWS = 20_000
 BLOCK_ROWS = 4_096
 MAX_PIVOTS = 1_024
+HELD_BYTES = 128 << 20
+SLICE_BYTES = 32 << 20
+HUB_LINKS = 100_000
 SLACK = 1e-9
 
 
@@ -33,17 +36,30 @@ def _rounded(x: np.ndarray) -> np.ndarray:
 
 
 def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
-    """The ``k`` best columns of each row, ties by id."""
-    by_id = np.argsort(ids, kind="stable")
-    order = np.argsort(-_rounded(sims[:, by_id]), axis=1, kind="stable")[:, :k]
-    return by_id[order]
+    """The ``k`` best columns of each row, ties by id; ``ids`` are in ascending order.
+
+    The k-th value of a row splits its columns: all above it are in, and of those
+    equal to it the first ones, until there are ``k``.
+    """
+    values = _rounded(np.where(np.isnan(sims), -np.inf, sims))
+    k = min(k, values.shape[1])
+    if k == 0:
+        return np.zeros((len(values), 0), dtype=np.int64)
+    last = np.partition(values, values.shape[1] - k, axis=1)[:, values.shape[1] - k][:, None]
+    above, level = values > last, values == last
+    room = k - above.sum(axis=1, dtype=np.int32)[:, None]
+    chosen = above | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= room))
+    columns = np.nonzero(chosen)[1].reshape(len(values), k)
+    order = np.argsort(-np.take_along_axis(values, columns, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(columns, order, axis=1)
 
 
 def _held(df: DataFrame, id_col: str, vector: str, limit: int, carry: str | None = None):
-    """Ids, vectors and a carried column of a table of at most ``limit`` rows, else None."""
+    """Ids in order, vectors and a carried column of a table of at most ``limit`` rows and ``HELD_BYTES``, else None."""
     rows = df.select(id_col, vector, *([carry] if carry else [])).limit(limit + 1).toPandas()
-    if len(rows) > limit:
+    if len(rows) > limit or len(rows) and len(rows) * len(rows[vector].iloc[0]) * 8 > HELD_BYTES:
         return None
+    rows = rows.sort_values(id_col, kind="stable")
     return rows[id_col].to_numpy(), matrix(rows[vector]), rows[carry].to_numpy() if carry else None
 
 
@@ -52,15 +68,21 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
-def _answers(left: pd.DataFrame, ids, x, carried, k: int, id_col: str, vector: str, carry: str | None) -> pd.DataFrame:
-    """The ``k`` best pool rows of each query row, against one part of the pool."""
-    sims = matrix(left[vector]) @ x.T
-    best = _best(ids, sims, k)
-    rows = np.repeat(np.arange(len(left)), best.shape[1])
-    out = pd.DataFrame({id_col: left[id_col].to_numpy()[rows], "neighbour": ids[best.ravel()], "sim": sims[rows, best.ravel()]})
-    if carry:
-        out[carry] = carried[best.ravel()]
-    return out
+def _answers(left: pd.DataFrame, ids, x, carried, k: int, id_col: str, vector: str, carry: str | None):
+    """The ``k`` best pool rows of each query row, against one part of the pool in the order of its ids.
+
+    Queries are taken in slices, so that no matrix of similarities goes over ``SLICE_BYTES``.
+    """
+    step = max(1, SLICE_BYTES // (8 * max(1, len(ids))))
+    for at in range(0, len(left), step):
+        part = left.iloc[at:at + step]
+        sims = matrix(part[vector]) @ x.T
+        best = _best(ids, sims, k)
+        rows, ranks = np.divmod(np.arange(best.size), max(1, best.shape[1]))
+        out = pd.DataFrame({id_col: part[id_col].to_numpy()[rows], "neighbour": ids[best.ravel()], "sim": sims[rows, best.ravel()]})
+        if carry:
+            out[carry] = carried[best.ravel()]
+        yield out.assign(rank=ranks + 1)
 
 
 def nearest(queries: DataFrame, pool: DataFrame, k: int, id_col: str = "task_id", vector: str = "embedding",
@@ -84,11 +106,11 @@ def nearest(queries: DataFrame, pool: DataFrame, k: int, id_col: str = "task_id"
         def run(batches):
             for pdf in batches:
                 if len(pdf) and len(shared.value[0]):
-                    yield _answers(pdf, *shared.value, k, id_col, vector, carry)
+                    yield from _answers(pdf, *shared.value, k, id_col, vector, carry)
 
-        found = queries.select(id_col, vector).mapInPandas(run, schema)
-    else:
-        found = _nearest_blocked(queries, pool, k, id_col, vector, carry, schema, block_rows)
+        # The whole pool was seen, so these answers are final.
+        return queries.select(id_col, vector).mapInPandas(run, schema + ", rank bigint")
+    found = _nearest_blocked(queries, pool, k, id_col, vector, carry, schema, block_rows)
     return top_per_group(found, [id_col], [F.desc(F.round("sim", 9)), F.asc("neighbour")], k)
 
 
@@ -177,8 +199,10 @@ def _nearest_blocked(queries, pool, k, id_col, vector, carry, schema, block_rows
     size, radius = cells.size, cells.radius
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values(id_col, kind="stable")
         carried = right[carry].to_numpy() if carry else None
-        return _answers(left, right[id_col].to_numpy(), matrix(right[vector]), carried, k, id_col, vector, carry)
+        found = _answers(left, right[id_col].to_numpy(), matrix(right[vector]), carried, k, id_col, vector, carry)
+        return pd.concat(found).drop(columns="rank")
 
     def home(distances: np.ndarray, _rows) -> np.ndarray:
         """The closest cells that together hold ``k`` rows."""
@@ -238,7 +262,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
     """``(id, component)``: connected components, named by their smallest id.
 
     Alternating large-star and small-star steps (Kiveris et al., SoCC 2014); each
-    round is two aggregations with map-side combine and ends in a checkpoint.
+    round is two aggregations with map-side combine and ends in a checkpoint.  The
+    least neighbour of a hub is joined without bringing the hub's links together.
     """
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
     nodes = links.select(F.col("u").alias("id")).union(links.select(F.col("v"))).distinct()
@@ -248,14 +273,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
     def fingerprint(df: DataFrame):
         return df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
 
+    def spread_join(rows: DataFrame, least: DataFrame) -> DataFrame:
+        """Links with the least neighbour of ``u``; a node of many links is dealt over as many keys as it has blocks of links.
+
+        Hubs are as many as blocks at most, so the list of them that deals the links is short.
+        """
+        hubs = least.filter(F.col("n") > HUB_LINKS).select("u", F.ceil(F.col("n") / HUB_LINKS).cast("int").alias("slots"))
+        dealt = (rows.join(F.broadcast(hubs), "u", "left")
+                 .withColumn("slot", F.pmod(F.xxhash64("v"), F.coalesce("slots", F.lit(1))).cast("int")).drop("slots"))
+        slots = F.sequence(F.lit(0), F.ceil(F.col("n") / HUB_LINKS).cast("int") - 1)
+        return dealt.join(least.select("u", "m", F.explode(slots).alias("slot")), ["u", "slot"]).drop("slot")
+
     seen = fingerprint(current)
     for _ in range(rounds):
         both = current.union(current.select("v", "u").toDF("u", "v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        large = spread_join(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(down, "u")
+        linked = spread_join(large, large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         small = (linked.select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(linked.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
         current = checkpointed(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -331,6 +366,7 @@ def density_cluster(vectors: DataFrame, eps: float, min_samples: int = 3, min_cl
     cluster = components(forest.unionByName(alone))
 
     def closest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("pid", kind="stable")
         d = _distances(matrix(left["x"]), matrix(right["x"]))
         best = _best(right["pid"].to_numpy(), -d, 1)[:, 0]
         away = d[np.arange(len(left)), best]

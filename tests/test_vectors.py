@@ -176,3 +176,28 @@ def test_best_topic_is_the_top_of_the_membership_table(spark):
     got = {r.task_id: (r.best_topic, round(r.best_prob, 9)) for r in CL.best_topic(vec, cent).collect()}
     assert got == want and all(t in (1, 2) for t, _ in got.values())
     assert CL.best_topic(vec, cent.limit(0)).count() == 0
+
+
+def test_best_columns_with_ties():
+    rng = np.random.default_rng(11)
+    sims = rng.integers(0, 4, (50, 30)) / 4.0
+    want = np.argsort(-sims, axis=1, kind="stable")
+    for k in (1, 7, 30, 40):
+        assert (N._best(np.arange(30), sims, k) == want[:, :k]).all()
+    assert N._best(np.arange(0), np.zeros((3, 0)), 5).shape == (3, 0)
+
+
+def test_nearest_in_slices(spark, points, monkeypatch):
+    monkeypatch.setattr(N, "SLICE_BYTES", 8 * 160 * 7)
+    left = frame(spark, points[:30]).toPandas()
+    found = list(N._answers(left, np.arange(160), points, None, 5, "task_id", "embedding", None))
+    assert [len(f) for f in found] == [35, 35, 35, 35, 10]
+    got = [[f"{j:04d}" for j in np.concatenate([f["neighbour"] for f in found])[5 * i:5 * i + 5]] for i in range(30)]
+    assert got == brute_nearest(points[:30], points, 5)
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(N, "HUB_LINKS", 5)
+    edges = [(0, i) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(139, 59), (200, 201), (300, 300)]
+    got = {r.id: r.component for r in N.components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert got == {**dict.fromkeys([*range(60), *range(100, 140)], 0), 200: 200, 201: 200, 300: 300}
