@@ -77,8 +77,15 @@ def _(spark, sf):
 @query("json_map_io", "SELECT n_name AS key, r_name AS value FROM nation JOIN region ON n_regionkey = r_regionkey")
 def _(spark, sf):
     named = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    as_json = S.table_to_json_map(named, "n_name", "r_name")
-    return as_json.select(F.explode(F.from_json("json", "map<string,string>")).alias("key", "value"))
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    S.table_to_json_map(named, "n_name", "r_name").write.text(path)
+    return S.json_map_to_table(spark, path)
+
+
+@query("write_table_bom", f"WITH {DOCS} SELECT task_id, text, lang FROM docs")
+def _(spark, sf):
+    cols = ["task_id", "text", "lang"]
+    return _round_trip(spark, docs(spark, sf).select(cols), "csv", lambda p: S.read_tasks(spark, p, cols), bom=True)
 
 
 @query("validate_contract", f"""WITH {TASKS} SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT task_id) AS BIGINT) AS distinct_ids,

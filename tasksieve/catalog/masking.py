@@ -169,6 +169,15 @@ def _(spark, sf):
         "task_id", "e.entity", "e.category", F.col("e.start").cast("bigint").alias("span_start"), F.col("e.end").cast("bigint").alias("span_end"))
 
 
+@query("extract_entities_join", f"WITH {DOCS}, {_SPANS} SELECT task_id, entity, category, span_start, CAST(span_end AS BIGINT) AS span_end FROM ents")
+def _(spark, sf):
+    """The way for dictionaries that are too big for one pattern."""
+    dictionary = spark.createDataFrame(ENTITIES, "name string, category string")
+    found = entities.dictionary_spans(texts(spark, sf), "text", dictionary)
+    return found.select("task_id", F.explode("spans").alias("e")).select(
+        "task_id", "e.entity", "e.category", F.col("e.start").cast("bigint").alias("span_start"), F.col("e.end").cast("bigint").alias("span_end"))
+
+
 @query("resolve_overlaps", f"WITH {DOCS}, {_SPANS} SELECT task_id, entity, span_start, CAST(span_end AS BIGINT) AS span_end FROM ents")
 def _(spark, sf):
     # Two detectors over the same text: the dictionary, and its single words.
@@ -328,6 +337,13 @@ def _(spark, sf):
     return _leaks(spark, sf)
 
 
+@query("leakage_dictionary_join", f"""WITH {DOCS}, {_LEAKS} SELECT task_id, type, value, substr(text, 1, 100) AS context FROM leaks
+  WHERE type IN ({", ".join(lit(k) for k in _TERM_SETS)})""")
+def _(spark, sf):
+    dictionary = spark.createDataFrame([(w, k) for k, ws in _TERM_SETS.items() for w in ws], "name string, category string")
+    return entities.dictionary_leaks(texts(spark, sf), "text", dictionary)
+
+
 @query("leakage_summary", f"""WITH {DOCS}, {_LEAKS}, t AS (SELECT type, count(*) AS findings, count(DISTINCT task_id) AS docs FROM leaks GROUP BY 1
   UNION ALL SELECT 'ALL', count(*), count(DISTINCT task_id) FROM leaks)
   SELECT type, CAST(findings AS BIGINT) AS findings, CAST(docs AS BIGINT) AS docs, round(((SELECT count(*) FROM documents) - docs) * 100.0 / (SELECT count(*) FROM documents), 6) AS clean_pct FROM t""")

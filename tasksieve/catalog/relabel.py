@@ -95,15 +95,24 @@ def _moved(spark, sf, **search):
     return taxonomy.knn_redistribute(vectors(spark, sf), _labels(spark, sf), "T3", min_conf=0.3, **search)
 
 
-@query("knn_redistribute", f"WITH {_KNN} SELECT task_id, proposed_class, round(confidence, 6) AS confidence, round(avg_similarity, 6) AS avg_similarity, flag FROM res")
+def _voted(moved):
+    ballot = F.array_join(F.transform("knn_votes", lambda v: F.concat(v["label"], F.lit("="), v["votes"].cast("string"))), " ")
+    return rounded(moved.withColumn("knn_votes", ballot), "confidence", "avg_similarity")
+
+
+_VOTED = f"""WITH {_KNN}, ballot AS (SELECT task_id, string_agg(label || '=' || v, ' ' ORDER BY v DESC, f) AS knn_votes FROM votes GROUP BY 1)
+SELECT task_id, proposed_class, round(confidence, 6) AS confidence, round(avg_similarity, 6) AS avg_similarity, flag, knn_votes FROM res JOIN ballot USING (task_id)"""
+
+
+@query("knn_redistribute", _VOTED)
 def _(spark, sf):
-    return rounded(_moved(spark, sf), "confidence", "avg_similarity")
+    return _voted(_moved(spark, sf))
 
 
-@query("knn_redistribute_blocked", f"WITH {_KNN} SELECT task_id, proposed_class, round(confidence, 6) AS confidence, round(avg_similarity, 6) AS avg_similarity, flag FROM res")
+@query("knn_redistribute_blocked", _VOTED)
 def _(spark, sf):
     """The way taken when neither side is small."""
-    return rounded(_moved(spark, sf, small_rows=0, block_rows=64), "confidence", "avg_similarity")
+    return _voted(_moved(spark, sf, small_rows=0, block_rows=64))
 
 
 @query("redistribution_summary", f"""WITH {_KNN} SELECT proposed_class, CAST(count(*) AS BIGINT) AS n, round(avg(confidence), 6) AS avg_conf, round(avg(avg_similarity), 6) AS avg_sim,

@@ -230,7 +230,7 @@ def score(df: DataFrame, model: PipelineModel, pillars: DataFrame, text: str = "
         column = model.stages[0].getInputCol()
         ready = clean.withColumn(column, strip_accents(F.lower("__clean")))
     else:
-        vectors = embed_texts(clean, "__clean", id_col=id_col, **({"make_encoder": make_encoder} if make_encoder else {}))
+        vectors = embed_texts(clean, "__clean", make_encoder, id_col)
         ready = as_features(clean.join(vectors, id_col))
     scored = model.transform(ready).withColumn("__ranked", ranked_classes(vector_to_array("probability"), class_names(model)))
     return decide(scored, "__ranked", pillars, class_names(model), F.length("__clean") < min_chars, alternatives, [id_col])

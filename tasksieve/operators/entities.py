@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tasksieve import constants as K
 from tasksieve.functions.text import holds, let, trim_ws
 from tasksieve.operators.masking import alternation, fold, folded_map
-from tasksieve.session import unfold
+from tasksieve.session import checkpointed, small_side, unfold
 
 SPAN = "array<struct<entity:string,category:string,start:int,end:int>>"
 
@@ -104,11 +104,66 @@ def extract_entities(c: Column, entries: list[tuple[str, str]], guarded: tuple[s
         s["start"].alias("start"), s["end"].alias("end")))
 
 
+def dictionary_hits(df: DataFrame, c: str, dictionary: DataFrame, guarded: tuple[str, ...] = (), id_col: str = "task_id") -> DataFrame:
+    """``(id, name, category, entity, start, end)``: every whole-word place of every term, overlaps too.
+
+    For dictionaries ``(name, category)`` too big for one pattern.  A text is cut into
+    its words and single other characters.  Each of these that is the first of a
+    term is compared with the text from there on.  The few ``guarded`` terms, which may
+    end inside a word, are searched for one by one.
+    """
+    part = rf"{K.WORD}+|(?s:.)"
+    special = F.lower("name").isin([g.lower() for g in guarded]) if guarded else F.lit(False)
+    names = checkpointed(dictionary.filter("name <> ''").filter(~special).select(
+        fold(F.regexp_extract("name", part, 0)).alias("first"), "name", fold(F.col("name")).alias("folded"), "category",
+        F.length("name").alias("len"), F.regexp_count("name", F.lit(part)).alias("parts")))
+    widest = names.agg(F.coalesce(F.max("parts"), F.lit(1))).first()[0]
+    cut = df.select(id_col, F.regexp_extract_all(c, F.lit(part), F.lit(0)).alias("__p")).withColumn(
+        "__s", scan(F.transform("__p", F.length), F.lit(0), "int", lambda at, n: (at + n, at)))
+    # One part more than the longest term, to see whether a word ends there, and the part before.
+    places = F.transform("__p", lambda p, i: F.struct(
+        fold(p).alias("first"), F.get("__s", i).alias("start"),
+        F.array_join(F.slice("__p", i + 1, F.lit(widest + 1)), "").alias("ahead"),
+        F.coalesce(F.get("__p", i - 1), F.lit("")).alias("before")))
+    entity, after = F.expr("substring(ahead, 1, len)"), F.expr("substring(ahead, len + 1, 1)")
+    hits = (unfold(cut, places, "x", id_col).select(id_col, "x.*").filter(~F.col("before").rlike(K.WORD))
+            .join(small_side(names, 1_000_000), "first")
+            .filter((fold(entity) == F.col("folded")) & ~after.rlike(K.WORD))
+            .select(id_col, "name", "category", entity.alias("entity"), "start", (F.col("start") + F.col("len")).alias("end")))
+    few = dictionary.filter(special).select("name", "category").distinct().collect() if guarded else []  # no more than ``guarded``
+    for name, category in few:
+        found = unfold(df, spans_of(F.col(c), alternation([name], guarded)), "s", id_col)
+        hits = hits.unionByName(found.select(id_col, F.lit(name).alias("name"), F.lit(category).alias("category"), "s.entity", "s.start", "s.end"))
+    return hits
+
+
+def dictionary_spans(df: DataFrame, c: str, dictionary: DataFrame, guarded: tuple[str, ...] = (), id_col: str = "task_id") -> DataFrame:
+    """``(id, spans)`` as ``extract_entities`` finds them, by a join with a dictionary of any size.
+
+    Of terms at one place the longest counts, of overlaps the first.  Texts
+    without an entity have no row.  Ids must be unique.
+    """
+    span = F.struct("start", (-F.col("end")).alias("minus"), "category", "entity", "end")
+    return dictionary_hits(df, c, dictionary, guarded, id_col).groupBy(id_col).agg(
+        keep_first_of_overlaps(F.array_sort(F.collect_list(span))).alias("__k")).select(
+        id_col, F.transform("__k", lambda s: F.struct(s["entity"], s["category"], s["start"], s["end"])).cast(SPAN).alias("spans"))
+
+
+def dictionary_leaks(df: DataFrame, c: str, dictionary: DataFrame, guarded: tuple[str, ...] = (), id_col: str = "task_id") -> DataFrame:
+    """``(id, type, value, context)``: the dictionary part of ``leakage_scan`` for a dictionary of any size.
+
+    A term is reported once per text, under its category.
+    """
+    found = dictionary_hits(df, c, dictionary, guarded, id_col).select(
+        id_col, F.col("category").alias("type"), F.lower("name").alias("value")).distinct()
+    return found.join(df.select(id_col, F.substring(c, 1, 100).alias("context")), id_col).select(id_col, "type", "value", "context")
+
+
 def dictionary_entries(dictionary: DataFrame, max_rows: int = 2_000) -> list[tuple[str, str]]:
     """The rows of a dictionary small enough for one pattern."""
     rows = dictionary.select("name", "category").limit(max_rows + 1).collect()
     if len(rows) > max_rows:
-        raise ValueError("dictionary too big for one pattern: use masking.dictionary_matches")
+        raise ValueError("dictionary too big for one pattern: use dictionary_spans")
     return [(r["name"], r["category"]) for r in rows]
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml import feature as MF
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
+from pyspark.ml.linalg import DenseVector, VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
@@ -115,27 +115,39 @@ def strip_accents(c: Column) -> Column:
     return F.regexp_replace(_nfkd(c), r"\p{M}+", "")
 
 
-def tfidf_features(df: DataFrame, c: str, id_col: str = "task_id", vocab: int = 25_000, min_df: int = 2,
+def tfidf_features(df: DataFrame, c: str, id_col: str = "task_id", vocab: int | None = None, min_df: int = 2,
                    sublinear: bool = True, stop: list[str] = ()) -> DataFrame:
     """Long TF-IDF table ``(id, term, tf, idf, weight)`` with unit length per text.
 
     Weights are ``(1 + ln tf) * (ln((1 + n) / (1 + df)) + 1)``, then divided by
-    the length of the text's vector.  ``vocab`` keeps the most frequent terms
-    over the corpus, ties by term.
+    the length of the text's vector.  All terms count; ``vocab`` keeps only the most
+    frequent over the corpus, ties by term.
     """
     plain = df.withColumn("__t", strip_accents(F.lower(c)))
     long = long_terms(plain, "__t", [id_col], (1, 2), K.TFIDF_TOKEN, stop)
     stats = long.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-    kept = stats.filter(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(vocab)
+    kept = stats.filter(F.col("df") >= min_df)
+    if vocab is not None:
+        kept = kept.orderBy(F.desc("total"), "term").limit(vocab)
     n = df.agg(F.count("*").alias("n")).scalar()
-    idf = kept.select("term", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    idf = kept.select("term", "df", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     tf = (F.log("tf") + 1) if sublinear else F.col("tf").cast("double")
-    # The vocabulary is limited, so the term side is small whatever the corpus.
-    raw = long.join(F.broadcast(idf), "term").withColumn("raw", tf * F.col("idf"))
+    # A common term has a row per text that holds it: its rows are not moved for this join.
+    raw = join_unique(long, idf, "term", "df").filter(F.col("idf").isNotNull()).withColumn("raw", tf * F.col("idf"))
     length = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return raw.join(length, id_col).select(id_col, "term", "tf", "idf", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
+@F.pandas_udf(VectorUDT())
+def _damped(counts: pd.DataFrame) -> pd.DataFrame:
+    """``1 + ln`` of the counts of a whole Arrow batch at once; vectors come as the columns they consist of."""
+    if not len(counts):
+        return counts
+    ends = np.cumsum([len(v) for v in counts["values"]])
+    damped = np.split(1 + np.log(np.concatenate(counts["values"].to_numpy())), ends[:-1])
+    return counts.assign(values=pd.Series(damped, index=counts.index, dtype="object"))
+
+
 class SublinearTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """``1 + ln tf`` on a sparse count vector, the step MLlib has no stage for."""
 
@@ -144,8 +156,7 @@ class SublinearTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         self._set(inputCol=inputCol, outputCol=outputCol)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        damp = F.udf(lambda v: SparseVector(v.size, v.indices, 1 + np.log(v.values)), VectorUDT())
-        return dataset.withColumn(self.getOutputCol(), damp(self.getInputCol()))
+        return dataset.withColumn(self.getOutputCol(), _damped(self.getInputCol()))
 
 
 def fit_tfidf(df: DataFrame, c: str, out: str = "features", vocab: int = 25_000, min_df: int = 2) -> PipelineModel:
@@ -254,36 +265,28 @@ def mmr_rerank(terms: DataFrame, vectors: DataFrame, topic: str = "topic_id", di
     return terms.join(vectors, "term").groupBy(topic).applyInPandas(rerank, fields)
 
 
-def hashed_encoder(dims: int = 256):
-    """Default encoder: signed hashing of words and word pairs, ``1 + ln tf``, unit length."""
-    import re
-    import zlib
+def hashed_vectors(df: DataFrame, c: str, id_col: str = "task_id", out: str = "embedding", dims: int = 256) -> DataFrame:
+    """Signed hashing of words and word pairs, ``1 + ln tf`` per slot, unit length; native expressions only.
 
-    word = re.compile(r"[^\W_]+")
-
-    def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dims))
-        for row, text in enumerate(texts):
-            words = word.findall(text.lower())
-            counts: dict[str, int] = {}
-            for gram in words + [f"{a} {b}" for a, b in zip(words, words[1:])]:
-                counts[gram] = counts.get(gram, 0) + 1
-            for gram, n in counts.items():
-                h = zlib.crc32(gram.encode())
-                out[row, h % dims] += (1.0 if h >> 31 else -1.0) * (1 + np.log(n))
-        norms = np.linalg.norm(out, axis=1, keepdims=True)
-        return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
-
-    return encode
+    A gram is counted in one of ``2 * dims`` slots; the second half is the negative side of the first.
+    """
+    listed = df.select(id_col, tokens(F.coalesce(F.col(c), F.lit("")), r"[\p{L}\p{N}]+").alias("__w")).select(id_col, grams(F.col("__w")).alias("__g"))
+    counted = MF.HashingTF(numFeatures=2 * dims, inputCol="__g", outputCol="__v").transform(listed)
+    damped = F.transform(vector_to_array("__v"), lambda n: F.when(n > 0, F.log(n) + 1).otherwise(0.0))
+    signed = counted.select(id_col, damped.alias("__d")).select(id_col, F.zip_with(
+        F.slice("__d", 1, dims), F.slice("__d", dims + 1, dims), lambda plus, minus: plus - minus).alias("__s"))
+    unit = MF.Normalizer(inputCol="__s", outputCol="__u", p=2.0).transform(signed.withColumn("__s", array_to_vector("__s")))
+    return unit.select(id_col, vector_to_array("__u").cast("array<float>").alias(out))
 
 
-def embed_texts(df: DataFrame, c: str, make_encoder=hashed_encoder, id_col: str = "task_id",
-                out: str = "embedding", batch: int = 64) -> DataFrame:
-    """``(id, vector)`` from an encoder that is built once per task.
+def embed_texts(df: DataFrame, c: str, make_encoder=None, id_col: str = "task_id", out: str = "embedding", batch: int = 64) -> DataFrame:
+    """``(id, vector)`` of unit length: hashed words, or the answers of an encoder.
 
-    ``make_encoder()`` returns a function from a list of texts to a matrix; pass
-    a sentence model's loader to use that.  Vectors have unit length.
+    ``make_encoder()`` is called once per task and returns a function from a list
+    of texts to a matrix; pass a sentence model's loader to use that.
     """
+    if make_encoder is None:
+        return hashed_vectors(df, c, id_col, out)
     fields = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, `{out}` array<float>"
 
     def run(batches):

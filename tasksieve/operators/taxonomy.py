@@ -63,20 +63,22 @@ def override_pillars(df: DataFrame, pillars: dict[str, str], label: str = "label
 def knn_redistribute(vec: DataFrame, labels: DataFrame, dissolve: str, k: int = 7, min_conf: float = 0.0,
                      docs: DataFrame | None = None, id_col: str = "task_id", label: str = "label",
                      text: str = "cleaned_text", **search) -> DataFrame:
-    """``(id, proposed_class, confidence, avg_similarity, flag)`` for every row of the dissolved label.
+    """``(id, proposed_class, confidence, avg_similarity, flag, knn_votes)`` for every row of the dissolved label.
 
     The ``k`` most similar rows of other labels vote.  The label with most votes
-    wins, of equals the one seen at the best rank.  Exact; see ``neighbours``.
+    wins, of equals the one seen at the best rank.  ``knn_votes`` lists ``(label, votes)`` by
+    the same order.  Exact; see ``neighbours``.
     """
     units = vec.select(id_col, unit("embedding").alias("embedding"))
     queries = units.join(labels.filter(F.col(label) == dissolve).select(id_col), id_col, "left_semi")
     pool = units.join(labels.filter(F.col(label) != dissolve).select(id_col, label), id_col)
     votes = nearest(queries, pool, k, id_col, carry=label, **search).groupBy(id_col, label).agg(F.count("*").alias("votes"), F.min("rank").alias("first"), F.avg("sim").alias("sim"))
-    best = F.min(F.struct((-F.col("votes")).alias("m"), "first", F.col(label).alias("label"), "sim")).alias("b")
-    share = -F.col("b.m") / k
-    out = votes.groupBy(id_col).agg(best).select(
-        id_col, F.col("b.label").alias("proposed_class"), share.alias("confidence"), F.col("b.sim").alias("avg_similarity"),
-        F.when(share < min_conf, "REVIEW").otherwise("AUTO").alias("flag"))
+    ballot = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("m"), "first", F.col(label).alias("label"), "sim"))).alias("b")
+    best, share = F.col("b")[0], -F.col("b")[0]["m"] / k
+    out = votes.groupBy(id_col).agg(ballot).select(
+        id_col, best["label"].alias("proposed_class"), share.alias("confidence"), best["sim"].alias("avg_similarity"),
+        F.when(share < min_conf, "REVIEW").otherwise("AUTO").alias("flag"),
+        F.transform("b", lambda v: F.struct(v["label"].alias("label"), (-v["m"]).alias("votes"))).alias("knn_votes"))
     if docs is not None:
         out = out.join(docs.select(id_col, F.substring(text, 1, 130).alias("text")), id_col)
     return out

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -55,12 +56,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting it; a bigger table is left to a shuffle join.
+    """Broadcast ``df`` only after counting its rows and bytes; a bigger table is left to a shuffle join.
 
     The table is kept once computed, so counting it does not compute it twice.
     """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    rows, size = kept.limit(max_rows + 1).agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(kept) if rows <= max_rows and size <= BROADCAST_BYTES else kept
 
 
 def unfold(df: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:

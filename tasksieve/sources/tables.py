@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from pathlib import PurePosixPath
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,20 @@ def _flatten(tree: dict, prefix: str = "") -> list[tuple[str, str]]:
     return out
 
 
+def _parsed(spark: SparkSession, path: str) -> dict | list:
+    """The content of one YAML or JSON file, a dictionary kept by hand."""
+    row = spark.read.text(path, wholetext=True).first()
+    text = row["value"] if row else ""
+    if PurePosixPath(path).suffix == ".json":
+        return json.loads(text)
+    import yaml
+
+    try:
+        return yaml.safe_load(text) or {}
+    except yaml.YAMLError as error:
+        raise ValueError(f"{path} is no YAML") from error
+
+
 def read_entity_dict(spark: SparkSession, source: str | dict | list | DataFrame,
                      fallback: dict | list | None = None) -> DataFrame:
     """``(name, category, len)`` from YAML, JSON, a nested mapping, rows or a table.
@@ -55,14 +71,8 @@ def read_entity_dict(spark: SparkSession, source: str | dict | list | DataFrame,
     else:
         if isinstance(source, str):
             try:
-                text = "\n".join(r.value for r in spark.read.text(source).collect())
-                if PurePosixPath(source).suffix == ".json":
-                    source = json.loads(text)
-                else:
-                    import yaml
-
-                    source = yaml.safe_load(text)
-            except Exception:
+                source = _parsed(spark, source)
+            except (AnalysisException, ValueError):  # no such file, or one that can't be parsed
                 if fallback is None:
                     raise
                 source = fallback
@@ -78,13 +88,34 @@ def select_existing(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*[c for c in cols if c in df.columns])
 
 
+def _marked_lines(df: DataFrame) -> DataFrame:
+    """The rows as CSV lines; each task begins its file with the mark and the column names."""
+    header = "\ufeff" + ",".join('"' + c.replace('"', '""') + '"' for c in df.columns)
+    lines = df.select(F.to_csv(F.struct("*"), {"quoteAll": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false",
+                                               "ignoreTrailingWhiteSpace": "false"}).alias("value"))
+
+    def headed(batches):
+        for i, pdf in enumerate(pdf for pdf in batches if len(pdf)):
+            yield pd.concat([pd.DataFrame({"value": [header]}), pdf]) if i == 0 else pdf
+
+    return lines.mapInPandas(headed, "value string")
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = (),
-                mode: str = "overwrite") -> None:
-    """Parquet by default; CSV exports quote everything and turn nested cells into JSON."""
+                mode: str = "overwrite", bom: bool = False) -> None:
+    """Parquet by default; CSV exports quote everything and turn nested cells into JSON.
+
+    With ``bom`` every CSV file starts with the UTF-8 byte order mark that spreadsheets look for.
+    """
     if fmt == "csv":
         nested = [f.name for f in df.schema
                   if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))]
         df = df.withColumns({c: F.to_json(c) for c in nested}) if nested else df
+    if bom:
+        if fmt != "csv" or partition_by:
+            raise ValueError("a byte order mark goes with plain CSV only")
+        _marked_lines(df).write.mode(mode).text(path)
+        return
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True).option("quoteAll", True).option("escape", '"')

@@ -172,3 +172,16 @@ def test_many_spans_give_what_few_do(spark):
             assert log[start].context_window == text[max(0, start - 10):end] + terms.sub("", text[end:])[:10]
             near = text[max(0, start - 5):start] + " " + text[end:end + 5]
             assert ("numeric_adjacent" in log[start].flags) == any(ch.isdigit() for ch in near)
+
+
+def test_dictionary_join_equals_the_pattern(spark):
+    terms = DICTIONARY + [("(K1) fund", "funds"), ("& co.", "suffix"), ("smith", "people"), ("K2", "codes"), ("Gold Harbor (K1)", "mixed")]
+    texts = ["Sync Rewh with orre", "The arcology of Arco", "arco - east, arco-east, ARCO2", "Gold Harbor (K1) fund & Co. end", "ſmith & CO., smiths smith_1 smith",
+             "K2 (k1) Fund x(K1) fund", "", "no name", "émile ä Gold\U0001f600Gold  gold", "Tamsin Bank" * 3, "x" * 5000 + " Rewh" * 700]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate([*texts, None])], "task_id string, text string")
+    want = {r.task_id: r.s for r in df.select("task_id", E.extract_entities(F.col("text"), terms, ("arco",)).alias("s")).collect() if r.s}
+    dictionary = spark.createDataFrame(terms, "name string, category string")
+    got = {r.task_id: r.spans for r in E.dictionary_spans(df, "text", dictionary, ("arco",)).collect()}
+    assert got == want and len(got["10"]) == 700
+    leaks = {(r.task_id, r.value) for r in E.dictionary_leaks(df, "text", dictionary).collect()}
+    assert {v for i, v in leaks if i == "3"} == {"gold", "gold harbor", "gold harbor (k1)", "(k1) fund", "& co."}

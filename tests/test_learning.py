@@ -83,6 +83,30 @@ def test_encoder_gives_unit_vectors_and_keeps_ids(docs):
     assert own["0"][0] / own["0"][1] == pytest.approx(len(TEXTS[0]), rel=1e-4)
 
 
+def test_hashed_vectors_know_words_and_pairs(spark):
+    texts = ["new bank account", "New bank account", "account bank new", "", None, "..."]
+    df = spark.createDataFrame(list(enumerate(texts)), "task_id int, t string")
+    v = {r.task_id: np.array(r.embedding) for r in FE.embed_texts(df, "t").collect()}
+    assert all(len(x) == 256 for x in v.values()) and not v[3].any() and not v[4].any() and not v[5].any()
+    assert v[0] @ v[1] == pytest.approx(1, abs=1e-5) and 0.2 < v[0] @ v[2] < 0.95
+
+
+def test_damping_takes_the_logarithm_of_counts(spark):
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.createDataFrame([(0, Vectors.sparse(4, [1, 3], [1.0, 3.0])), (1, Vectors.sparse(4, [], [])), (2, Vectors.sparse(4, [0], [2.0]))], ["i", "counts_"])
+    got = {r.i: r.tf_.toArray().tolist() for r in FE.SublinearTf().transform(df).collect()}
+    assert got == {0: [0, 1, 0, pytest.approx(1 + np.log(3))], 1: [0] * 4, 2: [pytest.approx(1 + np.log(2)), 0, 0, 0]}
+
+
+def test_csv_begins_with_a_byte_order_mark(spark, tmp_path):
+    df = spark.createDataFrame([("1", ' a "b"\nc', ["x"]), ("2", "é,", [])], "task_id string, name string, tags array<string>").repartition(2, "task_id")
+    S.write_table(df, str(tmp_path / "t"), "csv", bom=True)
+    files = [p.read_bytes() for p in (tmp_path / "t").glob("part-*") if p.stat().st_size]
+    assert files and all(f.startswith(b'\xef\xbb\xbf"task_id","name","tags"\n') for f in files)
+    assert {(r.task_id, r.name) for r in S.read_tasks(spark, str(tmp_path / "t"), ["task_id", "name", "tags"]).collect()} == {("1", ' a "b"\nc'), ("2", "é,")}
+
+
 def test_reduction_keeps_the_main_axis(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 6)) * np.array([5, 1, 0.1, 0.1, 0.1, 0.1])
