@@ -110,7 +110,9 @@ def train_tfidf_logreg(df: DataFrame, text: str = "cleaned_text", label: str = "
     weighted = df.join(small_side(weights), label).persist()
     features = fit_tfidf(weighted, text, vocab=vocab, min_df=min_df)
     stages = _label_stages(label, maxIter=max_iter, regParam=1 / (C * n), weightCol="weight")
-    return _with_names(Pipeline(stages=stages).fit(features.transform(weighted)), list(features.stages))
+    fitted = Pipeline(stages=stages).fit(features.transform(weighted))
+    weighted.unpersist()
+    return _with_names(fitted, list(features.stages))
 
 
 def tfidf_input(df: DataFrame, text: str = "cleaned_text") -> DataFrame:
