@@ -131,7 +131,20 @@ def _(spark, sf):
     return masking.mask_dictionary(texts(spark, sf).select("task_id", "text"), "text", _entity_rules(spark, sf), strategy="join")
 
 
-@query("mask_derived_rules")
+# The rules that follow from the distinct metadata of the task view.
+_DERIVED = {"[CLIENT]": ["Orre Thatin Holdings", "Inoran Family Office", "Inoran Family", "Orre Thatin", "Holdings", "Inoran", "Office", "Orre", "OTH", "IFO"],
+            "[EMPLOYEE]": ["Benoit Marsh", "Ada Quill", "Benoit"]}
+
+
+def _derived_sql(expr):
+    rules = sorted(((t, p) for p, ts in _DERIVED.items() for t in ts), key=lambda r: (-len(r[0]), r[0]))
+    for term, placeholder in rules:
+        for _ in range(2):
+            expr = f"regexp_replace({expr}, {lit(f'(?i)(^|{K.NOT_WORD}){term}({K.NOT_WORD}|$)')}, {lit(rf'\1 {placeholder} \2')}, 'g')"
+    return squeeze(expr)
+
+
+@query("mask_derived_rules", f"WITH {TASKS} SELECT task_id, {_derived_sql('notes')} AS notes FROM tasks")
 def _(spark, sf):
     source = tasks(spark, sf, heavy=True)
     return masking.mask_dictionary(source.select("task_id", "notes"), "notes", masking.derive_mask_rules(source))
@@ -384,19 +397,6 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- end to end
 
-# The rules that follow from the distinct metadata of the task view.
-_DERIVED = {"[CLIENT]": ["Orre Thatin Holdings", "Inoran Family Office", "Inoran Family", "Orre Thatin", "Holdings", "Inoran", "Office", "Orre", "OTH", "IFO"],
-            "[EMPLOYEE]": ["Benoit Marsh", "Ada Quill", "Benoit"]}
-
-
-def _derived_sql(expr):
-    rules = sorted(((t, p) for p, ts in _DERIVED.items() for t in ts), key=lambda r: (-len(r[0]), r[0]))
-    for term, placeholder in rules:
-        for _ in range(2):
-            expr = f"regexp_replace({expr}, {lit(f'(?i)(^|{K.NOT_WORD}){term}({K.NOT_WORD}|$)')}, {lit(rf'\1 {placeholder} \2')}, 'g')"
-    return squeeze(expr)
-
-
 _NAME_AND_NOTES = strip(f"array_to_string(list_filter([name, {clean_sql('notes', markup=False)}], lambda x: x <> ''), ' ')")
 _CORPUS = f"""{TASKS}, kept AS (SELECT * FROM tasks WHERE parent_task = '' AND NOT contains(lower(name), 'helperbot') AND NOT contains(lower(name), 'working session')
   AND NOT (name = '' AND notes = '')),
