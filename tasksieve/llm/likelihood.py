@@ -17,7 +17,11 @@ from tasksieve.session import checkpointed
 KINDS = 32
 REACH = 2
 WIDTH, HIDDEN = 12, 64
+#: Slices and steps are the least number; both grow with the windows. A slice has about SLICE_ROWS distinct windows.
 SLICES, ROUNDS, STEPS, BATCH = 8, 3, 150, 1024
+SLICE_ROWS = 1 << 17
+#: Averages are sums of whole numbers, so that their order has no say: a weight of 1 as such a number.
+ONE = 1 << 40
 
 
 def kind_table() -> np.ndarray:
@@ -74,16 +78,28 @@ class WindowNetwork:
         return self._forward(code)[3][np.arange(len(code)), code & 31]
 
     def train(self, code: np.ndarray, count: np.ndarray, steps: int, batch: int, seed: int, rate: float) -> None:
-        """Adam steps on windows drawn in proportion to their counts."""
+        """Adam steps in passes over all windows, each weighing as much as it occurs, until at least ``steps`` are taken.
+
+        A window with over four times the mean count is dealt as several rows that share it, a
+        quarter more rows at most: no mini-batch is ruled by one window.
+        """
         rng = np.random.default_rng(seed)
-        total = np.cumsum(count.astype(np.float64))
+        parts = np.ceil(count / (4 * count.mean())).astype(np.int64)
+        rows = np.repeat(np.arange(len(code)), parts)
+        weight = (count / parts)[rows].astype(np.float32)
+        weight /= weight.mean()
         first, second = [np.zeros_like(w) for w in self.weights], [np.zeros_like(w) for w in self.weights]
-        for t in range(1, steps + 1):
-            some = code[np.searchsorted(total, rng.random(batch) * total[-1], side="right").clip(0, len(code) - 1)]
+        per_pass = -(-len(rows) // batch)
+        for t in range(1, per_pass * max(1, -(-steps // per_pass)) + 1):
+            start = (t - 1) % per_pass * batch
+            if not start:
+                order = rng.permutation(len(rows))
+            at = order[start:start + batch]
+            some = code[rows[at]]
             context, x, h, logp = self._forward(some)
             dz = np.exp(logp)
-            dz[np.arange(batch), some & 31] -= 1
-            dz /= batch
+            dz[np.arange(len(some)), some & 31] -= 1
+            dz *= weight[at, None] / batch
             embed, w1, _, w2, _ = self.weights
             dh = (dz @ w2.T) * (1 - h * h)
             dx = dh @ w1.T
@@ -135,13 +151,19 @@ def _groups(texts, size: int = 1 << 24):
         yield group
 
 
-def train_network(counts: DataFrame, slices: int = SLICES, rounds: int = ROUNDS, steps: int = STEPS, batch: int = BATCH, seed: int = 0) -> WindowNetwork:
-    """A network trained on the counts of the whole corpus.
+def train_network(counts: DataFrame, slices: int = SLICES, rounds: int = ROUNDS, steps: int = STEPS, batch: int = BATCH, seed: int = 0, slice_rows: int = SLICE_ROWS) -> WindowNetwork:
+    """A network trained on every counted window of the whole corpus.
 
-    In each round every slice of the windows takes its own steps from the common weights, and the
-    weights are averaged, each slice counting as much as its windows occur.  Only weights travel.
+    The windows are dealt over as many slices as their number asks for, ``slices`` at least.  In each
+    round every slice passes over all its windows from the common weights, ``steps`` mini-batches at
+    least, and the weights are averaged, each slice counting as much as its windows occur.  Sums of
+    weights are all that reaches the driver, whatever the number of slices.
     """
     network = WindowNetwork.fresh(seed)
+    rows, total = counts.agg(F.count("*"), F.sum("n")).first()
+    if not rows:
+        return network
+    slices = max(slices, -(-rows // slice_rows))
     sliced = checkpointed(counts.withColumn("slice", F.pmod(F.xxhash64("code"), F.lit(slices)).cast("int")))
     for r in range(rounds):
         rate = 0.01 * 0.5**r
@@ -150,12 +172,12 @@ def train_network(counts: DataFrame, slices: int = SLICES, rounds: int = ROUNDS,
             frame = frame.sort_values("code")
             local = WindowNetwork([w.copy() for w in network.weights])
             local.train(frame["code"].to_numpy(), frame["n"].to_numpy(), steps, batch, seed + 1000 * r + int(frame["slice"].iloc[0]), rate)
-            return pd.DataFrame({"slice": [int(frame["slice"].iloc[0])], "n": [float(frame["n"].sum())], "weights": [np.concatenate([w.ravel() for w in local.weights])]})
+            flat = np.concatenate([w.ravel() for w in local.weights]).astype(np.float64)
+            return pd.DataFrame({"place": np.arange(len(flat), dtype=np.int32), "share": np.rint(flat * (frame["n"].sum() / total * ONE)).astype(np.int64)})
 
-        got = sliced.groupBy("slice").applyInPandas(learn, "slice int, n double, weights array<float>").orderBy("slice").collect()
-        if not got:
-            break
-        flat = np.average([g["weights"] for g in got], axis=0, weights=[g["n"] for g in got]).astype(np.float32)
+        learned = sliced.repartition(min(4 * slices, 4096), "slice").groupBy("slice").applyInPandas(learn, "place int, share bigint")
+        got = learned.groupBy("place").agg(F.sum("share").alias("share")).orderBy("place").toPandas()
+        flat = (got["share"].to_numpy() / ONE).astype(np.float32)
         cuts = np.cumsum([w.size for w in network.weights])[:-1]
         network = WindowNetwork([part.reshape(w.shape) for part, w in zip(np.split(flat, cuts), network.weights)])
     return network

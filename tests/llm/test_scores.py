@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tasksieve.llm.likelihood import REACH, WindowNetwork, corpus_windows, kind_table, pseudo_likelihood, windows
+from tasksieve.llm.likelihood import REACH, WindowNetwork, corpus_windows, kind_table, pseudo_likelihood, train_network, windows
 from tasksieve.llm.quality import fit_evidence, quality_scores
 from tasksieve.llm.queries import QUERIES
 from tests.llm.conftest import FOLDER, ODD
@@ -116,6 +116,35 @@ def test_scores_sum_over_all_tokens_and_tell_texts_apart(spark):
     assert scored[-1]["mean_log_prob"] < min(r["mean_log_prob"] for i, r in scored.items() if i != -1 and r["n_tokens"] > 300)
 
 
+def test_training_passes_over_every_window():
+    class Watched(WindowNetwork):
+        def _forward(self, code):
+            seen.extend(code.tolist())
+            return super()._forward(code)
+
+    rng = np.random.default_rng(3)
+    code, count = np.arange(5000, dtype=np.int32) * 6007, rng.integers(1, 50, 5000)
+    count[7] = 100_000
+    for steps, passes in ((1, 1), (30, 2)):
+        seen = []
+        net = Watched(WindowNetwork.fresh(1).weights)
+        net.train(code, count, steps, 256, 0, 0.01)
+        times = dict(zip(*np.unique(seen, return_counts=True)))
+        assert set(times) == set(code.tolist()) and all(n % passes == 0 for n in times.values()) and len(seen) <= 1.25 * passes * len(code) + passes
+
+
+def test_slices_grow_with_the_windows(spark):
+    """Four times the windows get four times the mini-batches, and each of them goes into the average."""
+    rows = [(int(c), 1 + c % 3) for c in range(0, 1 << 25, 1 << 13)]
+    counts = spark.createDataFrame(rows, "code int, n bigint")
+    few, many = (train_network(counts, slices=1, rounds=1, steps=1, batch=64, slice_rows=n) for n in (1 << 20, 1 << 10))
+    assert not np.allclose(few.weights[1], many.weights[1])
+    code, n = np.array([r[0] for r in rows], np.int32), np.array([r[1] for r in rows])
+    alone = WindowNetwork.fresh(0)
+    alone.train(code, n, 1, 64, 0, 0.01)
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(few.weights, alone.weights))
+
+
 def test_scores_odd_rows(documents):
     docs = documents([(*r, "x", 1) for r in ODD], ", code string, n int")
     got = pseudo_likelihood(docs, steps=20, rounds=1).collect()
