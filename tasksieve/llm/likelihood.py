@@ -1,4 +1,4 @@
-"""Masked pseudo-likelihood: a bidirectional window network that predicts every token from both sides."""
+"""Masked pseudo-likelihood: a bidirectional window network that predicts every byte from both sides."""
 
 from __future__ import annotations
 
@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from tasksieve.llm.common import raw_bytes
 from tasksieve.session import checkpointed
 
-#: Tokens are bytes in 32 kinds; a window has two on each side: 25 bits with the token in the middle.
+#: A token is a byte plus 1, or 0 beyond the text; a window has two on each side: 45 bits with the token in the middle.
+TOKENS = 257
+#: Tokens of ``kind_table``, with windows of 25 bits.
 KINDS = 32
 REACH = 2
 WIDTH, HIDDEN = 12, 64
@@ -22,10 +24,17 @@ SLICES, ROUNDS, STEPS, BATCH = 8, 3, 150, 1024
 SLICE_ROWS = 1 << 17
 #: Averages are sums of whole numbers, so that their order has no say: a weight of 1 as such a number.
 ONE = 1 << 40
+#: Windows whose log-probability a process remembers.
+KNOWN = 1 << 22
+
+
+def byte_table() -> np.ndarray:
+    """Token of every byte; 0 is kept for what is beyond the text."""
+    return np.arange(1, TOKENS, dtype=np.int32)
 
 
 def kind_table() -> np.ndarray:
-    """Kind of every byte: 0 beyond the text, a-z without case 1-26, digit 27, blank 28, other ASCII 29, UTF-8 lead 30, continuation 31."""
+    """Coarse tokens, which the query does not use: kind of every byte, 0 beyond the text, a-z without case 1-26, digit 27, blank 28, other ASCII 29, UTF-8 lead 30, continuation 31."""
     table = np.full(256, 29, np.int32)
     table[65:91] = table[97:123] = np.arange(1, 27)
     table[48:58] = 27
@@ -36,14 +45,15 @@ def kind_table() -> np.ndarray:
 
 
 def windows(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The window of every byte of all texts (five kinds in 25 bits, the middle one lowest), and the bytes of each text."""
+    """The window of every byte of all texts (five tokens of equal width, the middle one lowest), and the bytes of each text."""
+    bits = int(table.max()).bit_length()
     sizes = np.array([len(t) for t in texts], np.int64)
     edge = np.zeros(REACH, np.int32)
-    kinds = np.concatenate([edge, *[x for t in texts for x in (table[np.frombuffer(t, np.uint8)], edge)]])
-    n = len(kinds) - 2 * REACH
-    code = kinds[REACH:REACH + n].copy()
+    tokens = np.concatenate([edge, *[x for t in texts for x in (table[np.frombuffer(t, np.uint8)], edge)]])
+    n = len(tokens) - 2 * REACH
+    code = tokens[REACH:REACH + n].astype(np.int64)
     for k, at in enumerate((0, 1, 3, 4)):
-        code |= kinds[at:at + n] << (5 * (k + 1))
+        code |= tokens[at:at + n].astype(np.int64) << (bits * (k + 1))
     inside = np.ones(n, bool)
     ends = np.cumsum(sizes + REACH)
     for k in range(1, REACH + 1):
@@ -54,20 +64,24 @@ def windows(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class WindowNetwork:
-    """Embeddings of the four neighbours, one tanh layer, a softmax over the token's kind."""
+    """Embeddings of the four neighbours, one tanh layer, a softmax over the tokens."""
 
     weights: list[np.ndarray]
-    known: np.ndarray | None = field(default=None, repr=False)
+    known: tuple[np.ndarray, np.ndarray] | None = field(default=None, repr=False)
+
+    @property
+    def bits(self) -> int:
+        return (len(self.weights[-1]) - 1).bit_length()
 
     @staticmethod
-    def fresh(seed: int) -> WindowNetwork:
+    def fresh(seed: int, tokens: int = KINDS) -> WindowNetwork:
         rng = np.random.default_rng(seed)
-        shapes = [(2 * REACH, KINDS, WIDTH), (2 * REACH * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, KINDS), (KINDS,)]
+        shapes = [(2 * REACH, tokens, WIDTH), (2 * REACH * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, tokens), (tokens,)]
         return WindowNetwork([(rng.standard_normal(s) * (0.3 if len(s) == 3 else s[0] ** -0.5 if len(s) == 2 else 0)).astype(np.float32) for s in shapes])
 
     def _forward(self, code: np.ndarray):
         embed, w1, b1, w2, b2 = self.weights
-        context = np.stack([code >> (5 * (k + 1)) & 31 for k in range(2 * REACH)], axis=1)
+        context = np.stack([code >> (self.bits * (k + 1)) & ((1 << self.bits) - 1) for k in range(2 * REACH)], axis=1)
         x = np.concatenate([embed[k][context[:, k]] for k in range(2 * REACH)], axis=1)
         h = np.tanh(x @ w1 + b1)
         z = h @ w2 + b2
@@ -75,7 +89,7 @@ class WindowNetwork:
         return context, x, h, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
     def log_probs(self, code: np.ndarray) -> np.ndarray:
-        return self._forward(code)[3][np.arange(len(code)), code & 31]
+        return self._forward(code)[3][np.arange(len(code)), code & ((1 << self.bits) - 1)]
 
     def train(self, code: np.ndarray, count: np.ndarray, steps: int, batch: int, seed: int, rate: float) -> None:
         """Adam steps in passes over all windows, each weighing as much as it occurs, until at least ``steps`` are taken.
@@ -98,7 +112,7 @@ class WindowNetwork:
             some = code[rows[at]]
             context, x, h, logp = self._forward(some)
             dz = np.exp(logp)
-            dz[np.arange(len(some)), some & 31] -= 1
+            dz[np.arange(len(some)), some & ((1 << self.bits) - 1)] -= 1
             dz *= weight[at, None] / batch
             embed, w1, _, w2, _ = self.weights
             dh = (dz @ w2.T) * (1 - h * h)
@@ -112,33 +126,36 @@ class WindowNetwork:
                 w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
 
     def looked_up(self, code: np.ndarray) -> np.ndarray:
-        """Log-probabilities of windows; each distinct window goes through the network once a process (2^25 at most)."""
+        """Log-probabilities of windows; a process remembers the latest in a table of fixed size, one window a slot."""
         if self.known is None:
-            self.known = np.zeros(1 << 25, np.float32)  # zero: not known yet, as no probability is 1
-        found = self.known[code]
-        missing = np.unique(code[found == 0])
+            self.known = np.full(KNOWN, -1, np.int64), np.zeros(KNOWN, np.float32)
+        held, value = self.known
+        slot = ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - KNOWN.bit_length())).astype(np.int64)
+        found = value[slot]
+        missing = np.flatnonzero(held[slot] != code)
         if len(missing):
-            for start in range(0, len(missing), 1 << 16):
-                some = missing[start:start + (1 << 16)]
-                self.known[some] = np.minimum(self.log_probs(some), -1e-9)
-            found = self.known[code]
+            new, which = np.unique(code[missing], return_inverse=True)
+            fresh = np.concatenate([self.log_probs(new[start:start + (1 << 14)]) for start in range(0, len(new), 1 << 14)])
+            found[missing] = fresh[which]
+            places, first = np.unique(slot[missing], return_index=True)
+            held[places], value[places] = code[missing][first], found[missing][first]
         return found
 
 
 def corpus_windows(rows: DataFrame) -> DataFrame:
-    """How often every window occurs in the whole corpus: ``code``, ``n``; 2^25 rows at most, whatever the corpus."""
-    table = kind_table()
+    """How often every window of five bytes occurs in the whole corpus: ``code``, ``n``; shuffled by window."""
+    table = byte_table()
 
     def count(batches):
         for batch in batches:
             for group in _groups(batch.column("raw")):
                 code, n = np.unique(windows(group, table)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code, pa.int32()), pa.array(n, pa.int64())], names=["code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
 
-    return checkpointed(rows.select("raw").mapInArrow(count, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")))
+    return checkpointed(rows.select("raw").mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")))
 
 
-def _groups(texts, size: int = 1 << 24):
+def _groups(texts, size: int = 1 << 23):
     """Texts in lists of about ``size`` bytes."""
     group, held = [], 0
     for text in texts:
@@ -159,7 +176,7 @@ def train_network(counts: DataFrame, slices: int = SLICES, rounds: int = ROUNDS,
     least, and the weights are averaged, each slice counting as much as its windows occur.  Sums of
     weights are all that reaches the driver, whatever the number of slices.
     """
-    network = WindowNetwork.fresh(seed)
+    network = WindowNetwork.fresh(seed, TOKENS)
     rows, total = counts.agg(F.count("*"), F.sum("n")).first()
     if not rows:
         return network
@@ -188,7 +205,7 @@ def score_texts(docs: DataFrame, network: WindowNetwork, id: str = "doc_id", tex
 
     Null and empty texts have no token and 0 for both.  Columns other than id and text are not looked at.
     """
-    table = kind_table()
+    table = byte_table()
     shared = docs.sparkSession.sparkContext.broadcast(network)  # some thousand weights
 
     def score(batches):

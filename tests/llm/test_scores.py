@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tasksieve.llm.likelihood import REACH, WindowNetwork, corpus_windows, kind_table, pseudo_likelihood, train_network, windows
+from tasksieve.llm.likelihood import REACH, TOKENS, WindowNetwork, byte_table, corpus_windows, kind_table, pseudo_likelihood, train_network, windows
 from tasksieve.llm.quality import fit_evidence, quality_scores
 from tasksieve.llm.queries import QUERIES
 from tests.llm.conftest import FOLDER, ODD
@@ -135,16 +135,51 @@ def test_training_passes_over_every_window():
 
 def test_slices_grow_with_the_windows(spark):
     """Four times the windows get four times the mini-batches, and each of them goes into the average."""
-    rows = [(int(c), 1 + c % 3) for c in range(0, 1 << 25, 1 << 13)]
-    counts = spark.createDataFrame(rows, "code int, n bigint")
+    text = np.random.default_rng(5).integers(97, 123, 4096, dtype=np.uint8).tobytes()
+    rows = [(c, 1 + c % 3) for c in sorted(set(windows([text], byte_table())[0].tolist()))]
+    counts = spark.createDataFrame(rows, "code bigint, n bigint")
     few, many = (train_network(counts, slices=1, rounds=1, steps=1, batch=64, slice_rows=n) for n in (1 << 20, 1 << 10))
     assert not np.allclose(few.weights[1], many.weights[1])
-    code, n = np.array([r[0] for r in rows], np.int32), np.array([r[1] for r in rows])
-    alone = WindowNetwork.fresh(0)
+    code, n = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    alone = WindowNetwork.fresh(0, TOKENS)
     alone.train(code, n, 1, 64, 0, 0.01)
     assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(few.weights, alone.weights))
 
 
+def test_every_byte_has_a_say(documents):
+    """Texts that differ in case, digits, punctuation, accents or the order of non-Latin letters get scores of their own."""
+    rng = np.random.default_rng(8)
+    words = "мир труд свет город река книга школа".split(), "λόγος κόσμος θάλασσα ημέρα".split(), "مدينة كتاب نهر مدرسة".split(), "中文語言 漢字書籍 河流城市".split()
+    rows = [(i, " ".join(rng.choice(words[i % 4], 60)), "xx", "s") for i in range(40)]
+    mixed = []
+    for i, text, *_ in rows[:4]:
+        parts = [list(w) for w in text.split()]
+        letters = [c for w in parts for c in w]
+        rng.shuffle(letters)  # letters go to other places with as many bytes, blanks stay
+        pool = {k: [c for c in letters if len(c.encode()) == k] for k in range(1, 5)}
+        mixed.append((100 + i, " ".join("".join(pool[len(c.encode())].pop() for c in w) for w in parts), "xx", "s"))
+    variants = ["Paid 100 euros, on 3 May.", "paid 100 euros, on 3 may.", "Paid 927 euros, on 8 May.", "Paid 100 euros# on 3 May%", "école très près", "êcolë trés prês"]
+    rows += mixed + [(200 + k, v, "xx", "s") for k, v in enumerate(variants)]
+    got = {r["key"]: (r["n_tokens"], r["log_prob"]) for r in pseudo_likelihood(documents(rows)).collect()}
+    assert all(got[i][0] == got[100 + i][0] and got[i][1] > got[100 + i][1] + 1 for i in range(4))
+    assert len({round(got[200 + k][1], 3) for k in range(len(variants))}) == len(variants)
+
+
+def test_remembered_windows_make_room():
+    net = WindowNetwork.fresh(2, TOKENS)
+    net.known = np.full(1 << 22, -1, np.int64), np.zeros(1 << 22, np.float32)
+    rng = np.random.default_rng(1)
+    for _ in range(3):
+        text = rng.integers(0, 256, 30_000, dtype=np.uint8).tobytes()
+        code = windows([text, text[:100]], byte_table())[0]
+        for _ in range(2):
+            assert np.allclose(net.looked_up(code), net.log_probs(code), atol=1e-5)
+    a, b = (np.flatnonzero(net.known[0] >= 0)[:2]).tolist()
+    code = net.known[0][[a, b]]
+    net.known[0][a] = code[1]  # another window sits in the slot of the first
+    assert np.allclose(net.looked_up(code), net.log_probs(code), atol=1e-5)
+
+
 def test_scores_odd_rows(documents):
     docs = documents([(*r, "x", 1) for r in ODD], ", code string, n int")
     got = pseudo_likelihood(docs, steps=20, rounds=1).collect()
