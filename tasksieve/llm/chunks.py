@@ -15,8 +15,8 @@ from tasksieve.llm.common import BROADCAST_BYTES, raw_bytes, row_tag
 from tasksieve.session import checkpointed
 
 #: A cut follows a byte where the leading CUT_BITS bits of the hash of the last 32 bytes are zero.
-CUT_BITS = 5
-LEAST_BYTES = 32
+CUT_BITS = 4
+LEAST_BYTES = 16
 MOST_BYTES = 512
 #: Repeated chunks that touch are removed if they have so many bytes together.
 RUN_BYTES = 64

@@ -118,6 +118,20 @@ def test_chunk_passages_are_caught(documents):
     assert all((got[i] > 0) == (i % 2 == 1 and i > 1) for i in got)
 
 
+def test_chunk_passages_of_two_copies(documents):
+    """A passage of 250 bytes in two documents with other surroundings is caught for every seed, and most of its bytes go."""
+    size, seeds, rows = 250, 80, []
+    for seed in range(seeds):
+        rng = random.Random(1000 + seed)
+        text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
+        passage = text(90)[:size]
+        rows += [(2 * seed, f"{text(40)} {passage} {text(30)}", "en", "s"), (2 * seed + 1, f"{text(50)} {passage} {text(20)}", "en", "s")]
+    got = {r["key"]: r["n_removed"] for r in chunk_dedup(documents(rows)).collect()}
+    shares = [got[2 * seed + 1] / size for seed in range(seeds)]
+    assert not any(got[2 * seed] for seed in range(seeds))
+    assert min(shares) > 0 and sum(shares) / seeds > 0.65
+
+
 def test_chunk_odd_rows(documents):
     docs = documents([(*r, 1, "x") for r in ODD], ", number int, tag string")
     got = chunk_dedup(docs, texts=True).collect()
