@@ -234,13 +234,25 @@ def _behind(pieces: Column, hit: Column) -> Column:
     return F.substring(covered, hit["len"] + 1, F.length(covered))
 
 
+def _mask_odd(df: DataFrame, c: str, rules: DataFrame, out: str, id_col: str) -> DataFrame:
+    """``mask_with_terms`` for any number of terms, by a join with the words and single other characters of the texts."""
+    from tasksieve.operators.entities import dictionary_spans, replace_spans
+
+    entries = rules.select(F.col("variant").alias("name"), F.coalesce("placeholder", F.lit("[MASKED]")).alias("category"))
+    spans = dictionary_spans(df.select(id_col, c), c, entries, id_col=id_col).withColumnRenamed("spans", "__odd")
+    filled = replace_spans(F.col(c), F.col("__odd"), lambda s: F.concat(F.lit(" "), s["category"], F.lit(" ")))
+    masked = F.when(F.col("__odd").isNull(), F.col(c)).otherwise(filled)
+    return (df.join(spans, id_col, "left")
+            .withColumn(out, trim_ws(F.regexp_replace(masked, r"[ \t]{2,}", " "))).drop("__odd"))
+
+
 def mask_dictionary(df: DataFrame, c: str, rules: DataFrame, out: str | None = None,
                     strategy: str = "auto", id_col: str = "task_id") -> DataFrame:
     """Mask the dictionary terms of ``rules (variant, placeholder)`` in column ``c``.
 
     Up to ``REGEX_RULES`` rules become one pattern and the texts are only read;
     more rules are joined.  Both mask every term; terms that don't begin with a word
-    character (up to ``REGEX_RULES`` of them) are masked by a pattern before the join.
+    character are masked before, by a pattern or, beyond ``REGEX_RULES`` of them, by a join of their own.
     """
     out = out or c
     if strategy != "join":
@@ -254,8 +266,9 @@ def mask_dictionary(df: DataFrame, c: str, rules: DataFrame, out: str | None = N
     begins = F.col("variant").rlike(f"^{K.WORD}")
     odd = rules.filter(~begins).select("variant", "placeholder").limit(REGEX_RULES + 1).collect()
     if len(odd) > REGEX_RULES:
-        raise ValueError(f"more than {REGEX_RULES} terms that begin with no word character")
-    if odd:
+        df = _mask_odd(df, c, rules.filter(~begins), out, id_col)
+        c, rules = out, rules.filter(begins)
+    elif odd:
         df = df.withColumn(out, mask_with_terms(F.col(c), [(r["variant"], r["placeholder"]) for r in odd]))
         c, rules = out, rules.filter(begins)
     spans = (dictionary_matches(df, c, rules, id_col).groupBy(id_col)

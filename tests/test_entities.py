@@ -126,6 +126,18 @@ def test_masking_loses_nothing(spark):
     assert [x.category for x in spans] == ["people", "people"]
 
 
+def test_masking_of_many_terms_that_begin_with_no_word_character(spark):
+    rules = [("smith", "[A]"), ("(K1) fund", "[B]"), ("(K1", "[X]"), ("& co.", "[C]"), ("\u212aelvin", "[D]"), ("#7", "[E]"), ("co. for", "[Y]")]
+    many = rules + [(f"#zz{i}q", "[Z]") for i in range(M.REGEX_RULES + 1)]
+    texts = ["smith & co. for the (k1) FUND, #7 and #77 a#7", "#ZZ5q#zz2000q  (k1 kelvin", "no term", "", None]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "task_id string, text string")
+    schema = "variant string, placeholder string"
+    got = {r.task_id: r.text for r in M.mask_dictionary(df, "text", spark.createDataFrame(many, schema)).collect()}
+    few = spark.createDataFrame(rules + [("#zz5q", "[Z]"), ("#zz2000q", "[Z]")], schema)
+    want = {r.task_id: r.text for r in M.mask_dictionary(df, "text", few, strategy="join").collect()}
+    assert got == want and len(got) == len(texts) and got["0"].startswith("[A] [C] for the [B] , [E] and #77")
+
+
 def test_log_context_beyond_many_touching_spans(spark):
     text = "abcdefghijklm tail text"
     spans = [(c, "x", i, i + 1) for i, c in enumerate(text[:13])]
