@@ -14,6 +14,7 @@ from tasksieve.llm.mixing import Mix
 from tasksieve.llm.pieces import encode_documents
 from tasksieve.llm.quality import quality_scores
 from tasksieve.llm.simhash import simhash_groups
+from tasksieve.llm.spelling import spelling_variants
 from tasksieve.llm.suffixes import substring_dedup
 from tasksieve.llm.urls import judge_pages
 from tasksieve.llm.vectors import embedding_groups
@@ -76,7 +77,11 @@ def op11_redirect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_pages(read(spark, sf_dir, "pages", "page_id"), URL_RULES).withColumnRenamed("key", "page_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_exact_dedup, op4_chunk_dedup, op5_embedding_dedup, op6_language_id, op7_pseudo_likelihood, op8_mix_sources, op9_suffix_dedup, op10_sentencepiece, op11_redirect_rules)}
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read(spark, sf_dir, "documents", "doc_id"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_exact_dedup, op4_chunk_dedup, op5_embedding_dedup, op6_language_id, op7_pseudo_likelihood, op8_mix_sources, op9_suffix_dedup, op10_sentencepiece, op11_redirect_rules, op12_spelling_variants)}
 
 ORACLE = {
     "op3_exact_dedup": """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
