@@ -18,6 +18,7 @@ from tasksieve.llm.spelling import spelling_variants
 from tasksieve.llm.suffixes import substring_dedup
 from tasksieve.llm.urls import judge_pages
 from tasksieve.llm.vectors import embedding_groups
+from tasksieve.llm.whitening import whiten
 from tasksieve.sources.tables import table
 
 
@@ -81,7 +82,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(read(spark, sf_dir, "documents", "doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_exact_dedup, op4_chunk_dedup, op5_embedding_dedup, op6_language_id, op7_pseudo_likelihood, op8_mix_sources, op9_suffix_dedup, op10_sentencepiece, op11_redirect_rules, op12_spelling_variants)}
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings", "vec_id")).withColumnRenamed("key", "vec_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_exact_dedup, op4_chunk_dedup, op5_embedding_dedup, op6_language_id, op7_pseudo_likelihood, op8_mix_sources, op9_suffix_dedup, op10_sentencepiece, op11_redirect_rules, op12_spelling_variants, op13_embedding_whitening)}
 
 ORACLE = {
     "op3_exact_dedup": """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
