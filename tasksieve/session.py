@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
+#: Slices of a group whose first rows are found before those of the group.
+TOP_SLICES = 32
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -80,14 +82,19 @@ def rows_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame
     return spark.createDataFrame(rows, schema)
 
 
-def top_per_group(df: DataFrame, group: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
-    """The first ``k`` rows of each group.
+def top_per_group(df: DataFrame, group: list[str], order: list, k: int, rank: str = "rank", slices: int = TOP_SLICES) -> DataFrame:
+    """The first ``k`` rows of each group, in two levels.
 
-    ``row_number() <= k`` is planned with a group limit on the map side, so every
-    task ships at most ``k`` rows per group, however large the group is.
+    ``row_number() <= k`` is planned with a group limit on the map side, so every task ships at most
+    ``k`` rows per group, however large the group is.  The tasks' rows of a group meet in ``slices`` slices
+    first, each cut to ``k`` again, so the last task of a group reads ``slices`` x ``k`` rows at most,
+    whatever the number of tasks before.
     """
-    window = Window.partitionBy(*group).orderBy(*order)
-    first = df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
+    part = "__top_slice"
+    dealt = df.withColumn(part, F.pmod(F.spark_partition_id(), F.lit(slices)))
+    some = (dealt.withColumn(rank, F.row_number().over(Window.partitionBy(*group, part).orderBy(*order)))
+            .filter(F.col(rank) <= k).drop(part, rank))
+    first = some.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col(rank) <= k)
     return first.withColumn(rank, F.col(rank).cast("bigint"))
 
 

@@ -74,3 +74,22 @@ def test_written_steps_keep_rows_and_types(spark):
     df = spark.createDataFrame([("1", [1.0], None), ("2", [], "x")], "task_id string, v array<double>, s string")
     back = checkpointed(df)
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect())) and back.schema.simpleString() == df.schema.simpleString()
+
+
+def test_top_per_group_in_two_levels(spark):
+    """The last task of a group reads slices x k rows at most, whatever the number of tasks before."""
+    from tasksieve.session import top_per_group
+
+    rows = spark.range(0, 20_000, 1, 211).selectExpr("if(id % 10 < 7, 0, id % 5) AS g", "pmod(xxhash64(id), 500) AS v", "id", "id AS rank")
+    plain = {}
+    for g, v, i in rows.select("g", "v", "id").collect():
+        plain.setdefault(g, []).append((v, i))
+    for k, slices in ((3, 4), (1, 32), (7, 1)):
+        top = top_per_group(rows, ["g"], [F.asc("v"), F.asc("id")], k, slices=slices)
+        got = {}
+        for r in top.orderBy("g", "rank").collect():
+            got.setdefault(r["g"], []).append((r["v"], r["id"]))
+            assert r["rank"] == len(got[r["g"]])
+        assert got == {g: sorted(x)[:k] for g, x in plain.items()}
+        before = top._jdf.queryExecution().executedPlan().toString()
+        assert before.count("WindowGroupLimit") >= 4 and before.count("Exchange") == 2
