@@ -25,7 +25,9 @@ SLICE_ROWS = 1 << 17
 #: Averages are sums of whole numbers, so that their order has no say: a weight of 1 as such a number.
 ONE = 1 << 40
 #: Windows whose log-probability a process remembers.
-KNOWN = 1 << 22
+KNOWN = 1 << 21
+#: Bytes of text worked on at once; each takes some 50 bytes of working space.
+GROUP_BYTES = 1 << 20
 
 
 def byte_table() -> np.ndarray:
@@ -44,8 +46,12 @@ def kind_table() -> np.ndarray:
     return table
 
 
-def windows(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The window of every byte of all texts (five tokens of equal width, the middle one lowest), and the bytes of each text."""
+def windows(texts: list[bytes], table: np.ndarray, beside: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The window of every byte of all texts (five tokens of equal width, the middle one lowest), and the bytes of each text.
+
+    ``beside`` says how many bytes at the beginning and end of each text are only there to be seen by
+    their neighbours, as the text is a piece of a longer one; they have no windows of their own.
+    """
     bits = int(table.max()).bit_length()
     sizes = np.array([len(t) for t in texts], np.int64)
     edge = np.zeros(REACH, np.int32)
@@ -59,9 +65,35 @@ def windows(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for k in range(1, REACH + 1):
         gap = ends - k
         inside[gap[gap < n]] = False
+    if beside is not None:
+        for at, size, (before, after) in zip(ends - REACH - sizes, sizes, beside):
+            inside[at:at + before] = False
+            inside[at + size - after:at + size] = False
+        sizes = sizes - np.array([x + y for x, y in beside], np.int64)
     return code[inside], sizes
 
 
+def pieces(texts, size: int = GROUP_BYTES):
+    """Lists of about ``size`` bytes: (number of the text, bytes, bytes of its neighbours on either side).
+
+    A longer text is cut in overlapping pieces, so what is worked on at once is bounded whatever the
+    texts.  Every text is in at least one list.  ``texts`` is an Arrow column; its bytes are not copied.
+    """
+    group, held = [], 0
+    for number, text in enumerate(texts):
+        raw = memoryview(text.as_buffer())
+        for start in range(0, max(1, len(raw)), size):
+            end = min(len(raw), start + size)
+            before, after = min(start, REACH), min(len(raw) - end, REACH)
+            group.append((number, raw[start - before:end + after], (before, after)))
+            held += end - start
+            if held >= size:
+                yield group
+                group, held = [], 0
+    if group:
+        yield group
+
+
 @dataclass
 class WindowNetwork:
     """Embeddings of the four neighbours, one tanh layer, a softmax over the tokens."""
@@ -148,26 +180,13 @@ def corpus_windows(rows: DataFrame) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            for group in _groups(batch.column("raw")):
-                code, n = np.unique(windows(group, table)[0], return_counts=True)
+            for group in pieces(batch.column("raw")):
+                code, n = np.unique(windows([x for _, x, _ in group], table, [x for _, _, x in group])[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
 
     return checkpointed(rows.select("raw").mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")))
 
 
-def _groups(texts, size: int = 1 << 23):
-    """Texts in lists of about ``size`` bytes."""
-    group, held = [], 0
-    for text in texts:
-        group.append(text.as_py())
-        held += len(group[-1])
-        if held >= size:
-            yield group
-            group, held = [], 0
-    if group:
-        yield group
-
-
 def train_network(counts: DataFrame, slices: int = SLICES, rounds: int = ROUNDS, steps: int = STEPS, batch: int = BATCH, seed: int = 0, slice_rows: int = SLICE_ROWS) -> WindowNetwork:
     """A network trained on every counted window of the whole corpus.
 
@@ -203,22 +222,27 @@ def train_network(counts: DataFrame, slices: int = SLICES, rounds: int = ROUNDS,
 def score_texts(docs: DataFrame, network: WindowNetwork, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``key``, ``n_tokens``, ``log_prob`` (the sum over all tokens), ``mean_log_prob``.
 
-    Null and empty texts have no token and 0 for both.  Columns other than id and text are not looked at.
+    Null and empty texts have no token and 0 for both; long ones are scored piece by piece.  Equal texts score
+    alike, so ties stay ties.  Columns other than id and text are not looked at.
     """
     table = byte_table()
-    shared = docs.sparkSession.sparkContext.broadcast(network)  # some thousand weights
+    # some thousand weights, as arrays only: the network is made where it is used, once a process
+    shared = docs.sparkSession.sparkContext.broadcast({"weights": network.weights})
 
     def score(batches):
+        held = shared.value
+        if "network" not in held:
+            held["network"] = WindowNetwork(held["weights"])
         for batch in batches:
-            sizes, sums = [], []
-            for group in _groups(batch.column(1)):
-                code, size = windows(group, table)
-                found = np.concatenate([[0.0], np.cumsum(shared.value.looked_up(code), dtype=np.float64)])
+            n, s = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            for group in pieces(batch.column(1)):
+                code, size = windows([x for _, x, _ in group], table, [x for _, _, x in group])
+                found = np.concatenate([[0.0], np.cumsum(held["network"].looked_up(code), dtype=np.float64)])
                 ends = np.cumsum(size)
-                sizes.append(size)
-                sums.append(found[ends] - found[ends - size])
-            n, s = (np.concatenate(x) if x else np.zeros(0) for x in (sizes, sums))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(s.astype(np.float64)), pa.array((s / np.maximum(n, 1)).astype(np.float64))],
+                number = [k for k, _, _ in group]
+                np.add.at(n, number, size)
+                np.add.at(s, number, found[ends] - found[ends - size])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(s), pa.array(s / np.maximum(n, 1))],
                                              names=["key", "n_tokens", "log_prob", "mean_log_prob"])
 
     rows = docs.select(F.col(f"`{id}`").alias("key"), raw_bytes(f"`{text}`").alias("raw"))
