@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,9 +232,12 @@ def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", sou
         same = same & (F.col("c") == F.col("copy"))
     joined = texts.join(runs, same)
 
-    @F.pandas_udf("string")
-    def cut(raw: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut_words(r, [(s["first"], s["past"]) for s in x]) for r, x in zip(raw, spans)])
+    @F.arrow_udf("string")
+    def cut(raw: pa.Array, spans: pa.Array) -> pa.Array:
+        def some(at: int) -> pa.Array:
+            return pa.array([cut_words(r, [(s["first"], s["past"]) for s in x]) for r, x in zip(raw.slice(at, 64).to_pylist(), spans.slice(at, 64).to_pylist())], pa.string())
+
+        return pa.concat_arrays([pa.array([], pa.string()), *(some(at) for at in range(0, len(raw), 64))])
 
     got = joined.select("doc", cut(F.col(f"doc.`{text}`"), F.col("spans")).alias("cut"))
     return got.select(*[F.col("cut").alias(c) if c == text else F.length("cut").cast(docs.schema[c].dataType).alias(c) if c == n_chars

@@ -9,16 +9,19 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Words with more symbols go through a heap, as a round handles every symbol of a word again.
 LONG_WORD = 512
-#: Encoded words kept by a task; beyond it the store is emptied.
-KEPT_WORDS = 250_000
-#: Texts whose results are held at once.
-ROWS = 500
+#: Bytes of encoded words that a process keeps in each of two stores; when the newer one is full it becomes the older one.
+KEPT_BYTES = 12 << 20
+#: What a kept word takes beside its characters, ids and bytes.
+WORD_BYTES = 300
+#: Texts, and about so many of their characters, whose results are held at once.
+ROWS, ROW_CHARS = 500, 1 << 20
 NONE = np.int32(2**31 - 1)
 
 
@@ -80,6 +83,8 @@ class PieceModel:
         self.surfaces = [bytes([self.byte_of[i]]) if i in self.byte_of else self.surface.encode() if i in self.unknown
                          else b"" if i in self.control else p.replace(SPACE, " ").encode() for i, p in enumerate(self.texts)]
         self.store: dict[str, tuple[int, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, bytes]] = {}
+        self.held = 0
 
     @staticmethod
     def ids_of_type(model, kind: int) -> dict[int, int]:
@@ -202,11 +207,21 @@ class PieceModel:
         return [text] if self.whole and text else self.words.findall(text)
 
     def learn(self, words: set[str]) -> None:
-        """Have all the words in the store: (number of ids, ids as text, decoded bytes)."""
-        fresh = {w for w in words if w not in self.store}
-        if len(self.store) + len(fresh) > KEPT_WORDS:
-            self.store.clear()
-            fresh = words
+        """Have all the words in the store: (number of ids, ids as text, decoded bytes).
+
+        A full store becomes the older one, from which words that come up again are taken over; the rest
+        is forgotten when the next one is full.
+        """
+        if self.held > KEPT_BYTES:
+            self.store, self.older, self.held = {}, self.store, 0
+        fresh = set()
+        for w in words:
+            if w not in self.store:
+                kept = self.older.get(w)
+                if kept is None:
+                    fresh.add(w)
+                else:
+                    self._put(w, kept)
         short = [w for w in fresh if len(w) <= LONG_WORD]
         symbol, word = self.merged(short)
         ends = np.searchsorted(word, np.arange(len(short) + 1)).tolist()
@@ -220,7 +235,11 @@ class PieceModel:
                 self._keep(w, self._ids(self._long(w)))
 
     def _keep(self, word: str, ids: list[int]) -> None:
-        self.store[word] = (len(ids), " ".join([self.numbers[i] for i in ids]), b"".join([self.surfaces[i] for i in ids]))
+        self._put(word, (len(ids), " ".join([self.numbers[i] for i in ids]), b"".join([self.surfaces[i] for i in ids])))
+
+    def _put(self, word: str, kept: tuple[int, str, bytes]) -> None:
+        self.store[word] = kept
+        self.held += WORD_BYTES + 4 * len(word) + len(kept[1]) + len(kept[2])
 
     def encode(self, text: str) -> list[int]:
         words = self.split(self.prepared(text))
@@ -273,8 +292,26 @@ class PieceModel:
 
 
 def _shared(docs: DataFrame, model: str):
-    """The vocabulary, read once and sent to every worker process (a few MB, whatever the data)."""
-    return docs.sparkSession.sparkContext.broadcast(PieceModel(model))
+    """The vocabulary, read once and sent to every worker process (a few MB, whatever the data), as plain values."""
+    return docs.sparkSession.sparkContext.broadcast({"state": vars(PieceModel(model))})
+
+
+def _model(held: dict) -> PieceModel:
+    """The model of a broadcast, made once a process."""
+    if "model" not in held:
+        held["model"] = PieceModel.__new__(PieceModel)
+        vars(held["model"]).update(held["state"])
+    return held["model"]
+
+
+def _slices(batch: pa.RecordBatch, text: int):
+    """A batch in slices of up to ``ROWS`` rows and about ``ROW_CHARS`` bytes of text."""
+    sizes = np.array([0 if n is None else n for n in pc.binary_length(batch.column(text)).to_pylist()], np.int64)
+    at = 0
+    while at < batch.num_rows:
+        fits = int(np.searchsorted(np.cumsum(sizes[at:at + ROWS]), ROW_CHARS)) + 1
+        yield batch.slice(at, min(fits, ROWS))
+        at += min(fits, ROWS)
 
 
 def encode_documents(docs: DataFrame, model: str, id: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
@@ -287,14 +324,15 @@ def encode_documents(docs: DataFrame, model: str, id: str = "doc_id", text: str
     shared = _shared(docs, model)
 
     def run(batches):
-        for batch in (part.slice(at, ROWS) for part in batches for at in range(0, part.num_rows, ROWS)):
+        pieces = _model(shared.value)
+        for batch in (part for whole in batches for part in _slices(whole, 1)):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             lists = [[] for _ in texts] if ids else None
-            got = shared.value.digests(texts, ids_of=lists)
+            got = pieces.digests(texts, ids_of=lists)
             columns = [batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.string())]
             names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
-                end = np.array([shared.value.end], np.int32)
+                end = np.array([pieces.end], np.int32)
                 columns.append(pa.array([np.concatenate([*parts, end]) for parts in lists], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -309,9 +347,10 @@ def token_ids(docs: DataFrame, model: str, id: str = "doc_id", text: str = "text
     shared = _shared(docs, model)
 
     def run(batches):
-        for batch in batches:
-            ids = [shared.value.encode(x or "") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([shared.value.decode(x) for x in ids], pa.string())],
+        pieces = _model(shared.value)
+        for batch in (part for whole in batches for part in _slices(whole, 1)):
+            ids = [pieces.encode(x or "") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([pieces.decode(x) for x in ids], pa.string())],
                                              names=["key", "ids", "decoded"])
 
     rows = docs.select(F.col(f"`{id}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
