@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasksieve.session import checkpointed
+from tasksieve.session import checkpointed, top_per_group
 from tasksieve.sources.tables import spread, table
 
 #: Bytes of a table that may be broadcast: checked before each broadcast, the shuffle join is the way beyond it.
@@ -31,6 +31,26 @@ def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def least_hashed(rows: DataFrame, group: str, hash: str, ties: list[Column], k: int) -> DataFrame:
+    """The ``k`` rows of each group with the least hash (a bigint, evenly spread), ties by ``ties``; null groups are left out.
+
+    Groups are counted first, and only rows below a hash that about k + 8 sqrt(k) + 32 rows of the group stay below
+    are ranked, so that a group's task reads little more than it gives.  Should so few not be enough (ids
+    that repeat share a hash), all rows are ranked; the result is the same.
+    """
+    counted = checkpointed(rows.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("__n")))
+    spare = k + 8 * k**0.5 + 32
+    share = F.col(hash).cast("double") / F.lit(2.0**64) + 0.5
+    likely = (rows.join(broadcast_if_small(counted, 64), F.col(group) == F.col("__group"))
+              .filter(share * F.col("__n") <= spare).drop("__group", "__n"))
+    picked = checkpointed(top_per_group(likely, [group], [F.asc(hash), *ties], k))
+    got = picked.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("got"))
+    short = counted.join(got, F.col("__group") == F.col("g"), "left").filter(F.coalesce("got", F.lit(0)) < F.least("__n", F.lit(k)))
+    if not short.isEmpty():
+        picked = checkpointed(top_per_group(rows.filter(F.col(group).isNotNull()), [group], [F.asc(hash), *ties], k))
+    return picked
+
+
 def keep_rows(docs: DataFrame, chosen: DataFrame, id: str, text: str) -> DataFrame:
     """The rows of ``docs`` that ``chosen`` names by (key, digest), each once.
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tasksieve.llm.common import least_hashed
 from tasksieve.session import checkpointed
 
 #: Text is seen as a string over 64 symbols: 0 for all that is no letter, 1-26 for a-z, 27-63 for other letters by code point.
@@ -66,7 +67,7 @@ class LanguageModel:
     bias: np.ndarray
     table: np.ndarray
 
-    def scores(self, texts: list[str], batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, texts: list[str], batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """One row of scores per text and whether the text has a letter; presence rows times weights, a batch at a time."""
         rows, letters = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), bool)
         for start in range(0, len(texts), batch):
@@ -131,10 +132,8 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
     """
     table = symbol_table()
     good = docs.filter(~held_out(F.col(f"`{id}`")) & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
-    window = Window.partitionBy("lang").orderBy("hash", "key")
     named = good.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{id}`").alias("key"), F.xxhash64(F.col(f"`{id}`")).alias("hash"))
-    chosen = checkpointed(named.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= rows)
-                          .select(F.col("lang").alias("cl"), F.col("key").alias("ck"), "hash").distinct())  # ``rows`` of each language at most
+    chosen = checkpointed(least_hashed(named, "lang", "hash", [F.asc("key")], rows).select(F.col("lang").alias("cl"), F.col("key").alias("ck"), "hash").distinct())  # ``rows`` of each language at most
     texts = good.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{id}`").alias("key"))
     drawn = texts.join(F.broadcast(chosen), (F.col("lang") == F.col("cl")) & F.col("key").eqNullSafe(F.col("ck")))
     again = Window.partitionBy("lang").orderBy("hash", "key", "text")  # more rows than chosen only where ids repeat
@@ -163,24 +162,34 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text", pr
     """``docs`` with two more columns: the predicted language and its score from 0 to 1.
 
     The score is the regression value for "this language" (-1 to 1) moved to 0 to 1.  Texts that are
-    null or have no letter, and all texts if there is no model, are ``und`` with score 0.
+    null or have no letter, and all texts if there is no model, are ``und`` with score 0.  Of languages with
+    equal values the first in order is told.  A row of ``docs`` keeps all its columns; one that is
+    called like the prediction or the score is there twice, so name them otherwise then.
     """
-    if model is None:
-        return docs.withColumns({prediction: F.lit(UNKNOWN), score: F.lit(0.0)})
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of landmarks of 266,304 n-grams at most
+    return _told(docs, model, text).select("doc.*", F.col("told.name").alias(prediction), F.col("told.value").alias(score))
+
 
-    @F.pandas_udf("struct<name string, value double>")
-    def told(texts):
-        import pandas as pd
+def _told(docs: DataFrame, model: LanguageModel | None, text: str) -> DataFrame:
+    """``doc`` (a row, whatever its columns are called) and ``told`` (name, value)."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+    if model is None:
+        return rows.select("doc", F.struct(F.lit(UNKNOWN).alias("name"), F.lit(0.0).alias("value")).alias("told"))
+    # a fixed number of landmarks of 266,304 n-grams at most, as arrays only: the model is made where it is used
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
-        learned = shared.value
-        rows, letters = learned.scores(["" if x is None else x for x in texts])
-        best = rows.argmax(axis=1)
-        value = np.clip((rows[np.arange(len(rows)), best] + 1) / 2, 0, 1)
-        return pd.DataFrame({"name": np.where(letters, np.array(learned.languages, object)[best], UNKNOWN), "value": np.where(letters, value, 0.0)})
+    @F.arrow_udf("struct<name string, value double>")
+    def told(texts: pa.Array) -> pa.Array:
+        learned = LanguageModel(**shared.value)
+        names, values = [], []
+        for at in range(0, len(texts), 64):
+            rows, letters = learned.scores([x or "" for x in texts.slice(at, 64).to_pylist()])
+            best = rows.argmax(axis=1)
+            value = np.clip((rows[np.arange(len(rows)), best] + 1) / 2, 0, 1)
+            names += np.where(letters, np.array(learned.languages, object)[best], UNKNOWN).tolist()
+            values += np.where(letters, value, 0.0).tolist()
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.float64())], ["name", "value"])
 
-    return (docs.withColumn("__told", told(F.col(f"`{text}`").cast("string")))
-            .withColumns({prediction: F.col("__told.name"), score: F.col("__told.value")}).drop("__told"))
+    return rows.select("doc", told("text").alias("told"))
 
 
 def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
@@ -195,7 +204,5 @@ def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str
 
 
 def keep_identified(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
-    """``docs`` without the rows that no language can be told for; all columns stay as they are."""
-    mark = "__lang_pred"
-    told = predict(docs, train(docs, id, text, lang, **options), text, mark, "__score")
-    return told.filter(F.col(mark) != UNKNOWN).drop(mark, "__score")
+    """``docs`` without the rows that no language can be told for; all columns stay as they are, whatever their names."""
+    return _told(docs, train(docs, id, text, lang, **options), text).filter(F.col("told.name") != UNKNOWN).select("doc.*")

@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tasksieve.llm.common import raw_bytes
-from tasksieve.session import checkpointed, top_per_group
+from tasksieve.llm.common import least_hashed, raw_bytes
+from tasksieve.session import checkpointed
 
 #: Labelled rows of each class that the classifier is fitted on at most.
 ROWS_PER_CLASS = 4000
@@ -107,7 +107,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
     rows = docs.select(F.col(f"`{id}`").alias("key"), F.col(f"`{host}`").cast("string").alias("host"), F.col(f"`{path}`").cast("string").alias("path"), raw_bytes(f"`{text}`").alias("raw"))
     known = labels.select(F.col(f"`{label_id}`").alias("lk"), F.col(f"`{label}`").cast("int").alias("good")).filter("good in (0, 1) and lk is not null")
     known = known.groupBy("lk").agg(F.max("good").alias("good"))
-    chosen = checkpointed(top_per_group(known, ["good"], [F.xxhash64("lk"), "lk"], rows_per_class).select("lk", "good"))  # 2 x rows_per_class rows
+    chosen = least_hashed(known.withColumn("hash", F.xxhash64("lk")), "good", "hash", [F.asc("lk")], rows_per_class).select("lk", "good")  # 2 x rows_per_class rows
     kind = "array<double>"
 
     @F.pandas_udf(kind)
