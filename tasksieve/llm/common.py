@@ -12,8 +12,21 @@ from tasksieve.sources.tables import spread, table
 BROADCAST_BYTES = 64 << 20
 
 
+#: Rows of an Arrow batch where whole texts go to Python workers; Spark's own 10,000 are meant for narrow rows.
+TEXT_ROWS = 1_000
+
+
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Have Spark send at most ``rows`` rows to a Python worker at once; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     """A given table, spread over the cores if it has fewer splits than cores."""
+    text_batches(spark)
     return spread(table(spark, sf_dir, name), key)
 
 
