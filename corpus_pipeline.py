@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tasksieve.llm.common import read
+from tasksieve.llm.common import read, text_batches
 from tasksieve.llm.exact import drop_exact
 from tasksieve.llm.language import keep_identified
 from tasksieve.llm.mixing import mixed_documents
@@ -20,21 +20,25 @@ from tasksieve.session import checkpointed
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
+    text_batches(spark)
     return keep_identified(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id."""
+    text_batches(spark)
     return drop_exact(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies (3-word shingles, at most 2 bits), the document with the smallest id."""
+    text_batches(spark)
     return drop_near(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents cut to what each pass of the mix takes of them."""
+    text_batches(spark)
     return mixed_documents(docs)
 
 
@@ -42,6 +46,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Token ids of every document, and what they decode to as a digest."""
     import public_tokenizers
 
+    text_batches(spark)
     return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=True).withColumnRenamed("key", "doc_id")
 
 
