@@ -131,6 +131,25 @@ def _(spark, sf):
     return masking.mask_dictionary(texts(spark, sf).select("task_id", "text"), "text", _entity_rules(spark, sf), strategy="join")
 
 
+_NESTED = [("the, anea", "[PAIR]"), ("anea", "[WORD]"), ("of, ly", "[PAIR]"), ("ly", "[WORD]")]
+
+
+def _nested_sql(expr):
+    """Longest first, twice per term, as a match consumes the separators around it; these terms don't overlap but for containing each other."""
+    for term, placeholder in _NESTED:
+        for _ in range(2):
+            expr = f"regexp_replace({expr}, {lit(f'(?i)(^|{K.NOT_WORD}){term}({K.NOT_WORD}|$)')}, {lit(rf'\1 {placeholder} \2')}, 'g')"
+    return squeeze(expr)
+
+
+@query("mask_dictionary_nested", f"WITH {DOCS} SELECT task_id, {_nested_sql('text')} AS text FROM docs")
+def _(spark, sf):
+    """Terms with punctuation that contain each other, among as many rules as there are orders: a walk down the trie."""
+    orders = table(spark, sf, "orders").select(F.concat(F.lit("the, anea #"), F.col("o_orderkey")).alias("variant"), F.lit("[ORDER]").alias("placeholder"))
+    nested = spark.createDataFrame(_NESTED, "variant string, placeholder string")
+    return masking.mask_dictionary(texts(spark, sf).select("task_id", "text"), "text", nested.unionByName(orders), strategy="join")
+
+
 # The rules that follow from the distinct metadata of the task view.
 _DERIVED = {"[CLIENT]": ["Orre Thatin Holdings", "Inoran Family Office", "Inoran Family", "Orre Thatin", "Holdings", "Inoran", "Office", "Orre", "OTH", "IFO"],
             "[EMPLOYEE]": ["Benoit Marsh", "Ada Quill", "Benoit"]}

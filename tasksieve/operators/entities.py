@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tasksieve import constants as K
 from tasksieve.functions.text import holds, let, trim_ws
 from tasksieve.operators.masking import alternation, fold, folded_map
-from tasksieve.session import checkpointed, small_side, unfold
+from tasksieve.session import BROADCAST_BYTES, checkpointed, unfold
 
 SPAN = "array<struct<entity:string,category:string,start:int,end:int>>"
 
@@ -104,37 +104,67 @@ def extract_entities(c: Column, entries: list[tuple[str, str]], guarded: tuple[s
         s["start"].alias("start"), s["end"].alias("end")))
 
 
+#: A text, or a term, as its words and single other characters.
+TOKEN = rf"{K.WORD}+|(?s:.)"
+
+
+def term_trie(dictionary: DataFrame) -> DataFrame:
+    """``(depth, parent, token, terms, goes_on)``: the trie of all terms ``(name, category)`` over folded tokens, one row an edge.
+
+    A node is named by the text that leads to it, which stands for one sequence of tokens only, as two words
+    never touch.  ``terms`` are those that end with the edge, ``goes_on`` says whether longer ones pass it.
+    """
+    tokens = dictionary.filter("name <> ''").select("name", "category", F.transform(F.regexp_extract_all("name", F.lit(TOKEN), F.lit(0)), fold).alias("t"))
+    steps = tokens.select("name", "category", "t", F.posexplode("t").alias("depth", "token"))
+    ends = F.col("depth") == F.size("t") - 1
+    return (steps.select("depth", F.expr("array_join(slice(t, 1, depth), '')").alias("parent"), "token", ends.alias("ends"), F.when(ends, F.struct("name", "category")).alias("term"))
+            .groupBy("depth", "parent", "token").agg(F.collect_set("term").alias("terms"), F.bool_or(~F.col("ends")).alias("goes_on")))
+
+
+def _level(trie: DataFrame, depth: int) -> DataFrame:
+    """The edges of one depth, for broadcast if they have few bytes."""
+    edges = trie.filter(F.col("depth") == depth).drop("depth")
+    size = edges.agg(F.sum(64 + F.octet_length("parent") + F.octet_length("token") + F.octet_length(F.to_json("terms")))).first()[0] or 0
+    return F.broadcast(edges) if size <= BROADCAST_BYTES else edges
+
+
 def dictionary_hits(df: DataFrame, c: str, dictionary: DataFrame, guarded: tuple[str, ...] = (), id_col: str = "task_id") -> DataFrame:
     """``(id, name, category, entity, start, end)``: every whole-word place of every term, overlaps too.
 
-    For dictionaries ``(name, category)`` too big for one pattern.  A text is cut into
-    its words and single other characters.  Each of these that is the first of a
-    term is compared with the text from there on.  The few ``guarded`` terms, which may
-    end inside a word, are searched for one by one.
+    For dictionaries ``(name, category)`` too big for one pattern.  A text is cut into its words and single other
+    characters, as the terms are.  Places walk down the trie of the terms, one join a level: a place is at one node at
+    most, so its rows don't grow with the number of terms that begin alike, and the walk ends when no place has an edge left.
+    The few ``guarded`` terms, which may end inside a word, are searched for one by one.
     """
-    part = rf"{K.WORD}+|(?s:.)"
     special = F.lower("name").isin([g.lower() for g in guarded]) if guarded else F.lit(False)
-    names = checkpointed(dictionary.filter("name <> ''").filter(~special).select(
-        fold(F.regexp_extract("name", part, 0)).alias("first"), "name", fold(F.col("name")).alias("folded"), "category",
-        F.length("name").alias("len"), F.regexp_count("name", F.lit(part)).alias("parts")))
-    widest = names.agg(F.coalesce(F.max("parts"), F.lit(1))).first()[0]
-    cut = df.select(id_col, F.regexp_extract_all(c, F.lit(part), F.lit(0)).alias("__p")).withColumn(
+    trie = checkpointed(term_trie(dictionary.filter(~special)))
+    widest = (trie.agg(F.max("depth")).first()[0] or 0) + 1
+    cut = df.select(id_col, F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)).alias("__p")).withColumn(
         "__s", scan(F.transform("__p", F.length), F.lit(0), "int", lambda at, n: (at + n, at)))
-    # One part more than the longest term, to see whether a word ends there, and the part before.
+    # As many tokens ahead as the longest term has, to see whether a word goes on there, and the one before.
     places = F.transform("__p", lambda p, i: F.struct(
-        fold(p).alias("first"), F.get("__s", i).alias("start"),
-        F.array_join(F.slice("__p", i + 1, F.lit(widest + 1)), "").alias("ahead"),
-        F.coalesce(F.get("__p", i - 1), F.lit("")).alias("before")))
-    entity, after = F.expr("substring(ahead, 1, len)"), F.expr("substring(ahead, len + 1, 1)")
-    hits = (unfold(cut, places, "x", id_col).select(id_col, "x.*").filter(~F.col("before").rlike(K.WORD))
-            .join(small_side(names, 1_000_000), "first")
-            .filter((fold(entity) == F.col("folded")) & ~after.rlike(K.WORD))
-            .select(id_col, "name", "category", entity.alias("entity"), "start", (F.col("start") + F.col("len")).alias("end")))
+        F.get("__s", i).alias("start"), F.slice("__p", i + 1, F.lit(widest + 1)).alias("ahead"), F.coalesce(F.get("__p", i - 1), F.lit("")).alias("before")))
+    live = (unfold(cut, places, "x", id_col).filter(~F.col("x.before").rlike(K.WORD))
+            .select(id_col, "x.start", "x.ahead", F.lit("").alias("parent")))
+    hits = []
+    for depth in range(widest):
+        here = live.withColumn("token", fold(F.get("ahead", F.lit(depth))))
+        step = checkpointed(here.join(_level(trie, depth), ["parent", "token"]))
+        free = ~F.coalesce(F.get("ahead", F.lit(depth + 1)), F.lit("")).rlike(K.WORD)
+        hits.append(step.filter((F.size("terms") > 0) & free).withColumn("term", F.explode("terms")).select(
+            id_col, "term.name", "term.category", F.array_join(F.slice("ahead", 1, depth + 1), "").alias("entity"), "start"))
+        live = step.filter("goes_on").select(id_col, "start", "ahead", F.concat("parent", "token").alias("parent"))
+        if live.isEmpty():
+            break
+    found = hits[0]
+    for more in hits[1:]:
+        found = found.unionByName(more)
+    found = found.withColumn("end", F.col("start") + F.length("entity"))
     few = dictionary.filter(special).select("name", "category").distinct().collect() if guarded else []  # no more than ``guarded``
     for name, category in few:
-        found = unfold(df, spans_of(F.col(c), alternation([name], guarded)), "s", id_col)
-        hits = hits.unionByName(found.select(id_col, F.lit(name).alias("name"), F.lit(category).alias("category"), "s.entity", "s.start", "s.end"))
-    return hits
+        among = unfold(df, spans_of(F.col(c), alternation([name], guarded)), "s", id_col)
+        found = found.unionByName(among.select(id_col, F.lit(name).alias("name"), F.lit(category).alias("category"), "s.entity", "s.start", "s.end"))
+    return found
 
 
 def dictionary_spans(df: DataFrame, c: str, dictionary: DataFrame, guarded: tuple[str, ...] = (), id_col: str = "task_id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tasksieve import constants as K
 from tasksieve.functions.text import quote, trim_ws
 from tasksieve.operators.features import token_counts
-from tasksieve.session import small_side, unfold
+from tasksieve.session import checkpointed, unfold
 
 REGEX_RULES = 2_000
 
@@ -181,79 +181,17 @@ def mask_with_terms(c: Column, rules: list[tuple[str, str]], pad: bool = True) -
     return trim_ws(F.regexp_replace(masked, r"[ \t]{2,}", " ")) if pad else masked
 
 
-def _pieces(c: Column) -> tuple[Column, Column, Column]:
-    """A text as its leading gap, its words, and each word with the gap behind it."""
-    word = f"{K.WORD}+"
-    gaps, words = F.split(c, word, -1), F.regexp_extract_all(c, F.lit(word), F.lit(0))
-    behind = F.slice(gaps, 2, F.greatest(F.size(words), F.lit(1)))
-    return gaps[0], words, F.zip_with(words, behind, lambda w, g: F.concat(w, F.coalesce(g, F.lit(""))))
-
-
-def dictionary_matches(df: DataFrame, c: str, rules: DataFrame, id_col: str = "task_id") -> DataFrame:
-    """``(id, word, words, len, variant, placeholder)`` by joining words with the first words of terms.
-
-    For rule tables too big for one pattern.  Every word of a text is paired with
-    the terms that start with it, and a term counts when the text goes on like
-    it.  Of overlapping hits the leftmost, then longest, stays.  ``word`` is the
-    index of the first word, ``words`` the number of words covered.  Terms have to
-    start with a word character.
-    """
-    terms = rules.select(
-        fold(F.regexp_extract("variant", f"^{K.WORD}+", 0)).alias("first"), "variant", "placeholder",
-        F.length("variant").alias("len"),
-        F.regexp_count("variant", F.lit(f"{K.WORD}+")).alias("words")).filter(F.col("first") != "")
-    widest = terms.agg(F.coalesce(F.max("words"), F.lit(1))).first()[0]
-    _, words, pieces = _pieces(F.col(c))
-    base = df.select(id_col, words.alias("__w"), pieces.alias("__p"))
-    # The text ahead of each word, as wide as the widest term: pieces shifted and joined.
-    ahead = F.col("__p")
-    for shift in range(2, widest + 1):
-        ahead = F.zip_with(ahead, F.slice("__p", F.lit(shift), F.greatest(F.size("__p"), F.lit(1))),
-                           lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
-    zipped = F.arrays_zip(F.col("__w").alias("w"), ahead.alias("ahead"))
-    windows = base.select(id_col, F.posexplode_outer(zipped).alias("word", "x")).filter("x is not null").select(
-        id_col, "word", fold(F.col("x.w")).alias("first"), F.col("x.ahead").alias("ahead"))
-    hits = (windows.join(small_side(terms, 1_000_000), "first")
-            .filter((fold(F.expr("substring(ahead, 1, len)")) == fold(F.col("variant")))
-                    & ~F.expr("substring(ahead, len + 1, 1)").rlike(K.WORD)))
-    best = F.max(F.struct("len", "words", "variant", "placeholder")).alias("best")
-    longest = hits.groupBy(id_col, "word").agg(best)
-    from tasksieve.operators.entities import keep_first_of_overlaps
-
-    spans = F.array_sort(F.collect_list(F.struct(
-        F.col("word").alias("start"), (F.col("word") + F.col("best.words")).alias("end"), "best")))
-    return (longest.groupBy(id_col).agg(spans.alias("spans"))
-            .select(id_col, F.explode(keep_first_of_overlaps(F.col("spans"))).alias("s"))
-            .select(id_col, F.col("s.start").alias("word"), "s.best.words", "s.best.len",
-                    "s.best.variant", "s.best.placeholder"))
-
-
-def _behind(pieces: Column, hit: Column) -> Column:
-    """What follows a term up to the next word."""
-    covered = F.array_join(F.slice(pieces, hit["word"] + 1, hit["words"]), "")
-    return F.substring(covered, hit["len"] + 1, F.length(covered))
-
-
-def _mask_odd(df: DataFrame, c: str, rules: DataFrame, out: str, id_col: str) -> DataFrame:
-    """``mask_with_terms`` for any number of terms, by a join with the words and single other characters of the texts."""
-    from tasksieve.operators.entities import dictionary_spans, replace_spans
-
-    entries = rules.select(F.col("variant").alias("name"), F.coalesce("placeholder", F.lit("[MASKED]")).alias("category"))
-    spans = dictionary_spans(df.select(id_col, c), c, entries, id_col=id_col).withColumnRenamed("spans", "__odd")
-    filled = replace_spans(F.col(c), F.col("__odd"), lambda s: F.concat(F.lit(" "), s["category"], F.lit(" ")))
-    masked = F.when(F.col("__odd").isNull(), F.col(c)).otherwise(filled)
-    return (df.join(spans, id_col, "left")
-            .withColumn(out, trim_ws(F.regexp_replace(masked, r"[ \t]{2,}", " "))).drop("__odd"))
-
-
 def mask_dictionary(df: DataFrame, c: str, rules: DataFrame, out: str | None = None,
                     strategy: str = "auto", id_col: str = "task_id") -> DataFrame:
     """Mask the dictionary terms of ``rules (variant, placeholder)`` in column ``c``.
 
-    Up to ``REGEX_RULES`` rules become one pattern and the texts are only read;
-    more rules are joined.  Both mask every term; terms that don't begin with a word
-    character are masked before, by a pattern or, beyond ``REGEX_RULES`` of them, by a join of their own.
+    One meaning whatever the number of rules: whole words, any case, leftmost place and then longest term, over
+    all terms at once.  Up to ``REGEX_RULES`` rules become one pattern and the texts are only read; more
+    are found by walking the trie of the terms (``dictionary_hits``), each distinct text once.  Of
+    rules for the same term the first placeholder in order counts, a missing one is ``[MASKED]``.
     """
+    from tasksieve.operators.entities import dictionary_spans, replace_spans
+
     out = out or c
     if strategy != "join":
         few = rules.select("variant", "placeholder").limit(REGEX_RULES + 1).collect()
@@ -261,31 +199,16 @@ def mask_dictionary(df: DataFrame, c: str, rules: DataFrame, out: str | None = N
             raise ValueError(f"more than {REGEX_RULES} rules: use the join")
         strategy = "regex" if len(few) <= REGEX_RULES else "join"
     if strategy == "regex":
-        pairs = [(r["variant"], r["placeholder"]) for r in few]
+        pairs = sorted(((r["variant"], r["placeholder"] or "[MASKED]") for r in few if r["variant"]), key=lambda r: r[1], reverse=True)
         return df.withColumn(out, mask_with_terms(F.col(c), pairs))
-    begins = F.col("variant").rlike(f"^{K.WORD}")
-    odd = rules.filter(~begins).select("variant", "placeholder").limit(REGEX_RULES + 1).collect()
-    if len(odd) > REGEX_RULES:
-        df = _mask_odd(df, c, rules.filter(~begins), out, id_col)
-        c, rules = out, rules.filter(begins)
-    elif odd:
-        df = df.withColumn(out, mask_with_terms(F.col(c), [(r["variant"], r["placeholder"]) for r in odd]))
-        c, rules = out, rules.filter(begins)
-    spans = (dictionary_matches(df, c, rules, id_col).groupBy(id_col)
-             .agg(F.array_sort(F.collect_list(F.struct("word", "words", "len", "placeholder"))).alias("__spans")))
-    lead, words, pieces = _pieces(F.col(c))
-    # The pieces travel in the accumulator, so that they are cut once per row.
-    rebuilt = F.aggregate(
-        F.col("__spans"), F.struct(lead.alias("done"), F.lit(0).alias("at"), pieces.alias("p")),
-        lambda acc, s: F.struct(
-            F.concat(acc["done"], F.array_join(F.slice(acc["p"], acc["at"] + 1, s["word"] - acc["at"]), ""),
-                     F.lit(" "), s["placeholder"], F.lit(" "),
-                     _behind(acc["p"], s)).alias("done"),
-            (s["word"] + s["words"]).alias("at"), acc["p"].alias("p")),
-        lambda acc: F.concat(acc["done"], F.array_join(F.slice(acc["p"], acc["at"] + 1, F.size(acc["p"])), "")))
-    masked = F.when(F.col("__spans").isNull(), F.col(c)).otherwise(rebuilt)
-    return (df.join(spans, id_col, "left")
-            .withColumn(out, trim_ws(F.regexp_replace(masked, r"[ \t]{2,}", " "))).drop("__spans"))
+    entries = rules.select(F.col("variant").alias("name"), F.coalesce("placeholder", F.lit("[MASKED]")).alias("category"))
+    keyed = df.withColumn("__key", F.sha2(F.col(c).cast("binary"), 256))
+    distinct = keyed.filter(F.col(c).isNotNull()).groupBy("__key").agg(F.first(c).alias("text"))
+    spans = dictionary_spans(checkpointed(distinct), "text", entries, id_col="__key").withColumnRenamed("spans", "__spans")
+    filled = replace_spans(F.col(c), F.col("__spans"), lambda s: F.concat(F.lit(" "), s["category"], F.lit(" ")))
+    masked = F.when(F.col("__spans").isNull(), F.col(c)).otherwise(filled)
+    return (keyed.join(spans, "__key", "left")
+            .withColumn(out, trim_ws(F.regexp_replace(masked, r"[ \t]{2,}", " "))).drop("__spans", "__key"))
 
 
 def luhn_ok(c: Column) -> Column:

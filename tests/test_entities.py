@@ -197,3 +197,50 @@ def test_dictionary_join_equals_the_pattern(spark):
     assert got == want and len(got["10"]) == 700
     leaks = {(r.task_id, r.value) for r in E.dictionary_leaks(df, "text", dictionary).collect()}
     assert {v for i, v in leaks if i == "3"} == {"gold", "gold harbor", "gold harbor (k1)", "(k1) fund", "& co."}
+
+
+def _random_terms(seed, n):
+    """Terms that begin with punctuation, contain others, and share their beginnings."""
+    import random
+
+    rng = random.Random(seed)
+    parts = ["smith", "acme", "k1", "&", "(", ")", " ", " ", ".", "co", "é", "-", "_x", "7"]
+    return sorted({"".join(rng.choice(parts) for _ in range(rng.randint(1, 6))).strip() for _ in range(n)} - {""})
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_trie_equals_the_pattern(spark, seed):
+    """The walk finds what one pattern over all terms finds, whatever terms begin with and contain."""
+    import random
+
+    rng = random.Random(seed)
+    terms = _random_terms(seed, 60)
+    rules = spark.createDataFrame([(t, f"[{i % 5}]") for i, t in enumerate(terms)], "variant string, placeholder string")
+    pool = [" ", " ", ".", "", *terms, *(t.upper() for t in terms), "other", "smiths", "(k1"]
+    rows = [(i, "".join(rng.choice(pool) for _ in range(14))) for i in range(150)] + [(None, terms[0]), (None, None), (3, "twin " + terms[1]), (3, "")]
+    df = spark.createDataFrame(rows, "task_id bigint, text string")
+    by_regex = sorted((tuple(r) for r in M.mask_dictionary(df, "text", rules, strategy="regex").collect()), key=str)
+    by_join = sorted((tuple(r) for r in M.mask_dictionary(df, "text", rules, strategy="join").collect()), key=str)
+    assert by_regex == by_join and any("[" in (r[1] or "") for r in by_regex)
+
+
+@pytest.mark.parametrize("extra", [2_001, 200_000])
+def test_many_rules_mean_what_few_do(spark, extra):
+    """A client's name must not stay because a shorter term inside it was masked first."""
+    rules = spark.createDataFrame([("& co", "[B]"), ("smith & co", "[CLIENT]"), ("(k1) fund", "[B]"), ("acme (k1) fund", "[CLIENT]"), ("the", None)], "variant string, placeholder string")
+    many = rules.unionByName(spark.range(extra).selectExpr("concat('the ', id, ' (', id % 7, ')') AS variant", "'[T]' AS placeholder"))
+    texts = ["I met Smith & Co today", "the Acme (K1) fund fell", "x & co, (k1) fund; the 55 (6) and the 55 (5)", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "task_id bigint, text string")
+    got = {r.task_id: r.text for r in M.mask_dictionary(df, "text", many).collect()}
+    assert got[0] == "I met [CLIENT] today" and got[1] == "[MASKED] [CLIENT] fell" and got[3] is None
+    assert got[2] == "x [B] , [B] ; [T] and [MASKED] 55 (5)"
+
+
+def test_trie_walk_ends_early(spark):
+    """Beginnings that many terms share are one row a place, not one a term."""
+    dictionary = spark.range(3_000).selectExpr("concat('big bank of ', id) AS name", "'x' AS category")
+    df = spark.createDataFrame([("1", "big bank of 7 and the big bank of 2999, big bank of 3000 big bank")], "task_id string, text string")
+    trie = E.term_trie(dictionary)
+    assert trie.filter("depth < 6").count() == 6 and trie.count() == 6 + 3_000
+    assert sorted((r.entity, r.start) for r in E.dictionary_hits(df, "text", dictionary).collect()) == [("big bank of 2999", 22), ("big bank of 7", 0)]
+    assert E.dictionary_hits(df, "text", dictionary.limit(0)).count() == 0
