@@ -97,10 +97,26 @@ def _(spark, sf):
     return cluster.reduce_topics(assignment(spark, sf), vectors(spark, sf), 4)
 
 
-@query("sweep_params")
+def _level_sql(m: int) -> str:
+    """Clusters of one density with their coherence, from all pairs."""
+    return f"""{dense_sql(1.2, m, 1, tag=f"_{m}")},
+coh_{m} AS (SELECT a.topic_id, avg(list_dot_product(x.u, y.u)) AS c FROM found_{m} a JOIN found_{m} b ON a.topic_id = b.topic_id AND a.task_id <> b.task_id
+  JOIN unit x ON x.task_id = a.task_id JOIN unit y ON y.task_id = b.task_id WHERE a.topic_id >= 0 GROUP BY 1),
+level_{m} AS (SELECT {m} AS m, n, c FROM (SELECT topic_id, count(*) AS n FROM found_{m} WHERE topic_id >= 0 GROUP BY 1) LEFT JOIN coh_{m} USING (topic_id))"""
+
+
+@query("sweep_params", f"""WITH RECURSIVE {UNIT}, {", ".join(_level_sql(m) for m in range(1, 6))},
+clusters AS ({" UNION ALL ".join(f"SELECT * FROM level_{m}" for m in range(1, 6))}),
+trials AS (SELECT s, m, (SELECT count(*) FROM unit) AS docs FROM range(5, 21) a(s), range(1, 6) b(m)),
+stats AS (SELECT s, t.m, any_value(docs) AS docs, count(n) AS topics, COALESCE(sum(n), 0) AS inside, avg(c) AS coherence
+  FROM trials t LEFT JOIN clusters k ON k.m = t.m AND n >= s GROUP BY s, t.m),
+rated AS (SELECT *, (docs - inside) / docs AS rate FROM stats)
+SELECT CAST(s AS INTEGER) AS min_cluster_size, CAST(m AS INTEGER) AS min_samples, topics, round(coherence, 6) AS coherence, round(rate, 6) AS outlier_rate,
+  round(CASE WHEN rate > 0.10 THEN -1.0 + (0.10 - rate) WHEN topics < 5 OR coherence IS NULL THEN -2.0
+    ELSE coherence - CASE WHEN topics > 80 THEN (topics - 80) * 0.005 WHEN topics < 20 THEN (20 - topics) * 0.01 ELSE 0.0 END END, 6) AS objective FROM rated""")
 def _(spark, sf):
     units = vectors(spark, sf).select("task_id", unit("embedding").alias("embedding"))
-    return cluster.sweep_params(units, 1.2)
+    return rounded(cluster.sweep_params(units, 1.2), "coherence", "outlier_rate", "objective")
 
 
 @query("split_test")

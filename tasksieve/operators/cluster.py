@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tasksieve.functions.vectors import matrix, unit, vector_sum
 from tasksieve.operators.features import long_terms
-from tasksieve.operators.neighbours import density_cluster, nearest
+from tasksieve.operators.neighbours import density_cluster, density_levels, nearest, topics_of_level
 from tasksieve.operators.topics import topic_coherence, with_centroid_similarity
-from tasksieve.session import checkpointed, top_per_group
+from tasksieve.session import checkpointed, join_unique, numbered, top_per_group
 
 RESOLUTIONS = {"fine": (12, 1), "medium": (30, 3), "coarse": (60, 5)}
 
@@ -36,9 +36,9 @@ def cluster_multi_resolution(vec: DataFrame, resolutions: dict[str, int], id_col
 
 def density_multi_resolution(vec: DataFrame, eps: float, resolutions: dict[str, tuple[int, int]] = RESOLUTIONS,
                              id_col: str = "task_id", vector: str = "embedding") -> DataFrame:
-    """Density clusters at each ``(min_cluster_size, min_samples)``."""
-    parts = [density_cluster(vec, eps, min_samples=ms, min_cluster_size=mcs, id_col=id_col, vector=vector)
-             .withColumn("resolution", F.lit(name)) for name, (mcs, ms) in resolutions.items()]
+    """Density clusters at each ``(min_cluster_size, min_samples)``, from one neighbour join."""
+    unique, member = density_levels(vec, eps, [ms for _, ms in resolutions.values()], id_col, vector)
+    parts = [topics_of_level(vec, unique, member, ms, mcs, id_col, vector).withColumn("resolution", F.lit(name)) for name, (mcs, ms) in resolutions.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -376,26 +376,28 @@ def sweep_params(vec: DataFrame, eps: float, min_cluster_sizes=range(5, 21), min
                  max_outlier: float = 0.10, reduced: DataFrame | None = None, id_col: str = "task_id") -> DataFrame:
     """``(min_cluster_size, min_samples, topics, coherence, outlier_rate, objective)`` for a grid.
 
-    Clusters are found on ``reduced`` (shared by all trials) and scored on ``vec``.  The size limit
-    only turns small clusters into noise, so each ``min_samples`` is clustered and scored once, and
-    its trials are sums over the table of clusters.
+    Clusters are found on ``reduced`` (shared by all trials) and scored on ``vec``.  All densities come
+    from one neighbour join and one spanning forest (``density_levels``).  The size limit only turns small clusters into
+    noise, so every cluster of every density is scored once, and the trials are sums over the table of clusters.
     """
     sizes = F.array(*[F.lit(int(s)) for s in min_cluster_sizes])
+    levels = sorted({int(ms) for ms in min_samples})
     space = checkpointed(reduced if reduced is not None else vec)
-    parts = []
-    for ms in min_samples:
-        found = checkpointed(density_cluster(space, eps, min_samples=ms, min_cluster_size=1, id_col=id_col))
-        scored = checkpointed(topic_coherence(found, vec, id_col))
-        rows = found.agg(F.count("*").alias("docs")).withColumn("min_cluster_size", F.explode(sizes))
-        trials = rows.join(F.broadcast(scored.select("n", "coherence", F.explode(sizes).alias("min_cluster_size")).filter("n >= min_cluster_size")
-                                       .groupBy("min_cluster_size").agg(F.count("*").alias("topics"), F.sum("n").alias("inside"),
-                                                                        F.avg(F.when(F.col("n") > 1, F.col("coherence"))).alias("coherence"))),
-                           "min_cluster_size", "left")
-        rate = (F.col("docs") - F.coalesce("inside", F.lit(0))) / F.col("docs")
-        parts.append(trials.select("min_cluster_size", F.lit(int(ms)).alias("min_samples"), F.coalesce("topics", F.lit(0)).cast("bigint").alias("topics"),
-                                   "coherence", rate.alias("outlier_rate"))
-                     .withColumn("objective", objective(max_outlier)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    unique, member = density_levels(space, eps, levels, id_col)
+    placed = unique.select("pid", "x", "w").join(member, "pid")
+    names = numbered(placed.select("level", "component").distinct(), [F.asc("level"), F.asc("component")], "topic_id")
+    # a copy of a vector is in the clusters of that vector, one a level at most
+    homes = (placed.join(names, ["level", "component"]).groupBy("x", "w").agg(F.collect_list("topic_id").alias("topics")))
+    rows = join_unique(space.select(id_col, F.col("embedding").alias("x")), homes, "x", "w")
+    found = checkpointed(rows.select(id_col, F.explode("topics").alias("topic_id")))
+    scored = checkpointed(topic_coherence(found, vec, id_col).join(names.select("topic_id", "level"), "topic_id").select("level", "n", "coherence"))
+    grid = (scored.select("level", "n", "coherence", F.explode(sizes).alias("min_cluster_size")).filter("n >= min_cluster_size")
+            .groupBy("min_cluster_size", F.col("level").alias("min_samples")).agg(
+                F.count("*").alias("topics"), F.sum("n").alias("inside"), F.avg(F.when(F.col("n") > 1, F.col("coherence"))).alias("coherence")))
+    trials = (space.agg(F.count("*").alias("docs")).withColumn("min_cluster_size", F.explode(sizes))
+              .withColumn("min_samples", F.explode(F.array(*[F.lit(m) for m in levels]))))
+    rate = (F.col("docs") - F.coalesce("inside", F.lit(0))) / F.col("docs")
+    out = (trials.join(F.broadcast(grid), ["min_cluster_size", "min_samples"], "left")  # one row a trial
+           .select("min_cluster_size", "min_samples", F.coalesce("topics", F.lit(0)).cast("bigint").alias("topics"), "coherence", rate.alias("outlier_rate"))
+           .withColumn("objective", objective(max_outlier)))
     return out.orderBy(F.desc("objective"), "min_cluster_size", "min_samples")

@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tasksieve.functions.vectors import matrix
-from tasksieve.session import checkpointed, join_unique, numbered, top_per_group
+from tasksieve.session import BROADCAST_ROWS, checkpointed, join_unique, numbered, top_per_group
 
 SMALL_ROWS = 20_000
 BLOCK_ROWS = 4_096
 MAX_PIVOTS = 1_024
+#: Axes of the grid for a distance join; a cell touches 3 to the power of this.
+GRID_AXES = 3
 HELD_BYTES = 128 << 20
 SLICE_BYTES = 32 << 20
 HUB_LINKS = 100_000
@@ -305,19 +307,135 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
             .select("id", F.coalesce("component", "id").alias("component")))
 
 
-def _stars(names: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every linked node with the smallest node it is linked to, directly or not."""
-    root = np.arange(len(names))
-    while True:  # names are sorted, so the smallest index is the smallest name
+def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest node that each of ``n`` nodes is linked to, directly or not."""
+    root = np.arange(n)
+    while True:
         low = root.copy()
         np.minimum.at(low, u, root[v])
         np.minimum.at(low, v, root[u])
         low = low[low]
         if np.array_equal(low, root):
-            break
+            return root
         root = low
-    moved = np.flatnonzero(root != np.arange(len(names)))
-    return names[moved], names[root[moved]]
+
+
+class _Grid:
+    """Rows in cells at least ``eps`` wide along the axes on which they vary most; rows within ``eps`` are in touching cells.
+
+    A coordinate never differs by more than the distance, so nothing is missed.  The cells are a table that grows
+    with the data; a cell of many rows is cut into blocks of bounded size, and so are the rows that visit it.
+    """
+
+    def __init__(self, pool: DataFrame, id_col: str, vector: str, eps: float, block_rows: int):
+        spread = pool.select(F.posexplode(F.col(vector).cast("array<double>")).alias("axis", "v")).groupBy("axis").agg(
+            F.var_pop("v").alias("var"), F.min("v").alias("low"), F.max("v").alias("high"))
+        axes = spread.orderBy(F.desc("var"), "axis").limit(GRID_AXES).collect()
+        self.id_col, self.vector, self.block_rows = id_col, vector, block_rows
+        cell = F.lit(0).cast("bigint")
+        for k, axis in enumerate(axes):
+            side = max(eps + 1e-6, (axis["high"] - axis["low"]) / (1 << 20))
+            place = F.floor((F.col(vector)[axis["axis"]].cast("double") - axis["low"]) / side) + 1
+            cell = cell + place * (1 << (21 * k))
+        self.cell = cell
+        moves = [0]
+        for k in range(len(axes)):
+            moves = [m + step * (1 << (21 * k)) for m in moves for step in (-1, 0, 1)]
+        self.moves = F.array(*[F.lit(m).cast("bigint") for m in moves])
+        self.offer(pool)
+
+    def offer(self, pool: DataFrame) -> None:
+        """The rows to be found from now on."""
+        self.rows = pool.withColumn("cell", self.cell)
+        self.blocks = checkpointed(self.rows.groupBy("cell").agg(F.ceil(F.count("*") / self.block_rows).cast("int").alias("blocks")))
+        if self.blocks.count() <= BROADCAST_ROWS:
+            self.blocks = F.broadcast(self.blocks)
+
+    def join(self, queries: DataFrame, kernel, schema: str) -> DataFrame:
+        """``kernel(query rows, pool rows)`` for every block of every cell that touches a query's own."""
+        asked = queries.withColumn("cell", F.explode(F.transform(self.moves, lambda m: self.cell + m))).join(self.blocks, "cell")
+        visits = checkpointed(asked.groupBy("cell").agg(F.ceil(F.count("*") / self.block_rows).cast("int").alias("chunks")))
+        if visits.count() <= BROADCAST_ROWS:
+            visits = F.broadcast(visits)
+
+        def part(of: str) -> Column:
+            return F.pmod(F.xxhash64(self.id_col), F.col(of)).cast("int")
+
+        asked = (asked.join(visits, "cell").withColumn("chunk", part("chunks"))
+                 .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "chunks"))
+        offered = (self.rows.join(self.blocks, "cell").join(visits, "cell").withColumn("block", part("blocks"))
+                   .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("blocks", "chunks"))
+        offered = offered.select(*[F.col(c).alias(c) for c in offered.columns])  # both sides may stem from one table
+        keys = ["cell", "block", "chunk"]
+
+        def call(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            return kernel(left, right) if len(left) and len(right) else pd.DataFrame()
+
+        return asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInPandas(call, schema)
+
+
+def density_levels(vectors: DataFrame, eps: float, levels: list[int], id_col: str = "task_id", vector: str = "embedding",
+                   block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Density clusters for several densities from one neighbour join.
+
+    Returns the distinct vectors ``(pid, x, w)`` with their weights, and ``(level, pid, component)`` of those that
+    belong to a cluster at a level (a least number of rows within ``eps``).  Neighbours are counted
+    once.  In a second pass blocks report, for each level from the densest, only the links that join
+    what was apart at denser levels: a spanning forest whose links carry the densest level at which both
+    ends are core.  A level's clusters are the components of the links of its own and denser levels.
+    The nearest core of each other row is found in the same pass.
+    """
+    kind = vectors.schema[id_col].dataType.simpleString()
+    order = sorted({int(m) for m in levels}, reverse=True)
+    unique = checkpointed(vectors.select(id_col, F.col(vector).alias("x")).groupBy("x").agg(F.min(id_col).alias("pid"), F.count("*").alias("w")))
+    grid = _Grid(unique, "pid", "x", eps, block_rows)
+
+    def within(left: pd.DataFrame, right: pd.DataFrame):
+        d = _distances(matrix(left["x"]), matrix(right["x"]))
+        return d, (d <= eps + SLACK) | (left["pid"].to_numpy()[:, None] == right["pid"].to_numpy()[None, :])
+
+    def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"pid": left["pid"], "near": within(left, right)[1] @ right["w"].to_numpy(dtype=np.int64)})
+
+    counted = grid.join(unique.select("pid", "x"), count, f"pid {kind}, near bigint").groupBy("pid").agg(F.sum("near").alias("near"))
+    known = checkpointed(unique.join(counted, "pid").select("pid", "x", "near"))
+    cores = known.filter(F.col("near") >= order[-1])
+    grid.offer(cores)
+
+    def connect(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("pid", kind="stable")
+        d, close = within(left, right)
+        names, codes = np.unique(np.r_[left["pid"].to_numpy(), right["pid"].to_numpy()], return_inverse=True)
+        u, v = codes[: len(left)], codes[len(left):]
+        near_u, near_v = left["near"].to_numpy(), right["near"].to_numpy()
+        before = np.arange(len(names))
+        out = []
+        for m in order:
+            cu, cv = near_u >= m, near_v >= m
+            row, col = np.nonzero(close & cu[:, None] & cv[None, :])
+            root = _roots(len(names), u[row], v[col])
+            new = np.flatnonzero((root != np.arange(len(names))) & (root != before))
+            out.append(pd.DataFrame({"level": m, "a": names[new], "b": names[root[new]], "away": np.nan}))
+            before = root
+            if (~cu).any() and cv.any():
+                some = d[np.ix_(~cu, cv)]
+                ids = right["pid"].to_numpy()[cv]
+                best = _best(ids, -some, 1)[:, 0]
+                away = some[np.arange(len(some)), best]
+                found = pd.DataFrame({"level": m, "a": left["pid"].to_numpy()[~cu], "b": ids[best], "away": away})
+                out.append(found[away <= eps + SLACK])
+        return pd.concat(out)
+
+    met = checkpointed(grid.join(known, connect, f"level int, a {kind}, b {kind}, away double"))
+    every = F.array(*[F.lit(m) for m in order])
+    forest = met.filter(F.isnan("away") | F.col("away").isNull()).select(F.explode(F.filter(every, lambda m: m <= F.col("level"))).alias("m"), "a", "b")
+    alone = cores.select(F.explode(F.filter(every, lambda m: m <= F.col("near"))).alias("m"), F.col("pid").alias("a"), F.col("pid").alias("b"))
+    links = forest.unionByName(alone).select(F.struct("m", "a").alias("a"), F.struct("m", F.col("b").alias("a")).alias("b"))
+    cluster = checkpointed(components(links).select(F.col("id.m").alias("level"), F.col("id.a").alias("pid"), F.col("component.a").alias("component")))
+    homes = (met.filter(~F.isnan("away") & F.col("away").isNotNull()).groupBy("level", F.col("a").alias("pid"))
+             .agg(F.min_by("b", F.struct(F.round("away", 9), "b")).alias("core")))
+    joined = homes.join(cluster.select("level", F.col("pid").alias("core"), "component"), ["level", "core"]).select("level", "pid", "component")
+    return unique, checkpointed(cluster.unionByName(joined))
 
 
 def density_cluster(vectors: DataFrame, eps: float, min_samples: int = 3, min_cluster_size: int = 30,
@@ -329,62 +447,20 @@ def density_cluster(vectors: DataFrame, eps: float, min_samples: int = 3, min_cl
     their nearest core within ``eps``.  Clusters below ``min_cluster_size`` are noise.
 
     Equal vectors are worked on once, weighted by their number.  Blocks report
-    neighbour counts and one link per row, never their pairs.
+    neighbour counts and a spanning forest, never their pairs.
     """
-    kind = vectors.schema[id_col].dataType.simpleString()
-    points = vectors.select(id_col, F.col(vector).alias("x"))
-    unique = checkpointed(points.groupBy("x").agg(F.min(id_col).alias("pid"), F.count("*").alias("w")))
-    cells = _Cells(unique.select("pid", "x", "w"), "pid", "x", block_rows)
-    radius = cells.radius
-
-    def near(distances: np.ndarray, _rows) -> np.ndarray:
-        return distances - radius[None, :] <= eps + 1e-6
-
-    def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        within = _distances(matrix(left["x"]), matrix(right["x"])) <= eps + SLACK
-        return pd.DataFrame({"pid": left["pid"], "near": within @ right["w"].to_numpy(dtype=np.int64)})
-
-    counted = cells.join(cells.routes(unique, near), count, f"pid {kind}, near bigint", ["pid", "x", "w"])
-    cores = checkpointed(
-        unique.join(counted.groupBy("pid").agg(F.sum("near").alias("near")).filter(F.col("near") >= min_samples),
-                    "pid", "left_semi"))
-    if cores.limit(1).count() == 0:
-        return vectors.select(id_col, F.lit(-1).cast("bigint").alias("topic_id"))
-    core_cells = _Cells(cores.select("pid", "x"), "pid", "x", block_rows)
-    core_radius = core_cells.radius
-
-    def link(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        row, col = np.nonzero(_distances(matrix(left["x"]), matrix(right["x"])) <= eps + SLACK)
-        names, codes = np.unique(np.r_[left["pid"].to_numpy(), right["pid"].to_numpy()], return_inverse=True)
-        u, v = codes[: len(left)][row], codes[len(left):][col]
-        node, root = _stars(names, u, v)
-        return pd.DataFrame({"a": node, "b": root})
+    unique, member = density_levels(vectors, eps, [min_samples], id_col, vector, block_rows)
+    return topics_of_level(vectors, unique, member, min_samples, min_cluster_size, id_col, vector)
 
-    forest = core_cells.join(
-        core_cells.routes(cores, lambda d, _: d - core_radius[None, :] <= eps + 1e-6), link, f"a {kind}, b {kind}", ["pid", "x"])
-    alone = cores.select(F.col("pid").alias("a"), F.col("pid").alias("b"))
-    cluster = components(forest.unionByName(alone))
 
-    def closest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("pid", kind="stable")
-        d = _distances(matrix(left["x"]), matrix(right["x"]))
-        best = _best(right["pid"].to_numpy(), -d, 1)[:, 0]
-        away = d[np.arange(len(left)), best]
-        out = pd.DataFrame({"pid": left["pid"].to_numpy(), "core": right["pid"].to_numpy()[best], "away": away})
-        return out[away <= eps + SLACK]
-
-    border = core_cells.join(
-        core_cells.routes(unique.join(cores.select("pid"), "pid", "left_anti"),
-                          lambda d, _: d - core_radius[None, :] <= eps + 1e-6),
-        closest, f"pid {kind}, core {kind}, away double", ["pid", "x"])
-    homes = border.groupBy("pid").agg(F.min_by("core", F.struct(F.round("away", 9), "core")).alias("core"))
-    member = (cluster.select(F.col("id").alias("pid"), "component")
-              .unionByName(homes.join(cluster, homes["core"] == cluster["id"]).select("pid", "component")))
-    placed = checkpointed(unique.join(member, "pid", "left").select("pid", "x", "w", "component"))
+def topics_of_level(vectors: DataFrame, unique: DataFrame, member: DataFrame, level: int, min_cluster_size: int,
+                    id_col: str = "task_id", vector: str = "embedding") -> DataFrame:
+    """``(id, topic_id)`` of one level of ``density_levels``: clusters by size, then name; noise is -1."""
+    placed = unique.join(member.filter(F.col("level") == level).drop("level"), "pid", "left")
     sizes = (placed.filter("component is not null").groupBy("component").agg(F.sum("w").alias("size"))
              .filter(F.col("size") >= min_cluster_size))
     named = numbered(sizes, [F.desc("size"), F.asc("component")], "topic_id")
     topics = placed.join(named.select("component", "topic_id"), "component", "left").select("x", "w", "topic_id")
     # Copies get the topic of their vector.
-    out = join_unique(points, topics, "x", "w")
+    out = join_unique(vectors.select(id_col, F.col(vector).alias("x")), topics, "x", "w")
     return out.select(id_col, F.coalesce("topic_id", F.lit(-1)).cast("bigint").alias("topic_id"))

@@ -1,6 +1,7 @@
 """Neighbours, density clusters, components, split tests against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,48 @@ def test_density_clusters(spark, block_rows):
     assert sizes == sorted(sizes, reverse=True)
 
 
+@pytest.mark.parametrize("dims,block_rows", [(1, 7), (3, 16), (5, 4096)])
+def test_levels_equal_single_clusterings(spark, dims, block_rows):
+    """One neighbour join gives the clusters of every density; grids of one to three axes, cells cut in blocks, copies."""
+    rng = np.random.default_rng(dims)
+    x = np.concatenate([rng.normal(c, 0.3, size=(40, dims)) for c in (0, 2, 5)] + [rng.uniform(-3, 8, size=(40, dims))])
+    x[:25] = x[0]
+    vectors = frame(spark, x)
+    eps = 0.4 * dims**0.5
+    unique, member = N.density_levels(vectors, eps, [1, 3, 9], block_rows=block_rows)
+    for m in (1, 3, 9):
+        got = {r.task_id: r.topic_id for r in N.topics_of_level(vectors, unique, member, m, 5).collect()}
+        assert groups([got[f"{i:04d}"] for i in range(len(x))]) == groups(brute_density(x, eps, m, 5))
+
+
+def test_grid_compares_touching_cells_only(spark):
+    """Rows in a long line: the work is that of the neighbours, whatever the number of rows."""
+    seen = []
+    for n in (200, 2_000):
+        rows = frame(spark, np.arange(n)[:, None] * [1.0, 0.0]).select(F.col("task_id").alias("pid"), F.col("embedding").alias("x"))
+        grid = N._Grid(rows, "pid", "x", 1.5, 64)
+
+        def compared(left, right):
+            return pd.DataFrame({"pairs": [len(left) * len(right)]})
+
+        seen.append(grid.join(rows, compared, "pairs bigint").agg(F.sum("pairs")).first()[0])
+        assert grid.rows.select("cell").distinct().count() > n / 3
+    assert seen[1] < 11 * seen[0]
+
+
+def test_sweep_equals_each_clustering(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 0.2, size=(30, 2)) for c in ((0, 0), (3, 0), (0, 3))] + [rng.uniform(-1, 5, size=(30, 2))])
+    vectors = frame(spark, x)
+    from tasksieve.operators.cluster import sweep_objective, sweep_params
+
+    got = {(r.min_cluster_size, r.min_samples): r for r in sweep_params(vectors, 0.3, (2, 6), (2, 4)).collect()}
+    assert len(got) == 4
+    for (size, m), r in got.items():
+        plain = sweep_objective(N.density_cluster(vectors, 0.3, m, size), vectors).first()
+        assert r.topics == plain.topics and abs(r.outlier_rate - plain.outlier_rate) < 1e-12 and abs(r.objective - plain.objective) < 1e-9
+
+
 def test_no_core_means_all_noise(spark):
     out = N.density_cluster(frame(spark, np.eye(6)), 0.1, 2, 2)
     assert {r.topic_id for r in out.collect()} == {-1} and out.count() == 6
