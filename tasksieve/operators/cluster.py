@@ -15,6 +15,8 @@ from tasksieve.operators.neighbours import density_cluster, density_levels, near
 from tasksieve.operators.topics import topic_coherence, with_centroid_similarity
 from tasksieve.session import checkpointed, join_unique, numbered, top_per_group
 
+#: Centres or sums of clusters that a worker holds at a time.
+HELD_CLUSTERS = 20_000
 RESOLUTIONS = {"fine": (12, 1), "medium": (30, 3), "coarse": (60, 5)}
 
 
@@ -45,63 +47,98 @@ def density_multi_resolution(vec: DataFrame, eps: float, resolutions: dict[str,
     return out
 
 
-def _shared_centres(vec: DataFrame, centroids: DataFrame, topic: str, max_topics: int):
-    """Ids in order and unit centroids, one copy per worker."""
-    rows = centroids.select(topic, F.col("centroid")).limit(max_topics + 1).toPandas().sort_values(topic)
-    if len(rows) > max_topics:
-        raise ValueError("a probability for every topic is meant for topic tables of report size")
-    y = matrix(rows["centroid"])
-    norms = np.linalg.norm(y, axis=1, keepdims=True)
-    return vec.sparkSession.sparkContext.broadcast((rows[topic].to_numpy(), y / np.where(norms > 0, norms, 1)))
+def _blocks(table: DataFrame, key: str, rows: int):
+    """A table in parts of about ``rows`` rows, dealt by the hash of ``key``; one part if it has no more."""
+    n = -(-table.count() // rows)
+    return [table] if n <= 1 else [table.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
-def _probabilities(pdf: pd.DataFrame, vector: str, y: np.ndarray, cells: int = 1 << 22):
-    """Slices of a batch with their probabilities; a slice times all topics stays within ``cells`` doubles."""
-    step = max(1, cells // max(1, len(y)))
-    for start in range(0, len(pdf), step):
-        part = pdf.iloc[start:start + step]
-        x = matrix(part[vector])
-        norms = np.linalg.norm(x, axis=1, keepdims=True)
-        e = np.exp((x / np.where(norms > 0, norms, 1)) @ y.T)
-        yield part, e / e.sum(axis=1, keepdims=True)
+def _unit_rows(x: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norms > 0, norms, 1)
 
 
-def soft_membership(vec: DataFrame, centroids: DataFrame, id_col: str = "task_id", topic: str = "topic_id",
-                    vector: str = "embedding", max_topics: int = 20_000) -> DataFrame:
-    """``(id, topic, prob)``: softmax of the cosine to every topic's centroid."""
-    shared = _shared_centres(vec, centroids, topic, max_topics)
-    schema = (f"`{id_col}` {vec.schema[id_col].dataType.simpleString()}, "
-              f"`{topic}` {centroids.schema[topic].dataType.simpleString()}, prob double")
+class _Centres:
+    """Unit centroids in blocks that a worker holds one at a time; rows pass all blocks and carry what they have seen so far."""
+
+    def __init__(self, vec: DataFrame, centroids: DataFrame, id_col: str, topic: str, vector: str, block: int, cells: int = 1 << 22):
+        table = checkpointed(centroids.select(topic, "centroid"))
+        self.blocks = _blocks(table, topic, block)
+        self.id_col, self.topic, self.vector, self.cells = id_col, topic, vector, cells
+        self.kinds = f"`{id_col}` {vec.schema[id_col].dataType.simpleString()}, `{vector}` {vec.schema[vector].dataType.simpleString()}"
+        self.topic_kind = centroids.schema[topic].dataType.simpleString()
+        self.context = vec.sparkSession.sparkContext
+        # the normaliser of each row: the sum of exp(cosine) over all topics; a cosine is at most 1, so no sum gets out of hand
+        self.rows = vec.select(id_col, vector).withColumn("norm", F.lit(0.0))
+        for part in self.blocks:
+            self.rows = self._passed(self.rows, part, lambda pdf, e, ids: pdf.assign(norm=pdf["norm"].to_numpy() + e.sum(axis=1)), self.kinds + ", norm double")
+
+    def _passed(self, rows: DataFrame, part: DataFrame, step, schema: str) -> DataFrame:
+        """``step(rows, exp(cosine), topics)`` for slices of rows with one block; a slice times the block stays within ``cells`` doubles."""
+        held = part.toPandas().sort_values(self.topic)  # one block
+        shared = self.context.broadcast((held[self.topic].to_numpy(), _unit_rows(matrix(held["centroid"])) if len(held) else None))
+        vector, cells = self.vector, self.cells
+
+        def run(batches):
+            ids, y = shared.value
+            for pdf in batches:
+                size = max(1, cells // max(1, len(ids)))
+                for at in range(0, len(pdf), size):
+                    some = pdf.iloc[at:at + size]
+                    yield step(some, np.exp(_unit_rows(matrix(some[vector])) @ y.T) if len(ids) else np.zeros((len(some), 0)), ids)
+
+        return rows.mapInPandas(run, schema)
+
+    def all(self) -> DataFrame:
+        id_col, topic = self.id_col, self.topic
+
+        def each(pdf, e, ids):
+            p = e / pdf["norm"].to_numpy()[:, None]
+            return pd.DataFrame({id_col: np.repeat(pdf[id_col].to_numpy(), len(ids)), topic: np.tile(ids, len(pdf)), "prob": p.ravel()})
+
+        schema = f"{self.kinds.split(', ')[0]}, `{topic}` {self.topic_kind}, prob double"
+        parts = [self._passed(self.rows, part, each, schema) for part in self.blocks]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+    def best(self) -> DataFrame:
+        def better(pdf, e, ids):
+            if not len(ids):
+                return pdf
+            p = e / pdf["norm"].to_numpy()[:, None]
+            at = np.argmax(np.round(p, 12), axis=1)
+            value, name = p[np.arange(len(pdf)), at], ids[at]
+            old, known = pdf["best_prob"].to_numpy(dtype=float), pdf["best_topic"]
+            new, was = np.round(value, 12), np.round(np.where(np.isnan(old), -1.0, old), 12)
+            take = (new > was) | ((new == was) & (pd.Series(name, index=known.index) < known).to_numpy())
+            return pdf.assign(best_topic=known.where(~take, pd.Series(name, index=known.index)), best_prob=np.where(take, value, old))
+
+        rows = self.rows.withColumns({"best_topic": F.lit(None).cast(self.topic_kind), "best_prob": F.lit(None).cast("double")})
+        for part in self.blocks:
+            rows = self._passed(rows, part, better, f"{self.kinds}, norm double, best_topic {self.topic_kind}, best_prob double")
+        return rows.filter(F.col("best_topic").isNotNull()).select(self.id_col, "best_topic", "best_prob")
+
 
-    def run(batches):
-        ids, y = shared.value
-        for pdf in batches:
-            for part, p in _probabilities(pdf, vector, y):
-                yield pd.DataFrame({id_col: np.repeat(part[id_col].to_numpy(), len(ids)),
-                                    topic: np.tile(ids, len(part)), "prob": p.ravel()})
+def soft_membership(vec: DataFrame, centroids: DataFrame, id_col: str = "task_id", topic: str = "topic_id",
+                    vector: str = "embedding", block: int = HELD_CLUSTERS) -> DataFrame:
+    """``(id, topic, prob)``: softmax of the cosine to every topic's centroid, for any number of topics.
 
-    return vec.select(id_col, vector).mapInPandas(run, schema)
+    Rows pass blocks of ``block`` centroids twice, for the normaliser and for the probabilities, without a shuffle.
+    """
+    return _Centres(vec, centroids, id_col, topic, vector, block).all()
 
 
 def best_topic(vec: DataFrame, centroids: DataFrame, id_col: str = "task_id", topic: str = "topic_id",
-               vector: str = "embedding", max_topics: int = 20_000) -> DataFrame:
+               vector: str = "embedding", block: int = HELD_CLUSTERS) -> DataFrame:
     """``(id, best_topic, best_prob)``: the top of ``soft_membership`` without its table, so nothing is shuffled.
 
+    Rows carry the normaliser and the best topic so far through blocks of ``block`` centroids.
     Probabilities equal to twelve places are ties and go to the smaller topic.
     Without any topic there are no rows.
     """
-    shared = _shared_centres(vec, centroids, topic, max_topics)
-    schema = (f"`{id_col}` {vec.schema[id_col].dataType.simpleString()}, "
-              f"best_topic {centroids.schema[topic].dataType.simpleString()}, best_prob double")
-
-    def run(batches):
-        ids, y = shared.value
-        for pdf in batches:
-            for part, p in _probabilities(pdf, vector, y) if len(ids) else ():
-                at = np.argmax(np.round(p, 12), axis=1)
-                yield pd.DataFrame({id_col: part[id_col].to_numpy(), "best_topic": ids[at], "best_prob": p[np.arange(len(part)), at]})
-
-    return vec.select(id_col, vector).mapInPandas(run, schema)
+    return _Centres(vec, centroids, id_col, topic, vector, block).best()
 
 
 def binary_confidence(strength: Column, topic: Column) -> Column:
@@ -191,59 +228,71 @@ def representative_docs(assign: DataFrame, vec: DataFrame, docs: DataFrame, k: i
     return ranked.select(topic, "rank", id_col, name, "sim")
 
 
-def _held_sums(sums: DataFrame, keys: list[str], max_rows: int = 20_000) -> dict:
-    """Cluster sums by key; a table of report size."""
-    rows = sums.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError("more clusters than fit in a task")
-    return {tuple(r[k] for k in keys): (r["n"], np.asarray(r["total"])) for r in rows}
+def _held_sums(sums: DataFrame, keys: list[str]) -> dict:
+    """Cluster sums by key, of one block of clusters."""
+    return {tuple(r[k] for k in keys): (r["n"], np.asarray(r["total"])) for r in sums.collect()}
 
 
 def silhouette_rows(assign: DataFrame, vec: DataFrame, id_col: str = "task_id", topic: str = "topic_id",
-                    within: str | None = None, vector: str = "embedding") -> DataFrame:
+                    within: str | None = None, vector: str = "embedding", block: int = HELD_CLUSTERS) -> DataFrame:
     """``(id, topic, silhouette)``: cosine silhouette of every row, exact and without pairs.
 
     The mean cosine distance of a row to a cluster is ``1 - u . S / n``, so only the
     sum ``S`` and the size ``n`` of each cluster are needed.  ``within`` scores the
-    clusters of each group apart (say, the halves of each topic).
+    clusters of each group apart (say, the halves of each topic).  Rows pass the sums in blocks of about ``block``
+    clusters and carry the distance to their own and the least to another one, so there may be any number of clusters.
     """
     keys = [within, topic] if within else [topic]
     rows = assign.select(id_col, *keys).join(vec.select(id_col, unit(vector).alias("u")), id_col)
-    held = _held_sums(vector_sum(rows, keys, "u"), keys)
-    shared = vec.sparkSession.sparkContext.broadcast(held)
+    sums = checkpointed(vector_sum(rows, keys, "u"))
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [id_col, *keys])
+    schema = fields + ", u array<double>, own double, other double, mates bigint"
+    state = rows.select(id_col, *keys, F.col("u").cast("array<double>").alias("u"), F.lit(None).cast("double").alias("own"),
+                        F.lit(None).cast("double").alias("other"), F.lit(0).cast("bigint").alias("mates"))
 
-    def run(batches):
-        groups: dict = {}
-        for key, value in shared.value.items():
-            groups.setdefault(key[0] if within else None, {})[key[-1]] = value
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = matrix(pdf["u"])
-            out = np.zeros(len(pdf))
-            owner = pdf[within].to_numpy() if within else np.full(len(pdf), None)
-            for group in pd.unique(owner):
-                at = np.flatnonzero(owner == group) if within else np.arange(len(pdf))
-                names = list(groups[group])
-                n = np.array([groups[group][c][0] for c in names])
-                if len(names) < 2:
-                    continue
-                dots = x[at] @ np.stack([groups[group][c][1] for c in names]).T
-                own = pd.Index(names).get_indexer(pdf[topic].to_numpy()[at])
-                i = np.arange(len(at))
-                square = np.einsum("ij,ij->i", x[at], x[at])
-                mates = n[own] - 1
-                a = 1 - np.divide(dots[i, own] - square, mates, out=np.zeros(len(at)), where=mates > 0)
-                b = 1 - dots / n
-                b[i, own] = np.inf
-                b = b.min(axis=1)
-                top = np.maximum(a, b)
-                score = np.divide(b - a, top, out=np.zeros(len(at)), where=top > 0)
-                out[at] = np.where(mates > 0, score, 0.0)
-            yield pdf[[id_col, *keys]].assign(silhouette=out)
-
-    return rows.mapInPandas(run, fields + ", silhouette double")
+    def passed(state: DataFrame, held: dict) -> DataFrame:
+        shared = vec.sparkSession.sparkContext.broadcast(held)
+
+        def run(batches):
+            groups: dict = {}
+            for key, value in shared.value.items():
+                groups.setdefault(key[0] if within else None, {})[key[-1]] = value
+            packed = {g: (pd.Index(list(cs)), np.array([c[0] for c in cs.values()]), np.stack([c[1] for c in cs.values()])) for g, cs in groups.items()}
+            for pdf in batches:
+                own, other = pdf["own"].to_numpy(dtype=float).copy(), pdf["other"].to_numpy(dtype=float).copy()
+                mates = pdf["mates"].to_numpy().copy()
+                owner = pdf[within].to_numpy() if within else np.full(len(pdf), None)
+                for group in pd.unique(owner):
+                    if group not in packed:
+                        continue
+                    names, n, total = packed[group]
+                    every = np.flatnonzero(owner == group) if within else np.arange(len(pdf))
+                    step = max(1, (1 << 22) // len(names))
+                    for start in range(0, len(every), step):
+                        at = every[start:start + step]
+                        x = matrix(pdf["u"].iloc[at])
+                        dots = x @ total.T
+                        mine = names.get_indexer(pdf[topic].to_numpy()[at])
+                        has = np.flatnonzero(mine >= 0)
+                        apart = 1 - dots / n
+                        apart[has, mine[has]] = np.inf
+                        other[at] = np.fmin(other[at], apart.min(axis=1))
+                        few = n[mine[has]] - 1
+                        square = np.einsum("ij,ij->i", x[has], x[has])
+                        own[at[has]] = 1 - np.divide(dots[has, mine[has]] - square, few, out=np.zeros(len(has)), where=few > 0)
+                        mates[at[has]] = few
+                yield pdf.assign(own=own, other=other, mates=mates)
+
+        return state.mapInPandas(run, schema)
+
+    for part in _blocks(sums, keys[0], block):
+        state = passed(state, _held_sums(part, keys))
+    own, other = F.col("own"), F.col("other")
+    alone = F.col("mates") <= 0
+    lone = other.isNull() | F.isnan(other) | (other == float("inf"))  # no other cluster
+    top = F.greatest(own, other)
+    score = F.when(alone | lone | (top <= 0), 0.0).otherwise((other - own) / top)
+    return state.select(id_col, *keys, score.alias("silhouette"))
 
 
 def silhouette(assign: DataFrame, vec: DataFrame, id_col: str = "task_id", topic: str = "topic_id") -> DataFrame:
@@ -252,14 +301,23 @@ def silhouette(assign: DataFrame, vec: DataFrame, id_col: str = "task_id", topic
 
 
 def halve_topics(assign: DataFrame, vec: DataFrame, id_col: str = "task_id", topic: str = "topic_id",
-                 vector: str = "embedding", rounds: int | None = None) -> DataFrame:
+                 vector: str = "embedding", rounds: int | None = None, block: int = HELD_CLUSTERS) -> DataFrame:
     """``(id, topic, half)``: 2-means inside every topic, all topics in one job per round.
 
     A round assigns each row to the nearer of its topic's two centres and sums the
     halves with map-side combine, so a topic of any size is spread over all tasks.
     Starts from the row least like the topic's centre and the row least like that,
-    and goes on until no centre moves (or ``rounds``, if given, are over).
+    and goes on until no centre moves (or ``rounds``, if given, are over).  Topics know nothing of each
+    other, so more than ``block`` of them are halved in several runs; the driver holds the centres of one.
     """
+    named = checkpointed(assign.filter(F.col(topic) != -1).select(topic).distinct())
+    parts = _blocks(named, topic, block)
+    if len(parts) > 1:
+        halved = [halve_topics(assign.join(part, topic, "left_semi"), vec, id_col, topic, vector, rounds, max(block, part.count())) for part in parts]
+        out = halved[0]
+        for more in halved[1:]:
+            out = out.unionByName(more)
+        return out
     rows = checkpointed(assign.filter(F.col(topic) != -1).select(id_col, topic)
                         .join(vec.select(id_col, F.col(vector).cast("array<double>").alias("x")), id_col))
     context = vec.sparkSession.sparkContext

@@ -244,3 +244,34 @@ def test_components_of_a_hub(spark, monkeypatch):
     edges = [(0, i) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(139, 59), (200, 201), (300, 300)]
     got = {r.id: r.component for r in N.components(spark.createDataFrame(edges, "a int, b int")).collect()}
     assert got == {**dict.fromkeys([*range(60), *range(100, 140)], 0), 200: 200, 201: 200, 300: 300}
+
+
+def test_any_number_of_topics_in_blocks(spark):
+    """Memberships, best topics, silhouettes and halves are the same however many centres a worker holds."""
+    rng = np.random.default_rng(12)
+    x, centres = rng.normal(size=(60, 6)), rng.normal(size=(41, 6))
+    centres[7] = centres[3]  # equal topics tie
+    vectors = frame(spark, x)
+    topics = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "topic_id bigint, centroid array<double>")
+    sims = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (centres / np.linalg.norm(centres, axis=1, keepdims=True)).T
+    p = np.exp(sims) / np.exp(sims).sum(axis=1, keepdims=True)
+    for block in (41, 9):
+        got = {(r.task_id, r.topic_id): r.prob for r in CL.soft_membership(vectors, topics, block=block).collect()}
+        assert len(got) == p.size and all(abs(got[f"{i:04d}", t] - p[i, t]) < 1e-12 for i in range(60) for t in range(41))
+        best = {r.task_id: (r.best_topic, r.best_prob) for r in CL.best_topic(vectors, topics, block=block).collect()}
+        assert [best[f"{i:04d}"][0] for i in range(60)] == np.argmax(np.round(p, 12), axis=1).tolist()
+    assert CL.best_topic(vectors, topics.limit(0)).count() == 0
+    assign = spark.createDataFrame([(f"{i:04d}", i % 7 if i < 59 else 99) for i in range(60)], "task_id string, topic_id int")
+    whole = {r.task_id: r.silhouette for r in CL.silhouette_rows(assign, vectors).collect()}
+    parts = {r.task_id: r.silhouette for r in CL.silhouette_rows(assign, vectors, block=2).collect()}
+    assert whole["0059"] == 0 and all(abs(whole[i] - parts[i]) < 1e-12 for i in whole)
+    halves = [{(r.task_id, r.half) for r in CL.halve_topics(assign, vectors, block=b).collect()} for b in (20, 3)]
+    assert halves[0] == halves[1] and len(halves[0]) == 60
+
+
+def test_fifty_thousand_centres(spark):
+    centres = spark.range(50_000).selectExpr("id AS topic_id", "array(cos(id * 1e-4D), sin(id * 1e-4D)) AS centroid")
+    angles = [0.00004, 1.23456, 4.99994]
+    got = CL.best_topic(frame(spark, [[np.cos(a), np.sin(a)] for a in angles]), centres).collect()
+    # probabilities tie at twelve places near the top; the smallest of those that tie is told
+    assert len(got) == 3 and all(abs(r.best_topic * 1e-4 - a) < 0.02 for r, a in zip(sorted(got, key=lambda r: r.task_id), angles))
