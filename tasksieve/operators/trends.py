@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tasksieve.functions.conditions import confidence_bucket
 from tasksieve.operators.topics import group_share
+from tasksieve.session import BROADCAST_ROWS, checkpointed
 
 
 def confidence_buckets(df: DataFrame, confidence: str = "confidence") -> DataFrame:
@@ -20,21 +21,51 @@ def confidence_histogram(df: DataFrame, bins: int = 20, confidence: str = "confi
             .select("bin", F.round(F.col("bin") / bins, 4).alias("low"), "n"))
 
 
-def confidence_by_topic(df: DataFrame, topic: str, confidence: str = "confidence", exact: bool = True) -> DataFrame:
-    """Mean, median and rows per topic, least confident first.
+def group_medians(df: DataFrame, group: str, value: str, bins: int = 1_024, few: int = 10_000) -> DataFrame:
+    """``(group, median)``, exact on raw doubles with bounded state (nulls and NaN left out).
 
-    The exact median ranks distinct values with their counts.  Probabilities
-    rounded to four places give at most 10,001 of them; for raw doubles at
-    scale pass ``exact=False``.
+    The middle ranks of a group are looked for in value ranges: rows are counted in ``bins`` ranges between
+    the group's least and greatest value, and only the range that holds a rank is counted again, until it has
+    ``few`` rows or a single value; these rows are ranked.  A round is one scan that ships ``bins`` counts a group.
     """
-    if not exact:
-        middle = df.groupBy(topic).agg(F.avg(confidence).alias("mean_conf"),
-                                       F.percentile_approx(confidence, 0.5, 10_000).alias("median_conf"), F.count("*").alias("n"))
-        return middle.orderBy("mean_conf", topic)
-    counts = df.groupBy(topic, F.col(confidence).alias("v")).agg(F.count("*").alias("c"))
-    return (counts.groupBy(topic).agg(
-        (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean_conf"), F.expr("percentile(v, 0.5, c)").alias("median_conf"),
-        F.sum("c").alias("n")).orderBy("mean_conf", topic))
+    rows = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    sizes = rows.groupBy("g").agg(F.count("*").alias("inside"), F.min("v").alias("low"), F.max("v").alias("high"))
+    ranks = F.array_distinct(F.array(F.floor((F.col("inside") - 1) / 2), F.floor(F.col("inside") / 2)))
+    wanted = checkpointed(sizes.select("g", F.explode(ranks).alias("rank"), F.col("rank").alias("k"), "inside", "low", "high"))
+
+    def ranges(table: DataFrame) -> DataFrame:
+        each = table.select(F.col("g").alias("tg"), "low", "high").distinct()
+        return F.broadcast(each) if each.count() <= BROADCAST_ROWS else each
+
+    holds = F.col("g").eqNullSafe(F.col("tg")) & F.col("v").between(F.col("low"), F.col("high"))
+    while True:
+        wide = wanted.filter((F.col("inside") > few) & (F.col("low") < F.col("high")))
+        if wide.isEmpty():
+            break
+        place = F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1))
+        counted = rows.join(ranges(wide), holds).groupBy("tg", "low", "high", place.alias("bin")).agg(
+            F.count("*").alias("n"), F.min("v").alias("from"), F.max("v").alias("to"))
+        before = Window.partitionBy("tg", "low", "high").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = counted.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        narrow = (wide.alias("w").join(ranked.alias("r"), F.col("w.g").eqNullSafe(F.col("r.tg")) & (F.col("w.low") == F.col("r.low")) & (F.col("w.high") == F.col("r.high"))
+                                       & (F.col("r.ahead") <= F.col("w.k")) & (F.col("w.k") < F.col("r.ahead") + F.col("r.n")))
+                  .select("w.g", "w.rank", (F.col("w.k") - F.col("r.ahead")).alias("k"), F.col("r.n").alias("inside"), F.col("r.from").alias("low"), F.col("r.to").alias("high")))
+        wanted = checkpointed(wanted.filter((F.col("inside") <= few) | (F.col("low") == F.col("high"))).unionByName(narrow))
+    single = wanted.filter("low = high").select("g", F.col("low").alias("v"))
+    rest = wanted.filter("low < high")
+    order = Window.partitionBy("tg", "low", "high").orderBy("v")
+    near = rows.join(ranges(rest), holds).select("tg", "low", "high", "v", (F.row_number().over(order) - 1).alias("at"))  # ``few`` rows a range
+    found = rest.alias("w").join(near.alias("r"), F.col("w.g").eqNullSafe(F.col("r.tg")) & (F.col("w.low") == F.col("r.low")) & (F.col("w.high") == F.col("r.high"))
+                                 & (F.col("w.k") == F.col("r.at"))).select("w.g", "r.v")
+    return single.unionByName(found).groupBy(F.col("g").alias(group)).agg(F.avg("v").alias("median"))
+
+
+def confidence_by_topic(df: DataFrame, topic: str, confidence: str = "confidence") -> DataFrame:
+    """Mean, median and rows per topic, least confident first; both are exact on raw doubles at any size (``group_medians``)."""
+    means = df.groupBy(topic).agg(F.avg(confidence).alias("mean_conf"), F.count("*").alias("n"))
+    medians = group_medians(df, topic, confidence).withColumnRenamed(topic, "__topic")
+    return (means.join(medians, means[topic].eqNullSafe(medians["__topic"]), "left")
+            .select(topic, "mean_conf", F.col("median").alias("median_conf"), "n").orderBy("mean_conf", topic))
 
 
 def month(ts: str) -> Column:

@@ -93,3 +93,25 @@ def test_top_per_group_in_two_levels(spark):
         assert got == {g: sorted(x)[:k] for g, x in plain.items()}
         before = top._jdf.queryExecution().executedPlan().toString()
         assert before.count("WindowGroupLimit") >= 4 and before.count("Exchange") == 2
+
+
+@pytest.mark.parametrize("bins,few", [(1_024, 10_000), (4, 5), (2, 1)])
+def test_medians_are_exact_on_raw_doubles(spark, bins, few):
+    """One topic holds most rows; values on many scales, ties, single rows, nulls and NaN."""
+    import random
+    import statistics
+
+    from tasksieve.operators.trends import confidence_by_topic, group_medians
+
+    rng = random.Random(4)
+    rows = [("hot", rng.random()) for _ in range(501)] + [("wide", 10.0 ** rng.uniform(-200, 3)) for _ in range(60)] + [("ties", rng.choice([0.25, 0.5])) for _ in range(40)]
+    rows += [("one", 0.7), ("two", 0.1), ("two", 0.4), ("none", None), (None, 0.3), (None, 0.9), ("hot", None), ("hot", float("nan"))]
+    df = spark.createDataFrame(rows, "label string, confidence double")
+    want = {}
+    for g, v in rows:
+        if v is not None and v == v:
+            want.setdefault(g, []).append(v)
+    got = {r.label: r.median for r in group_medians(df, "label", "confidence", bins, few).collect()}
+    assert got == {g: pytest.approx(statistics.median(v), rel=1e-15) for g, v in want.items()}
+    report = confidence_by_topic(df.filter("label not in ('hot')"), "label").collect()
+    assert [r.mean_conf for r in report if r.label != "none"] == sorted(r.mean_conf for r in report if r.label != "none") and len(report) == 5
