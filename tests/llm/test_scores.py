@@ -186,3 +186,23 @@ def test_scores_odd_rows(documents):
     assert len(got) == len(ODD) and all(r["log_prob"] == 0 for r in got if r["n_tokens"] == 0)
     assert pseudo_likelihood(docs.limit(0)).count() == 0
     assert {r["log_prob"] for r in pseudo_likelihood(documents([(1, None, "en", "a"), (2, "", "en", "a")])).collect()} == {0.0}
+
+
+def test_long_texts_are_cut_without_a_trace():
+    """Pieces of a text see their neighbours: all windows are there once, whatever the size of the pieces."""
+    import pyarrow as pa
+
+    from tasksieve.llm.likelihood import byte_table, pieces, windows
+
+    texts = [b"", b"a", b"ab", bytes(range(200)) * 3, b"", b"xyz" * 50]
+    whole = [windows([t], byte_table())[0].tolist() for t in texts]
+    for size in (1, 2, 3, 7, 64, 1 << 20):
+        got = [[] for _ in texts]
+        for group in pieces(pa.array(texts, pa.binary()), size):
+            code, sizes = windows([x for _, x, _ in group], byte_table(), [x for _, _, x in group])
+            assert sum(map(lambda g: len(g[1]), group)) <= max(size, 1) + max(map(len, texts)) + 4 and len(code) == sizes.sum()
+            at = 0
+            for (number, _, _), n in zip(group, sizes):
+                got[number] += code[at:at + n].tolist()
+                at += n
+        assert got == whole

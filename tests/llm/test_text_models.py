@@ -151,3 +151,14 @@ def test_pieces_odd_rows(documents):
     assert len(got) == len(ODD) and {r["n_tokens"] for r in got if r["key"] in (1, 2)} == {1}
     assert all(r["decoded"] == (t or "") for r, t in zip(token_ids(documents(ODD[:6]), MODEL).collect(), [x[1] for x in ODD[:6]]))
     assert encode_documents(docs.limit(0), MODEL).count() == 0
+
+
+def test_columns_of_any_name_stay(spark, documents):
+    """The pipeline's first stage hands on every column, whatever it is called."""
+    from tasksieve.llm.language import keep_identified
+
+    rows = [(k, "the words of this text", "en", "a", k, k, k) for k in range(5)] + [(9, "12 34", "en", "a", 9, 9, 9)]
+    df = documents(rows, extra=", __told bigint, __score bigint, doc bigint")
+    got = keep_identified(df)
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"], r["__told"], r["__score"], r["doc"]) for r in got.collect()) == [(k, k, k, k) for k in range(5)]
