@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tasksieve.functions.vectors import matrix, unit, vector_sum
+from tasksieve.functions.vectors import matrix, norm2, unit, vector_sum
 from tasksieve.operators.features import long_terms
 from tasksieve.operators.neighbours import density_cluster, density_levels, nearest, topics_of_level
 from tasksieve.operators.topics import topic_coherence, with_centroid_similarity
@@ -17,6 +17,8 @@ from tasksieve.session import checkpointed, join_unique, numbered, top_per_group
 
 #: Centres or sums of clusters that a worker holds at a time.
 HELD_CLUSTERS = 20_000
+#: Topics with the closest partners that the driver looks at in a round of merges.
+MERGE_ROWS = 512
 RESOLUTIONS = {"fine": (12, 1), "medium": (30, 3), "coarse": (60, 5)}
 
 
@@ -193,27 +195,114 @@ def zero_shot_then_cluster(vec: DataFrame, seeds: DataFrame, eps: float, min_sim
                                       .otherwise(-1).cast("bigint").alias("topic_id"))))
 
 
-def reduce_topics(assign: DataFrame, vec: DataFrame, n: int, id_col: str = "task_id", topic: str = "topic_id") -> DataFrame:
+def _two_best(pairs: DataFrame, topic: str) -> DataFrame:
+    """``(topic, first, s1, second, s2)`` from a few candidates ``(topic, partner, sim)`` of each topic; ties to the smaller partner."""
+    ranked = pairs.groupBy(topic).agg(F.array_sort(F.collect_set(F.struct((-F.col("sim")).alias("minus"), "partner"))).alias("p"))
+    one, two = F.get("p", F.lit(0)), F.get("p", F.lit(1))
+    return ranked.select(topic, one["partner"].alias("first"), (-one["minus"]).alias("s1"),
+                         two["partner"].alias("second"), (-two["minus"]).alias("s2"))
+
+
+def _partners(asked: DataFrame, pool: DataFrame, topic: str, k: int) -> DataFrame:
+    """The closest ``k`` topics of ``pool`` for each topic asked, itself left out: ``(topic, partner, sim)``."""
+    near = nearest(asked.select(topic, "u"), pool.select(topic, "u"), k, topic, "u")
+    return near.filter(F.col("neighbour") != F.col(topic)).select(topic, F.col("neighbour").alias("partner"), F.round("sim", 9).alias("sim"))
+
+
+def next_merges(rows: list, room: int) -> list[tuple]:
+    """The pairs ``(a, b)`` that a merge of the closest pair, one after the other, is sure to take next.
+
+    ``rows`` are ``(topic, length, first, s1, s2)`` of the topics with the closest partners, closest pair first.  The
+    first pair is always next.  A topic merged from x and y has similarity ``(|x| cos(x, z) + |y| cos(y, z)) / |x + y|``
+    with z, so the second best partners of x and y bound what it can reach; a further pair is taken only while
+    it is closer than any new topic can be to anything.  What can't be told waits for the next round.
+    """
+    known = {r[0]: r for r in rows}
+    gone: set = set()
+    out: list[tuple] = []
+    bound = -np.inf
+    for topic, length, first, sim, second in rows:
+        if len(out) == room:
+            break
+        if topic in gone:
+            continue
+        if first in gone:  # its next best partner is not known, but no closer than this
+            bound = max(bound, second)
+            continue
+        other = known.get(first)
+        sure = other is not None and other[2] == topic
+        if out and not (sure and sim > bound):
+            break
+        out.append((topic, first))
+        gone |= {topic, first}
+        if not sure:
+            break
+        merged = np.sqrt(max(0.0, length ** 2 + other[1] ** 2 + 2 * length * other[1] * sim))
+        reach = length * max(bound, second) + other[1] * max(bound, other[4]) + 1e-8 * (length + other[1])
+        bound = max(bound, reach / merged + 1e-8) if merged > 0 else np.inf
+    return out
+
+
+def reduce_topics(assign: DataFrame, vec: DataFrame, n: int, id_col: str = "task_id", topic: str = "topic_id",
+                  batch: int = MERGE_ROWS) -> DataFrame:
     """``(topic, merged_into)``: merge the two most similar topics until ``n`` are left.
 
     The rows are summed once per topic.  A merged topic's centroid is the sum of
     its parts, so each step works on the table of topics alone.  The smaller
-    topic of a pair joins the larger one (ties: the larger id joins).
+    topic of a pair joins the larger one (ties: the larger id joins).  Topics without a direction (sum zero) are
+    like each other and have similarity 0 with the rest.
+
+    A table keeps the two best partners of every topic.  A round merges the closest pair and those that are sure to come
+    next (``next_merges``), so that the merges are those of one by one.  Then only topics that were merged, or that
+    had a partner among them, look for partners among all topics; the others meet the new topics only.  The driver sees
+    ``batch`` rows without vectors a round; sums, partners and memberships stay in tables of the shared folder.
     """
-    sums = vector_sum(assign.filter(F.col(topic) != -1).select(id_col, topic).join(vec, id_col), [topic]).toPandas()
-    groups = {int(t): [float(c), np.asarray(v, dtype=float), {int(t)}] for t, c, v in zip(sums[topic], sums["n"], sums["total"])}
-    while len(groups) > n:
-        ids = sorted(groups)
-        x = np.stack([groups[i][1] for i in ids])
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        sims = np.round(np.triu(x @ x.T, 1) - np.tril(np.full((len(ids), len(ids)), 9.0)), 9)
-        a, b = (ids[i] for i in np.unravel_index(int(sims.argmax()), sims.shape))
-        keep, drop = (a, b) if (groups[a][0], -a) >= (groups[b][0], -b) else (b, a)
-        groups[keep] = [groups[keep][0] + groups[drop][0], groups[keep][1] + groups[drop][1], groups[keep][2] | groups[drop][2]]
-        del groups[drop]
-    rows = [(member, keep) for keep, (_, _, members) in groups.items() for member in sorted(members)]
-    return assign.sparkSession.createDataFrame(rows, f"`{topic}` {assign.schema[topic].dataType.simpleString()}, merged_into "
-                                               f"{assign.schema[topic].dataType.simpleString()}")
+    spark, kind = assign.sparkSession, assign.schema[topic].dataType.simpleString()
+
+    def described(sums: DataFrame) -> DataFrame:
+        length = F.sqrt(norm2(F.col("total")))
+        off = F.when(F.col("length") > 0, 0.0).otherwise(1.0)
+        return sums.select(topic, "n", "total", length.alias("length")).select("*", F.concat(unit("total"), F.array(off)).alias("u"))
+
+    live = checkpointed(described(vector_sum(assign.filter(F.col(topic) != -1).select(id_col, topic).join(vec, id_col), [topic])))
+    member = live.select(topic, F.col(topic).alias("merged_into"))
+    left, goal = live.count(), max(n, 1)
+    best = checkpointed(_two_best(_partners(live, live, topic, 3), topic)) if left > goal else None
+    while left > goal:
+        low, high = F.least(topic, "first"), F.greatest(topic, "first")
+        closest = best.orderBy(F.desc("s1"), low, high, topic).limit(batch)
+        sizes = live.select(topic, "n", "length")
+        rows = (closest.join(sizes, topic).join(sizes.select(F.col(topic).alias("first"), F.col("n").alias("n_first")), "first")
+                .orderBy(F.desc("s1"), low, high, topic).collect())
+        size = {r[topic]: r["n"] for r in rows} | {r["first"]: r["n_first"] for r in rows}
+        pairs = next_merges([(r[topic], r["length"], r["first"], r["s1"], -1.0 if r["s2"] is None else r["s2"]) for r in rows], left - goal)
+        moves = []
+        for a, b in ((min(p), max(p)) for p in pairs):
+            moves.append((b, a) if size[a] >= size[b] else (a, b))
+        left -= len(moves)
+        # At most ``batch`` rows each.
+        moved = F.broadcast(spark.createDataFrame(moves, f"__drop {kind}, __keep {kind}"))
+        kept = F.broadcast(spark.createDataFrame([(k,) for _, k in moves], f"`{topic}` {kind}"))
+        touched = [F.lit(t) for move in moves for t in move]
+        member = checkpointed(member.join(moved, F.col("merged_into") == F.col("__drop"), "left")
+                              .select(topic, F.coalesce("__keep", "merged_into").alias("merged_into")))
+        if left <= goal:
+            break
+        gained = (live.join(moved, F.col(topic) == F.col("__drop"))
+                  .select(F.col("__keep").alias(topic), F.col("n").alias("n_more"), F.col("total").alias("more")))
+        grown = live.join(F.broadcast(gained), topic).select(
+            topic, (F.col("n") + F.col("n_more")).alias("n"), F.zip_with("total", "more", lambda x, y: x + y).alias("total"))
+        live = checkpointed(live.filter(~F.col(topic).isin(touched)).unionByName(described(grown)))
+        stale = F.col("first").isin(touched) | F.coalesce(F.col("second").isin(touched), F.lit(False))
+        steady = best.filter(~F.col(topic).isin(touched) & ~stale)
+        asked = live.join(steady.select(topic), topic, "left_anti")
+        calm = live.join(steady.select(topic), topic, "left_semi")
+        offers = (steady.select(topic, F.col("first").alias("partner"), F.col("s1").alias("sim"))
+                  .unionByName(steady.filter("second IS NOT NULL").select(topic, F.col("second").alias("partner"), F.col("s2").alias("sim")))
+                  .unionByName(_partners(calm, live.join(kept, topic, "left_semi"), topic, 2))
+                  .unionByName(_partners(asked, live, topic, 3)))
+        best = checkpointed(_two_best(offers, topic))
+    return member
 
 
 def representative_docs(assign: DataFrame, vec: DataFrame, docs: DataFrame, k: int = 3, id_col: str = "task_id",
