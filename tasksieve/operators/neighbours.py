@@ -228,20 +228,30 @@ def _nearest_blocked(queries, pool, k, id_col, vector, carry, schema, block_rows
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, min_sim: float | None, id_col: str, vector: str,
-                  small_rows: int = SMALL_ROWS) -> DataFrame:
+                  small_rows: int = SMALL_ROWS, later: bool = False) -> DataFrame:
     """``(a, b, sim)`` with ``sim > min_sim`` (all pairs when None), unit vectors.
 
-    Meant for tables of topics, where the pairs are the report.
+    Meant for tables of topics, where the pairs are the report.  With ``later`` only pairs ``a < b`` are reported, and
+    rows of one batch are compared with later ids only.  Rows are taken in slices, so that no matrix of similarities
+    goes over ``SLICE_BYTES``.
     """
     kind = left.schema[id_col].dataType.simpleString()
     schema = f"a {kind}, b {kind}, sim double"
     bound = -2.0 if min_sim is None else min_sim
     held = _held(right, id_col, vector, small_rows)
 
-    def above(left_ids, x, right_ids, y) -> pd.DataFrame:
-        sims = x @ y.T
-        row, col = np.nonzero(sims > bound)
-        return pd.DataFrame({"a": left_ids[row], "b": right_ids[col], "sim": sims[row, col]})
+    def above(queries: pd.DataFrame, ids, y):
+        """Pairs of a batch with a part of the pool in the order of its ids."""
+        queries = queries.sort_values(id_col, kind="stable")
+        step = max(1, SLICE_BYTES // (8 * max(1, len(ids))))
+        for at in range(0, len(queries), step):
+            part = queries.iloc[at:at + step]
+            own = part[id_col].to_numpy()
+            start = int(np.searchsorted(ids, own[0], side="right")) if later else 0
+            sims = matrix(part[vector]) @ y[start:].T
+            row, col = np.nonzero(sims > bound)
+            pairs = pd.DataFrame({"a": own[row], "b": ids[start + col], "sim": sims[row, col]})
+            yield pairs[pairs["a"] < pairs["b"]] if later else pairs
 
     if held is not None:
         shared = left.sparkSession.sparkContext.broadcast(held)
@@ -250,14 +260,18 @@ def similar_pairs(left: DataFrame, right: DataFrame, min_sim: float | None, id_c
             ids, y, _ = shared.value
             for pdf in batches:
                 if len(pdf) and len(ids):
-                    yield above(pdf[id_col].to_numpy(), matrix(pdf[vector]), ids, y)
+                    yield from above(pdf, ids, y)
 
         return left.select(id_col, vector).mapInPandas(run, schema)
     cells = _Cells(right.select(id_col, vector), id_col, vector, BLOCK_ROWS)
     radius, reach = cells.radius, float(np.sqrt(max(0.0, 2 - 2 * bound)))
     routes = cells.routes(left, lambda d, _: d - radius[None, :] <= reach + 1e-6)
-    return cells.join(routes, lambda l, r: above(l[id_col].to_numpy(), matrix(l[vector]), r[id_col].to_numpy(),
-                                                 matrix(r[vector])), schema, [id_col, vector])
+
+    def block(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        r = r.sort_values(id_col, kind="stable")
+        return pd.concat(above(l, r[id_col].to_numpy(), matrix(r[vector])))
+
+    return cells.join(routes, block, schema, [id_col, vector])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:

@@ -132,7 +132,7 @@ def topic_similarity_pairs(cent: DataFrame, min_sim: float = 0.75, merge: float
                            keywords: DataFrame | None = None, topic: str = "topic_id") -> DataFrame:
     """``(topic_a, topic_b, similarity, recommendation)`` above the threshold, most similar first."""
     units = _unit_centroids(cent, topic)
-    pairs = similar_pairs(units, units, min_sim, topic, "centroid").filter("a < b")
+    pairs = similar_pairs(units, units, min_sim, topic, "centroid", later=True)
     out = pairs.select(F.col("a").alias("topic_a"), F.col("b").alias("topic_b"), F.col("sim").alias("similarity"),
                        F.when(F.col("sim") > merge, "MERGE").otherwise("CONSIDER").alias("recommendation"))
     if keywords is not None:
@@ -156,7 +156,7 @@ def merge_candidates_by_distance(cent: DataFrame, words: DataFrame, max_dist: fl
     lists = words.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t")).select(
         label, F.transform("t", lambda x: x["term"]).alias("words"))
     units = _unit_centroids(cent, label)
-    pairs = similar_pairs(units, units, 1 - max_dist, label, "centroid").filter("a < b")
+    pairs = similar_pairs(units, units, 1 - max_dist, label, "centroid", later=True)
     for side in ("a", "b"):
         pairs = pairs.join(lists.select(F.col(label).alias(side), F.col("words").alias(f"w_{side}")), side, "left")
     empty = F.array().cast("array<string>")

@@ -54,6 +54,16 @@ def test_similar_pairs(spark, points, small_rows):
     assert got == {(f"{i:04d}", f"{j:04d}") for i, j in zip(*np.nonzero(sims > 0.4))}
 
 
+@pytest.mark.parametrize("small_rows", [1000, 0])
+def test_similar_pairs_later_ids_in_slices(spark, points, small_rows, monkeypatch):
+    monkeypatch.setattr(N, "SLICE_BYTES", 8 * 300)  # a few rows a slice
+    df = frame(spark, points)  # with copies
+    got = sorted((r.a, r.b, round(r.sim, 6)) for r in N.similar_pairs(df, df, 0.4, "task_id", "embedding", small_rows, later=True).collect())
+    sims = points @ points.T
+    assert got == [(f"{i:04d}", f"{j:04d}", round(sims[i, j], 6)) for i, j in zip(*np.nonzero(sims > 0.4)) if i < j]
+    assert N.similar_pairs(df.limit(0), df, 0.4, "task_id", "embedding", small_rows, later=True).count() == 0
+
+
 def brute_density(x, eps, min_samples, min_size):
     d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0))
     near = d <= eps + 1e-9
