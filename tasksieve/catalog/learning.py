@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tasksieve.catalog.base import CENT, DOCS, STOP, TASKS, UNIT, assignment, docs, query, texts, topic_docs, vectors
 from tasksieve.catalog.cleaning import clean_sql, mask_sql
-from tasksieve.catalog.topics import MEMBER, TERMS, _cent, _member, _terms, rounded
+from tasksieve.catalog.topics import _RULES, MEMBER, TERMS, _cent, _member, _terms, rounded
 from tasksieve.functions.vectors import unit
 from tasksieve.operators import classify, cluster, features, filters
 from tasksieve.operators.neighbours import density_cluster
@@ -127,7 +127,7 @@ def _(spark, sf):
 @query("discover")
 def _(spark, sf):
     corpus = docs(spark, sf).select("task_id", F.col("text").alias("cleaned_text"), F.col("lang").alias("primary_platform"))
-    return plans.discover(corpus, vectors(spark, sf), assignment(spark, sf), stop=STOP, min_sim=0.15)["final"]
+    return plans.discover(corpus, vectors(spark, sf), assignment(spark, sf), _RULES, _RULES, stop=STOP, min_sim=0.15)["final"]
 
 
 # ------------------------------------------------------------- labels, splits

@@ -161,64 +161,6 @@ ACTION_KEYWORDS = {
                      "distribution notice", "capital call"],
 }
 
-# Topic naming rules, first match wins: (name, pillar, alternatives).  An
-# alternative is a list of conditions that must all hold: "=w" the keyword w is
-# present, "~p" the phrase p occurs in the keywords joined by spaces.
-NAME_RULES = [
-    ("New Account Setup", None, [["~new account"], ["=account", "=new"]]),
-    ("New Private Investment", None, [["~private investment"], ["~new private"]]),
-    ("Fund Administration (K-1/LP)", None, [["=k1"], ["=lp"]]),
-    ("Portal & Report Views", None, [["=portal"], ["=view"]]),
-    ("Commitment & Excel Data", None, [["=excel"], ["=commitment"], ["=unfunded"]]),
-    ("Access & Permissions", None, [["=access"], ["~yes yes"]]),
-    ("Meetings & Follow-ups", None, [["=meeting"], ["=reminder"], ["=schedule"]]),
-    ("Contact/Person Updates", None, [["~update person"], ["=person", "=update"]]),
-    ("Ownership & Trust Structure", None, [["=ownership"], ["=trust"], ["=structure"]]),
-    ("Asset Classification", None, [["=asset", "=class"]]),
-    ("Invoicing & Billing", None, [["=invoice"], ["=invoices"]]),
-    ("Valuation Import", None, [["=valuation", "=import"]]),
-    ("Distributions & Transactions", None, [["=distribution"], ["~transaction type"]]),
-    ("Performance & Benchmarks", None, [["=performance"], ["=benchmark"]]),
-    ("Loans & Promissory Notes", None, [["=loan"], ["=promissory"]]),
-    ("Data Backfill & Statements", None, [["=backfill"], ["=data", "=statements"]]),
-    ("Missing Data Resolution", None, [["=missing", "=data"]]),
-    ("Cost Basis Issues", None, [["~cost basis"], ["=cost"]]),
-    ("Transfers & General Updates", None, [["=transfer"]]),
-    ("Direct Owner & Asset Views", None, [["=owner"], ["~direct owner"]]),
-    ("Investor Entity Management", None, [["=id", "=investors"]]),
-    ("LLC/Series Entity Setup", None, [["=llc", "=series"]]),
-]
-PLATFORM_SUFFIX_NAMES = ["Valuation Import"]
-PASSPORT_RULES = [
-    ("Account Setup & Connectivity", "Account Operations",
-     [["=new account", "=new"], ["=account", "=new"], ["=contact", "=new"]]),
-    ("Historical Data Backfill", "Account Operations", [["=backfill"], ["=data", "=statements"]]),
-    ("Account Connectivity & Feeds", "Account Operations",
-     [["=accounts", "=feeding"], ["=accounts", "=connected"], ["=accounts", "=wrapper"]]),
-    ("New Private Investment Setup", "Investment Management", [["~private investment"], ["~new private"]]),
-    ("Recurring Data Maintenance & Audits", "Operations & Admin", [["=k1"], ["=llc", "=lp"]]),
-    ("Debt & Lending Instruments", "Investment Management", [["=loan"], ["=promissory"]]),
-    ("Security & Position Updates", "Investment Management", [["=llc", "=series"]]),
-    ("Position Cleanup & Deduplication", "Data & Valuation", [["=id", "=investors"]]),
-    ("Commitment & Capital Call Tracking", "Investment Management", [["=commitment"], ["=unfunded"]]),
-    ("Scheduled Valuation Feeds", "Data & Valuation", [["=valuation", "=import"]]),
-    ("Cost Basis Reconciliation", "Data & Valuation", [["~cost basis"], ["=cost", "=basis"]]),
-    ("Missing Data & Attributes", "Data & Valuation", [["=missing", "=data"], ["=missing", "=attribute"]]),
-    ("Asset Classification & Attributes", "Data & Valuation", [["=asset", "=class"]]),
-    ("Client Report & View Management", "Reporting & Portal", [["=portal"], ["=view"]]),
-    ("Investment Performance Analysis", "Reporting & Portal", [["=performance"], ["=benchmark"]]),
-    ("Invoicing & Billing", "Reporting & Portal", [["=invoice"], ["=invoices"]]),
-    ("Client Report Generation", "Reporting & Portal", [["=report"]]),
-    ("Ownership & Trust Structure", "Ownership & Structure", [["=ownership"], ["=trust"], ["=structure"]]),
-    ("Direct Owner & Entity Hierarchy", "Ownership & Structure", [["=owner"], ["~direct owner"]]),
-    ("Asset Transfers & Movements", "Ownership & Structure", [["=transfer"]]),
-    ("Access & Permission Requests", "Operations & Admin", [["=access"], ["=yes"]]),
-    ("Meetings, Reminders & Follow-ups", "Operations & Admin", [["=meeting"], ["=reminder"], ["=schedule"]]),
-    ("Contact & User Updates", "Operations & Admin", [["=person", "=update"]]),
-    ("Cash Flow & Distribution Management", "Operations & Admin", [["=distribution"], ["=transaction"]]),
-    ("Excel & File-Based Data Tasks", "Operations & Admin", [["=excel"], ["=file"]]),
-]
-
 # Notes attached to a topic.
 NOTE_LOW_CONFIDENCE = "Low confidence - consider absorbing into similar cluster"
 NOTE_LOW_COHERENCE = "Low coherence - cluster may be too broad"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -315,14 +316,20 @@ def prune_totals(dist: DataFrame, proposal: DataFrame, total: Column, topic: str
                    "kept_topics": total_rows(dist.filter(F.col(topic) != -1)) - F.col("noise_topics")})
 
 
-def suggest_name(keywords: DataFrame, platforms: DataFrame | None = None, rules=None, suffix_names=None,
+def suggest_name(keywords: DataFrame, rules: list[tuple], platforms: DataFrame | None = None, suffix_names: Sequence[str] = (),
                  topic: str = "topic_id", words: int = 6, min_share: float = 0.6) -> DataFrame:
-    """``(topic, suggested_name)`` from ``keywords (topic, words array)``; the first rule that holds names it."""
+    """``(topic, suggested_name)`` from ``keywords (topic, words array)``; the first rule that holds names it.
+
+    A rule is ``(name, pillar, alternatives)``; an alternative is a list of conditions that must all hold: ``=w``, the
+    keyword w is there, ``~p``, the phrase p is in the keywords joined by spaces.  Names in ``suffix_names`` get the
+    topic's dominant platform, if it has more than ``min_share`` of the rows.
+    """
     kw = F.transform(F.slice(F.col("words"), 1, words), F.lower)
-    name = F.coalesce(first_match(rules or K.NAME_RULES, kw, 0), F.concat(F.lit("Topic_"), F.col(topic).cast("string")))
+    other = F.concat(F.lit("Topic_"), F.col(topic).cast("string"))
+    name = F.coalesce(first_match(rules, kw, 0), other) if rules else other
     if platforms is None:
         return keywords.select(topic, name.alias("suggested_name"))
-    suffixed = name.isin(list(K.PLATFORM_SUFFIX_NAMES if suffix_names is None else suffix_names))
+    suffixed = name.isin(list(suffix_names))
     strong = (F.col("dominant_share") > min_share) & (F.col("dominant") != "General")
     joined = keywords.join(platforms, topic, "left").withColumn("__name", name)
     return joined.select(topic, F.when(F.coalesce(suffixed & strong, F.lit(False)),
@@ -330,12 +337,11 @@ def suggest_name(keywords: DataFrame, platforms: DataFrame | None = None, rules=
                          .otherwise(F.col("__name")).alias("suggested_name"))
 
 
-def classify_passport(draft: DataFrame, rules=None, topic: str = "topic_id", words: int = 8,
+def classify_passport(draft: DataFrame, rules: list[tuple], topic: str = "topic_id", words: int = 8,
                       misfits: DataFrame | None = None) -> DataFrame:
-    """``(topic, business_name, business_pillar, label_valid, notes)`` from a taxonomy draft."""
-    rules = rules or K.PASSPORT_RULES
+    """``(topic, business_name, business_pillar, label_valid, notes)`` from a taxonomy draft; rules as in ``suggest_name``."""
     kw = F.transform(F.slice(F.split("current_label", ", "), 1, words), F.lower)
-    hit = first_match([(i, F, r[2]) for i, r in enumerate(rules)], kw, 0)
+    name, pillar = (first_match(rules, kw, i) if rules else F.lit(None).cast("string") for i in (0, 1))
     partners = F.filter(F.split("merge_with", r"\|"), lambda x: x != "")
     if misfits is not None:
         draft = draft.join(misfits.groupBy(topic).agg(F.count("*").alias("__misfits")), topic, "left")
@@ -347,12 +353,9 @@ def classify_passport(draft: DataFrame, rules=None, topic: str = "topic_id", wor
         F.when(F.col("split_recommended"), F.format_string(K.NOTE_SPLIT, F.col("split_silhouette"))),
         F.when(F.size(partners) > 0, F.concat(F.lit(K.NOTE_MERGE), F.array_join(F.slice(partners, 1, 3), ", "))),
         F.when(F.col("__misfits") > 0, F.concat(F.col("__misfits").cast("string"), F.lit(K.NOTE_MISFITS)))))
-    names = F.array(*[F.lit(r[0]) for r in rules])
-    pillars = F.array(*[F.lit(r[1]) for r in rules])
-    named = draft.withColumn("__hit", hit)
-    return named.select(
-        topic, F.coalesce(F.get(names, F.col("__hit")), F.format_string("Unclassified (Topic %d)", F.col(topic))).alias("business_name"),
-        F.coalesce(F.get(pillars, F.col("__hit")), F.lit("Uncategorized")).alias("business_pillar"), (~low).alias("label_valid"),
+    return draft.select(
+        topic, F.coalesce(name, F.format_string("Unclassified (Topic %d)", F.col(topic))).alias("business_name"),
+        F.coalesce(pillar, F.lit("Uncategorized")).alias("business_pillar"), (~low).alias("label_valid"),
         F.when(F.size(notes) > 0, F.array_join(notes, "; ")).otherwise(K.NOTE_NONE).alias("notes"))
 
 

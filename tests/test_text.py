@@ -85,11 +85,21 @@ def test_bands(spark):
     assert [r.b for r in sizes.select(C.topic_size_band(F.col("p")).alias("b")).collect()] == ["major", "largest", "regular", "specialist"]
 
 
-def test_default_rules_name_topics(spark):
-    from tasksieve.operators.topics import suggest_name
+RULES = [("First", "P1", [["~red apple"], ["=pear", "=plum"]]), ("Second", "P2", [["=plum"]])]
 
-    rows = [(1, ["new", "Account", "setup"]), (2, ["valuation", "import"]), (3, ["zzz"]), (4, ["private investment", "x"])]
+
+def test_rules_name_topics(spark):
+    from tasksieve.operators.topics import classify_passport, suggest_name
+
+    rows = [(1, ["pear", "Plum", "x"]), (2, ["plum", "y"]), (3, ["zzz"]), (4, ["red apple", "x"])]
     keywords = spark.createDataFrame(rows, "topic_id bigint, words array<string>")
     platforms = spark.createDataFrame([(2, "Rewh", 0.7)], "topic_id bigint, dominant string, dominant_share double")
-    named = {r.topic_id: r.suggested_name for r in suggest_name(keywords, platforms).collect()}
-    assert named == {1: "New Account Setup", 2: "Valuation Import (Rewh)", 3: "Topic_3", 4: "New Private Investment"}
+    named = {r.topic_id: r.suggested_name for r in suggest_name(keywords, RULES, platforms, ["Second"]).collect()}
+    assert named == {1: "First", 2: "Second (Rewh)", 3: "Topic_3", 4: "First"}
+    assert [r.suggested_name for r in suggest_name(keywords, []).orderBy("topic_id").collect()][0] == "Topic_1"
+    draft = spark.createDataFrame(
+        [(i, ", ".join(w), "OK", 0.5, False, 0.0, "") for i, w in rows],
+        "topic_id bigint, current_label string, confidence string, coherence double, split_recommended boolean, split_silhouette double, merge_with string")
+    got = {r.topic_id: (r.business_name, r.business_pillar) for r in classify_passport(draft, RULES).collect()}
+    assert got == {1: ("First", "P1"), 2: ("Second", "P2"), 3: ("Unclassified (Topic 3)", "Uncategorized"), 4: ("First", "P1")}
+    assert {r.business_pillar for r in classify_passport(draft, []).collect()} == {"Uncategorized"}
