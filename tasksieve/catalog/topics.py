@@ -304,7 +304,8 @@ def _reps(spark, sf):
     return cluster.representative_docs(assignment(spark, sf), vectors(spark, sf), tasks(spark, sf))
 
 
-@query("representative_docs", f"WITH {_REPS} SELECT topic_id, rank, task_id, name, round(sim, 6) AS sim FROM reps WHERE rank <= 3")
+@query("representative_docs", f"""WITH {_REPS}, places AS (SELECT DISTINCT topic_id, r.rank FROM own, range(1, 4) r(rank))
+  SELECT topic_id, CAST(p.rank AS BIGINT) AS rank, task_id, COALESCE(name, '') AS name, round(sim, 6) AS sim FROM places p LEFT JOIN reps USING (topic_id, rank)""")
 def _(spark, sf):
     return rounded(_reps(spark, sf), "sim")
 
@@ -449,7 +450,7 @@ suggested AS (SELECT topic_id, CASE WHEN nm IN ('Beta', 'Gamma') AND dominant_sh
 
 
 def _suggested(spark, sf):
-    return topics.suggest_name(_word_lists(spark, sf), topics.dominant_platform(topic_docs(spark, sf), "lang"), _RULES, ["Beta", "Gamma"])
+    return topics.suggest_name(_word_lists(spark, sf), _RULES, topics.dominant_platform(topic_docs(spark, sf), "lang"), ["Beta", "Gamma"])
 
 
 @query("suggest_name", f"WITH {_SUGGEST} SELECT topic_id, suggested_name FROM suggested")

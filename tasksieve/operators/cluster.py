@@ -307,14 +307,22 @@ def reduce_topics(assign: DataFrame, vec: DataFrame, n: int, id_col: str = "task
 
 def representative_docs(assign: DataFrame, vec: DataFrame, docs: DataFrame, k: int = 3, id_col: str = "task_id",
                         topic: str = "topic_id", name: str = "name") -> DataFrame:
-    """``(topic, rank, id, name, sim)``: the rows closest to the topic's centre, one per distinct name."""
-    near = with_centroid_similarity(assign, vec, id_col, topic)
-    named = near.join(docs.select(id_col, name), id_col).filter(F.col(name) != "")
-    best = F.min(F.struct((-F.round("sim", 9)).alias("minus"), F.col(id_col), "sim")).alias("b")
+    """``(topic, rank, id, name, sim)``: ``k`` rows for every topic but the outliers, one per distinct name.
+
+    Names of the rows closest to the centre come first, then those of rows without a vector in the order of
+    their ids; what is still missing is filled up by empty names without id.
+    """
+    own = assign.filter(F.col(topic) != -1).select(id_col, topic)
+    near = with_centroid_similarity(own, vec, id_col, topic).select(id_col, topic, "sim")
+    far = own.join(vec.select(id_col), id_col, "left_anti").select(id_col, topic, F.lit(None).cast("double").alias("sim"))
+    named = near.unionByName(far).join(docs.select(id_col, name), id_col).filter(F.col(name) != "")
+    minus = F.coalesce(-F.round("sim", 9), F.lit(2.0))  # after all cosines
+    best = F.min(F.struct(minus.alias("minus"), F.col(id_col), "sim")).alias("b")
     distinct = named.groupBy(topic, name).agg(best).select(
-        topic, name, F.col(f"b.{id_col}").alias(id_col), F.col("b.sim").alias("sim"))
-    ranked = top_per_group(distinct, [topic], [F.desc(F.round("sim", 9)), F.asc(id_col)], k)
-    return ranked.select(topic, "rank", id_col, name, "sim")
+        topic, name, F.col(f"b.{id_col}").alias(id_col), F.col("b.sim").alias("sim"), F.col("b.minus").alias("__minus"))
+    ranked = top_per_group(distinct, [topic], [F.asc("__minus"), F.asc(id_col)], k)
+    places = own.select(topic).distinct().withColumn("rank", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(k).cast("bigint"))))
+    return places.join(ranked, [topic, "rank"], "left").select(topic, "rank", id_col, F.coalesce(name, F.lit("")).alias(name), "sim")
 
 
 def _held_sums(sums: DataFrame, keys: list[str]) -> dict:

@@ -285,3 +285,18 @@ def test_fifty_thousand_centres(spark):
     got = CL.best_topic(frame(spark, [[np.cos(a), np.sin(a)] for a in angles]), centres).collect()
     # probabilities tie at twelve places near the top; the smallest of those that tie is told
     assert len(got) == 3 and all(abs(r.best_topic * 1e-4 - a) < 0.02 for r, a in zip(sorted(got, key=lambda r: r.task_id), angles))
+
+
+def test_representatives_are_filled_up(spark):
+    from tasksieve.operators.cluster import representative_docs
+
+    assign = spark.createDataFrame([(str(i), t) for i, t in enumerate([0, 0, 0, 0, 0, 1, 1, 2, -1])], "task_id string, topic_id int")
+    vec = spark.createDataFrame([("0", [1.0, 0.0]), ("1", [0.0, 1.0]), ("2", [1.0, 0.1]), ("5", [1.0, 1.0])], "task_id string, embedding array<double>")
+    names = ["far", "side", "far", "late", "later", "", "only", None, "out"]
+    docs = spark.createDataFrame([(str(i), n) for i, n in enumerate(names)], "task_id string, name string")
+    got = {}
+    for r in representative_docs(assign, vec, docs).orderBy("topic_id", "rank").collect():
+        got.setdefault(r.topic_id, []).append((r.rank, r.task_id, r.name, r.sim is not None))
+    assert got == {0: [(1, "2", "far", True), (2, "1", "side", True), (3, "3", "late", False)],
+                   1: [(1, "6", "only", False), (2, None, "", False), (3, None, "", False)],
+                   2: [(k, None, "", False) for k in (1, 2, 3)]}
