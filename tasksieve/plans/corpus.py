@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,8 @@ from tasksieve.operators.topics import (classify_passport, dominant_platform, fi
                                         topic_similarity_pairs, total_rows)
 from tasksieve.session import checkpointed
 
+ROW = "__row"
+
 
 @dataclass
 class CorpusConfig:
@@ -56,7 +59,7 @@ def clean_tasks(tasks: DataFrame, config: CorpusConfig, id_col: str = "task_id")
     Rules come from the distinct metadata (one small job); the rest is a narrow
     projection over the texts.  It is written once to the shared folder, as the
     corpus and both logs are made from it, and as a filter on a cleaned text would
-    otherwise be pushed below the cleaning and repeat it.
+    otherwise be pushed below the cleaning and repeat it.  The stored rows are numbered in ``ROW``.
     """
     kept = filter_chain(tasks, task_rules(config.bot_marker, config.session_marker))
     texts = with_text(kept, config)
@@ -71,14 +74,15 @@ def clean_tasks(tasks: DataFrame, config: CorpusConfig, id_col: str = "task_id")
         F.lit("General").alias("primary_platform"), F.lit(None).cast("string").alias("secondary_platform"))
     cleaned = marked.withColumns({
         "cleaned_text": lowercase(remove_entities(F.col("masked_text"), F.col("entities"))), "__p": platforms})
-    return checkpointed(cleaned.select(*[c for c in cleaned.columns if c not in ("__p", "notes_clean")], "__p.*"))
+    return checkpointed(cleaned.select(*[c for c in cleaned.columns if c not in ("__p", "notes_clean")], "__p.*",
+                                       F.monotonically_increasing_id().alias(ROW)))
 
 
 def clean_corpus(tasks: DataFrame, config: CorpusConfig, key: Column, id_col: str = "task_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(corpus, removal log, detection log)`` of a task table; one shuffle, for de-duplication."""
     cleaned = clean_tasks(tasks, config, id_col)
     corpus = dedup_keep_first(min_length_filter(cleaned.drop("masked_text", "detections"), "cleaned_text", config.min_length),
-                              "cleaned_text", key)
+                              "cleaned_text", key, row=ROW)
     return corpus, anonymization_log(cleaned, "masked_text", "entities", id_col), detection_log(cleaned, id_col=id_col)
 
 
@@ -86,9 +90,10 @@ def corpus_check(tasks: DataFrame, corpus: DataFrame, log: DataFrame) -> DataFra
     return traceability_check(tasks, corpus, log)
 
 
-def discover(corpus: DataFrame, vec: DataFrame, assign: DataFrame, platform: str = "primary_platform", text: str = "cleaned_text",
+def discover(corpus: DataFrame, vec: DataFrame, assign: DataFrame, name_rules: list[tuple], passport_rules: list[tuple],
+             suffix_names: Sequence[str] = (), platform: str = "primary_platform", text: str = "cleaned_text",
              stop=(), min_sim: float = 0.75) -> dict[str, DataFrame]:
-    """Assignments and vectors to draft, final taxonomy and scorecard.
+    """Assignments and vectors to draft, final taxonomy and scorecard; the rules that name topics are the caller's.
 
     Assignments are kept once; every analysis is an aggregation over them.
     """
@@ -103,9 +108,9 @@ def discover(corpus: DataFrame, vec: DataFrame, assign: DataFrame, platform: str
     dist = topic_distribution(assign)
     pairs = topic_similarity_pairs(cent, min_sim).persist()
     draft = checkpointed(taxonomy_draft(
-        dist, joined_terms(terms), suggest_name(words, dominant_platform(named, platform)), topic_coherence(assign, vec),
+        dist, joined_terms(terms), suggest_name(words, name_rules, dominant_platform(named, platform), suffix_names), topic_coherence(assign, vec),
         membership_confidence(assign, member), split_test(assign, vec, corpus, text, stop=stop), merge_partners(pairs)))
-    final = final_taxonomy(draft, classify_passport(draft))
+    final = final_taxonomy(draft, classify_passport(draft, passport_rules))
     return {"draft": draft, "final": final, "pairs": pairs, "scorecard": scorecard(final, pairs, total_rows(assign))}
 
 
