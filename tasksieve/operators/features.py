@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from tasksieve import constants as K
 from tasksieve.functions.vectors import matrix
-from tasksieve.session import join_unique, small_side, top_per_group, unfold
+from tasksieve.session import checkpointed, join_unique, small_side, top_per_group, unfold
+
+#: Most slots of the counting filter for rare terms; a bit each is sent to all tasks (8 MB).
+FILTER_SLOTS = 1 << 26
 
 
 def tokens(c: Column, pattern: str = K.TOKEN, stop: list[str] = ()) -> Column:
@@ -70,11 +73,47 @@ def grams(words: Column, n: tuple[int, int] = (1, 2)) -> Column:
 def long_terms(df: DataFrame, c: str, keys: list[str], ngrams: tuple[int, int] = (1, 1),
                pattern: str = K.TOKEN, stop: list[str] = ()) -> DataFrame:
     """``(*keys, term, tf)``; stop words go before the n-grams are built."""
-    if ngrams == (1, 1):
-        listed = df.select(*keys, tokens(F.col(c), pattern, stop).alias("__terms"))
-    else:  # the token array is used several times, so it is a column of its own
-        listed = df.select(*keys, tokens(F.col(c), pattern, stop).alias("__w")).select(*keys, grams(F.col("__w"), ngrams).alias("__terms"))
-    return unfold(listed, F.col("__terms"), "term", *keys).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    # the token array is used several times by n-grams, so it is a column of its own
+    listed = df.select(*keys, tokens(F.col(c), pattern, stop).alias("__w"))
+    return _grouped(unfold(listed.select(*keys, _terms_of(ngrams).alias("__terms")), F.col("__terms"), "term", *keys), keys)
+
+
+def _terms_of(ngrams: tuple[int, int]) -> Column:
+    return F.col("__w") if ngrams == (1, 1) else grams(F.col("__w"), ngrams)
+
+
+def _grouped(terms: DataFrame, keys: list[str]) -> DataFrame:
+    return terms.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+
+
+def frequent_terms(df: DataFrame, c: str, keys: list[str], min_df: int, ngrams: tuple[int, int] = (1, 1),
+                   pattern: str = K.TOKEN, stop: list[str] = (), slots: int = FILTER_SLOTS) -> DataFrame:
+    """``long_terms`` without most of the terms that fewer than ``min_df`` rows hold, stored.
+
+    Texts are cut into tokens once and the tokens stored.  A counting filter comes first: terms are
+    hashed into slots and every slot counts the rows that hold one of its terms, at least as many as each of them has.
+    Slots below ``min_df`` hold rare terms only, whose rows go before the shuffle.  The others are kept as
+    words of 64 bits, ``slots`` / 64 rows at most, and sent to all tasks.  Nothing frequent is lost, but
+    rare terms in a full slot stay: count exactly afterwards.
+    """
+    stored = checkpointed(df.select(*keys, tokens(F.col(c), pattern, stop).alias("__w")))
+    listed = stored.select(*keys, _terms_of(ngrams).alias("__terms"))
+    if min_df > 1:
+        total = stored.agg(F.coalesce(F.sum(F.size("__w")), F.lit(0))).first()[0] * (ngrams[1] - ngrams[0] + 1)
+        size = min(slots, 1 << max(6, (2 * total).bit_length()))
+
+        def slot(term: Column) -> Column:
+            return F.xxhash64(term).bitwiseAND(F.lit(size - 1))
+
+        held = unfold(listed.select(F.array_distinct(F.transform("__terms", slot)).alias("__s")), F.col("__s"), "slot")
+        full = held.groupBy("slot").agg(F.count("*").alias("n")).filter(F.col("n") >= min_df)
+        place, bit = F.shiftright("slot", 6), F.col("slot").bitwiseAND(F.lit(63)).cast("int")
+        words = full.select(place.alias("__place"), F.expr("shiftleft(1L, CAST(slot & 63 AS INT))").alias("bit")).groupBy("__place").agg(F.bit_or("bit").alias("__bits"))
+        terms = unfold(listed, F.col("__terms"), "term", *keys).withColumn("slot", slot(F.col("term")))
+        terms = terms.join(F.broadcast(words), place == F.col("__place")).filter(F.getbit("__bits", bit) == 1).select(*keys, "term")
+    else:
+        terms = unfold(listed, F.col("__terms"), "term", *keys)
+    return checkpointed(_grouped(terms, keys))
 
 
 def document_frequency(long: DataFrame, id_col: str = "task_id") -> DataFrame:
@@ -84,7 +123,7 @@ def document_frequency(long: DataFrame, id_col: str = "task_id") -> DataFrame:
 def count_vectors(df: DataFrame, c: str, id_col: str = "task_id", ngrams: tuple[int, int] = (1, 2),
                   min_df: int = 2, max_df: float = 1.0, stop: list[str] = (), pattern: str = K.TOKEN) -> DataFrame:
     """Long count table ``(id, term, tf)`` of the terms within the frequency limits."""
-    long = long_terms(df, c, [id_col], ngrams, pattern, stop)
+    long = frequent_terms(df, c, [id_col], min_df, ngrams, pattern, stop)
     frequency = document_frequency(long)
     if max_df < 1.0:
         frequency = frequency.filter(F.col("df") <= df.agg(F.count("*").alias("n")).scalar() * max_df)
@@ -124,7 +163,7 @@ def tfidf_features(df: DataFrame, c: str, id_col: str = "task_id", vocab: int |
     frequent over the corpus, ties by term.
     """
     plain = df.withColumn("__t", strip_accents(F.lower(c)))
-    long = long_terms(plain, "__t", [id_col], (1, 2), K.TFIDF_TOKEN, stop)
+    long = frequent_terms(plain, "__t", [id_col], min_df, (1, 2), K.TFIDF_TOKEN, stop)
     stats = long.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     kept = stats.filter(F.col("df") >= min_df)
     if vocab is not None:
@@ -190,7 +229,7 @@ def class_tfidf(df: DataFrame, c: str, topic: str = "topic_id", k: int | None =
     per topic and ``f`` the frequency of the term over all topics.
     """
     if min_df > 1:
-        per_doc = long_terms(df, c, [id_col, topic], ngrams, pattern, stop)
+        per_doc = frequent_terms(df, c, [id_col, topic], min_df, ngrams, pattern, stop)
         kept = per_doc.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
         counts = (per_doc.join(kept, "term", "left_semi").groupBy(topic, "term").agg(F.sum("tf").alias("tf")))
     else:

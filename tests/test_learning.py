@@ -264,3 +264,22 @@ def test_stream_dedup_keeps_one_within_the_delay(spark, parts):
     folder, schema = parts
     out = drained(spark, jobs.stream_dedup(jobs.read_stream(spark, folder, schema), "text", "ts", "10 days")).collect()
     assert sorted(r.text for r in out) == ["Mail a@b.co now", "end", "late row", "open account"]
+
+
+@pytest.mark.parametrize("slots", [64, 1 << 26])
+def test_counting_filter_loses_no_frequent_term(spark, slots):
+    """Single words ``u<i>``, pairs ``p<i>`` and a word of all texts; a filter that is much too small drops less, never wrongly."""
+    rows = [(str(i), f"common u{i} p{i // 2} p{i // 2}") for i in range(400)] + [("e", ""), ("n", None), ("0", "common twice")]
+    df = spark.createDataFrame(rows, "task_id string, text string")
+    plain = {(r.task_id, r.term): r.tf for r in FE.long_terms(df, "text", ["task_id"], (1, 2), r"\w+").collect()}
+    got = {(r.task_id, r.term): r.tf for r in FE.frequent_terms(df, "text", ["task_id"], 2, (1, 2), r"\w+", slots=slots).collect()}
+    holders = {}
+    for key, term in plain:
+        holders.setdefault(term, set()).add(key)
+    assert got.items() <= plain.items()
+    assert all(pair in got for pair in plain if len(holders[pair[1]]) > 1)
+    rare = sum(len(holders[p[1]]) == 1 for p in plain)
+    assert (len(got) - (len(plain) - rare) < rare / 3) == (slots > 64)
+    counted = FE.count_vectors(df, "text", ngrams=(1, 2), pattern=r"\w+").collect()
+    assert {(r.task_id, r.term): r.tf for r in counted} == {p: n for p, n in plain.items() if len(holders[p[1]]) > 1}
+    assert FE.count_vectors(df.limit(0), "text").count() == 0
