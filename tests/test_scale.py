@@ -41,12 +41,37 @@ def test_keep_first(skewed):
     assert sum(r.dup_count for r in rows.values()) == 3000
 
 
+def test_keep_first_of_ties_nulls_and_identical_rows(spark, capfd):
+    rows = [("a", 1, "x"), ("a", 1, "x"), ("a", 1, "y"), ("a", None, "z"), (None, 5, "n"), (None, 4, "m"), ("", 9, "e"),
+            ("k", None, "u"), ("k", None, "u"), ("k", None, "v")]
+    df = spark.createDataFrame(rows, "text string, k bigint, more string")
+    kept = dedup_keep_first(df, "text", F.col("k"))
+    got = {r.text: r for r in kept.collect()}
+    assert kept.count() == 4 and kept.columns == ["text", "k", "more", "dup_count"]
+    assert (got["a"].k, got["a"].dup_count) == (1, 4) and got["a"].more in "xy"
+    assert (got[None].k, got[None].more, got[None].dup_count) == (4, "m", 2)
+    assert got[""].dup_count == 1 and got["k"].k is None and got["k"].dup_count == 3
+    assert dedup_keep_first(df.limit(0), "text", F.col("k")).count() == 0
+    kept.explain()
+    assert "SortAggregate" not in capfd.readouterr().out
+
+
 def test_top_per_group_limits_before_the_shuffle(skewed, capfd):
     top = top_per_group(skewed, ["text"], [F.col("task_id")], 2)
     assert top.groupBy("text").count().agg(F.max("count")).first()[0] == 2
     top.explain()
     plan = capfd.readouterr().out
-    assert plan.count("WindowGroupLimit") == 2  # partial and final
+    assert plan.count("WindowGroupLimit") == 4  # partial and final, of the slices and of the groups
+
+
+@pytest.mark.parametrize("order", ["id", "text"])
+def test_last_task_of_a_group_reads_slices_only(spark, order):
+    """One group in 211 partitions: what is left of its slices is slices x k rows, and the result is the plain one."""
+    one = spark.range(0, 5000, 1, 211).select(F.lit("g").alias("g"), "id", F.md5(F.col("id").cast("string")).alias("text"))
+    got = top_per_group(one, ["g"], [F.col(order)], 3, slices=4).orderBy("rank").collect()
+    assert [r.id for r in got] == [r.id for r in one.orderBy(order).limit(3).collect()] and [r.rank for r in got] == [1, 2, 3]
+    slice_of = F.pmod(F.spark_partition_id(), F.lit(4))
+    assert one.select(slice_of.alias("s")).distinct().count() == 4
 
 
 def test_numbers_are_dense(spark):
