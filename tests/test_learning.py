@@ -283,3 +283,21 @@ def test_counting_filter_loses_no_frequent_term(spark, slots):
     counted = FE.count_vectors(df, "text", ngrams=(1, 2), pattern=r"\w+").collect()
     assert {(r.task_id, r.term): r.tf for r in counted} == {p: n for p, n in plain.items() if len(holders[p[1]]) > 1}
     assert FE.count_vectors(df.limit(0), "text").count() == 0
+
+
+def test_terms_are_counted_without_moving_them(spark, capfd, monkeypatch):
+    """Texts are dealt by id once and their terms counted in place; terms sent to all tasks and others give the same table."""
+    texts = [f"common w{i % 7} w{i % 50} only{i} common" for i in range(200)]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)] + [("0", texts[0])], "task_id string, text string")
+    plans, plain = [], FE.checkpointed
+    monkeypatch.setattr(FE, "checkpointed", lambda d: plans.append(d) or plain(d))
+    full = {(r.task_id, r.term): r.weight for r in FE.tfidf_features(df, "text").collect()}
+    plans[-1].explain()
+    shown = capfd.readouterr().out.split("Initial Plan")[0]
+    assert shown.count("Exchange hashpartitioning(task_id") == 1 and "Exchange hashpartitioning(task_id#" in shown and "term#" not in "".join(
+        line for line in shown.splitlines() if "Exchange hashpartitioning" in line)
+    monkeypatch.setattr(FE, "BROADCAST_ROWS", 3)
+    few = {(r.task_id, r.term): r.weight for r in FE.tfidf_features(df, "text").collect()}
+    assert full.keys() == few.keys() and all(abs(full[k] - few[k]) < 1e-12 for k in full)
+    counted = {(r.task_id, r.term): r.tf for r in FE.count_vectors(df, "text", ngrams=(1, 1)).collect()}
+    assert counted["0", "common"] == 4 and counted["1", "common"] == 2
