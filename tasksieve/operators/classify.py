@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tasksieve.functions.text import prepare_for_scoring
-from tasksieve.operators.features import embed_texts, fit_tfidf, strip_accents
+from tasksieve.operators.features import embed_texts, fit_transform_tfidf, strip_accents
 from tasksieve.session import checkpointed, rows_table, small_side, top_per_group
 
 
@@ -70,6 +70,15 @@ def stratified_folds(df: DataFrame, label: str, k: int = 5, seed: int = 42, id_c
 # ---------------------------------------------------------------- training
 
 
+def one_a_core(rows: DataFrame) -> DataFrame:
+    """The rows in no more partitions than there are cores.
+
+    Each task of a training step sends sums as long as the model, so what a step sends must not grow with the number of
+    partitions, that is, with the rows.
+    """
+    return rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def as_features(df: DataFrame, vector: str = "embedding", out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.col(vector).cast("array<double>")))
 
@@ -104,15 +113,13 @@ def train_tfidf_logreg(df: DataFrame, text: str = "cleaned_text", label: str = "
 
     Expects ``text`` after ``strip_accents``; see ``tfidf_input``.
     """
+    df = checkpointed(df.select(label, text))
     counts = df.groupBy(label).agg(F.count("*").alias("__n"))
     n, k = df.count(), counts.count()
     weights = counts.select(label, (F.lit(n / k) / F.col("__n") if balanced else F.lit(1.0)).alias("weight"))
-    weighted = df.join(small_side(weights), label).persist()
-    features = fit_tfidf(weighted, text, vocab=vocab, min_df=min_df)
+    features, rows = fit_transform_tfidf(df.join(small_side(weights), label), text, [label, "weight"], vocab=vocab, min_df=min_df)
     stages = _label_stages(label, maxIter=max_iter, regParam=1 / (C * n), weightCol="weight")
-    fitted = Pipeline(stages=stages).fit(features.transform(weighted))
-    weighted.unpersist()
-    return _with_names(fitted, list(features.stages))
+    return _with_names(Pipeline(stages=stages).fit(one_a_core(rows)), list(features.stages))
 
 
 def tfidf_input(df: DataFrame, text: str = "cleaned_text") -> DataFrame:

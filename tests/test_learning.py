@@ -301,3 +301,13 @@ def test_terms_are_counted_without_moving_them(spark, capfd, monkeypatch):
     assert full.keys() == few.keys() and all(abs(full[k] - few[k]) < 1e-12 for k in full)
     counted = {(r.task_id, r.term): r.tf for r in FE.count_vectors(df, "text", ngrams=(1, 1)).collect()}
     assert counted["0", "common"] == 4 and counted["1", "common"] == 2
+
+
+def test_training_steps_have_no_more_tasks_than_cores(spark, docs):
+    """Every task of a step sends sums as long as the model, so their number must not grow with the rows."""
+    cores = spark.sparkContext.defaultParallelism
+    assert CF.one_a_core(spark.range(0, 100, 1, 5 * cores)).rdd.getNumPartitions() <= cores
+    ready = CF.tfidf_input(docs).withColumnRenamed("cleaned_text", "t")
+    model, rows = FE.fit_transform_tfidf(ready, "t", ["label"])
+    again = sorted((r.label, tuple(r.features.toArray().round(9))) for r in model.transform(ready).select("label", "features").collect())
+    assert sorted((r.label, tuple(r.features.toArray().round(9))) for r in rows.select("label", "features").collect()) == again
