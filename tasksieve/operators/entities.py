@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tasksieve import constants as K
-from tasksieve.functions.text import holds, let, trim_ws
-from tasksieve.operators.masking import alternation, fold, folded_map
+from tasksieve.functions.text import holds, let, quote, trim_ws
+from tasksieve.operators.masking import ALIKE, alternation, fold, folded_map
 from tasksieve.session import BROADCAST_BYTES, checkpointed, unfold
 
 SPAN = "array<struct<entity:string,category:string,start:int,end:int>>"
@@ -106,6 +106,55 @@ def extract_entities(c: Column, entries: list[tuple[str, str]], guarded: tuple[s
 
 #: A text, or a term, as its words and single other characters.
 TOKEN = rf"{K.WORD}+|(?s:.)"
+#: Letters for which folding is more than lower case.
+FOLDED = "[" + "".join(ALIKE) + "\u03a3\u03c2]"
+#: Most first tokens of a dictionary that texts are searched for before places become rows.
+FIRST_TOKENS = 10_000
+#: Most first tokens, and tokens ahead, for which one pattern finds the places.
+PATTERN_TOKENS = 100
+
+
+def first_tokens(trie: DataFrame) -> list[str] | None:
+    """The tokens that terms begin with, if they are few."""
+    rows = trie.filter("depth = 0").select("token").distinct().limit(FIRST_TOKENS + 1).collect()
+    return [r["token"] for r in rows] if len(rows) <= FIRST_TOKENS else None
+
+
+def pattern_places(df: DataFrame, c: str, first: list[str], ahead: int, id_col: str) -> DataFrame:
+    """``term_places`` by one pattern over few first tokens; what follows each is read ahead, not consumed."""
+    parts = "|".join(map(quote, first))
+    one = rf"(?iu)(?<!{K.WORD})(?:{parts})(?:(?<!{K.WORD})|(?!{K.WORD}))"
+    follows = rf"{one}(?=((?:{K.WORD}++|(?s:.)){{0,{ahead - 1}}}+))"
+    places = F.zip_with(spans_of(F.col(c), one), F.regexp_extract_all(c, F.lit(follows), F.lit(1)), lambda s, more: F.struct(
+        s["start"].alias("start"), F.regexp_extract_all(F.concat(s["entity"], more), F.lit(TOKEN), F.lit(0)).alias("ahead")))
+    return unfold(df, places, "x", id_col).select(id_col, "x.start", "x.ahead")
+
+
+def term_places(df: DataFrame, c: str, first: list[str] | None, ahead: int, id_col: str) -> DataFrame:
+    """``(id, start, ahead)``: places where a term may begin, no word before them, with the next ``ahead`` tokens.
+
+    With ``first`` given only the places of these tokens become rows.  Only texts that hold a letter of ``FOLDED`` are
+    folded, for all others lower case is the same.
+    """
+    if first and max(len(first), ahead) <= PATTERN_TOKENS:
+        return pattern_places(df, c, first, ahead, id_col)
+    held = F.col("__p")
+    cut = df.select(id_col, F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)).alias("__p"), F.col(c).rlike(FOLDED).alias("__odd"))
+
+    def begins(alike) -> Column:
+        open_before = lambda i: ~F.coalesce(F.get(held, i - 1), F.lit("")).rlike(K.WORD)
+        wanted = open_before if first is None else lambda i: alike(F.get(held, i)).isin(first) & open_before(i)
+        return F.filter(F.sequence(F.lit(0), F.size(held) - 1), lambda i: F.get(held, i).isNotNull() & wanted(i))
+
+    at = begins(F.lower) if first is None else F.when(F.col("__odd"), begins(fold)).otherwise(begins(F.lower))
+    # No filter on the places here: it would be pushed below and cut the text anew for every token.
+    found = cut.select(id_col, "__p", at.alias("__at"))
+    # The text between a place and the one before says where it starts.
+    gaps = F.transform("__at", lambda at, i: let(F.coalesce(F.get("__at", i - 1), F.lit(0)), lambda last: F.length(
+        F.array_join(F.slice(held, last + 1, at - last), ""))))
+    found = found.withColumn("__s", scan(gaps, F.lit(0), "int", lambda at, n: (at + n, at + n)))
+    places = F.transform("__at", lambda at, i: F.struct(F.get("__s", i).alias("start"), F.slice(held, at + 1, F.lit(ahead)).alias("ahead")))
+    return unfold(found, places, "x", id_col).select(id_col, "x.start", "x.ahead")
 
 
 def term_trie(dictionary: DataFrame) -> DataFrame:
@@ -139,13 +188,8 @@ def dictionary_hits(df: DataFrame, c: str, dictionary: DataFrame, guarded: tuple
     special = F.lower("name").isin([g.lower() for g in guarded]) if guarded else F.lit(False)
     trie = checkpointed(term_trie(dictionary.filter(~special)))
     widest = (trie.agg(F.max("depth")).first()[0] or 0) + 1
-    cut = df.select(id_col, F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)).alias("__p")).withColumn(
-        "__s", scan(F.transform("__p", F.length), F.lit(0), "int", lambda at, n: (at + n, at)))
-    # As many tokens ahead as the longest term has, to see whether a word goes on there, and the one before.
-    places = F.transform("__p", lambda p, i: F.struct(
-        F.get("__s", i).alias("start"), F.slice("__p", i + 1, F.lit(widest + 1)).alias("ahead"), F.coalesce(F.get("__p", i - 1), F.lit("")).alias("before")))
-    live = (unfold(cut, places, "x", id_col).filter(~F.col("x.before").rlike(K.WORD))
-            .select(id_col, "x.start", "x.ahead", F.lit("").alias("parent")))
+    # As many tokens ahead as the longest term has, and one more to see whether a word goes on there.
+    live = term_places(df, c, first_tokens(trie), widest + 1, id_col).withColumn("parent", F.lit(""))
     hits = []
     for depth in range(widest):
         here = live.withColumn("token", fold(F.get("ahead", F.lit(depth))))

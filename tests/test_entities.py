@@ -244,3 +244,13 @@ def test_trie_walk_ends_early(spark):
     assert trie.filter("depth < 6").count() == 6 and trie.count() == 6 + 3_000
     assert sorted((r.entity, r.start) for r in E.dictionary_hits(df, "text", dictionary).collect()) == [("big bank of 2999", 22), ("big bank of 7", 0)]
     assert E.dictionary_hits(df, "text", dictionary.limit(0)).count() == 0
+
+
+def test_only_places_of_first_tokens_become_rows(spark):
+    """A text of many words is one row a place where a term may begin, whichever way the places are found."""
+    text = "word " * 500 + "Gold Bank, golden gold&co \u03a3 xgold GOLD"
+    df = spark.createDataFrame([("1", text), ("2", None), ("3", "")], "task_id string, text string")
+    want = [(i, text[i:i + 4]) for i in range(len(text)) if text[i:i + 4].lower() == "gold" and not text[i - 1].isalnum() and not text[i + 4:i + 5].isalnum()]
+    for first in (["gold"], ["gold", *(f"z{i}" for i in range(E.PATTERN_TOKENS))]):
+        rows = sorted((r.start, r.ahead[0], len(r.ahead)) for r in E.term_places(df, "text", first, 3, "task_id").collect())
+        assert [r[:2] for r in rows] == want and [r[2] for r in rows] == [3, 3, 1]
