@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tasksieve.functions.vectors import matrix, norm2, unit, vector_sum
-from tasksieve.operators.features import long_terms
+from tasksieve.operators.features import group_terms
 from tasksieve.operators.neighbours import density_cluster, density_levels, nearest, topics_of_level
 from tasksieve.operators.topics import topic_coherence, with_centroid_similarity
-from tasksieve.session import checkpointed, join_unique, numbered, top_per_group
+from tasksieve.session import checkpointed, join_unique, numbered, small_side, top_per_group
 
 #: Centres or sums of clusters that a worker holds at a time.
 HELD_CLUSTERS = 20_000
+#: Ids with their halves that are sent to the texts, if their bytes allow it.
+HALF_ROWS = 2_000_000
 #: Topics with the closest partners that the driver looks at in a round of merges.
 MERGE_ROWS = 512
 RESOLUTIONS = {"fine": (12, 1), "medium": (30, 3), "coarse": (60, 5)}
@@ -480,10 +482,9 @@ def split_test(assign: DataFrame, vec: DataFrame, docs: DataFrame, text: str = "
     stats = scores.groupBy(topic).agg(
         F.avg("silhouette").alias("silhouette"), F.count_if(F.col("half") == 0).alias("sub_a_count"),
         F.count_if(F.col("half") == 1).alias("sub_b_count"))
-    texts = split.join(docs.select(id_col, text), id_col)
-    per_doc = long_terms(texts, text, [id_col, topic, "half"], (1, 2), stop=stop)
-    terms = (per_doc.groupBy(topic, "half", "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
-             .filter(F.col("df") >= 2))
+    # ids and halves are sent to the texts, which are neither sorted nor shuffled for the join
+    texts = docs.select(id_col, text).join(small_side(split, HALF_ROWS, "shuffle_hash"), id_col)
+    terms = group_terms(texts, text, [topic, "half"], id_col, (1, 2), stop=stop).filter(F.col("df") >= 2)
     words = top_per_group(terms, [topic, "half"], [F.desc("tf"), F.asc("term")], 5)
 
     def words_of(half: int) -> Column:

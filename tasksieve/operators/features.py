@@ -22,6 +22,8 @@ from tasksieve.session import BROADCAST_ROWS, checkpointed, small_side, top_per_
 FILTER_SLOTS = 1 << 26
 #: Longest term that is sent to all tasks with its frequency.
 SENT_LENGTH = 256
+#: Text that a task cuts into terms and counts, in bytes.
+TEXT_BYTES = 8 << 20
 
 
 def tokens(c: Column, pattern: str = K.TOKEN, stop: list[str] = ()) -> Column:
@@ -120,6 +122,19 @@ def frequent_terms(df: DataFrame, c: str, keys: list[str], min_df: int, ngrams:
     return checkpointed(_grouped(terms, keys))
 
 
+def group_terms(df: DataFrame, c: str, group: list[str], id_col: str, ngrams: tuple[int, int] = (1, 1), pattern: str = K.TOKEN,
+                stop: list[str] = (), size: int = TEXT_BYTES) -> DataFrame:
+    """``(*group, term, tf, df)``: occurrences of a term in the texts of a group, and ids whose texts hold it.
+
+    Texts are dealt by id in parts of about ``size`` bytes, counted first, and their terms in as many, so that what a task
+    holds does not grow with the table.  Terms of an id are counted where its texts are; rows are read twice.
+    """
+    total = df.agg(F.coalesce(F.sum(F.octet_length(c)), F.lit(0))).first()[0]
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // size))
+    per_id = long_terms(df.select(id_col, *group, c).repartition(parts, id_col), c, [id_col, *group], ngrams, pattern, stop)
+    return per_id.repartition(parts, *group, "term").groupBy(*group, "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+
+
 def with_frequency(long: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of a stored term table whose term is in ``kept (term, df, ...)``, with its columns.
 

@@ -57,15 +57,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting its rows and bytes; a bigger table is left to a shuffle join.
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, otherwise: str | None = None) -> DataFrame:
+    """Broadcast ``df`` only after counting its rows and bytes; a bigger table is left to a shuffle join (hinted ``otherwise``).
 
     The table is kept once computed, so counting it does not compute it twice.
     """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
     rows, size = kept.limit(max_rows + 1).agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
-    return F.broadcast(kept) if rows <= max_rows and size <= BROADCAST_BYTES else kept
+    if rows <= max_rows and size <= BROADCAST_BYTES:
+        return F.broadcast(kept)
+    return kept.hint(otherwise) if otherwise else kept
 
 
 def unfold(df: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:

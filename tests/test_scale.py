@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tasksieve.operators.classify import label_position
 from tasksieve.operators.dedup import dedup_keep_first, dup_count
+from tasksieve.operators.features import group_terms
 from tasksieve.session import checkpointed, join_unique, numbered, small_side, top_per_group
 
 
@@ -140,3 +141,19 @@ def test_medians_are_exact_on_raw_doubles(spark, bins, few):
     assert got == {g: pytest.approx(statistics.median(v), rel=1e-15) for g, v in want.items()}
     report = confidence_by_topic(df.filter("label not in ('hot')"), "label").collect()
     assert [r.mean_conf for r in report if r.label != "none"] == sorted(r.mean_conf for r in report if r.label != "none") and len(report) == 5
+
+
+def test_terms_of_groups_in_bounded_parts(spark):
+    """The parts follow the bytes of the texts, and an id with several texts counts once for a term."""
+    rows = [(f"{i % 50:03d}", i % 2, f"alpha alpha bravo own{chr(97 + i % 26)}{chr(97 + i // 26)}" if i % 5 else "bravo") for i in range(60)] + [("900", 0, None), ("901", 0, "")]
+    df = spark.createDataFrame(rows, "task_id string, topic_id int, text string").repartition(1)
+    got = group_terms(df, "text", ["topic_id"], "task_id", (1, 2), size=40)
+    total = sum(len(r[2] or "") for r in rows)
+    assert got.rdd.getNumPartitions() == -(-total // 40) > spark.sparkContext.defaultParallelism
+    occurrences, ids = {}, {}
+    for name, group, text in rows:
+        words = (text or "").split()
+        for term in words + [f"{a} {b}" for a, b in zip(words, words[1:])]:
+            occurrences[group, term] = occurrences.get((group, term), 0) + 1
+            ids.setdefault((group, term), set()).add(name)
+    assert {(r.topic_id, r.term): (r.tf, r.df) for r in got.collect()} == {k: (n, len(ids[k])) for k, n in occurrences.items()}
