@@ -399,12 +399,24 @@ def silhouette(assign: DataFrame, vec: DataFrame, id_col: str = "task_id", topic
     return silhouette_rows(assign, vec, id_col, topic).agg(F.avg("silhouette").alias("silhouette"))
 
 
+def _packed(id_col: str, topic: str):
+    """Rows ``(id, topic, x)`` of an Arrow batch as one row a topic, with the ids and the bytes of their vectors."""
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                groups = list(pdf.groupby(topic, sort=False))
+                yield pd.DataFrame({topic: [name for name, _ in groups], "ids": [g[id_col].tolist() for _, g in groups],
+                                    "x": [matrix(g["x"]).tobytes() for _, g in groups]})
+
+    return run
+
+
 def halve_topics(assign: DataFrame, vec: DataFrame, id_col: str = "task_id", topic: str = "topic_id",
                  vector: str = "embedding", rounds: int | None = None, block: int = HELD_CLUSTERS) -> DataFrame:
     """``(id, topic, half)``: 2-means inside every topic, all topics in one job per round.
 
-    A round assigns each row to the nearer of its topic's two centres and sums the
-    halves with map-side combine, so a topic of any size is spread over all tasks.
+    Vectors are stored as bytes, a batch's rows of a topic in one row.  A round assigns each to the nearer of its topic's two
+    centres; a task passes on one sum per half, so a topic of any size is spread over all tasks.
     Starts from the row least like the topic's centre and the row least like that,
     and goes on until no centre moves (or ``rounds``, if given, are over).  Topics know nothing of each
     other, so more than ``block`` of them are halved in several runs; the driver holds the centres of one.
@@ -417,46 +429,67 @@ def halve_topics(assign: DataFrame, vec: DataFrame, id_col: str = "task_id", top
         for more in halved[1:]:
             out = out.unionByName(more)
         return out
-    rows = checkpointed(assign.filter(F.col(topic) != -1).select(id_col, topic)
-                        .join(vec.select(id_col, F.col(vector).cast("array<double>").alias("x")), id_col))
+    rows = (assign.filter(F.col(topic) != -1).select(id_col, topic)
+            .join(vec.select(id_col, F.col(vector).cast("array<double>").alias("x")), id_col))
     context = vec.sparkSession.sparkContext
     kind = rows.schema[topic].dataType.simpleString()
     id_kind = rows.schema[id_col].dataType.simpleString()
+    packs = checkpointed(rows.mapInPandas(_packed(id_col, topic), f"`{topic}` {kind}, ids array<{id_kind}>, x binary"))
+
+    def unpacked(batches):
+        for pdf in batches:
+            for name, ids, x in zip(pdf[topic], pdf["ids"], pdf["x"]):
+                yield name, ids, np.frombuffer(x).reshape(len(ids), -1)
 
     def farthest(centres: dict) -> dict:
         shared = context.broadcast(centres)
 
         def run(batches):
-            for pdf in batches:
-                if len(pdf):
-                    away = ((matrix(pdf["x"]) - np.stack([shared.value[t] for t in pdf[topic]])) ** 2).sum(axis=1)
-                    yield pdf.assign(away=np.round(away, 9))
+            for name, ids, x in unpacked(batches):  # the first of each pack
+                away = np.round(((x - shared.value[name]) ** 2).sum(axis=1), 9)
+                far = np.where(np.isnan(away), -np.inf, away)
+                at = min(np.flatnonzero(far == far.max()), key=lambda i: ids[i])
+                yield pd.DataFrame({id_col: [ids[at]], topic: [name], "x": [x[at]], "away": [away[at]]})
 
-        measured = rows.mapInPandas(run, f"`{id_col}` {id_kind}, `{topic}` {kind}, x array<double>, away double")
+        measured = packs.mapInPandas(run, f"`{id_col}` {id_kind}, `{topic}` {kind}, x array<double>, away double")
         best = top_per_group(measured, [topic], [F.desc("away"), F.asc(id_col)], 1)
         return {r[topic]: np.asarray(r["x"]) for r in best.collect()}  # one row per topic
 
-    middle = {k[0]: total / n for k, (n, total) in _held_sums(vector_sum(rows, [topic], "x"), [topic]).items()}
-    first = farthest(middle)
-    centres = {t: np.stack([first[t], c]) for t, c in farthest(first).items()}
+    def sides(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        d = ((x[:, None, :] - centres) ** 2).sum(axis=2)
+        return (d[:, 1] < d[:, 0]).astype("int32")
 
-    def halves(centres: dict) -> DataFrame:
+    def sums(centres: dict | None) -> dict:
+        """Rows and vector sum of each topic or, with two centres of each, of its halves; a task adds up what it has."""
         shared = context.broadcast(centres)
 
         def run(batches):
-            for pdf in batches:
-                if len(pdf):
-                    c = np.stack([shared.value[t] for t in pdf[topic]])
-                    d = ((matrix(pdf["x"])[:, None, :] - c) ** 2).sum(axis=2)
-                    yield pdf.assign(half=(d[:, 1] < d[:, 0]).astype("int32"))
-
-        return rows.mapInPandas(run, f"`{id_col}` {id_kind}, `{topic}` {kind}, x array<double>, half int")
+            held: dict = {}
+            for name, ids, x in unpacked(batches):
+                half = sides(x, shared.value[name]) if shared.value else np.zeros(len(x), dtype="int32")
+                for h in np.unique(half):
+                    some = x[half == h]
+                    n, total = held.get((name, h), (0, 0.0))
+                    held[name, h] = n + len(some), total + some.sum(axis=0)
+            if held:
+                yield pd.DataFrame({topic: [k[0] for k in held], "half": [k[1] for k in held], "n": [float(v[0]) for v in held.values()],
+                                    "total": [v[1] for v in held.values()]})
+
+        parts = packs.mapInPandas(run, f"`{topic}` {kind}, half int, n double, total array<double>")
+        gathered = F.array_sort(F.collect_list(F.struct("n", "total")))  # a row a task
+        total = F.aggregate(F.slice("p", 2, F.size("p")), F.col("p")[0]["total"], lambda acc, p: F.zip_with(acc, p["total"], lambda x, y: x + y))
+        whole = parts.groupBy(topic, "half").agg(F.sum("n").alias("n"), gathered.alias("p")).select(topic, "half", "n", total.alias("total"))
+        return _held_sums(whole, [topic, "half"])
+
+    middle = {k[0]: total / n for k, (n, total) in sums(None).items()}
+    first = farthest(middle)
+    centres = {t: np.stack([first[t], c]) for t, c in farthest(first).items()}
 
     seen, done = set(), 0
     while rounds is None or done < rounds:
         done += 1
-        sums = _held_sums(vector_sum(halves(centres), [topic, "half"], "x"), [topic, "half"])
-        moved = {t: np.stack([sums[t, h][1] / sums[t, h][0] if (t, h) in sums else c[h] for h in (0, 1)])
+        halves = sums(centres)
+        moved = {t: np.stack([halves[t, h][1] / halves[t, h][0] if (t, h) in halves else c[h] for h in (0, 1)])
                  for t, c in centres.items()}
         still = all(np.allclose(moved[t], centres[t], atol=1e-9) for t in centres)
         centres = moved
@@ -465,7 +498,13 @@ def halve_topics(assign: DataFrame, vec: DataFrame, id_col: str = "task_id", top
         if still or state in seen:
             break
         seen.add(state)
-    return halves(centres).select(id_col, topic, "half")
+    shared = context.broadcast(centres)
+
+    def placed(batches):
+        for name, ids, x in unpacked(batches):
+            yield pd.DataFrame({id_col: ids, topic: np.full(len(ids), name), "half": sides(x, shared.value[name])})
+
+    return packs.mapInPandas(placed, f"`{id_col}` {id_kind}, `{topic}` {kind}, half int")
 
 
 def split_test(assign: DataFrame, vec: DataFrame, docs: DataFrame, text: str = "cleaned_text", min_docs: int = 30,

@@ -22,9 +22,11 @@ from tasksieve.operators.taxonomy import apply_name_map, apply_overrides, apply_
 from tasksieve.operators.topics import (classify_passport, dominant_platform, final_taxonomy, membership_confidence, merge_partners,
                                         scorecard, suggest_name, taxonomy_draft, topic_centroid, topic_coherence, topic_distribution,
                                         topic_similarity_pairs, total_rows)
-from tasksieve.session import checkpointed
+from tasksieve.session import checkpointed, small_side
 
 ROW = "__row"
+#: Ids that are sent to the texts, if their bytes allow it.
+ID_ROWS = 2_000_000
 
 
 @dataclass
@@ -95,11 +97,13 @@ def discover(corpus: DataFrame, vec: DataFrame, assign: DataFrame, name_rules: l
              stop=(), min_sim: float = 0.75) -> dict[str, DataFrame]:
     """Assignments and vectors to draft, final taxonomy and scorecard; the rules that name topics are the caller's.
 
-    Assignments are kept once; every analysis is an aggregation over them.
+    Assignments are kept once; every analysis is an aggregation over them.  So are the texts of assigned rows, dealt by id:
+    they may lie in few files of the corpus, and both term tables cut them.
     """
     assign = checkpointed(assign)
-    docs = corpus.join(assign, "task_id")
-    named = docs.filter(F.col("topic_id") != -1)
+    ids = small_side(assign.select("task_id"), ID_ROWS)
+    corpus = checkpointed(corpus.select("task_id", text, platform).join(ids, "task_id", "left_semi").repartition("task_id"))
+    named = corpus.join(assign.filter(F.col("topic_id") != -1), "task_id")
     cent = topic_centroid(assign.filter(F.col("topic_id") != -1), vec).persist()
     member = best_topic(vec, cent)
     terms = class_tfidf(named, text, stop=stop).persist()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tasksieve.operators import cluster as CL
 from tasksieve.operators import neighbours as N
+from tasksieve.operators.features import class_tfidf
 from tasksieve.operators.topics import topic_coherence
 
 
@@ -330,3 +331,55 @@ def test_representatives_are_filled_up(spark):
     assert got == {0: [(1, "2", "far", True), (2, "1", "side", True), (3, "3", "late", False)],
                    1: [(1, "6", "only", False), (2, None, "", False), (3, None, "", False)],
                    2: [(k, None, "", False) for k in (1, 2, 3)]}
+
+
+def test_halves_equal_plain_2_means(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 4))
+    topic = [i % 3 for i in range(90)]
+    assign = spark.createDataFrame([(f"{i:04d}", t) for i, t in enumerate(topic)], "task_id string, topic_id bigint").repartition(5)
+    got = {r.task_id: r.half for r in CL.halve_topics(assign, frame(spark, x)).collect()}
+    for t in range(3):
+        at = [i for i in range(90) if topic[i] == t]
+        rows = x[at]
+        far = rows[np.argmax(((rows - rows.mean(axis=0)) ** 2).sum(axis=1))]
+        c = np.stack([far, rows[np.argmax(((rows - far) ** 2).sum(axis=1))]])
+        for _ in range(100):
+            d = ((rows[:, None, :] - c) ** 2).sum(axis=2)
+            half = (d[:, 1] < d[:, 0]).astype(int)
+            c = np.stack([rows[half == h].mean(axis=0) for h in (0, 1)])
+        assert [got[f"{i:04d}"] for i in at] == half.tolist()
+
+
+def test_vectors_of_a_topic_are_stored_as_bytes(spark):
+    """A batch of vectors leaves as one row a topic, so a round of 2-means does not turn every vector into a list."""
+    pdf = pd.DataFrame({"task_id": list("abcde"), "topic_id": [1, 2, 1, 1, 2], "x": [np.full(3, float(i)) for i in range(5)]})
+    (out,) = list(CL._packed("task_id", "topic_id")([pdf, pdf.iloc[:0]]))
+    assert out["topic_id"].tolist() == [1, 2] and out["ids"].tolist() == [["a", "c", "d"], ["b", "e"]]
+    assert np.frombuffer(out["x"][0]).reshape(3, 3)[:, 0].tolist() == [0.0, 2.0, 3.0]
+
+
+def test_discover_cuts_a_dealt_copy_of_the_texts(spark, monkeypatch):
+    """The corpus is computed once; terms are cut from the stored copy, whose rows are spread over tasks."""
+    from tasksieve.plans import corpus as plans
+
+    cut = []
+    monkeypatch.setattr(plans, "class_tfidf", lambda named, *a, **k: cut.append(named) or class_tfidf(named, *a, **k))
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text_of(task_id):
+        seen.add(1)
+        return "alpha bravo charlie " + task_id
+
+    rng = np.random.default_rng(7)
+    x = unit(rng.normal(size=(80, 4)))
+    names = [f"{i:04d}" for i in range(80)]
+    assign = spark.createDataFrame([(n, i % 2) for i, n in enumerate(names)], "task_id string, topic_id bigint")
+    corpus = spark.range(80).repartition(1).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("task_id")).select(
+        "task_id", text_of("task_id").alias("cleaned_text"), F.lit("General").alias("primary_platform"))
+    out = plans.discover(corpus, frame(spark, x, names), assign, [], [])
+    assert [(r.topic_id, r.doc_count) for r in out["final"].orderBy("topic_id").collect()] == [(0, 40), (1, 40)]
+    assert seen.value == 80
+    assert "text_of" not in cut[0]._jdf.queryExecution().analyzed().toString()
