@@ -105,11 +105,16 @@ def strip_unicode_rules(c: Column) -> Column:
     return _sub(c, K.RULE_CHARS, "")
 
 
+def squeeze_blanks(c: Column) -> Column:
+    """Runs of blanks and tabs become one blank; a text without two blanks or a tab is not searched."""
+    return let(c, lambda t: F.when(t.contains("  ") | t.contains("\t"), F.regexp_replace(t, r"[ \t]{2,}", " ")).otherwise(t))
+
+
 def collapse_ws(c: Column, everything: bool = False) -> Column:
     """Squeeze blanks and empty lines; ``everything`` turns all white space into one space."""
     if everything:
         return trim_ws(F.regexp_replace(c, rf"{K.SPACE}+", " "))
-    return trim_ws(F.regexp_replace(F.regexp_replace(c, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n"))
+    return trim_ws(let(squeeze_blanks(c), lambda t: F.when(t.contains("\n\n\n"), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t)))
 
 
 def clean_notes(c: Column, patterns=None, labels=None, noise=None, deep_link_host=None,
@@ -151,7 +156,7 @@ def mask_structural(c: Column, masks=None, deep_link_host: str | None = None, pa
         steps.insert(2, (quote(deep_link_host) + r"/\S*", False, "[URL]"))
     fill = " {} " if pad else "{}"
     out = reduce(lambda acc, s: _sub(acc, s[0], fill.format(s[2]), "iu" if s[1] else ""), steps, c)
-    return trim_ws(F.regexp_replace(out, r"[ \t]{2,}", " "))
+    return trim_ws(squeeze_blanks(out))
 
 
 def prepare_for_scoring(c: Column, mask: bool = True) -> Column:

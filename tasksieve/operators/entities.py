@@ -13,11 +13,25 @@ from tasksieve.session import BROADCAST_BYTES, checkpointed, unfold
 SPAN = "array<struct<entity:string,category:string,start:int,end:int>>"
 
 
+#: A character that stands around the matches of a pattern, rare in texts.
+MARK = "\x01"
+
+
 def pieces(c: Column, pattern: str, body) -> Column:
-    """``body(gaps, hits)``: the text between the matches of a pattern, and the matches."""
-    return let(c, lambda t: let(
-        F.struct(F.split(t, pattern, -1).alias("gaps"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("hits")),
-        lambda x: body(x["gaps"], x["hits"])))
+    """``body(gaps, hits)``: the text between the matches of a pattern, and the matches.
+
+    The pattern is searched for once: matches are put between marks and the text is split at these.  A text that
+    holds the mark itself, or an empty match, is searched for matches and for gaps.
+    """
+    def twice(t: Column) -> Column:
+        return F.struct(F.split(t, pattern, -1).alias("gaps"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("hits"))
+
+    def once(t: Column) -> Column:
+        parts = F.split(F.regexp_replace(t, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+        return let(parts, lambda p: let(F.filter(p, lambda _, i: i % 2 == 1), lambda hits: F.when(
+            F.exists(hits, lambda h: h == ""), twice(t)).otherwise(F.struct(F.filter(p, lambda _, i: i % 2 == 0).alias("gaps"), hits.alias("hits")))))
+
+    return let(c, lambda t: let(F.when(t.contains(MARK), twice(t)).otherwise(once(t)), lambda x: body(x["gaps"], x["hits"])))
 
 
 #: Long arrays are walked in blocks of this many items.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tasksieve import constants as K
-from tasksieve.functions.text import quote, trim_ws
+from tasksieve.functions.text import quote, squeeze_blanks, trim_ws
 from tasksieve.operators.features import token_counts
 from tasksieve.session import checkpointed, unfold
 
@@ -117,17 +117,26 @@ def derive_mask_rules(df: DataFrame, household: str = "household", assignee: str
             .select("b.variant", F.when(F.col("b.source") == 0, "[CLIENT]").otherwise("[EMPLOYEE]").alias("placeholder")))
 
 
+#: Letters that equal an ASCII letter without case (dotted and dotless i, long s, Kelvin sign).
+ODD_ASCII = "\u0130\u0131\u017f\u212a"
+
+
 def alternation(terms: list[str], guarded: tuple[str, ...] = ()) -> str:
     """One whole-word pattern over all terms, longest first.
 
-    A ``guarded`` term only asks that no ASCII letter follows it.
+    A ``guarded`` term only asks that no ASCII letter follows it.  If all terms begin with an ASCII letter or digit,
+    the letter at a place is looked at first, as a plain set.
     """
     guarded = tuple(g.lower() for g in guarded)
     parts = []
     for term in sorted(set(terms), key=lambda t: (-len(t), t.lower())):
         right = "(?![a-zA-Z])" if term.lower() in guarded else f"(?!{K.WORD})"
         parts.append(quote(term) + right)
-    return f"(?iu)(?<!{K.WORD})(?:{'|'.join(parts)})"
+    firsts = {term[:1] for term in terms}
+    ahead = ""
+    if all(f.isascii() and f.isalnum() for f in firsts):
+        ahead = "(?-iu:(?=[" + "".join(sorted({x for f in firsts for x in (f.lower(), f.upper())})) + ODD_ASCII + "]))"
+    return f"(?iu){ahead}(?<!{K.WORD})(?:{'|'.join(parts)})"
 
 
 def _alike() -> dict[str, str]:
@@ -178,7 +187,7 @@ def mask_with_terms(c: Column, rules: list[tuple[str, str]], pad: bool = True) -
         return F.concat(gaps[0], F.array_join(tail, ""))
 
     masked = pieces(c, alternation([t for t, _ in rules]), rebuild)
-    return trim_ws(F.regexp_replace(masked, r"[ \t]{2,}", " ")) if pad else masked
+    return trim_ws(squeeze_blanks(masked)) if pad else masked
 
 
 def mask_dictionary(df: DataFrame, c: str, rules: DataFrame, out: str | None = None,

@@ -254,3 +254,19 @@ def test_only_places_of_first_tokens_become_rows(spark):
     for first in (["gold"], ["gold", *(f"z{i}" for i in range(E.PATTERN_TOKENS))]):
         rows = sorted((r.start, r.ahead[0], len(r.ahead)) for r in E.term_places(df, "text", first, 3, "task_id").collect())
         assert [r[:2] for r in rows] == want and [r[2] for r in rows] == [3, 3, 1]
+
+
+def test_gaps_and_matches_from_one_search(spark):
+    """The pattern is searched for once, with the same pieces as two searches, marks and empty matches in the text included."""
+    from tasksieve.operators.entities import MARK, pieces
+
+    texts = ["", "Orre and ſtar", "orreorre orre", f"a{MARK}b orre {MARK}", "orre", "no", None, "Kit İnn star", "x orre\nstar orre"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = r"(?iu)(?<![\p{L}\p{N}_])(?:star(?![\p{L}\p{N}_])|orre(?![\p{L}\p{N}_])|kit(?![\p{L}\p{N}_])|inn(?![\p{L}\p{N}_]))"
+    for pattern, same in ((M.alternation(["orre", "star", "kit", "inn"]), plain), ("o*", "o*"), ("", "")):
+        got = df.select(pieces(F.col("t"), pattern, lambda g, h: F.struct(g.alias("g"), h.alias("h"))).alias("x"),
+                        F.split("t", same, -1).alias("g"), F.regexp_extract_all("t", F.lit(same), F.lit(0)).alias("h"))
+        for r in got.collect():
+            assert (r.x.g, r.x.h) == (r.g, r.h)
+    one = df.select(pieces(F.col("t"), "orre", lambda g, h: F.size(g)))._jdf.queryExecution().analyzed().toString()
+    assert "regexp_replace" in one
