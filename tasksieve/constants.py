@@ -175,13 +175,14 @@ SIZE_BANDS = [(15.0, "largest"), (7.0, "major"), (3.0, "regular"), (None, "speci
 # Confidence buckets: (lower bound inclusive, label).
 CONFIDENCE_BUCKETS = [(0.9, "0.90-1.00"), (0.7, "0.70-0.90"), (0.5, "0.50-0.70"), (None, "0.00-0.50")]
 # What a text must hold for a pattern above or below to match: literals, or a
-# cheaper pattern.  Texts without it are not searched.
+# cheaper pattern.  Texts without it are not searched; what several patterns in a row need is looked for once.
+FOUR_DIGITS = r"\p{Nd}{4}"
 NEEDS = {
     EMAIL: ["@"],
     URL: ["http", "www."],
-    LABELLED_ID: r"\p{Nd}{4}",
-    LONG_NUMBER: r"\p{Nd}{8}",
-    PHONE: r"\p{Nd}{4}",
+    LABELLED_ID: FOUR_DIGITS,
+    LONG_NUMBER: FOUR_DIGITS,
+    PHONE: FOUR_DIGITS,
     r"https?://\S+": ["http"],
     r"\*{2,}": ["**"],
     r"<[^>]+>": ["<"],
@@ -191,7 +192,7 @@ NEEDS = {
     r"\[insert [^\]]+\]": ["["],
     r"^\s*-{4,}\s*$": ["----"],
     r"[\x{2014}\x{2015}\x{2500}\x{2501}\x{2550}]{3,}": ["\u2014", "\u2015", "\u2500", "\u2501", "\u2550"],
-    r"\b\d{3}-\d{2}-\d{4}\b": r"\p{Nd}-\p{Nd}{2}-\p{Nd}",
-    r"\b\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{4}\b": r"\p{Nd}{4}",
+    r"\b\d{3}-\d{2}-\d{4}\b": FOUR_DIGITS,
+    r"\b\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{4}\b": FOUR_DIGITS,
 }
 # ------------------------------------------------------------ end fixed values

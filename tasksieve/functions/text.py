@@ -4,8 +4,10 @@ that need the Python standard library (HTML entities, Unicode NFKD)."""
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from functools import reduce
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column
@@ -129,10 +131,12 @@ def clean_notes(c: Column, patterns=None, labels=None, noise=None, deep_link_hos
 def extract_field(c: Column, label: str) -> Column:
     """Text after a label line up to the next ``Label:`` line or the end.
 
-    Case is ignored throughout, so the next label may start with any letter.
+    Case is ignored throughout, so the next label may start with any letter.  A text without the signs in the label,
+    which have no case, is not searched.
     """
     pattern = rf"(?Udisu){quote(label)}\s*\n(.*?)(?=\n[A-Z][^\n:]{{2,80}}[?]?:|\z)"
-    return trim_ws(F.regexp_extract(c, pattern, 1))
+    signs = max(re.findall(r"[!-/:-@]+", label), key=len, default="")
+    return let(c, lambda t: F.when(t.contains(signs), trim_ws(F.regexp_extract(t, pattern, 1))).otherwise(F.when(t.isNotNull(), "")))
 
 
 def lowercase(c: Column) -> Column:
@@ -155,7 +159,18 @@ def mask_structural(c: Column, masks=None, deep_link_host: str | None = None, pa
     if deep_link_host:
         steps.insert(2, (quote(deep_link_host) + r"/\S*", False, "[URL]"))
     fill = " {} " if pad else "{}"
-    out = reduce(lambda acc, s: _sub(acc, s[0], fill.format(s[2]), "iu" if s[1] else ""), steps, c)
+
+    def masked(acc: Column, some: list) -> Column:
+        return reduce(lambda t, s: _sub(t, s[0], fill.format(s[2]), "iu" if s[1] else ""), some, acc)
+
+    def masked_where(acc: Column, needed, some: list) -> Column:
+        return let(acc, lambda t: F.when(holds(t, needed), masked(t, some)).otherwise(t))
+
+    out = c
+    for needed, group in groupby(steps, key=lambda s: K.NEEDS.get(s[0])):
+        some = list(group)
+        # a text that lacks what all of them need is changed by none
+        out = masked_where(out, needed, some) if len(some) > 1 and needed == K.FOUR_DIGITS else masked(out, some)
     return trim_ws(squeeze_blanks(out))
 
 

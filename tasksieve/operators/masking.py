@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tasksieve import constants as K
-from tasksieve.functions.text import quote, squeeze_blanks, trim_ws
+from tasksieve.functions.text import holds, quote, squeeze_blanks, trim_ws
 from tasksieve.operators.features import token_counts
 from tasksieve.session import checkpointed, unfold
 
@@ -233,19 +233,26 @@ def _detection(kind: str, score: float, placeholder: str):
         s["end"].alias("end"), F.lit(score).alias("score"), s["entity"].alias("text"), F.lit(placeholder).alias("placeholder"))
 
 
+DETECTION = "array<struct<start:int,minus_len:int,entity_type:string,end:int,score:double,text:string,placeholder:string>>"
+
+
 def detect_pii(df: DataFrame, c: str, detectors=None, min_score: float = 0.85, out: str | None = None,
                found: str = "detections") -> DataFrame:
     """Adds the masked text and the array of detections it was masked by."""
     from tasksieve.operators.entities import keep_first_of_overlaps, replace_spans, spans_of
 
-    lists = []
-    for kind, pattern, score, placeholder in detectors or K.DETECTORS:
-        if score < min_score:
-            continue
-        spans = spans_of(F.col(c), f"(?U){pattern}", K.NEEDS.get(pattern))
+    def spans_by(kind: str, pattern: str, score: float, placeholder: str, needed) -> Column:
+        spans = spans_of(F.col(c), f"(?U){pattern}", needed)
         if kind == "CREDIT_CARD":
             spans = F.filter(spans, lambda s: luhn_ok(s["entity"]))
-        lists.append(F.transform(spans, _detection(kind, score, placeholder)))
+        return F.transform(spans, _detection(kind, score, placeholder))
+
+    used = [d for d in detectors or K.DETECTORS if d[2] >= min_score]
+    digits = [d for d in used if K.NEEDS.get(d[1]) == K.FOUR_DIGITS]
+    lists = [spans_by(*d, K.NEEDS.get(d[1])) for d in used if d not in digits]
+    if digits:  # what they need is looked for once
+        all_of = F.concat(*[spans_by(*d, None) for d in digits])
+        lists.append(F.when(holds(F.col(c), K.FOUR_DIGITS), all_of).otherwise(F.array().cast(DETECTION)))
     scanned = df.withColumn(found, keep_first_of_overlaps(F.array_sort(F.concat(*lists))))
     return scanned.withColumn(out or c, replace_spans(F.col(c), F.col(found), lambda s: s["placeholder"]))
 

@@ -103,3 +103,14 @@ def test_rules_name_topics(spark):
     got = {r.topic_id: (r.business_name, r.business_pillar) for r in classify_passport(draft, RULES).collect()}
     assert got == {1: ("First", "P1"), 2: ("Second", "P2"), 3: ("Unclassified (Topic 3)", "Uncategorized"), 4: ("First", "P1")}
     assert {r.business_pillar for r in classify_passport(draft, []).collect()} == {"Uncategorized"}
+
+
+def test_digits_are_looked_for_once(spark):
+    """Masks that all need four digits in a row share one look at the text."""
+    from tasksieve.functions.text import extract_field, mask_structural
+
+    df = spark.createDataFrame([("id 12345 and 123456789, 123 456 7890",), ("no 123",), (None,)], "t string")
+    out = df.select(mask_structural(F.col("t")).alias("m"), extract_field(F.col("t"), "Please specify.:").alias("f"))
+    assert [tuple(r) for r in out.collect()] == [("[ID] and [ID] , [PHONE]", ""), ("no 123", ""), (None, None)]
+    plan = df.select(mask_structural(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count(K.FOUR_DIGITS) == 4  # for all of them, and again for each only in texts that have some
