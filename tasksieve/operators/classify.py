@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.linalg import DenseMatrix, DenseVector
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tasksieve import constants as K
 from tasksieve.functions.text import prepare_for_scoring
-from tasksieve.operators.features import embed_texts, fit_transform_tfidf, strip_accents
+from tasksieve.operators import logistic
+from tasksieve.operators.features import embed_texts, feature_packs, strip_accents, tfidf_of_packs, token_packs
 from tasksieve.session import checkpointed, rows_table, small_side, top_per_group
 
 
@@ -55,10 +62,31 @@ def label_position(df: DataFrame, label: str, seed: int = 42, id_col: str = "tas
 
 
 def stratified_split(df: DataFrame, label: str, test: float = 0.2, seed: int = 42, id_col: str = "task_id") -> DataFrame:
-    """Adds ``is_test``: the first ``ceil(test * size)`` rows of each label's shuffle."""
-    placed = label_position(df, label, seed, id_col)
-    cut = F.ceil(F.round(F.col("size") * test, 9))
-    return placed.withColumn("is_test", F.col("position") <= cut).drop("position", "size")
+    """Adds ``is_test``: the first ``ceil(test * size)`` rows of each label's shuffle.
+
+    Only ids are counted and ranked, up to the last id of each label that is in; rows are then told by their own draw, so they
+    stay where they are.  Rows without a label or an id have no place and are left out.  If rows with the same id lie across the cut,
+    all places are found, see ``label_position``.
+    """
+    drawn = df.select(label, id_col, _draw(id_col, seed).alias("__draw")).withColumn("__slice", F.substring("__draw", 1, 3))
+    counts = drawn.groupBy(label, "__slice").agg(F.count("*").alias("__n"))
+    order = Window.partitionBy(label).orderBy("__slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.sum("__n").over(Window.partitionBy(label))
+    cuts = counts.select(label, "__slice", "__n", F.sum("__n").over(order).alias("__upto"), F.ceil(F.round(size * test, 9)).alias("__cut"))
+    last = cuts.filter((F.col("__cut") > F.col("__upto") - F.col("__n")) & (F.col("__cut") <= F.col("__upto"))).select(
+        label, "__slice", (F.col("__cut") - F.col("__upto") + F.col("__n")).alias("__more"))
+    same = drawn.join(small_side(last), [label, "__slice"]).groupBy(label, "__draw", id_col).agg(F.count("*").alias("__n"), F.first("__more").alias("__more"))
+    upto = F.sum("__n").over(Window.partitionBy(label).orderBy("__draw", id_col).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    border = (same.withColumn("__upto", upto).filter((F.col("__more") > F.col("__upto") - F.col("__n")) & (F.col("__more") <= F.col("__upto")))
+              .select(label, F.struct("__draw", F.col(id_col).alias("__id")).alias("__last"), (F.col("__more") < F.col("__upto")).alias("__across"))
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    if border.filter("__across").limit(1).count():
+        placed = label_position(df, label, seed, id_col)
+        cut = F.ceil(F.round(F.col("size") * test, 9))
+        return placed.withColumn("is_test", F.col("position") <= cut).drop("position", "size")
+    named = df.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).join(small_side(border.drop("__across")), label, "left")
+    own = F.struct(_draw(id_col, seed).alias("__draw"), F.col(id_col).alias("__id"))
+    return named.select(*df.columns, F.coalesce(own <= F.col("__last"), F.lit(False)).alias("is_test"))
 
 
 def stratified_folds(df: DataFrame, label: str, k: int = 5, seed: int = 42, id_col: str = "task_id") -> DataFrame:
@@ -109,17 +137,33 @@ def train_logreg(df: DataFrame, label: str = "label", C: float = 1.0, max_iter:
 
 def train_tfidf_logreg(df: DataFrame, text: str = "cleaned_text", label: str = "label", C: float = 5.0, balanced: bool = True,
                        vocab: int = 25_000, min_df: int = 2, max_iter: int = 1000) -> PipelineModel:
-    """TF-IDF of words and word pairs, then logistic regression with balanced label weights.
+    """TF-IDF of words and word pairs, then logistic regression with balanced label weights, see ``logistic``.
 
-    Expects ``text`` after ``strip_accents``; see ``tfidf_input``.
+    Rows without a label count for the penalty only.  Expects ``text`` after ``strip_accents``; see ``tfidf_input``.
     """
-    df = checkpointed(df.select(label, text))
-    counts = df.groupBy(label).agg(F.count("*").alias("__n"))
-    n, k = df.count(), counts.count()
-    weights = counts.select(label, (F.lit(n / k) / F.col("__n") if balanced else F.lit(1.0)).alias("weight"))
-    features, rows = fit_transform_tfidf(df.join(small_side(weights), label), text, [label, "weight"], vocab=vocab, min_df=min_df)
-    stages = _label_stages(label, maxIter=max_iter, regParam=1 / (C * n), weightCol="weight")
-    return _with_names(Pipeline(stages=stages).fit(one_a_core(rows)), list(features.stages))
+    named = df.select(F.col(label).cast("string").alias("label"), F.when(F.col(label).isNotNull(), F.col(text)).alias(text))
+    packs = checkpointed(token_packs(named, text, ["label"], K.TFIDF_TOKEN))
+    sizes = dict(packs.select(F.explode("c_label").alias("label")).groupBy("label").agg(F.count("*").alias("n")).collect())
+    n, k, known = sum(sizes.values()), len(sizes), sum(m for c, m in sizes.items() if c is not None)
+    features = tfidf_of_packs(packs, known, text, vocab=vocab, min_df=min_df)
+    classes = sorted(c for c in sizes if c is not None)
+    weights = [n / k / sizes[c] if balanced else 1.0 for c in classes]
+    vectors = features.stages[0]
+    terms, idf = vectors.vocabulary, np.array(vectors.getOrDefault(vectors.idf_))
+    stored = checkpointed(feature_packs(packs, ["label"], terms, idf))
+    model = logistic_model(*logistic.fit(stored, "label", classes, weights, idf, 1 / (C * n), max_iter=max_iter))
+    back = IndexToString(inputCol="prediction", outputCol="predicted", labels=classes)
+    return PipelineModel(stages=[*features.stages, model, back])
+
+
+def logistic_model(coefficients: np.ndarray, intercepts: np.ndarray) -> LogisticRegressionModel:
+    """Coefficients as the model MLlib's own training returns."""
+    k, v = coefficients.shape
+    spark = SparkSession.getActiveSession()
+    matrix = _py2java(spark.sparkContext, DenseMatrix(k, v, coefficients.ravel(), True))
+    made = spark._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(
+        f"logreg_{uuid.uuid4().hex[:12]}", matrix, _py2java(spark.sparkContext, DenseVector(intercepts)), k, True)
+    return LogisticRegressionModel(made).setFeaturesCol("features").setPredictionCol("prediction")
 
 
 def tfidf_input(df: DataFrame, text: str = "cleaned_text") -> DataFrame:

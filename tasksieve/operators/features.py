@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml import feature as MF
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import DenseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark import StorageLevel
@@ -24,11 +27,17 @@ FILTER_SLOTS = 1 << 26
 SENT_LENGTH = 256
 #: Text that a task cuts into terms and counts, in bytes.
 TEXT_BYTES = 8 << 20
+#: Tokens and texts of a pack; a text is never cut, so a pack may have the tokens of one text more.
+PACK_TOKENS, PACK_TEXTS = 1 << 20, 1 << 14
+#: Terms of texts that training works on at a time, so that they stay in a processor's cache.
+PACK_TERMS = 1 << 16
+#: Most slots, as a power of 2, that the words and pairs of a corpus are counted in before their names are.
+SLOT_BITS = 22
 
 
 def tokens(c: Column, pattern: str = K.TOKEN, stop: list[str] = ()) -> Column:
-    found = F.regexp_extract_all(F.lower(c) if pattern != K.TOKEN else c, F.lit(pattern), F.lit(0))
-    lowered = F.transform(found, F.lower)
+    lowered = (F.regexp_extract_all(F.lower(c), F.lit(pattern), F.lit(0)) if pattern != K.TOKEN
+               else F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.lower))
     return F.filter(lowered, lambda t: ~t.isin(list(stop))) if stop else lowered
 
 
@@ -182,7 +191,8 @@ def count_vector_model(c: str, out: str = "features", min_df: int = 2, max_df: f
 def strip_accents(c: Column) -> Column:
     from tasksieve.functions.text import _nfkd
 
-    return F.regexp_replace(_nfkd(c), r"\p{M}+", "")
+    plain = F.octet_length(c) == F.char_length(c)  # ASCII has no accents and does not travel to Python
+    return F.when(plain, c).otherwise(F.regexp_replace(_nfkd(F.when(~plain, c)), r"\p{M}+", ""))
 
 
 def tfidf_features(df: DataFrame, c: str, id_col: str = "task_id", vocab: int | None = None, min_df: int = 2,
@@ -228,33 +238,369 @@ class SublinearTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         return dataset.withColumn(self.getOutputCol(), _damped(self.getInputCol()))
 
 
-def fit_tfidf(df: DataFrame, c: str, out: str = "features", vocab: int = 25_000, min_df: int = 2) -> PipelineModel:
-    """TF-IDF as fitted pipeline stages: words and pairs, ``1 + ln tf``, smoothed idf, unit length.
+class TfidfVectors(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """TF-IDF vectors of unit length over a vocabulary of words and pairs: tokens as ``RegexTokenizer`` finds them, ``1 + ln tf``, idf.
 
-    MLlib's idf is ``ln((n + 1) / (df + 1))``; one more is added to each weight.
+    Tokens are found natively; a whole Arrow batch is then looked up at once.  A text that is null has no terms.
     """
-    return fit_transform_tfidf(df, c, [], out, vocab, min_df)[0]
+
+    vocabulary_ = Param(Params._dummy(), "vocabulary_", "words and pairs by place", TypeConverters.toListString)
+    idf_ = Param(Params._dummy(), "idf_", "idf by place", TypeConverters.toListFloat)
+
+    def __init__(self, inputCol: str = "text", outputCol: str = "features", vocabulary: list[str] = (), idf: list[float] = ()):
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol, vocabulary_=list(vocabulary), idf_=list(idf))
+
+    @property
+    def vocabulary(self) -> list[str]:
+        return self.getOrDefault(self.vocabulary_)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        shared = dataset.sparkSession.sparkContext.broadcast((self.vocabulary, np.array(self.getOrDefault(self.idf_))))
+        held: list[Vocabulary] = []
+
+        @F.pandas_udf(VectorUDT())
+        def vectors(texts: pd.Series) -> pd.DataFrame:
+            names, idf = shared.value
+            if not held:
+                held.append(Vocabulary(names))
+            # a list of no tokens is sent as "", which would be one token
+            lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+            lengths = np.where(texts.to_numpy() == "", 0, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            found = pc.drop_null(pc.replace_with_mask(lists.flatten(), pc.equal(lists.flatten(), ""), pa.scalar(None, pa.string()))).dictionary_encode()
+            p = TokenPack(found.dictionary, found.indices.to_numpy(zero_copy_only=False), np.cumsum(lengths, dtype=np.int64))
+            doc, place, tf = _counted(p, held[0], len(names))
+            weights = (1 + np.log(tf)) * idf[place] if len(place) else np.zeros(0)
+            norm = np.sqrt(np.bincount(doc, weights ** 2, minlength=len(texts)))
+            weights = weights / norm[doc]
+            cuts = np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1]
+            cells = {"type": np.zeros(len(texts), np.int8), "size": np.full(len(texts), len(names), np.int32)}
+            lists = {"indices": np.split(place.astype(np.int32), cuts), "values": np.split(weights, cuts)}
+            return pd.DataFrame(cells | {c: pd.Series(v, dtype="object") for c, v in lists.items()}, index=texts.index)
+
+        listed = tokens(F.col(self.getInputCol()), K.TFIDF_TOKEN)
+        return dataset.withColumn(self.getOutputCol(), vectors(F.coalesce(F.array_join(listed, " "), F.lit(""))))
+
+
+def fit_tfidf(df: DataFrame, c: str, out: str = "features", vocab: int = 25_000, min_df: int = 2) -> PipelineModel:
+    """TF-IDF as a fitted pipeline: words and pairs, ``1 + ln tf``, smoothed idf (``ln((n + 1) / (df + 1)) + 1``), unit length."""
+    packs = checkpointed(token_packs(df, c, [], K.TFIDF_TOKEN))
+    return tfidf_of_packs(packs, packs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], c, out, vocab, min_df)
 
 
 def fit_transform_tfidf(df: DataFrame, c: str, keep: list[str], out: str = "features", vocab: int = 25_000,
                         min_df: int = 2) -> tuple[PipelineModel, DataFrame]:
-    """The stages of ``fit_tfidf``, and the columns ``keep`` of the rows with their vector ``out``.
+    """The stages of ``fit_tfidf``, and the columns ``keep`` of the rows with their vector ``out``."""
+    model = fit_tfidf(df, c, out, vocab, min_df)
+    return model, model.transform(df).select(*keep, out)
+
+
+def tfidf_of_packs(packs: DataFrame, n: int, c: str, out: str = "features", vocab: int = 25_000, min_df: int = 2) -> PipelineModel:
+    """The stages of ``fit_tfidf`` from stored ``token_packs`` of ``n`` texts.
 
-    Texts are cut into terms twice, for the vocabulary and for the counts; the damped counts are stored, and idf and
-    vectors follow from them.  Damping leaves a count above 0, so it does not change the frequencies idf is made of.
+    Texts are cut into tokens once and stored as numbers, a pack with its own list of words.  Pairs of words are pairs of
+    numbers from then on: only terms that may be among the ``vocab`` most frequent ever become strings.
     """
-    counting = Pipeline(stages=[
-        MF.RegexTokenizer(inputCol=c, outputCol="tokens_", gaps=False, pattern=K.TFIDF_TOKEN, toLowercase=True),
-        MF.NGram(inputCol="tokens_", outputCol="pairs_", n=2),
-        MF.SQLTransformer(statement="SELECT *, concat(tokens_, pairs_) AS grams_ FROM __THIS__"),
-        MF.CountVectorizer(inputCol="grams_", outputCol="counts_", minDF=min_df, vocabSize=vocab),
-    ]).fit(df)
-    damped = checkpointed(SublinearTf().transform(counting.transform(df)).select(*keep, "tf_"))
-    idf = MF.IDF(inputCol="tf_", outputCol="idf_").fit(damped).idf.toArray()
-    weighing = [MF.ElementwiseProduct(scalingVec=DenseVector(idf + 1), inputCol="tf_", outputCol="weighted_"),
-                MF.Normalizer(inputCol="weighted_", outputCol=out, p=2.0)]
-    model = PipelineModel(stages=[*counting.stages, SublinearTf(), *weighing])
-    return model, PipelineModel(stages=weighing).transform(damped).select(*keep, out)
+    terms = most_frequent(packs, vocab, min_df)
+    idf = np.log((n + 1) / (np.array([t["df"] for t in terms], dtype=np.float64) + 1)) + 1
+    return PipelineModel(stages=[TfidfVectors(c, out, [t["term"] for t in terms], idf.tolist())])
+
+
+def one_by_one(packs: DataFrame) -> DataFrame:
+    """Packs are large rows, so a task takes few of them at a time."""
+    packs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(
+        1_000, int(packs.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
+    return packs
+
+
+def token_packs(df: DataFrame, c: str, keep: list[str], pattern: str = K.TOKEN, stop: list[str] = ()) -> DataFrame:
+    """The texts as numbers: one row for about ``PACK_TOKENS`` tokens of consecutive rows.
+
+    ``(n, c_<keep> array, words array, hashes, codes, ends)``: the words of the pack with a hash, the number of each token's word, and where the
+    tokens of each text end.
+    """
+    arrays = ", ".join(f"`c_{k}` array<{df.schema[k].dataType.simpleString()}>" for k in keep)
+    schema = "n int, " + (arrays + ", " if keep else "") + "words array<string>, hashes binary, codes binary, ends binary"
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        lists = rows.column("__w").combine_chunks() if rows.num_rows else None
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = lists.flatten().dictionary_encode()
+        one = [pa.array([rows.num_rows], pa.int32())]
+        for k in keep:
+            values = rows.column(k).combine_chunks()
+            one.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+        words = found.dictionary.cast(pa.string())
+        one.append(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words))
+        codes = found.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        hashes = pd.util.hash_array(np.asarray(words.to_pylist(), dtype=object), categorize=False)
+        one += [pa.array([hashes.tobytes()], pa.binary()), pa.array([codes.tobytes()], pa.binary()), pa.array([np.cumsum(lengths).tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(one, ["n", *[f"c_{k}" for k in keep], "words", "hashes", "codes", "ends"])
+
+    def run(batches):
+        held, tokens_held, rows_held = [], 0, 0
+        for batch in batches:
+            lengths = pc.fill_null(pc.list_value_length(batch.column(batch.schema.get_field_index("__w"))), 0).to_numpy(zero_copy_only=False)
+            ends, at = np.cumsum(lengths, dtype=np.int64), 0
+            while at < batch.num_rows:
+                before = ends[at - 1] if at else 0
+                stop_at = min(int(np.searchsorted(ends, before + PACK_TOKENS - tokens_held)) + 1, at + PACK_TEXTS - rows_held, batch.num_rows)
+                stop_at = max(stop_at, at + 1)
+                held.append(batch.slice(at, stop_at - at))
+                tokens_held += int(ends[stop_at - 1] - before)
+                rows_held += stop_at - at
+                at = stop_at
+                if tokens_held >= PACK_TOKENS or rows_held >= PACK_TEXTS:
+                    yield pack(held)
+                    held, tokens_held, rows_held = [], 0, 0
+        if rows_held:
+            yield pack(held)
+
+    listed = df.select(*keep, tokens(F.col(c), pattern, stop).alias("__w"))
+    return listed.mapInArrow(run, schema)
+
+
+class TokenPack:
+    """A row of ``token_packs``: its words with their hashes, and the words and pairs of its texts as numbers.
+
+    The number of a pair ``a b`` is ``V + a V + b`` with ``V`` words in the pack.
+    """
+
+    def __init__(self, words: pa.Array, codes: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None):
+        self.words = words.cast(pa.string())
+        self.v = max(1, len(words))
+        self.codes, self.ends, self.hashes = codes.astype(np.int64), ends, hashes
+        self.doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        self.follows = np.flatnonzero(self.doc[:-1] == self.doc[1:])  # the first place of each pair
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, i: int) -> TokenPack:
+        words, hashes, codes, ends = (batch.column(batch.schema.get_field_index(c))[i] for c in ("words", "hashes", "codes", "ends"))
+        numbers = (np.frombuffer(c.as_buffer(), dtype=t) for c, t in ((codes, np.int32), (ends, np.int64), (hashes, np.uint64)))
+        return cls(words.values, *numbers)
+
+    def slots(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of the words of the list, and of all pairs."""
+        with np.errstate(over="ignore"):
+            h = self.hashes
+            first = h * np.uint64(0x9E3779B97F4A7C15)
+            pair = first[self.codes[self.follows]] + h[self.codes[self.follows + 1]]
+            pair ^= pair >> np.uint64(29)
+            pair *= np.uint64(0xBF58476D1CE4E5B9)
+        shift = np.uint64(64 - bits)
+        return (first >> shift).astype(np.int64), (pair >> shift).astype(np.int64)
+
+    def strings(self, grams: np.ndarray) -> pa.Array:
+        single = grams < self.v
+        a, b = np.divmod(grams - self.v, self.v)
+        left = self.words.take(pa.array(np.where(single, grams, a)))
+        right = self.words.take(pa.array(np.where(single, 0, b)))
+        return pc.if_else(pa.array(single), left, pc.binary_join_element_wise(left, right, " "))
+
+
+def _packs_of(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield TokenPack.of(batch, i)
+
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    return np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, dtype=np.int64)
+
+
+def _frequencies(gram: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct numbers, their occurrences and the texts that hold them, from one sort."""
+    bits = int(doc.max(initial=0)).bit_length()
+    key = np.sort((gram << bits) | doc)
+    held = _starts(key)
+    gram = key >> bits
+    first = _starts(gram)
+    n = np.diff(np.r_[first, len(gram)])
+    return gram[first], n, np.diff(np.r_[np.searchsorted(held, first), len(held)])
+
+
+def summed_slots(packs: DataFrame, bits: int) -> np.ndarray:
+    """Occurrences of words and pairs by the slot of their hash; no term has more than its slot."""
+    parts = 16
+
+    def count(batches):
+        total = np.zeros(1 << bits, dtype=np.int64)
+        for p in _packs_of(batches):
+            single, pair = p.slots(bits)
+            np.add.at(total, single, np.bincount(p.codes, minlength=p.v)[:len(single)])
+            np.add.at(total, pair, 1)
+        yield from (pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["part", "x"]) for i, x in enumerate(np.split(total, parts)))
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held[i] = held.get(i, 0) + np.frombuffer(x, dtype=np.int64)
+        yield from (pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["part", "x"]) for i, x in held.items())
+
+    cores = packs.sparkSession.sparkContext.defaultParallelism
+    some = one_by_one(packs).coalesce(cores).mapInArrow(count, "part int, x binary")
+    rows = some.repartition(parts, "part").mapInArrow(add, "part int, x binary").collect()
+    return np.concatenate([np.frombuffer(r["x"], dtype=np.int64) for r in sorted(rows, key=lambda r: r["part"])]) if rows else np.zeros(1 << bits, dtype=np.int64)
+
+
+def most_frequent(packs: DataFrame, vocab: int, min_df: int, bits: int = SLOT_BITS) -> list:
+    """``(term, n, df)`` of the ``vocab`` most frequent words and pairs that ``min_df`` texts hold, ties by term.
+
+    Slots are counted first.  A term with ``least`` occurrences is in a slot that has as many, so only terms of such slots are
+    counted by name.  The answer is final if enough of them have ``least`` occurrences; else ``least`` is halved.
+    """
+    total = packs.agg(F.coalesce(F.sum(F.octet_length("codes")), F.lit(0))).first()[0] // 2
+    bits = min(bits, max(6, (2 * total).bit_length()))
+    slots = summed_slots(packs, bits)
+    ranked = np.sort(slots[slots > 0])[::-1]
+    least = int(ranked[2 * vocab - 1]) if len(ranked) >= 2 * vocab else 0
+    context = packs.sparkSession.sparkContext
+    while True:
+        wanted = context.broadcast(np.packbits(slots >= max(1, least)))
+
+        def count(batches):
+            held = np.unpackbits(wanted.value).astype(bool)
+            for p in _packs_of(batches):
+                single, pair = (held[s] for s in p.slots(bits))
+                at = np.flatnonzero(single[p.codes]) if len(p.codes) else p.codes
+                first = p.follows[pair]
+                gram = np.concatenate([p.codes[at], p.v + p.codes[first] * p.v + p.codes[first + 1]])
+                gram, n, df = _frequencies(gram, np.concatenate([p.doc[at], p.doc[first]]))
+                yield pa.RecordBatch.from_arrays([p.strings(gram), pa.array(n, pa.int64()), pa.array(df, pa.int64())], ["term", "n", "df"])
+
+        found = (one_by_one(packs).mapInArrow(count, "term string, n bigint, df bigint").groupBy("term")
+                 .agg(F.sum("n").alias("n"), F.sum("df").alias("df")).filter(F.col("df") >= min_df))
+        top = found.orderBy(F.desc("n"), "term").limit(vocab).collect()
+        wanted.unpersist()
+        if least <= 1 or len(top) == vocab and top[-1]["n"] >= least:
+            return top
+        least //= 2
+
+
+class Vocabulary:
+    """Terms with their places, looked up for all tokens of a pack at once."""
+
+    def __init__(self, names: list[str]):
+        pairs = [(n.split(" "), i) for i, n in enumerate(names) if " " in n]
+        self.words, self.places = [n for n in names if " " not in n], np.array([i for i, n in enumerate(names) if " " not in n], dtype=np.int64)
+        self.parts = sorted({w for p, _ in pairs for w in p})
+        number = {w: i for i, w in enumerate(self.parts)}
+        keys = np.array([number[a] * len(self.parts) + number[b] for (a, b), _ in pairs], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.pair_places = keys[order], np.array([i for _, i in pairs], dtype=np.int64)[order]
+        self.known = np.zeros(1 << 22, dtype=bool)
+        self.known[self._slot(self.keys)] = True
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+
+    @staticmethod
+    def _index(words: pa.Array, among: list[str]) -> np.ndarray:
+        return pc.fill_null(pc.index_in(words, value_set=pa.array(among, pa.string())), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def found(self, p: TokenPack) -> tuple[np.ndarray, np.ndarray]:
+        """``(text, place)`` of each token and pair that is a term."""
+        single = self._index(p.words, self.words)
+        single = np.where(single >= 0, self.places[single] if len(self.places) else -1, -1)[p.codes] if len(p.codes) else p.codes
+        at = np.flatnonzero(single >= 0) if len(p.codes) else p.codes
+        part = self._index(p.words, self.parts)
+        first = p.follows
+        a = part[p.codes[first]]
+        first = first[a >= 0]
+        b = part[p.codes[first + 1]]
+        first, key = first[b >= 0], a[a >= 0][b >= 0] * len(self.parts) + b[b >= 0]
+        maybe = self.known[self._slot(key)]
+        first, key = first[maybe], key[maybe]
+        place = np.searchsorted(self.keys, key)
+        right = (self.keys[np.minimum(place, len(self.keys) - 1)] == key) if len(self.keys) else np.zeros(len(key), dtype=bool)
+        return np.concatenate([p.doc[at], p.doc[first[right]]]), np.concatenate([single[at], self.pair_places[place[right]]])
+
+
+def _counted(p: TokenPack, vocabulary: Vocabulary, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, place, tf)`` of the terms of a pack, by text and place."""
+    doc, place = vocabulary.found(p)
+    bits = max(1, size).bit_length()
+    key = np.sort((doc << bits) | place)
+    first = _starts(key)
+    return key[first] >> bits, key[first] & ((1 << bits) - 1), np.diff(np.r_[first, len(key)])
+
+
+def _least_type(x: np.ndarray, most: int) -> np.ndarray:
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32)
+
+
+def feature_packs(packs: DataFrame, keep: list[str], names: list[str], idf: np.ndarray) -> DataFrame:
+    """The terms of a vocabulary in each text of the packs, once by text and once by term, see ``FeaturePack``."""
+    shared = packs.sparkSession.sparkContext.broadcast((names, idf))
+    arrays = ", ".join(f"`c_{k}` {packs.schema['c_' + k].dataType.simpleString()}" for k in keep)
+    parts = ["at", "tf", "ends", "scale", "by_term", "by_tf", "terms", "term_counts"]
+    schema = "n int, " + (arrays + ", " if keep else "") + ", ".join(f"`{p}` binary" for p in parts)
+
+    def run(batches):
+        names, idf = shared.value
+        vocabulary = Vocabulary(names)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                p = TokenPack.of(batch, i)
+                every = _counted(p, vocabulary, len(names))
+                ends, at = np.cumsum(np.bincount(every[0], minlength=len(p.ends))), 0
+                while at < len(ends):
+                    before = int(ends[at - 1]) if at else 0
+                    to = max(at + 1, int(np.searchsorted(ends, before + PACK_TERMS, side="right")))
+                    doc, place, tf = (x[before:int(ends[to - 1])] for x in every)
+                    kept = [pa.ListArray.from_arrays(pa.array([0, to - at], pa.int32()), batch.column(batch.schema.get_field_index(f"c_{k}"))[i].values.slice(at, to - at)) for k in keep]
+                    cells = [pa.array([c.tobytes()], pa.binary()) for c in _feature_cells(doc - at, place, tf, to - at, idf)]
+                    yield pa.RecordBatch.from_arrays([pa.array([to - at], pa.int32()), *kept, *cells], ["n", *[f"c_{k}" for k in keep], *parts])
+                    at = to
+
+    return one_by_one(packs).mapInArrow(run, schema)
+
+
+def _feature_cells(doc: np.ndarray, place: np.ndarray, tf: np.ndarray, n: int, idf: np.ndarray) -> list[np.ndarray]:
+    ends = np.cumsum(np.bincount(doc, minlength=n))
+    norm = np.sqrt(np.bincount(doc, ((1 + np.log(tf)) * idf[place]) ** 2 if len(place) else None, minlength=n))
+    least = _least_type(place, len(idf))
+    order = np.argsort(least, kind="stable")
+    first = _starts(least[order])
+    counts = np.diff(np.r_[first, len(place)])
+    tf = _least_type(tf, int(tf.max(initial=0)))
+    return [least, tf, ends.astype(np.int64), np.divide(1.0, norm, out=np.zeros(n), where=norm > 0),
+            _least_type(doc[order], n), tf[order], least[order][first], _least_type(counts, int(counts.max(initial=0)))]
+
+
+class FeaturePack:
+    """A row of ``feature_packs``: places, damped counts and ends of the terms by text, and texts and damped counts by term.
+
+    ``scale`` is what makes the vector of a text, idf included, one of unit length.
+    """
+
+    _DAMPING = 1 + np.log(np.maximum(np.arange(1 << 16), 1))
+
+    def __init__(self, row: dict):
+        self.n = row["n"]
+        self.ends = np.frombuffer(row["ends"], dtype=np.int64)
+        many = int(self.ends[-1]) if self.n else 0
+        self.at, self.damped = self._numbers(row["at"], many), self._damp(row["tf"], many)
+        self.by_term, self.by_damped = self._numbers(row["by_term"], many), self._damp(row["by_tf"], many)
+        self.scale = np.frombuffer(row["scale"], dtype=np.float64)
+        self.terms = self._numbers(row["terms"], -(-len(row["terms"]) // (len(row["at"]) // many)) if many else 0)
+        self.term_ends = np.cumsum(self._raw(row["term_counts"], len(self.terms)), dtype=np.int64)
+
+    @staticmethod
+    def _raw(data: bytes, many: int) -> np.ndarray:
+        return np.frombuffer(data, dtype={1: np.uint8, 2: np.uint16, 4: np.uint32}[len(data) // many] if many else np.uint8)
+
+    def _numbers(self, data: bytes, many: int) -> np.ndarray:
+        return self._raw(data, many).astype(np.intp)
+
+    def _damp(self, data: bytes, many: int) -> np.ndarray:
+        tf = self._raw(data, many)
+        return self._DAMPING[tf] if tf.itemsize < 4 else 1 + np.log(tf)
 
 
 def class_term_counts(df: DataFrame, c: str, topic: str = "topic_id", ngrams=(1, 1), stop=(),
